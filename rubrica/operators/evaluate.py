@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.values import CODING_TYPE, Item, null, parse_values, parsed_item
+from rubrica.functions.values import TERM_TYPE, Item, null, parse_values, parsed_item
 from rubrica.operators.checks import list_values
 from rubrica.operators.flatten import flatten
 from rubrica.operators.terminology import attach_lists, attach_terms
@@ -29,7 +29,6 @@ from rubrica.plans.rubric import (
     criterion_code,
     first_bad,
     mask_columns,
-    reason_column,
     state_code,
 )
 
@@ -58,40 +57,62 @@ COUNTERS = (
 # --- long form: messages ------------------------------------------------
 
 
-def evaluate_items(items: DataFrame, compiled: CompiledRubric, keys: list[str]) -> DataFrame:
+def evaluate_items(
+    items: DataFrame, compiled: CompiledRubric, keys: list[str], keep: list[str] = ()
+) -> DataFrame:
     """Masks for the items of ``flatten`` (criteria that look at whole elements are
-    left for :func:`second_stage`)."""
-    ctx = compiled.ctx
-    first = [c for c in compiled.criteria if not c.needs_children]
-    probes = compiled.probes_of(first)
-    spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
+    left for :func:`second_stage`).
 
-    df = parse_values(items)
-    term_entities = compiled.needing("term")
-    term = lists = None
-    if term_entities:
-        in_scope = F.col("entity").isin(*sorted(term_entities)) & (F.size("v_codings") > 0)
-        df = attach_terms(
-            df.withColumn("_codings", F.when(in_scope, F.col("v_codings"))), {"_codings": "_term"}, spread, compiled
-        )
-        term = F.col("_term")
-    if compiled.long_lists_used():
-        in_scope = F.col("entity").isin(*sorted(compiled.needing("lists")))
-        values = F.when(in_scope, list_values(parsed_item()))
-        df = attach_lists(df.withColumn("_values", values), {"_values": "_lists"}, spread, compiled)
-        lists = F.col("_lists")
-
-    item = parsed_item(term, lists)
+    Probes that only read the value run first, so that the rows which then meet
+    the terminology carry masks and coding keys instead of texts.
+    """
+    ctx = compiled.ctx
+    probes = compiled.probes_of([c for c in compiled.criteria if not c.needs_children])
+    late = compiled.late_probes(probes)
+    early = [p for p in probes if p not in late]
 
     def guard(p) -> Column:
         return F.col("entity").isin(*sorted(p.entities))
 
-    return df.withColumns(
-        {
-            **mask_columns(probes, compiled.words, item, ctx, guard),
-            "reasons": reason_column(probes, item, ctx, guard),
-        }
+    parsed = parse_values(items)
+    item = parsed_item()
+    lookups: dict[str, Column] = {}
+    scope: dict[str, Column] = {}
+    if any("term" in p.defn.needs for p in late):
+        scope["_codings"] = F.col("entity").isin(*sorted(compiled.needing("term")))
+        lookups["_codings"] = F.when(scope["_codings"] & (F.size("v_codings") > 0), F.col("v_codings"))
+    if any("lists" in p.defn.needs for p in late):
+        scope["_values"] = F.col("entity").isin(*sorted(compiled.needing("lists")))
+        lookups["_values"] = F.when(scope["_values"], list_values(item))
+    base = [c for c in items.columns if c != "raw"]
+    masks = mask_columns(early, compiled.words, item, ctx, guard)
+    df = parsed.select(
+        *base,
+        *keep,
+        *[c.alias(n) for n, c in lookups.items()],
+        *[c.alias(n) for n, c in masks.items()],
     )
+    if not late:
+        return df
+    spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
+    term = lists = None
+    if "_codings" in lookups:
+        seen = parsed.filter(scope["_codings"]).select(F.col("v_codings").alias("codings"))
+        df = attach_terms(df, {"_codings": "_term"}, spread, compiled, seen)
+        term = F.col("_term")
+    if "_values" in lookups:
+        df = attach_lists(df, {"_values": "_lists"}, spread, compiled)
+        lists = F.col("_lists")
+    bare = replace(
+        Item.empty(),
+        present=F.col("present"),
+        kind=F.col("kind"),
+        term=null(TERM_TYPE) if term is None else term,
+        lists=null("array<string>") if lists is None else lists,
+    )
+    done = {n: F.col(n) for n in masks}
+    df = df.withColumns(mask_columns(late, compiled.words, bare, ctx, guard, done))
+    return df.drop("_codings", "_values", "_term", "_lists")
 
 
 def evaluate_messages(
@@ -100,12 +121,14 @@ def evaluate_messages(
     keys: list[str],
     all_attributes: bool = False,
     carry: list[str] = (),
+    keep: list[str] = (),
 ) -> DataFrame:
-    """Evaluated items of checked messages (rows with an error message are left out)."""
+    """Evaluated items of checked messages (rows with an error message are left out).
+    ``keep`` names value columns of ``parse_values`` to hold on to."""
     ok = messages.filter(F.col("error_message").isNull()) if "error_message" in messages.columns else messages
     wanted = None if all_attributes else compiled.entities
     items = flatten(ok, compiled.model, keys, wanted, carry)
-    return evaluate_items(items, compiled, keys)
+    return evaluate_items(items, compiled, keys, keep)
 
 
 def results(
@@ -149,7 +172,7 @@ def _decide(joined: DataFrame, compiled: CompiledRubric, keys: list[str], keep:
     culprit = F.get(checks, F.col("_d"))
     errors = F.array(
         *[
-            F.lit(f"{p.defn.mnemonic} failed to process : {_error_text(p, compiled)}")
+            F.lit(_error_text(p, compiled))
             for p in compiled.probes
         ]
     )
@@ -187,7 +210,10 @@ def _decide(joined: DataFrame, compiled: CompiledRubric, keys: list[str], keep:
 
 
 def _error_text(probe, compiled: CompiledRubric) -> str:
-    return probe.evaluate(Item.empty(), compiled.ctx).error_text
+    if not probe.may_error:
+        return ""
+    text = probe.evaluate(Item.empty(), compiled.ctx).error_text
+    return f"{probe.defn.mnemonic} failed to process : {text}"
 
 
 def _flag(cond: Column) -> Column:
@@ -250,12 +276,7 @@ def second_stage(cards: DataFrame, compiled: CompiledRubric, keys: list[str]) ->
             }
         )
         .withColumn("name", F.col("entity"))
-        .withColumns(
-            {
-                **mask_columns(probes, compiled.words, item, compiled.ctx),
-                "reasons": reason_column(probes, item, compiled.ctx),
-            }
-        )
+        .withColumns(mask_columns(probes, compiled.words, item, compiled.ctx))
     )
 
 
@@ -274,6 +295,7 @@ def message_scorecards(evaluated: DataFrame, compiled: CompiledRubric, keys: lis
     late = [c for c in compiled.criteria if c.needs_children]
     item = replace(Item.empty("ELM"), child_fails=F.col("scoring_fail") + F.col("info_fail"))
     masks = mask_columns(compiled.probes_of(late), compiled.words, item, compiled.ctx)
+    masks.pop("reasons", None)
     staged = cards.withColumns(masks)
     words = range(compiled.words)
     fail, err = [F.col(f"f_{w}") for w in words], [F.col(f"x_{w}") for w in words]
@@ -413,29 +435,44 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     seq = F.lit(None).cast("int") if source.element_seq is None else source.element_seq
     df = source.df.select(*head, seq.alias("element_seq"), *cols)
 
-    # Lookups that need other tables.
-    spread = [F.col(k) for k in source.keys]
-    term_cols, list_cols = {}, {}
+    # Stage 1: masks of the probes that only read the value.
+    mine = {a.mnemonic: compiled.probes_of(compiled.for_entity(a.mnemonic)) for a in entities}
+    late = {m: compiled.late_probes(ps) for m, ps in mine.items()}
+    cols, lookups, lists = [], {}, {}
     for i, a in enumerate(entities):
-        if a.mnemonic in compiled.needing("term"):
-            key = f"v{i}_codings"
-            term_cols[key] = f"v{i}_term"
-            items[a.mnemonic] = replace(items[a.mnemonic], term=F.col(f"v{i}_term"))
-        if a.mnemonic in compiled.needing("lists") and compiled.long_lists_used():
-            df = df.withColumn(f"v{i}_values", list_values(items[a.mnemonic]))
-            list_cols[f"v{i}_values"] = f"v{i}_lists"
-            items[a.mnemonic] = replace(items[a.mnemonic], lists=F.col(f"v{i}_lists"))
-    df = attach_terms(df, term_cols, spread, compiled)
-    df = attach_lists(df, list_cols, spread, compiled)
-
-    # Stage 1: masks per attribute.
-    mask_cols: dict[str, Column] = {}
-    for i, a in enumerate(entities):
-        mine = compiled.probes_of(compiled.for_entity(a.mnemonic))
-        for name, c in mask_columns(mine, compiled.words, items[a.mnemonic], ctx).items():
-            mask_cols[f"e{i}_{name}"] = c
-        mask_cols[f"e{i}_reasons"] = reason_column(mine, items[a.mnemonic], ctx)
-    df = df.select(*head, "element_seq", *[c.alias(n) for n, c in mask_cols.items()])
+        m = a.mnemonic
+        early = [p for p in mine[m] if p not in late[m]]
+        cols += [c.alias(f"e{i}_{n}") for n, c in mask_columns(early, compiled.words, items[m], ctx).items()]
+        if late[m]:
+            cols += [F.col(f"v{i}_present"), F.col(f"v{i}_kind")]
+        if any("term" in p.defn.needs for p in late[m]):
+            cols.append(F.col(f"v{i}_codings"))
+            lookups[f"v{i}_codings"] = f"v{i}_term"
+        if any("lists" in p.defn.needs for p in late[m]):
+            cols.append(list_values(items[m]).alias(f"v{i}_values"))
+            lists[f"v{i}_values"] = f"v{i}_lists"
+    df = df.select(*head, "element_seq", *cols)
+
+    # Stage 1b: lookups in other tables, and the probes that need them.
+    if lookups or lists:
+        spread = [F.col(k) for k in source.keys]
+        df = attach_terms(df, lookups, spread, compiled)
+        df = attach_lists(df, lists, spread, compiled)
+        more: dict[str, Column] = {}
+        for i, a in enumerate(entities):
+            if not late[a.mnemonic]:
+                continue
+            bare = replace(
+                Item.empty(),
+                present=F.col(f"v{i}_present"),
+                kind=F.col(f"v{i}_kind"),
+                term=F.col(f"v{i}_term") if f"v{i}_codings" in lookups else null(TERM_TYPE),
+                lists=F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>"),
+            )
+            done = {n: F.col(f"e{i}_{n}") for w in range(compiled.words) for n in (f"f_{w}", f"x_{w}")}
+            for n, c in mask_columns(late[a.mnemonic], compiled.words, bare, ctx, onto=done).items():
+                more[f"e{i}_{n}"] = c
+        df = df.withColumns(more)
 
     # Stage 2: state codes of the attribute criteria.
     words = range(compiled.words)
@@ -454,12 +491,9 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
         for n in code_cols:
             fails = fails + _flag(F.col(n) == FAILED)
         item = replace(Item.empty("ELM"), child_fails=F.col("_child_fails"))
-        mine = compiled.probes_of(late)
         n = len(entities)
-        masks = {f"e{n}_{k}": v for k, v in mask_columns(mine, compiled.words, item, ctx).items()}
-        df = df.withColumn("_child_fails", fails).withColumns(
-            {**masks, f"e{n}_reasons": reason_column(mine, item, ctx)}
-        )
+        own = mask_columns(compiled.probes_of(late), compiled.words, item, ctx)
+        df = df.withColumn("_child_fails", fails).withColumns({f"e{n}_{k}": v for k, v in own.items()})
         fail = [F.col(f"e{n}_f_{w}") for w in words]
         err = [F.col(f"e{n}_x_{w}") for w in words]
         df = df.withColumns({f"s_{c.id}": criterion_code(c, compiled, fail, err) for c in late}).drop(

@@ -7,11 +7,13 @@ the model declares for an element that exists.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.sources.messages import OBJECT_TYPE
-from rubrica.sources.model import DataClass, EntityModel
+from rubrica.sources.model import EntityModel
 
 ITEM_COLUMNS = (
     "level",
@@ -26,74 +28,68 @@ ITEM_COLUMNS = (
 )
 
 
-def _class_schema(model: EntityModel) -> str:
-    """Root object schema generated from the model, so only known classes are read."""
-    fields = {}
-    for c in model.classes:
-        for name in {c.field, c.label}:
-            kind = "map<string,string>" if c.cardinality == "ONE" else "array<map<string,string>>"
-            fields.setdefault(name, kind)
-    lowered: dict[str, int] = {}
-    for name in fields:
-        lowered[name.lower()] = lowered.get(name.lower(), 0) + 1
-    clash = [n for n, k in lowered.items() if k > 1]
-    if clash:
-        raise ValueError(f"Model class names differ only by case: {clash}")
-    return "struct<" + ",".join(f"`{n}`:{t}" for n, t in fields.items()) + ">"
-
-
-def _raw_of(root: Column, c: DataClass) -> Column:
-    names = [c.field] + ([c.label] if c.label != c.field else [])
-    return F.coalesce(*[F.get_json_object(root, f"$['{n}']") for n in names])
-
-
-def _elements_of(parsed: Column, root: Column, c: DataClass) -> Column:
-    """Element objects of one class.  The slow forms after the first one only run for
-    payloads that do not have the declared shape."""
-    names = [c.field] + ([c.label] if c.label != c.field else [])
-    typed = F.coalesce(*[parsed[n] for n in names])
-    raw = _raw_of(root, c)
-    if c.cardinality == "ONE":
-        lone = F.when(raw.isNotNull(), F.array(F.from_json(F.lit('{}'), OBJECT_TYPE)))
-        return F.coalesce(F.when(typed.isNotNull(), F.array(typed)), lone)
-    loose = F.transform(
-        F.from_json(raw, "array<string>"),
-        lambda e: F.coalesce(F.from_json(e, OBJECT_TYPE), F.from_json(F.lit('{}'), OBJECT_TYPE)),
-    )
-    return F.coalesce(typed, loose)
+def _class_list(model: EntityModel) -> Column:
+    """The classes of the model as a constant array; the first entry is the root."""
+    rows = [{"m": None, "f": None, "n": None, "one": True}] + [
+        {"m": c.mnemonic, "f": c.field, "n": c.label, "one": c.cardinality == "ONE"} for c in model.classes
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<m:string,f:string,n:string,one:boolean>>")
 
 
 def elements(messages: DataFrame, model: EntityModel, keys: list[str], carry: list[str] = ()) -> DataFrame:
     """Keys, class_mnemonic, element_seq and the element's properties as a raw map.
 
     ``element_seq`` 0 is the class itself; class_mnemonic NULL is the root.
+    A class of cardinality ONE is one element even when it is not an object;
+    any other class must be an array, and what is no array has no elements.
     ``messages`` needs ``root_raw`` (see ``check_messages``).
     """
     keep = [*keys, *carry]
-    parsed = messages.select(
-        *keep, "root_raw", F.from_json("root_raw", _class_schema(model)).alias("_classes")
+    classes = messages.select(
+        *keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), F.explode(_class_list(model)).alias("_c")
+    ).select(
+        *keep,
+        F.col("_c.m").alias("class_mnemonic"),
+        F.col("_c.one").alias("_one"),
+        F.coalesce(
+            F.try_element_at("_root", F.col("_c.f")), F.try_element_at("_root", F.col("_c.n"))
+        ).alias("_raw"),
     )
-    empty = F.array().cast("array<map<string,string>>")
-    per_class = [
-        F.struct(
-            F.lit(c.mnemonic).alias("class_mnemonic"),
-            F.concat(
-                F.array(F.lit(None).cast(OBJECT_TYPE)),
-                F.coalesce(_elements_of(F.col("_classes"), F.col("root_raw"), c), empty),
-            ).alias("elements"),
-        )
-        for c in model.classes
-    ]
-    root = F.struct(
-        F.lit(None).cast("string").alias("class_mnemonic"),
-        F.array(F.lit(None).cast(OBJECT_TYPE)).alias("elements"),
+    nothing = F.from_json(F.lit("{}"), OBJECT_TYPE)
+    typed = F.from_json("_raw", f"array<{OBJECT_TYPE}>")
+    loose = F.transform(
+        F.from_json("_raw", "array<string>"), lambda e: F.coalesce(F.from_json(e, OBJECT_TYPE), nothing)
+    )
+    is_array = F.substring(F.ltrim("_raw"), 1, 1) == "["
+    found = (
+        F.when(F.col("_raw").isNull(), F.lit(None))
+        .when(F.col("_one"), F.array(F.coalesce(F.from_json("_raw", OBJECT_TYPE), nothing)))
+        .when(is_array, F.coalesce(typed, loose))
     )
-    classes = parsed.select(*keep, F.explode(F.array(root, *per_class)).alias("_c"))
+    itself = F.array(F.lit(None).cast(OBJECT_TYPE))
     return classes.select(
-        *keep, F.col("_c.class_mnemonic").alias("class_mnemonic"), F.posexplode("_c.elements").alias("element_seq", "props")
+        *keep,
+        "class_mnemonic",
+        F.posexplode(F.concat(itself, F.coalesce(found, F.array().cast(f"array<{OBJECT_TYPE}>")))).alias(
+            "element_seq", "props"
+        ),
     )
 
 
+def _item_rows(model: EntityModel, entities: set[str] | None) -> list[tuple]:
+    """(slot, level, entity, name, kind, property, element) per item the model expects.
+    A slot is a class followed by ``*`` for its elements."""
+    out = []
+    for cls, _, _, _, level, entity, field, name, kind in model.rows():
+        if level == "attribute" and entities is not None and entity not in entities:
+            continue
+        inside = level in ("element", "attribute")
+        element = model.data_class(cls).element_mnemonic if inside else None
+        slot = "" if cls is None else f"{cls}*" if inside else cls
+        out.append((slot, level, entity, name, kind, field.lower() if level == "attribute" else None, element))
+    return out
+
+
 def flatten(
     messages: DataFrame,
     model: EntityModel,
@@ -103,74 +99,41 @@ def flatten(
 ) -> DataFrame:
     """Messages to items.  ``entities`` limits the attribute items to those a rubric
     looks at; root, class and element items always come out, so that empty classes
-    are counted."""
+    are counted.  Properties match attributes ignoring case, the first one wins."""
     keep = [*keys, *carry]
-
-    def item(level: str, entity: str, name: str, kind: str, present: Column, raw: Column) -> Column:
-        return F.struct(
-            F.lit(level).alias("level"),
-            F.lit(entity).alias("entity"),
-            F.lit(name).alias("name"),
-            F.lit(kind).alias("kind"),
-            present.alias("present"),
-            raw.alias("raw"),
-        )
-
-    nothing = F.lit(None).cast("string")
-    low_keys = F.col("_keys")
-    branches = F.when(
-        F.col("class_mnemonic").isNull(),
-        F.array(item("root", model.root_mnemonic, model.root_field, "ROOT", F.lit(True), nothing)),
+    # The expected items come from the model, a few hundred rows at most.
+    expected = messages.sparkSession.createDataFrame(
+        _item_rows(model, entities),
+        "_slot string, level string, entity string, name string, kind string, _prop string, element string",
     )
-    for c in model.classes:
-        here = F.col("class_mnemonic") == c.mnemonic
-        attrs = []
-        for a in c.attributes:
-            if entities is not None and a.mnemonic not in entities:
-                continue
-            pos = F.array_position(low_keys, F.lit(a.field.lower()))
-            value = F.when(pos > 0, F.get(F.map_values("props"), (pos - 1).cast("int")))
-            attrs.append(item("attribute", a.mnemonic, a.label, a.kind, F.coalesce(pos > 0, F.lit(False)), value))
-        branches = branches.when(
-            here & (F.col("element_seq") == 0),
-            F.array(item("class", c.mnemonic, c.label, "CLS", F.lit(True), nothing)),
-        ).when(
-            here,
-            F.array(item("element", c.element_mnemonic, c.label, "ELM", F.lit(True), nothing), *attrs),
-        )
-    with_keys = elements(messages, model, keys, carry).withColumn(
-        "_keys", F.transform(F.map_keys("props"), lambda k: F.lower(k))
+    found = elements(messages, model, keys, carry).withColumns(
+        {
+            "_slot": F.concat(
+                F.coalesce("class_mnemonic", F.lit("")), F.when(F.col("element_seq") > 0, "*").otherwise("")
+            ),
+            "_keys": F.transform(F.map_keys("props"), lambda k: F.lower(k)),
+        }
     )
-    exploded = with_keys.select(
+    joined = found.join(F.broadcast(expected), "_slot").withColumn("_at", F.array_position("_keys", F.col("_prop")))
+    return joined.select(
         *keep,
+        "level",
         "class_mnemonic",
+        "element",
         F.when(F.col("element_seq") > 0, F.col("element_seq")).alias("element_seq"),
-        F.explode(branches).alias("_i"),
-    )
-    element_names = [F.lit(x) for c in model.classes for x in (c.mnemonic, c.element_mnemonic)]
-    element = F.when(
-        F.col("element_seq").isNotNull(), F.try_element_at(F.create_map(*element_names), F.col("class_mnemonic"))
-    )
-    return exploded.select(
-        *keep,
-        F.col("_i.level").alias("level"),
-        "class_mnemonic",
-        element.alias("element"),
-        "element_seq",
-        F.col("_i.entity").alias("entity"),
-        F.col("_i.name").alias("name"),
-        F.col("_i.kind").alias("kind"),
-        F.col("_i.present").alias("present"),
-        F.col("_i.raw").alias("raw"),
+        "entity",
+        "name",
+        "kind",
+        ((F.col("level") != "attribute") | F.coalesce(F.col("_at") > 0, F.lit(False))).alias("present"),
+        F.when(F.col("_at") > 0, F.get(F.map_values("props"), (F.col("_at") - 1).cast("int"))).alias("raw"),
     )
 
 
 def align(elements_df: DataFrame, attributes: DataFrame, model: EntityModel, keys: list[str]) -> DataFrame:
     """Left outer join of the model's attributes to attribute rows that arrive as a
-    long table (keys, class_mnemonic, element_seq, field, raw).  Used when the
-    attributes were not nested in a message; nested ones are aligned in place."""
-    spark = elements_df.sparkSession
-    wanted = model.entities(spark).filter(F.col("level") == "attribute").select(
+    long table (keys, class_mnemonic, element_seq, field, attr_pos, raw).  Used when
+    the attributes were not nested in a message; nested ones are aligned in place."""
+    wanted = model.entities(elements_df.sparkSession).filter(F.col("level") == "attribute").select(
         "class_mnemonic", "entity", "name", "kind", F.lower("field").alias("_field")
     )
     slots = elements_df.select(*keys, "class_mnemonic", "element_seq").join(

@@ -105,16 +105,21 @@ def resolve_codings(distinct: DataFrame, compiled: CompiledRubric) -> DataFrame:
 
 
 def attach_terms(
-    df: DataFrame, columns: dict[str, str], spread: list[Column], compiled: CompiledRubric
+    df: DataFrame,
+    columns: dict[str, str],
+    spread: list[Column],
+    compiled: CompiledRubric,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a ``term`` struct per coding column: ``columns`` maps coding -> term column."""
+    """Add a ``term`` struct per coding column: ``columns`` maps coding -> term column.
+    ``seen`` may give the coding lists to resolve when they can be read with less work."""
     if not columns:
         return df
     keys = list(columns)
-    picked = df.select(F.explode(F.array(*keys)).alias("codings")) if len(keys) > 1 else df.select(
-        F.col(keys[0]).alias("codings")
-    )
-    distinct = picked.filter(F.size("codings") > 0).distinct()
+    if seen is None:
+        one = F.col(keys[0]) if len(keys) == 1 else F.explode(F.array(*keys))
+        seen = df.select(one.alias("codings"))
+    distinct = seen.filter(F.size("codings") > 0).distinct()
     resolved = resolve_codings(distinct, compiled)
     for key, out in columns.items():
         right = resolved.select(F.col("codings").alias(key), F.col("term").alias(out))

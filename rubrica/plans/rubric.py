@@ -228,6 +228,15 @@ class CompiledRubric:
                 seen[p.index] = p
         return [seen[i] for i in sorted(seen)]
 
+    def late_probes(self, probes: list[Probe]) -> list[Probe]:
+        """Probes that need a lookup in another table first."""
+        return [
+            p
+            for p in probes
+            if "term" in p.defn.needs
+            or ("lists" in p.defn.needs and set(v for _, v in p.params) & set(self.long_lists_used()))
+        ]
+
     def needing(self, need: str) -> set[str]:
         """Entities with a check that needs an extra input."""
         return {
@@ -368,53 +377,55 @@ def _bind(defn: CheckDef, params) -> tuple[tuple[str, str], ...]:
 # --- deciding criteria from masks ---------------------------------------
 
 
-def mask_columns(probes: list[Probe], words: int, item: Item, ctx: EvalContext, guard=None) -> dict[str, Column]:
-    """``f_<word>`` / ``x_<word>`` masks of failed and errored probes for one value.
+REASON_TYPE = "array<struct<pos:int,reason:string>>"
+
+
+def mask_columns(
+    probes: list[Probe],
+    words: int,
+    item: Item,
+    ctx: EvalContext,
+    guard=None,
+    onto: dict[str, Column] | None = None,
+) -> dict[str, Column]:
+    """``f_<word>`` / ``x_<word>`` masks of failed and errored probes for one value,
+    and ``reasons`` the checks gave themselves, tagged with the probe number.
 
     ``guard(probe)`` may return a condition outside of which the probe is not run.
+    ``onto`` holds masks computed earlier that the new bits are added to.
     """
     fail: list[list[Column]] = [[] for _ in range(words)]
     err: list[list[Column]] = [[] for _ in range(words)]
+    reasons: list[Column] = []
     for p in probes:
         out = p.evaluate(item, ctx)
         only = guard(p) if guard else None
 
         def bit(flag: Column) -> Column:
-            cond = flag if only is None else only & flag
-            return F.when(cond, F.lit(p.bit)).otherwise(F.lit(0)).cast("bigint")
+            return F.when(flag if only is None else only & flag, F.lit(p.bit)).otherwise(F.lit(0))
 
         fail[p.word].append(bit(out.failed_flag()))
         if p.may_error:
             err[p.word].append(bit(out.error_flag()))
+        if out.reason is not None:
+            text = out.reason if only is None else F.when(only, out.reason)
+            reasons.append(F.struct(F.lit(p.index).alias("pos"), text.cast("string").alias("reason")))
 
-    def merge(parts: list[Column]) -> Column:
-        total = F.lit(0).cast("bigint")
+    def merge(name: str, parts: list[Column]) -> Column:
+        total = onto[name] if onto else F.lit(0)
         for c in parts:
             total = total.bitwiseOR(c)
-        return total
-
-    cols = {f"f_{w}": merge(fail[w]) for w in range(words)}
-    cols.update({f"x_{w}": merge(err[w]) for w in range(words)})
+        return total.cast("bigint")
+
+    cols = {f"f_{w}": merge(f"f_{w}", fail[w]) for w in range(words)}
+    cols.update({f"x_{w}": merge(f"x_{w}", err[w]) for w in range(words)})
+    if reasons:
+        cols["reasons"] = F.filter(F.array(*reasons), lambda r: r["reason"].isNotNull())
+    elif onto is None:
+        cols["reasons"] = F.lit(None).cast(REASON_TYPE)
     return cols
 
 
-REASON_TYPE = "array<struct<pos:int,reason:string>>"
-
-
-def reason_column(probes: list[Probe], item: Item, ctx: EvalContext, guard=None) -> Column:
-    """Reasons given by the checks themselves, tagged with the probe number."""
-    parts = []
-    for p in probes:
-        out = p.evaluate(item, ctx)
-        if out.reason is None:
-            continue
-        text = out.reason if guard is None else F.when(guard(p), out.reason)
-        parts.append(F.struct(F.lit(p.index).alias("pos"), text.cast("string").alias("reason")))
-    if not parts:
-        return F.lit(None).cast(REASON_TYPE)
-    return F.filter(F.array(*parts), lambda r: r["reason"].isNotNull())
-
-
 def first_bad(chain: list, fail: list[Column], err: list[Column]) -> tuple[Column, Column]:
     """Number of the first probe of a chain that failed or errored (NULL when all
     passed), and whether it errored.  ``chain`` holds one mask per word, as
