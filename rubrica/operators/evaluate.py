@@ -85,7 +85,8 @@ def evaluate_items(
         scope["_values"] = F.col("entity").isin(*sorted(compiled.needing("lists")))
         lookups["_values"] = F.when(scope["_values"], list_values(item))
     base = [c for c in items.columns if c != "raw"]
-    masks = mask_columns(early, compiled.words, item, ctx, guard)
+    listed = [p for p in late if "lists" in p.defn.needs]
+    masks = mask_columns(early, compiled.words, item, ctx, guard, reasons_from=early + listed)
     df = parsed.select(
         *base,
         *keep,
@@ -111,7 +112,8 @@ def evaluate_items(
         lists=null("array<string>") if lists is None else lists,
     )
     done = {n: F.col(n) for n in masks}
-    df = df.withColumns(mask_columns(late, compiled.words, bare, ctx, guard, done))
+    by_term = [p for p in late if p not in listed]
+    df = df.withColumns(mask_columns(late, compiled.words, bare, ctx, guard, done, by_term))
     return df.drop("_codings", "_values", "_term", "_lists")
 
 
@@ -442,7 +444,9 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     for i, a in enumerate(entities):
         m = a.mnemonic
         early = [p for p in mine[m] if p not in late[m]]
-        cols += [c.alias(f"e{i}_{n}") for n, c in mask_columns(early, compiled.words, items[m], ctx).items()]
+        asked = early + [p for p in late[m] if "lists" in p.defn.needs]
+        masks = mask_columns(early, compiled.words, items[m], ctx, reasons_from=asked)
+        cols += [c.alias(f"e{i}_{n}") for n, c in masks.items()]
         if late[m]:
             cols += [F.col(f"v{i}_present"), F.col(f"v{i}_kind")]
         if any("term" in p.defn.needs for p in late[m]):
@@ -470,8 +474,11 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
                 lists=F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>"),
             )
             done = {n: F.col(f"e{i}_{n}") for w in range(compiled.words) for n in (f"f_{w}", f"x_{w}")}
-            for n, c in mask_columns(late[a.mnemonic], compiled.words, bare, ctx, onto=done).items():
-                more[f"e{i}_{n}"] = c
+            done["reasons"] = F.col(f"e{i}_reasons")
+            probes = late[a.mnemonic]
+            by_term = [p for p in probes if "lists" not in p.defn.needs]
+            added = mask_columns(probes, compiled.words, bare, ctx, onto=done, reasons_from=by_term)
+            more.update({f"e{i}_{n}": c for n, c in added.items()})
         df = df.withColumns(more)
 
     # Stage 2: state codes of the attribute criteria.

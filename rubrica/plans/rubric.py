@@ -387,19 +387,28 @@ def mask_columns(
     ctx: EvalContext,
     guard=None,
     onto: dict[str, Column] | None = None,
+    reasons_from: list[Probe] | None = None,
 ) -> dict[str, Column]:
     """``f_<word>`` / ``x_<word>`` masks of failed and errored probes for one value,
     and ``reasons`` the checks gave themselves, tagged with the probe number.
 
     ``guard(probe)`` may return a condition outside of which the probe is not run.
-    ``onto`` holds masks computed earlier that the new bits are added to.
+    ``onto`` holds masks and reasons computed earlier that the new ones are added to.
+    ``reasons_from`` lists the probes asked for a reason, if not all of ``probes``.
     """
     fail: list[list[Column]] = [[] for _ in range(words)]
     err: list[list[Column]] = [[] for _ in range(words)]
     reasons: list[Column] = []
-    for p in probes:
+    asked = {p.index for p in (probes if reasons_from is None else reasons_from)}
+    run = {p.index for p in probes}
+    for p in [*probes, *[q for q in reasons_from or [] if q.index not in run]]:
         out = p.evaluate(item, ctx)
         only = guard(p) if guard else None
+        if out.reason is not None and p.index in asked:
+            text = out.reason if only is None else F.when(only, out.reason)
+            reasons.append(F.struct(F.lit(p.index).alias("pos"), text.cast("string").alias("reason")))
+        if p.index not in run:
+            continue
 
         def bit(flag: Column) -> Column:
             return F.when(flag if only is None else only & flag, F.lit(p.bit)).otherwise(F.lit(0))
@@ -407,9 +416,6 @@ def mask_columns(
         fail[p.word].append(bit(out.failed_flag()))
         if p.may_error:
             err[p.word].append(bit(out.error_flag()))
-        if out.reason is not None:
-            text = out.reason if only is None else F.when(only, out.reason)
-            reasons.append(F.struct(F.lit(p.index).alias("pos"), text.cast("string").alias("reason")))
 
     def merge(name: str, parts: list[Column]) -> Column:
         total = onto[name] if onto else F.lit(0)
@@ -420,7 +426,10 @@ def mask_columns(
     cols = {f"f_{w}": merge(f"f_{w}", fail[w]) for w in range(words)}
     cols.update({f"x_{w}": merge(f"x_{w}", err[w]) for w in range(words)})
     if reasons:
-        cols["reasons"] = F.filter(F.array(*reasons), lambda r: r["reason"].isNotNull())
+        given = F.filter(F.array(*reasons), lambda r: r["reason"].isNotNull())
+        if onto:
+            given = F.concat(F.coalesce(onto["reasons"], F.array().cast(REASON_TYPE)), given)
+        cols["reasons"] = given
     elif onto is None:
         cols["reasons"] = F.lit(None).cast(REASON_TYPE)
     return cols
