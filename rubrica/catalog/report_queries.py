@@ -1 +1,309 @@
-"""To come."""
+"""Runs, reports over results, content tables, sinks and streams."""
+
+from pyspark.sql import functions as F
+
+from rubrica.catalog.check_queries import AS_OF
+from rubrica.catalog.registry import load, register
+from rubrica.catalog.score_queries import ORDER_STATES, order_cards, order_rubric, order_source
+from rubrica.functions.text import score_band, status_class, truncate_value
+from rubrica.operators import runs
+from rubrica.operators.content import text_in_content_set, unit_is_primary, value_in_range_set
+from rubrica.operators.evaluate import table_results, table_scorecards
+from rubrica.operators.rollup import class_scores, message_scores
+from rubrica.sources import fixed, sinks
+
+RESULTS = f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_DATE' AS entity, 'Attribute is a past date' AS assessment, CASE c1 WHEN 1 THEN 'Passed' ELSE 'Failed' END AS state FROM ({ORDER_STATES})
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_STATUS', 'Status is final', CASE c2 WHEN 1 THEN 'Passed' ELSE 'Failed' END FROM ({ORDER_STATES})
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_TOTAL', 'Attribute is positive', 'Passed' FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_PRIORITY', 'Attribute matches pattern', CASE c4 WHEN 1 THEN 'Passed' ELSE 'Failed' END FROM ({ORDER_STATES})
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_TOTAL', 'Attribute is an integer', 'Skipped' FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_STATUS', 'Attribute is in list', 'Skipped' FROM orders"""
+
+
+def order_results(spark, sf, *keys):
+    return table_results(order_source(spark, sf, *keys), order_rubric())
+
+
+@register("results_by_status", f"SELECT state, count(*) AS n FROM ({RESULTS}) GROUP BY state")
+def results_by_status(spark, sf):
+    return runs.count_by(order_results(spark, sf, "o_orderkey"), "state")
+
+
+@register("results_by_class", f"SELECT entity, count(*) AS n FROM ({RESULTS}) GROUP BY entity")
+def results_by_class(spark, sf):
+    return runs.count_by(order_results(spark, sf, "o_orderkey"), "entity")
+
+
+@register(
+    "avg_assessments",
+    f"SELECT m AS total_messages, r AS total_results, round(r::DOUBLE / m, 2) AS avg_per_message FROM (SELECT count(DISTINCT o_custkey) AS m, count(*) AS r FROM ({RESULTS}))",
+)
+def avg_assessments(spark, sf):
+    return runs.average_assessments(
+        message_scores(order_cards(spark, sf), ["o_custkey"]), order_results(spark, sf)
+    )
+
+
+@register("distinct_statuses", f"SELECT DISTINCT state FROM ({RESULTS})")
+def distinct_statuses(spark, sf):
+    return runs.distinct_values(order_results(spark, sf), "state")
+
+
+@register("distinct_classes", f"SELECT DISTINCT entity FROM ({RESULTS})")
+def distinct_classes(spark, sf):
+    return runs.distinct_values(order_results(spark, sf), "entity")
+
+
+@register(
+    "latest_messages",
+    f"SELECT o_orderkey, entity, assessment, state FROM ({RESULTS}) ORDER BY o_orderkey DESC, entity, assessment LIMIT 5",
+)
+def latest_messages(spark, sf):
+    rows = runs.latest(order_results(spark, sf, "o_orderkey"), "o_orderkey", 5, "entity", "assessment")
+    return rows.select("o_orderkey", "entity", "assessment", "state")
+
+
+@register(
+    "failed_only",
+    f"SELECT o_orderkey, entity, assessment, 'failed' AS status_class FROM ({RESULTS}) WHERE state = 'Failed'",
+)
+def failed_only(spark, sf):
+    rows = order_results(spark, sf, "o_orderkey").filter(F.lower("state") == "failed")
+    return rows.select("o_orderkey", "entity", "assessment", status_class(F.col("state")).alias("status_class"))
+
+
+_RUN = "SELECT event_type AS run_id, count(*) AS total_records, count(*) FILTER (WHERE value <= 150) AS total_completed, count(*) FILTER (WHERE value > 150) AS total_failed"
+
+
+@register("run_summary", f"{_RUN}, 'COMPLETED' AS status FROM events GROUP BY event_type")
+def run_summary(spark, sf):
+    df = load(spark, sf, "events").withColumnRenamed("event_type", "run_id")
+    return runs.run_counters(df, "run_id", F.col("value") <= 150)
+
+
+@register("run_summary_strict", f"{_RUN}, CASE WHEN count(*) FILTER (WHERE value > 150) > 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM events GROUP BY event_type")
+def run_summary_strict(spark, sf):
+    df = load(spark, sf, "events").withColumnRenamed("event_type", "run_id")
+    return runs.run_counters(df, "run_id", F.col("value") <= 150, "strict")
+
+
+@register(
+    "results_with_run",
+    f"SELECT run_name, state, count(*) AS n FROM ({RESULTS}) JOIN (SELECT 'F' AS run_id, 'final' AS run_name UNION ALL SELECT 'O', 'open') r ON o_orderstatus = run_id GROUP BY ALL",
+)
+def results_with_run(spark, sf):
+    table = spark.createDataFrame([("F", "final"), ("O", "open")], "run_id string, run_name string")
+    rows = order_results(spark, sf, "o_orderstatus").withColumnRenamed("o_orderstatus", "run_id")
+    return runs.with_run(rows, table).groupBy("run_name", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- audit log and benchmark --------------------------------------------
+
+
+def event_audit(spark, sf):
+    """One audit record per event; the value is the time it took in milliseconds."""
+    df = load(spark, sf, "events").select("*", F.col("ts").cast("timestamp").alias("_from")).withColumn(
+        "_to", F.expr("timestampadd(MILLISECOND, CAST(value * 100 AS BIGINT), _from)")
+    )
+    ok = F.col("value") <= 150
+    return runs.audit_records(
+        df, "run-1", F.col("event_id"), F.col("_from"), F.col("_to"), F.col("event_id").cast("string"), ok,
+        error_type=F.when(~ok, "SLOW"), error_message=F.when(~ok, 'took "long", too long'), request_body=F.col("props"),
+    )
+
+
+_MS = "CAST(trunc(value * 100) AS BIGINT)"
+
+
+@register(
+    "audit_log",
+    f"""SELECT event_id AS "rowNumber", {_MS} AS "durationMs", CAST(event_id AS VARCHAR) AS "messageId", value <= 150 AS "wasSuccess", strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS "requestTimestamp", CASE WHEN value > 150 THEN 'SLOW' END AS "errorType" FROM events""",
+)
+def audit_log(spark, sf):
+    return event_audit(spark, sf).select("rowNumber", "durationMs", "messageId", "wasSuccess", "requestTimestamp", "errorType")
+
+
+@register(
+    "audit_csv_line",
+    """SELECT event_id || ',DRY_RUN,' || CASE WHEN value > 150 THEN '"took ""long"", too long"' ELSE '' END || ',"' || replace(props, '"', '""') || '"' AS line FROM events""",
+)
+def audit_csv_line(spark, sf):
+    return event_audit(spark, sf).select(sinks.csv_line(["messageId", "apiUrl", "errorMessage", "requestBody"]).alias("line"))
+
+
+@register(
+    "benchmark_summary",
+    f"""SELECT count(*) AS processed, count(*) FILTER (WHERE value <= 150) AS succeeded, count(*) FILTER (WHERE value > 150) AS failed, CAST(sum({_MS}) AS BIGINT) AS total_ms,
+    round(count(*) * 1000.0::DOUBLE / sum({_MS})::DOUBLE, 2) AS rows_per_second, round(sum({_MS})::DOUBLE / count(*), 2) AS avg_ms FROM events""",
+)
+def benchmark_summary(spark, sf):
+    out = runs.benchmark_summary(event_audit(spark, sf))
+    return out.select(
+        "processed", "succeeded", "failed", F.col("totalRunMs").alias("total_ms"),
+        F.col("rowsPerSecond").alias("rows_per_second"), F.col("avgMsPerRow").alias("avg_ms"),
+    )
+
+
+_CMP = """SELECT unnest(['records', 'units', 'zero', 'rowsPerSecond', 'only_%s']) AS metric, unnest([count(*)::DOUBLE, sum(CAST(l_quantity AS BIGINT))::DOUBLE, 0::DOUBLE, (count(*) / 10)::DOUBLE, 1::DOUBLE]) AS value FROM lineitem WHERE l_returnflag = '%s'"""
+
+
+@register(
+    "run_compare",
+    f"""SELECT metric, baseline, candidate, round(delta, 6) AS delta_percent, CASE WHEN delta IS NULL THEN 'UNKNOWN' WHEN abs(delta) < 0.01 THEN 'SAME' WHEN (metric = 'rowsPerSecond' AND delta > 0) OR (metric <> 'rowsPerSecond' AND delta < 0) THEN 'BETTER' ELSE 'WORSE' END AS verdict
+    FROM (SELECT *, CASE WHEN baseline IS NULL OR candidate IS NULL THEN NULL WHEN baseline = 0 THEN CASE WHEN candidate = 0 THEN 0.0 END ELSE (candidate - baseline) / baseline * 100 END AS delta
+      FROM (SELECT metric, a.value AS baseline, b.value AS candidate FROM ({_CMP % ('A', 'A')}) a FULL JOIN ({_CMP % ('N', 'N')}) b USING (metric)))""",
+)
+def run_compare(spark, sf):
+    """Two runs (the returned and the kept lines) side by side."""
+
+    def metrics(flag: str):
+        summary = load(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).agg(
+            F.count(F.lit(1)).alias("records"),
+            F.sum(F.col("l_quantity").cast("bigint")).alias("units"),
+            F.lit(0).alias("zero"),
+            (F.count(F.lit(1)) / 10).alias("rowsPerSecond"),
+            F.lit(1).alias(f"only_{flag}"),
+        )
+        return runs.to_metrics(summary.withColumn("run", F.lit(flag)), "run").select("metric", "value")
+
+    out = runs.compare_runs(metrics("A"), metrics("N"))
+    return out.withColumn("delta_percent", F.round("delta_percent", 6))
+
+
+# --- content tables -----------------------------------------------------
+
+
+@register(
+    "content_range",
+    """SELECT l_returnflag, l_linestatus, ok, count(*) AS n FROM (
+    SELECT l_returnflag, l_linestatus, EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type = CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END AND l_quantity >= p_size
+      AND (p_brand = 'Brand#1' OR l_quantity <= p_size + 20)) AS ok FROM lineitem) GROUP BY ALL""",
+)
+def content_range(spark, sf):
+    """Quantity inside the part's range; the part type stands for the unit, one brand has no upper bound."""
+    ranges = load(spark, sf, "part").select(
+        F.lit("RANGES").alias("content_set"), F.lit("PARTS").alias("system"), F.col("p_partkey").alias("code"), F.col("p_type").alias("unit"),
+        F.col("p_size").cast("double").alias("min_value"),
+        F.when(F.col("p_brand") != "Brand#1", F.col("p_size") + 20.0).alias("max_value"),
+    )
+    lines = load(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.lit("PARTS").alias("system"),
+        F.when(F.col("l_linestatus") == "O", "PROMO").otherwise("SMALL").alias("unit"),
+    )
+    spread = [F.col("l_orderkey"), F.col("l_linenumber")]
+    out = value_in_range_set(lines, ranges, "RANGES", "system", "l_partkey", "unit", "l_quantity", spread, "ok")
+    return out.groupBy("l_returnflag", "l_linestatus", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "content_unit",
+    """SELECT l_returnflag, ok, count(*) AS n FROM (SELECT l_returnflag, coalesce(p_type = CASE WHEN l_quantity > 25 THEN 'LARGE' ELSE 'SMALL' END, false) AS ok
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey) GROUP BY ALL""",
+)
+def content_unit(spark, sf):
+    units = load(spark, sf, "part").select(
+        F.lit("UNITS").alias("content_set"), F.lit("PARTS").alias("system"), F.col("p_partkey").alias("code"), F.col("p_type").alias("unit")
+    )
+    lines = load(spark, sf, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", F.lit("PARTS").alias("system"),
+        F.when(F.col("l_quantity") > 25, "LARGE").otherwise("SMALL").alias("unit"),
+    )
+    out = unit_is_primary(lines, units, "UNITS", "system", "l_partkey", "unit", [F.col("l_orderkey"), F.col("l_linenumber")], "ok")
+    return out.groupBy("l_returnflag", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "content_text",
+    "SELECT doc_id, EXISTS (SELECT 1 FROM benchmark b WHERE b.text = line) AS ok, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL",
+)
+def content_text(spark, sf):
+    """Which lines of the documents are allowed texts (the benchmark passages)?"""
+    texts = load(spark, sf, "benchmark").select(F.lit("PASSAGES").alias("content_set"), "text")
+    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    out = text_in_content_set(lines, texts, "PASSAGES", "line", [F.col("doc_id"), F.col("pos")], "ok")
+    return out.groupBy("doc_id", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- views, queue, sinks ------------------------------------------------
+
+
+@register(
+    "value_truncate",
+    "SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END) AS shown, CASE WHEN lang = 'en' THEN 'N/A' ELSE substr(lang, 1, 1) || '...' END AS lang_shown FROM documents",
+)
+def value_truncate(spark, sf):
+    return load(spark, sf, "documents").select(
+        "doc_id",
+        F.md5(truncate_value(F.col("text")).cast("binary")).alias("shown"),
+        truncate_value(F.when(F.col("lang") != "en", F.col("lang")), 1).alias("lang_shown"),
+    )
+
+
+@register(
+    "score_bands",
+    f"""SELECT band, count(*) AS n FROM (SELECT CASE WHEN s >= 80 THEN 'high' WHEN s >= 50 THEN 'medium' ELSE 'low' END AS band
+    FROM (SELECT trunc(CAST(sum(c1 + c2 + c3) AS FLOAT) / CAST(3 * count(*) AS FLOAT) * CAST(100 AS FLOAT)) AS s FROM ({ORDER_STATES}) GROUP BY o_custkey)) GROUP BY band""",
+)
+def score_bands(spark, sf):
+    out = message_scores(order_cards(spark, sf), ["o_custkey"])
+    return out.groupBy(score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "active_classes",
+    "SELECT o_custkey, 'ORDER' AS class_mnemonic, count(*) AS instance_count FROM orders GROUP BY o_custkey",
+)
+def active_classes(spark, sf):
+    out = class_scores(order_cards(spark, sf), ["o_custkey"]).filter("instance_count > 0")
+    return out.select("o_custkey", "class_mnemonic", "instance_count")
+
+
+@register(
+    "queue_pending",
+    "SELECT event_id AS id, 'PENDING' AS status, 0 AS retry_count FROM events WHERE event_type <> 'error' AND user_id < 50",
+)
+def queue_pending(spark, sf):
+    """Pending items of a run; here a run is a half of the users."""
+    queue = load(spark, sf, "events").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("user_id") < 50, 1).otherwise(2).cast("bigint").alias("run_id"),
+        F.when(F.col("event_type") == "error", "FAILED").otherwise("PENDING").alias("status"),
+        F.lit(0).alias("retry_count"),
+    )
+    return sinks.pending(queue, 1).select("id", "status", "retry_count")
+
+
+@register(
+    "sink_align",
+    "SELECT CAST(s_suppkey AS BIGINT) AS run_id, NULL::INT AS row_num, s_name AS message_id, NULL::VARCHAR AS status, s_acctbal AS balance FROM supplier",
+)
+def sink_align(spark, sf):
+    """Columns of the target that are missing are added; extra ones stay."""
+    df = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("run_id"), F.col("s_name").alias("message_id"), F.col("s_acctbal").alias("balance"))
+    return sinks.align(df, sinks.RESULT_SCHEMA).select("run_id", "row_num", "message_id", "status", "balance")
+
+
+@register(
+    "stream_scores",
+    f"""SELECT o_orderstatus, CAST(sum(c1 + c2 + c3) AS BIGINT) AS numerator, 3 * count(*) AS denominator FROM ({ORDER_STATES}) GROUP BY o_orderstatus""",
+)
+def stream_scores(spark, sf):
+    """Orders read as a stream; each batch is scored like a table and written as its own
+    partition, so a repeated batch replaces itself."""
+    from rubrica.catalog.shared import shared_folder
+
+    out, checkpoint = shared_folder(spark, "stream_scores/out"), shared_folder(spark, "stream_scores/checkpoint")
+    schema = load(spark, sf, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    source = order_source(spark, sf, "o_orderstatus")
+
+    def score(batch, batch_id):
+        from dataclasses import replace
+
+        cards = table_scorecards(replace(source, df=batch), order_rubric())
+        sinks.write_batch(message_scores(cards, ["o_orderstatus"]), out, batch_id)
+
+    query = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).groupBy("o_orderstatus").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
