@@ -315,9 +315,8 @@ def compile_rubric(rubric: Rubric, model: EntityModel, ctx: EvalContext) -> Comp
             key = (defn.mnemonic, bound if defn.mnemonic == check else ())
             probe = found.setdefault(key, Probe(-1, defn, key[1]))
             probe.entities.add(entity)
-            if defn.mnemonic == check and defn.params and not bound and defn.can_error:
-                needs_value = any(not p.optional for p in defn.params)
-                probe.may_error = probe.may_error or needs_value
+            if not key[1] and any(not p.optional for p in defn.params):
+                probe.may_error = True
             if "lists" in defn.needs and not any(ctx.value_lists.has(v) for _, v in key[1]):
                 probe.may_error = True
             probe.may_error = probe.may_error or defn.may_error(kinds.get(entity, "ITEM"), earlier, ctx)
@@ -334,7 +333,7 @@ def compile_rubric(rubric: Rubric, model: EntityModel, ctx: EvalContext) -> Comp
             continue  # an entity the model does not have matches no item
         defn = ctx.library.get(c.check)
         valid = parameters_given(defn, c)
-        chain = chain_for(c.check, c.entity, _bind(defn, c.params))
+        chain = chain_for(c.check, c.entity, _bind(defn, c.params)) if valid else []
         cond_def = ctx.library.get(c.conditional) if c.conditional else None
         cond = (
             chain_for(c.conditional, c.entity, _bind(cond_def, c.conditional_params))

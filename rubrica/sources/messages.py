@@ -28,14 +28,9 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
         return spark.read.parquet(path)
     m = F.from_json("value", OBJECT_TYPE)
 
-    def ending(*tails: str) -> Column:
-        hits = [
-            F.get(
-                F.filter(F.map_entries(F.col("m")), lambda kv, t=t: F.lower(kv["key"]).endswith(t.lower())), 0
-            )["value"]
-            for t in tails
-        ]
-        return F.coalesce(*hits)
+    def ending(tail: str) -> Column:
+        hits = F.filter(F.map_entries(F.col("m")), lambda kv: F.lower(kv["key"]).endswith(tail.lower()))
+        return F.get(hits, 0)["value"]
 
     return (
         spark.read.text(path)
