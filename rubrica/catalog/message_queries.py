@@ -27,7 +27,7 @@ from rubrica.plans.context import EvalContext
 from rubrica.plans.rubric import Rubric, compile_rubric
 from rubrica.sources import fixed
 from rubrica.sources.lab import drop_blank, lab_messages
-from rubrica.sources.messages import check_messages, fan_out, model_parts, resolve_header
+from rubrica.sources.messages import check_messages, fan_out, model_parts, resolve_header, widen
 from rubrica.sources.model import Attribute, DataClass, EntityModel, clinical_model
 from rubrica.sources.reference import CodeSystems, Terminology, ValueLists
 
@@ -60,7 +60,7 @@ def doc_messages(spark, sf):
         "'summary', named_struct('LANGUAGE', lang, 'origin', source, 'size', n_chars, 'Language', 'ignored'), "
         "'lines', transform(split(text, '\\n'), x -> named_struct('content', x)), 'other', 1)))"
     )
-    return load(spark, sf, "documents").select(
+    return widen(load(spark, sf, "documents")).select(
         F.col("source").alias("provider_id"),
         F.col("lang").alias("source_id"),
         F.col("doc_id").cast("string").alias("message_id"),
@@ -103,7 +103,8 @@ def flatten_messages(spark, sf):
     UNION ALL SELECT 'LINES_ELM', 'element', true, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) FROM documents
     UNION ALL SELECT unnest(['SUM_LANG', 'SUM_ORIGIN', 'SUM_SIZE']), 'attribute', true, count(*) FROM documents GROUP BY 1
     UNION ALL SELECT 'SUMMARY_ELM', 'element', true, count(*) FROM documents
-    UNION ALL SELECT unnest(['SUMMARY', 'LINES', 'NOTES']), 'class', true, count(*) FROM documents GROUP BY 1
+    UNION ALL SELECT unnest(['SUMMARY', 'LINES']), 'class', true, count(*) FROM documents GROUP BY 1
+    UNION ALL SELECT 'NOTES', 'class', false, count(*) FROM documents
     UNION ALL SELECT 'ROOT', 'root', true, count(*) FROM documents)""",
 )
 def align_missing(spark, sf):
@@ -198,7 +199,7 @@ def message_path_equals_table_path(spark, sf):
             ).alias("shop")
         )
     )
-    msgs = load(spark, sf, "orders").select(
+    msgs = widen(load(spark, sf, "orders")).select(
         F.lit("shop").alias("provider_id"), F.lit("orders").alias("source_id"), F.col("o_orderkey").cast("string").alias("message_id"),
         F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), payload.alias("payload"),
     )
@@ -313,7 +314,7 @@ def lab_rows(spark, sf):
         "LOINC": _LOINC, "Units": _UNITS, "Abnormal": _ABNORMAL, "RefHigh": _HIGH, "RefLow": _LOW,
     }
     cols = [F.expr(given.get(c, "CAST(NULL AS STRING)")).alias(c) for c in fixed.LAB_COLUMNS]
-    rows = load(spark, sf, "events").select(*cols)
+    rows = widen(load(spark, sf, "events")).select(*cols)
     return drop_blank(rows, list(fixed.LAB_COLUMNS))
 
 
@@ -413,7 +414,7 @@ def card_messages(spark, sf):
     )
     account = F.struct(segment.alias("segment"), F.col("c_acctbal").cast("string").alias("Balance"))
     payload = F.to_json(F.struct(F.struct(account.alias("accounts")).alias("bank")))
-    msgs = load(spark, sf, "customer").select(
+    msgs = widen(load(spark, sf, "customer")).select(
         F.lit("bank").alias("provider_id"), F.lit("cards").alias("source_id"), F.col("c_custkey").cast("string").alias("message_id"),
         F.lit("CARDS_V1").alias("model_mnemonic"), payload.alias("payload"),
     )

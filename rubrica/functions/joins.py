@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 SALT_BUCKETS = 16
 
 
+def salt(spread: list[Column], buckets: int = SALT_BUCKETS) -> Column:
+    """Bucket a row falls into, from columns that differ between rows of one key."""
+    return F.pmod(F.xxhash64(*spread), F.lit(buckets).cast("bigint"))
+
+
+def salt_for(key: str, spread: list[Column], buckets: int = SALT_BUCKETS) -> Column:
+    """Bucket of a row on the left of a join.  A row without a key never matches, so
+    it may go anywhere: such rows are spread over all tasks."""
+    return F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(salt(spread, buckets))
+
+
 def spread_left_join(
     left: DataFrame, right: DataFrame, key: str, spread: list[Column], buckets: int = SALT_BUCKETS
 ) -> DataFrame:
     """``left`` left-joined to ``right`` (unique in ``key``).
 
     Rows of one key are spread over ``buckets`` tasks and the right side is
-    repeated per bucket.  Rows without a key never match, so they are spread
-    over all tasks instead of meeting in one.  When Spark finds the right
-    side small enough it broadcasts it and no row moves.
+    repeated per bucket.  When Spark finds the right side small enough it
+    broadcasts it and no row of the left moves.
     """
-    h = F.xxhash64(*spread)
-    salted = left.withColumn(
-        "_salt",
-        F.when(F.col(key).isNull(), h).otherwise(F.pmod(h, F.lit(buckets)).cast("bigint")),
-    )
-    copies = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint")))
-    )
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint")))
+    copies = right.withColumn("_salt", every)
+    return left.withColumn("_salt", salt_for(key, spread, buckets)).join(copies, [key, "_salt"], "left").drop("_salt")

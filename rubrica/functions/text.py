@@ -167,7 +167,7 @@ def map_get_ignore_case(m: Column, name: str) -> Column:
     pos = F.array_position(
         F.transform(F.map_keys(m), lambda k: F.lower(k)), F.lit(name.lower())
     )
-    return F.when(pos > 0, F.element_at(F.map_values(m), pos.cast("int")))
+    return F.get(F.map_values(m), (pos - 1).cast("int"))
 
 
 def class_display_name(c: Column) -> Column:

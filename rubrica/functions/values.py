@@ -144,14 +144,17 @@ def codings(*items: Column) -> Column:
     return F.array(*items)
 
 
-def settle_concept(text: Column, coded: Column) -> tuple[Column, Column]:
-    """Share text and displays: an empty text takes the first display, an empty
-    display takes the text."""
+def concept_text(text: Column, coded: Column) -> Column:
+    """The concept's text; an empty one takes the first display."""
     first_display = F.get(
         F.filter(F.transform(coded, lambda c: c["display"]), lambda d: not_empty(d)), 0
     )
-    label = F.when(not_empty(text), text).otherwise(F.coalesce(first_display, text))
-    filled = F.transform(
+    return F.when(not_empty(text), text).otherwise(F.coalesce(first_display, text))
+
+
+def fill_displays(coded: Column, label: Column) -> Column:
+    """Codings in which an empty display takes the concept's text."""
+    return F.transform(
         coded,
         lambda c: F.struct(
             c["systems"].alias("systems"),
@@ -162,7 +165,12 @@ def settle_concept(text: Column, coded: Column) -> tuple[Column, Column]:
             .alias("display"),
         ),
     )
-    return label, filled
+
+
+def settle_concept(text: Column, coded: Column) -> tuple[Column, Column]:
+    """Share text and displays between a concept and its codings."""
+    label = concept_text(text, coded)
+    return label, fill_displays(coded, label)
 
 
 def settle_observation(text: Column, type_text: Column) -> tuple[Column, Column, Column]:
@@ -245,15 +253,18 @@ def parse_values(items: DataFrame) -> DataFrame:
             F.coalesce(F.try_element_at(m, F.lit("highValue")), F.try_element_at(m, F.lit("HighValue"))),
         ).alias("v_high"),
     )
-    label, filled = settle_concept(F.col("_text0"), F.col("_codings0"))
+    concept_kind = F.col("_codings0").isNotNull()
+    staged = staged.withColumn(
+        "v_text", F.when(concept_kind, concept_text(F.col("_text0"), F.col("_codings0"))).otherwise(F.col("_text0"))
+    )
     type_is_object = F.substring(F.ltrim(F.col("v_type")), 1, 1) == "{"
     type_text = F.when(
         type_is_object, F.get_json_object("v_type", "$.text")
     ).otherwise(F.col("v_type"))
     staged = staged.select(
         *items.columns,
-        label.alias("v_text"),
-        filled.alias("v_codings"),
+        "v_text",
+        fill_displays(F.col("_codings0"), F.col("v_text")).alias("v_codings"),
         "v_type",
         "v_low",
         "v_high",

@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.functions.joins import salt
 from rubrica.functions.values import TERM_TYPE, Item, null, parse_values, parsed_item
 from rubrica.operators.checks import list_values
 from rubrica.operators.flatten import flatten
@@ -71,10 +72,17 @@ def evaluate_items(
     late = compiled.late_probes(probes)
     early = [p for p in probes if p not in late]
 
+    # Which probes an entity needs, as bits: one row per entity of the rubric.
+    bits = [
+        (e, *compiled.chain_words(compiled.probes_of(compiled.for_entity(e)))) for e in sorted(compiled.entities)
+    ]
+    schema = "entity string" + "".join(f", _need_{w} bigint" for w in range(compiled.words))
+    needs = items.sparkSession.createDataFrame(bits, schema)
+
     def guard(p) -> Column:
-        return F.col("entity").isin(*sorted(p.entities))
+        return F.col(f"_need_{p.word}").bitwiseAND(F.lit(p.bit)) != 0
 
-    parsed = parse_values(items)
+    parsed = parse_values(items).join(F.broadcast(needs), "entity", "left")
     item = parsed_item()
     lookups: dict[str, Column] = {}
     scope: dict[str, Column] = {}
@@ -85,20 +93,24 @@ def evaluate_items(
         scope["_values"] = F.col("entity").isin(*sorted(compiled.needing("lists")))
         lookups["_values"] = F.when(scope["_values"], list_values(item))
     base = [c for c in items.columns if c != "raw"]
+    need_cols = [f"_need_{w}" for w in range(compiled.words)] if late else []
+    spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
     listed = [p for p in late if "lists" in p.defn.needs]
     masks = mask_columns(early, compiled.words, item, ctx, guard, reasons_from=early + listed)
     df = parsed.select(
         *base,
         *keep,
+        *need_cols,
         *[c.alias(n) for n, c in lookups.items()],
         *[c.alias(n) for n, c in masks.items()],
     )
     if not late:
         return df
-    spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
     term = lists = None
     if "_codings" in lookups:
-        seen = parsed.filter(scope["_codings"]).select(F.col("v_codings").alias("codings"))
+        seen = parse_values(items.filter(scope["_codings"])).select(
+            F.col("v_codings").alias("codings"), salt(spread).alias("_salt")
+        )
         df = attach_terms(df, {"_codings": "_term"}, spread, compiled, seen)
         term = F.col("_term")
     if "_values" in lookups:
@@ -114,7 +126,7 @@ def evaluate_items(
     done = {n: F.col(n) for n in masks}
     by_term = [p for p in late if p not in listed]
     df = df.withColumns(mask_columns(late, compiled.words, bare, ctx, guard, done, by_term))
-    return df.drop("_codings", "_values", "_term", "_lists")
+    return df.drop("_codings", "_values", "_term", "_lists", *need_cols)
 
 
 def evaluate_messages(
@@ -127,9 +139,8 @@ def evaluate_messages(
 ) -> DataFrame:
     """Evaluated items of checked messages (rows with an error message are left out).
     ``keep`` names value columns of ``parse_values`` to hold on to."""
-    ok = messages.filter(F.col("error_message").isNull()) if "error_message" in messages.columns else messages
     wanted = None if all_attributes else compiled.entities
-    items = flatten(ok, compiled.model, keys, wanted, carry)
+    items = flatten(messages, compiled.model, keys, wanted, carry)
     return evaluate_items(items, compiled, keys, keep)
 
 

@@ -36,18 +36,31 @@ def _class_list(model: EntityModel) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<m:string,f:string,n:string,one:boolean>>")
 
 
-def elements(messages: DataFrame, model: EntityModel, keys: list[str], carry: list[str] = ()) -> DataFrame:
+def elements(
+    messages: DataFrame,
+    model: EntityModel,
+    keys: list[str],
+    carry: list[str] = (),
+    always: set[str] | None = None,
+) -> DataFrame:
     """Keys, class_mnemonic, element_seq and the element's properties as a raw map.
 
     ``element_seq`` 0 is the class itself; class_mnemonic NULL is the root.
+    ``always`` names the classes to list even when a message does not have them;
+    None lists every class.  ``class_present`` tells which it was.
     A class of cardinality ONE is one element even when it is not an object;
     any other class must be an array, and what is no array has no elements.
-    ``messages`` needs ``root_raw`` (see ``check_messages``).
+    ``messages`` needs ``root_raw``; messages with an ``error_message`` give no rows
+    (see ``check_messages``).
     """
     keep = [*keys, *carry]
-    classes = messages.select(
-        *keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), F.explode(_class_list(model)).alias("_c")
-    ).select(
+    listed = _class_list(model)
+    if "error_message" in messages.columns:
+        # Not a filter: Spark would push it below the header step and parse the payload again.
+        listed = F.when(F.col("error_message").isNull(), listed)
+    # The root is parsed below the explode, once per message.
+    parsed = messages.select(*keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), listed.alias("_list"))
+    classes = parsed.select(*keep, "_root", F.explode("_list").alias("_c")).select(
         *keep,
         F.col("_c.m").alias("class_mnemonic"),
         F.col("_c.one").alias("_one"),
@@ -55,6 +68,9 @@ def elements(messages: DataFrame, model: EntityModel, keys: list[str], carry: li
             F.try_element_at("_root", F.col("_c.f")), F.try_element_at("_root", F.col("_c.n"))
         ).alias("_raw"),
     )
+    if always is not None:
+        shown = F.col("class_mnemonic").isNull() | F.col("_raw").isNotNull()
+        classes = classes.filter(shown | F.col("class_mnemonic").isin(*sorted(always)) if always else shown)
     nothing = F.from_json(F.lit("{}"), OBJECT_TYPE)
     typed = F.from_json("_raw", f"array<{OBJECT_TYPE}>")
     loose = F.transform(
@@ -70,6 +86,7 @@ def elements(messages: DataFrame, model: EntityModel, keys: list[str], carry: li
     return classes.select(
         *keep,
         "class_mnemonic",
+        (F.col("class_mnemonic").isNull() | F.col("_raw").isNotNull()).alias("class_present"),
         F.posexplode(F.concat(itself, F.coalesce(found, F.array().cast(f"array<{OBJECT_TYPE}>")))).alias(
             "element_seq", "props"
         ),
@@ -97,16 +114,17 @@ def flatten(
     entities: set[str] | None = None,
     carry: list[str] = (),
 ) -> DataFrame:
-    """Messages to items.  ``entities`` limits the attribute items to those a rubric
-    looks at; root, class and element items always come out, so that empty classes
-    are counted.  Properties match attributes ignoring case, the first one wins."""
+    """Messages to items.  ``entities`` limits the attribute items, and the items of
+    absent classes, to those a rubric looks at; the root and every element always come
+    out.  Properties match attributes ignoring case, the first one wins."""
     keep = [*keys, *carry]
+    always = None if entities is None else {c.mnemonic for c in model.classes} & entities
     # The expected items come from the model, a few hundred rows at most.
     expected = messages.sparkSession.createDataFrame(
         _item_rows(model, entities),
         "_slot string, level string, entity string, name string, kind string, _prop string, element string",
     )
-    found = elements(messages, model, keys, carry).withColumns(
+    found = elements(messages, model, keys, carry, always).withColumns(
         {
             "_slot": F.concat(
                 F.coalesce("class_mnemonic", F.lit("")), F.when(F.col("element_seq") > 0, "*").otherwise("")
@@ -124,8 +142,10 @@ def flatten(
         "entity",
         "name",
         "kind",
-        ((F.col("level") != "attribute") | F.coalesce(F.col("_at") > 0, F.lit(False))).alias("present"),
-        F.when(F.col("_at") > 0, F.get(F.map_values("props"), (F.col("_at") - 1).cast("int"))).alias("raw"),
+        F.when(F.col("level") == "attribute", F.coalesce(F.col("_at") > 0, F.lit(False)))
+        .otherwise(F.col("class_present"))
+        .alias("present"),
+        F.get(F.map_values("props"), (F.col("_at") - 1).cast("int")).alias("raw"),
     )
 
 

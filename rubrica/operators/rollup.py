@@ -62,10 +62,21 @@ def with_scores(df: DataFrame) -> DataFrame:
 
 
 def class_scores(cards: DataFrame, keys: list[str], model: EntityModel | None = None) -> DataFrame:
-    """Scores per message and class.  With a model, the display name is added."""
-    out = with_scores(class_sums(cards, keys).filter(F.col("class_mnemonic").isNotNull()))
+    """Scores per message and class.  With a model, every class of it appears for every
+    message, zeros included, and the display name is added."""
     if model is None:
-        return out
+        return with_scores(class_sums(cards, keys).filter(F.col("class_mnemonic").isNotNull()))
+    # The root card every message has is repeated as an empty card per class.
+    classes = F.explode(F.array(*[F.lit(c.mnemonic) for c in model.classes]))
+    zero = F.lit(0).cast("bigint")
+    empty = cards.filter(F.col("class_mnemonic").isNull()).select(
+        *keys,
+        classes.alias("class_mnemonic"),
+        F.lit(None).cast("int").alias("element_seq"),
+        *[zero.alias(n) for n in (*COUNTERS, "is_element", "errors")],
+    )
+    found = cards.filter(F.col("class_mnemonic").isNotNull()).select(*empty.columns)
+    out = with_scores(class_sums(found.unionByName(empty), keys))
     pairs = [F.lit(x) for c in model.classes for x in (c.mnemonic, c.field)]
     return out.withColumn(
         "class_name",

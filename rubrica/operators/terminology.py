@@ -1,7 +1,9 @@
 """Terminology lookups: one probe per distinct concept of the whole data set.
 
 The distinct coding lists are resolved against the code systems, concepts
-and value sets; the small answer is then joined back to the values.
+and value sets; the answer is then joined back to the values.  Both steps
+work on (coding list, salt): a list that a third of all rows share is spread
+over several tasks, a list that occurs once is kept once.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.joins import spread_left_join
+from rubrica.functions.joins import salt, salt_for
 from rubrica.functions.text import not_empty, similarity
 from rubrica.plans.rubric import CompiledRubric
 
@@ -46,10 +48,12 @@ def recognized_system(systems: Column, compiled: CompiledRubric) -> Column:
 
 
 def resolve_codings(distinct: DataFrame, compiled: CompiledRubric) -> DataFrame:
-    """``codings`` -> (``codings``, ``term``) for distinct coding lists."""
+    """(``codings``, ``_salt``) -> the same with ``term``, for distinct coding lists."""
     c = F.col("_c")
-    coded = distinct.select("codings", F.explode("codings").alias("_c")).select(
+    # explode_outer: for explode, Spark would push a size test below the parsing of the lists.
+    coded = distinct.select("codings", "_salt", F.explode_outer("codings").alias("_c")).select(
         "codings",
+        "_salt",
         recognized_system(c["systems"], compiled).alias("_sys"),
         c["code"].alias("_code"),
         F.upper(c["display"]).alias("_display"),
@@ -92,7 +96,7 @@ def resolve_codings(distinct: DataFrame, compiled: CompiledRubric) -> DataFrame:
     else:
         joined = joined.withColumn("value_set", F.lit(None).cast("string"))
     # The collected sets hold at most the code systems and value sets of the library.
-    return joined.groupBy("codings").agg(
+    return joined.groupBy("codings", "_salt").agg(
         F.struct(
             F.max(F.col("_sys").isNotNull()).alias("recognized"),
             F.max("_hit").alias("valid"),
@@ -118,12 +122,13 @@ def attach_terms(
     keys = list(columns)
     if seen is None:
         one = F.col(keys[0]) if len(keys) == 1 else F.explode(F.array(*keys))
-        seen = df.select(one.alias("codings"))
-    distinct = seen.filter(F.size("codings") > 0).distinct()
+        seen = df.select(one.alias("codings"), salt(spread).alias("_salt"))
+    # Empty lists become NULL, which matches no row; a filter would parse them twice.
+    distinct = seen.withColumn("codings", F.when(F.size("codings") > 0, F.col("codings"))).distinct()
     resolved = resolve_codings(distinct, compiled)
     for key, out in columns.items():
-        right = resolved.select(F.col("codings").alias(key), F.col("term").alias(out))
-        df = spread_left_join(df, right, key, spread)
+        right = resolved.select(F.col("codings").alias(key), "_salt", F.col("term").alias(out))
+        df = df.withColumn("_salt", salt_for(key, spread)).join(right, [key, "_salt"], "left").drop("_salt")
     return df
 
 
@@ -142,16 +147,18 @@ def attach_lists(
         .distinct()
     )
     keys = list(columns)
-    values = df.select(F.explode(F.array(*keys)).alias("_values")).filter(F.size("_values") > 0).distinct()
+    one = F.col(keys[0]) if len(keys) == 1 else F.explode(F.array(*keys))
+    values = df.select(one.alias("_values"), salt(spread).alias("_salt"))
+    values = values.withColumn("_values", F.when(F.size("_values") > 0, F.col("_values"))).distinct()
     hits = (
-        values.select("_values", F.explode("_values").alias("_v"))
+        values.select("_values", "_salt", F.explode_outer("_values").alias("_v"))
         .join(entries, "_v", "inner")
-        .groupBy("_values")
+        .groupBy("_values", "_salt")
         .agg(F.collect_set("mnemonic").alias("_lists"))
     )
     for key, out in columns.items():
-        right = hits.select(F.col("_values").alias(key), F.col("_lists").alias(out))
-        df = spread_left_join(df, right, key, spread)
+        right = hits.select(F.col("_values").alias(key), "_salt", F.col("_lists").alias(out))
+        df = df.withColumn("_salt", salt_for(key, spread)).join(right, [key, "_salt"], "left").drop("_salt")
     return df
 
 

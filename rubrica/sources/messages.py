@@ -47,6 +47,16 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     )
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores when the input has fewer partitions than cores.
+
+    Messages often come as a few files that cannot be split, and parsing them is
+    heavy work per row.  Large inputs have partitions enough and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fan_out(batches: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per message of a batch payload: an array fans out, an object is one
     message.  Adds ``batch_pos`` and ``message_id`` read from the message."""
