@@ -305,7 +305,7 @@ def extract_assessments(
     """
     obj = "map<string,string>"
     top = F.from_json(body, obj)
-    df = responses.select(*keys, top.alias("_top")).filter(F.col("_top").isNotNull())
+    df = responses.select(*keys, top.alias("_top"))
     text = F.coalesce(
         F.try_element_at("_top", F.lit("auditedMessage")), F.try_element_at("_top", F.lit("messageData"))
     )
@@ -336,7 +336,8 @@ def extract_assessments(
         "data_class",
         "_key",
         truncate_value(F.col("_n.data"), limit).alias("attribute_value"),
-        F.explode("_n.attributeAudit.assessmentItems").alias("_i"),
+        # An expression, not a plain column: see the note on explode in ``flatten.elements``.
+        F.explode(F.coalesce("_n.attributeAudit.assessmentItems", F.array().cast(f"array<{_ITEM_SCHEMA}>"))).alias("_i"),
     )
 
     def text_of(name: str) -> Column:

@@ -55,12 +55,14 @@ def elements(
     """
     keep = [*keys, *carry]
     listed = _class_list(model)
-    if "error_message" in messages.columns:
-        # Not a filter: Spark would push it below the header step and parse the payload again.
+    error = ["error_message"] if "error_message" in messages.columns else []
+    if error:
+        # Neither a filter nor an explode of a plain column: Spark would push the test
+        # below the header step and parse the payload again.
         listed = F.when(F.col("error_message").isNull(), listed)
     # The root is parsed below the explode, once per message.
-    parsed = messages.select(*keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), listed.alias("_list"))
-    classes = parsed.select(*keep, "_root", F.explode("_list").alias("_c")).select(
+    parsed = messages.select(*keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), *error)
+    classes = parsed.select(*keep, "_root", F.explode(listed).alias("_c")).select(
         *keep,
         F.col("_c.m").alias("class_mnemonic"),
         F.col("_c.one").alias("_one"),
