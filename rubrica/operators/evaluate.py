@@ -57,6 +57,8 @@ COUNTERS = (
 
 # --- long form: messages ------------------------------------------------
 
+_MODEL_COLUMNS = ("level", "class_mnemonic", "element", "name", "kind")
+
 
 def evaluate_items(
     items: DataFrame, compiled: CompiledRubric, keys: list[str], keep: list[str] = ()
@@ -72,12 +74,18 @@ def evaluate_items(
     late = compiled.late_probes(probes)
     early = [p for p in probes if p not in late]
 
-    # Which probes an entity needs, as bits: one row per entity of the rubric.
-    bits = [
-        (e, *compiled.chain_words(compiled.probes_of(compiled.for_entity(e)))) for e in sorted(compiled.entities)
-    ]
-    schema = "entity string" + "".join(f", _need_{w} bigint" for w in range(compiled.words))
-    needs = items.sparkSession.createDataFrame(bits, schema)
+    # What the model and the rubric say about an entity: one row each.
+    words = range(compiled.words)
+    facts = []
+    for cls, _, _, _, level, entity, _, name, kind in compiled.model.rows():
+        element = compiled.model.data_class(cls).element_mnemonic if level in ("element", "attribute") else None
+        need = compiled.chain_words(compiled.probes_of(compiled.for_entity(entity)))
+        facts.append((entity, level, cls, element, name, kind, *need))
+    schema = ", ".join(["entity string"] + [f"{c} string" for c in _MODEL_COLUMNS] + [f"_need_{w} bigint" for w in words])
+    about = items.sparkSession.createDataFrame(facts, schema)
+    if len({f[0] for f in facts}) < len(facts):
+        raise ValueError("Entity mnemonics of a model must be unique.")
+    needs = about.select("entity", *[f"_need_{w}" for w in words])
 
     def guard(p) -> Column:
         return F.col(f"_need_{p.word}").bitwiseAND(F.lit(p.bit)) != 0
@@ -92,15 +100,15 @@ def evaluate_items(
     if any("lists" in p.defn.needs for p in late):
         scope["_values"] = F.col("entity").isin(*sorted(compiled.needing("lists")))
         lookups["_values"] = F.when(scope["_values"], list_values(item))
-    base = [c for c in items.columns if c != "raw"]
-    need_cols = [f"_need_{w}" for w in range(compiled.words)] if late else []
+    # Rows that go through a join leave behind what their entity tells anyway.
+    dropped = ("raw", *_MODEL_COLUMNS) if late else ("raw",)
+    base = [c for c in items.columns if c not in dropped]
     spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
     listed = [p for p in late if "lists" in p.defn.needs]
     masks = mask_columns(early, compiled.words, item, ctx, guard, reasons_from=early + listed)
     df = parsed.select(
         *base,
         *keep,
-        *need_cols,
         *[c.alias(n) for n, c in lookups.items()],
         *[c.alias(n) for n, c in masks.items()],
     )
@@ -116,6 +124,7 @@ def evaluate_items(
     if "_values" in lookups:
         df = attach_lists(df, {"_values": "_lists"}, spread, compiled)
         lists = F.col("_lists")
+    df = df.join(F.broadcast(about), "entity")
     bare = replace(
         Item.empty(),
         present=F.col("present"),
@@ -126,7 +135,7 @@ def evaluate_items(
     done = {n: F.col(n) for n in masks}
     by_term = [p for p in late if p not in listed]
     df = df.withColumns(mask_columns(late, compiled.words, bare, ctx, guard, done, by_term))
-    return df.drop("_codings", "_values", "_term", "_lists", *need_cols)
+    return df.drop("_codings", "_values", "_term", "_lists", *[f"_need_{w}" for w in words])
 
 
 def evaluate_messages(
