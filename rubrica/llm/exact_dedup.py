@@ -1,8 +1,8 @@
 """Exact deduplication by content sort.
 
-Rows are range-partitioned by sampled splitters over (text, id) and sorted externally,
-so equal texts lie next to each other and a text that a third of all rows share is split
-over several ranges.  Neighbours are compared in full; a run that crosses a range border
+Rows are range-partitioned by sampled splitters over (first bytes of the text, digest of it
+all, id) and sorted externally, so equal texts lie next to each other and a text that a
+third of all rows share is split over several ranges.  Neighbours are compared in full; a run that crosses a range border
 is joined again by its digest.
 
 Defined cases: null text counts as empty; a null id is smaller than any other and the
@@ -12,7 +12,6 @@ carry the id that stays, and exactly one of them is kept; extra columns are left
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +22,9 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.shared import cut_lineage, text_or_empty
 
+#: Bytes of a text that splitters hold.
+HEAD = 32
+
 RUN_SCHEMA = (
     "doc_id long, digest string, part int, local_keep long, local_size long, local_first boolean, border boolean"
 )
@@ -44,11 +46,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     ids: list = []
     text: pa.Scalar | None = None
+    mark: pa.Scalar | None = None
     first = True
 
     def emit(border: bool) -> pa.RecordBatch:
         n = len(ids)
-        digest = hashlib.sha256(text.as_buffer()).hexdigest()
+        digest = mark.as_py().hex()
         columns = [
             pa.array(ids, pa.int64()),
             pa.repeat(digest, n),
@@ -60,12 +63,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(columns, schema=OUT)
 
-    def emit_single(rows: list, texts: list) -> pa.RecordBatch:
+    def emit_single(rows: list, marks: list) -> pa.RecordBatch:
         n = len(rows)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(rows, pa.int64()),
-                pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string()),
+                pa.array([m.as_py().hex() for m in marks], pa.string()),
                 pa.repeat(pa.scalar(part, pa.int32()), n),
                 pa.array(rows, pa.int64()),
                 pa.repeat(pa.scalar(1, pa.int64()), n),
@@ -78,27 +81,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, keys = batch.column(1), batch.column(0).to_pylist()
+        texts, digests, keys = batch.column(1), batch.column(2), batch.column(0).to_pylist()
         n = batch.num_rows
         new = [0] if text is None or not text.equals(texts[0]) else []
         if n > 1:
             changes = pc.not_equal(texts.slice(1), texts.slice(0, n - 1))
             new += [i + 1 for i in pc.indices_nonzero(changes).to_pylist()]
         single_ids: list = []
-        single_texts: list = []
+        single_marks: list = []
         if not new or new[0] != 0:
             ids += keys[: new[0] if new else n]
         for start, end in zip(new, [*new[1:], n]):
             if ids:
                 if len(ids) == 1 and not first:
                     single_ids.append(ids[0])
-                    single_texts.append(text)
+                    single_marks.append(mark)
                 else:
                     yield emit(first)
                 first = False
-            ids, text = keys[start:end], texts[start]
+            ids, text, mark = keys[start:end], texts[start], digests[start]
         if single_ids:
-            yield emit_single(single_ids, single_texts)
+            yield emit_single(single_ids, single_marks)
     if ids:
         yield emit(True)
 
@@ -122,7 +125,12 @@ def exact_groups(
         text = F.coalesce(normalise(text), F.lit(""))
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("body"))
-    ranged = rows.repartitionByRange(F.col("body"), order).sortWithinPartitions(F.col("body"), order)
+    # Splitters are drawn from the first bytes and the digest: whole texts stay off the driver.
+    rows = rows.select(
+        "doc_id", "body", F.substring("body", 1, HEAD).alias("head"), F.unhex(F.sha2("body", 256)).alias("digest")
+    )
+    by = [F.col("head"), F.col("digest"), order]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "body", "digest")
     runs = cut_lineage(ranged.mapInArrow(_runs, RUN_SCHEMA))
 
     # Only the first and last run of a range can go on in another one: two rows a range.

@@ -13,6 +13,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def sum_rows(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that share an index, as n rows."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        at = index[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[starts]] = np.add.reduceat(values[order], starts)
+    return out
+
+
 class Adam:
     """Adam over a dictionary of arrays."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm import gru
-from rubrica.llm.shared import held_out
+from rubrica.llm.shared import fit_in_task, held_out
 
 SAMPLE = 2_000
 SEGMENT = 96
@@ -156,43 +156,44 @@ def _gradients(w: dict[str, np.ndarray], codes: np.ndarray, truth: np.ndarray) -
         grads[f"{way}.U"], projected = gru.backward(d, kept, w[f"{way}.U"], m)
         flat = np.concatenate(projected, axis=1)
         grads[f"{way}.b"] += flat.sum(axis=1, keepdims=True)
-        summed = np.zeros((257, flat.shape[0]), np.float32)
-        np.add.at(summed, own.reshape(-1), flat.T)
-        grads[f"{way}.W"] += summed.T
+        grads[f"{way}.W"] += gru.sum_rows(flat.T, own.reshape(-1), 257).T
     return grads
 
 
-def training_segments(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """At most ``sample`` segments with their languages; the choice depends on texts alone."""
+def training_segments(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most twice ``sample`` parts of texts with their languages; the choice depends on texts alone."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], []
-    share = max(1, sample // len(counts))
+    share = max(1, sample // max(1, len(counts)))
     span = SEGMENT + 2 * CONTEXT
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * share / n))) for k, n in sorted(counts.items())])
+    chances = [F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * share / n))) for k, n in sorted(counts.items())]
     at = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - span))
-    rows = (
-        labelled.filter(drawn < chance)
-        .select("lang", F.substring(F.col("text"), at.cast("int"), F.lit(span)).alias("part"), F.xxhash64("text", F.lit(2)).alias("h"))
+    return (
+        labelled.filter(drawn < F.coalesce(*chances, F.lit(0.0)))
+        .select("lang", F.substring("text", at.cast("int"), F.lit(span)).alias("part"), F.xxhash64("text", F.lit(2)).alias("h"))
         .orderBy("h", "lang", "part")
         .limit(2 * sample)
-        .collect()
+        .select("part", "lang")
     )
+
+
+def train_sample(parts: list[str], languages: list[str], sample: int = SAMPLE) -> LanguageModel:
+    """Train on equal shares of the languages, in the order given."""
+    share = max(1, sample // max(1, len(set(languages))))
     taken: dict[str, int] = {}
     segments, labels = [], []
-    for r in rows:
-        if taken.get(r["lang"], 0) < share and any(c.isalpha() for c in r["part"]):
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            segments.append(r["part"].encode()[:span])
-            labels.append(r["lang"])
-    return segments, labels
+    for part, language in zip(parts, languages):
+        if taken.get(language, 0) < share and any(map(str.isalpha, part)):
+            taken[language] = taken.get(language, 0) + 1
+            segments.append(part.encode()[: SEGMENT + 2 * CONTEXT])
+            labels.append(language)
+    return train(segments, labels)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from text and non-null lang of the rows of ``docs`` that are not held out."""
-    return train(*training_segments(docs, sample))
+    """Learn from text and non-null lang of the rows of ``docs`` that are not held out; one task trains on the sample."""
+    return fit_in_task(training_segments(docs, sample), lambda a, b: train_sample(a, b, sample)) or LanguageModel([], {})
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

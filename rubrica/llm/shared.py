@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     at = batch.schema.get_field_index(column)
     texts = batch.column(at)
     start = size = 0
-    lengths = pa.compute.binary_length(texts.cast(pa.binary())).fill_null(0).to_pylist()
+    lengths = pc.binary_length(texts.cast(pa.binary())).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and size + n > max_bytes:
             yield batch.slice(start, i - start)
@@ -61,3 +65,19 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
         size += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list, list], Any]) -> Any:
+    """A model fitted by one task on the two columns of a frame of bounded size; None without a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list = []
+        second: list = []
+        for batch in batches:
+            first += batch.column(0).to_pylist()
+            second += batch.column(1).to_pylist()
+        model = pickle.dumps(fit(first, second))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
