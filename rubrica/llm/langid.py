@@ -196,9 +196,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return fit_in_task(training_segments(docs, sample), lambda a, b: train_sample(a, b, sample)) or LanguageModel([], {})
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score; reads the text column only."""
+def identify(docs: DataFrame, model: LanguageModel, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score; reads the text column only.
+
+    Older columns of these two names are replaced.
+    """
     spark = docs.sparkSession
+    docs = docs.drop(label, score)
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -214,11 +218,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 scores += s
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                names=[*names, label, score],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double")
 
 
 def _groups(texts: list, most: int = 1 << 20) -> Iterator[list]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, langid, packing, pii, simhash_dedup, slots, token_counts, toxicity
+from rubrica.llm import chat, decontaminate, exact_dedup, langid, packing, pii, simhash_dedup, slots, token_counts, toxicity
 from rubrica.llm.shared import checkpoint_folder, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,29 @@ def query(sql: str | None = None):
     return register
 
 
+@query(r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
+    ), doc_shingles AS (
+        SELECT DISTINCT doc_id, unnest([w[i : i + 4] FOR i IN range(1, len(w) - 3)]) AS s FROM words WHERE len(w) >= 5
+    ), item_words AS (
+        SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark
+    ), item_shingles AS (
+        SELECT DISTINCT item_id, unnest([w[i : i + 4] FOR i IN range(1, len(w) - 3)]) AS s FROM item_words WHERE len(w) >= 5
+    ), sizes AS (
+        SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id
+    ), shared AS (
+        SELECT doc_id, item_id, count(*) AS n_shared
+        FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id
+    )
+    SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+    FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item
+""")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items of which at least four fifths of the shingles are in a document."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
@@ -62,6 +85,34 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ESCAPED = r"""(len(regexp_extract_all({0}, '\[\\*/?(INST|ROLE)\]|<\\*/?s>')))"""
+
+
+@query(rf"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), formatted AS (
+        SELECT *, length(text) + {_ESCAPED.format("text")} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+            ELSE 17 + length(role) + {_ESCAPED.format("role")} END AS chars
+        FROM turns
+    )
+    SELECT conv_id,
+           count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM formatted GROUP BY conv_id
+""")
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, read back; -1 holds control strings as texts."""
+    own = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    added = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_turns(rows.unionByName(added)))
+
+
 @query()
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of nearly equal bytes."""

@@ -65,19 +65,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint of every whole text as a signed 64-bit number."""
+    """doc_id, digest of the text, and the fingerprint of every whole text as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 marks = [fingerprint(t or "", shingle) for t in part.column(1).to_pylist()]
                 signed = np.array(marks, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed)], names=["doc_id", "fp"])
+                columns = [part.column(0), part.column(2), pa.array(signed)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp"])
 
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), digest.alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, fp long")
 
 
 class BKTree:
@@ -276,17 +277,24 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, fp (signed), component_id (smallest id of the group) of every document."""
+    """doc_id, digest, fp (signed), component_id (smallest id of the group), kept of every document.
+
+    ``kept`` marks the row with the smallest id of each group; of rows with that id, the one
+    with the smallest digest of its text, and all that also have an equal text.
+    """
     marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min(row).alias("least")))
     links = fingerprint_links(distinct.select("fp"), distinct.count(), radius, large)
     roots = components(links)
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(grouped.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    named = cut_lineage(grouped.join(smallest, "root").select("fp", "first"))
+    return marked.join(named, "fp", "left").select(
+        "doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), row.eqNullSafe(F.col("first")).alias("kept")
+    )
 
 
 def hex_fingerprint(name: str = "fp") -> Column:

@@ -28,26 +28,22 @@ from pyspark.sql import functions as F
 
 from rubrica.llm import gru
 from rubrica.llm.shared import fit_in_task, held_out, slices
+from rubrica.llm.wordhash import MIX, word_hashes
 
 SAMPLE = 3_000
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 8_000
 WINDOW = 32
 STRIDE = 16
 WIDTH = 16
 HIDDEN = 8
 WORD_ROWS = 1 << 13
 GRAM_ROWS = 1 << 14
-UPDATES = 400
+UPDATES = 240
 THRESHOLD = 0.3
 #: Windows and distinct words that are worked on together; bounds memory only.
 TOGETHER = 2_048
 WORDS_TOGETHER = 10_000
 
-_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
 
 @dataclass
 class Words:
@@ -74,13 +70,7 @@ def split_words(texts: list) -> Words:
     if not len(start):
         none = np.zeros(0, np.int64)
         return Words(none, bounds, none.astype(np.uint64), data, none, none)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(len(data), _BASE)])
-        back = np.cumprod(np.r_[np.uint64(1), np.full(len(data), _INVERSE)])
-        prefix = np.r_[np.uint64(0), np.cumsum(_TABLE[data] * power[:-1])]
-        hashes = (prefix[end] - prefix[start]) * back[start]
-        hashes ^= hashes >> np.uint64(31)
-        hashes *= _MIX
+    hashes = word_hashes(data, start, end)
     distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
     return Words(code, bounds, distinct, data, start[first], end[first])
 
@@ -100,7 +90,7 @@ def grams(words: Words, pick: slice) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             packed = (packed << np.uint64(8)) | words.data[at + k]
         with np.errstate(over="ignore"):
-            packed *= _MIX
+            packed *= MIX
         found.append((packed >> np.uint64(64 - 14)).astype(np.int64))
         owner.append(np.repeat(np.arange(len(start)), count))
     rows, who = np.concatenate(found), np.concatenate(owner)
