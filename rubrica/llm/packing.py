@@ -85,7 +85,8 @@ class WordEncoder:
         easy, hard, cut = [], [], []
         for w in words:
             low = w.lower()
-            if "Σ" in w or "İ" in w or "<|" in w or not (low.isascii() or unicodedata.is_normalized("NFC", w)):
+            odd = "Σ" in w or "İ" in w or "<|" in w or not w.isprintable()
+            if odd or not (low.isascii() or unicodedata.is_normalized("NFC", w)):
                 hard.append(w)
             else:
                 easy.append(w)
