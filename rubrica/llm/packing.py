@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.ranks import numbered, offsets
-from rubrica.llm.shared import slices
+from rubrica.llm.shared import cut_lineage, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -254,7 +254,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``."""
     spark = cut.sparkSession
-    rows, counts = numbered(cut, "length", ["doc_id", "piece"])
+    # Drawing splitters reads the pieces once more: they are written first, not encoded twice.
+    rows, counts = numbered(cut_lineage(cut), "length", ["doc_id", "piece"])
     per_length: dict[int, int] = {}
     for _, length, n in counts:
         per_length[length] = per_length.get(length, 0) + n
