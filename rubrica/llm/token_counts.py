@@ -29,7 +29,9 @@ CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 1024
 #: Words a worker remembers; beyond that it starts afresh. Memory only, no effect on results.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+#: Words that are encoded together; an encoding takes a kilobyte and more.
+TOGETHER = 2_000
 
 
 class TokenCounter:
@@ -101,8 +103,10 @@ class TokenCounter:
             for w in missing:
                 body = w[1:] if w[:1] == " " else w
                 (alone if body and not body[0].isspace() and not body[-1].isspace() else rest).append(w)
-            for w, coded in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-                fresh[w] = len(coded)
+            for a in range(0, len(alone), TOGETHER):
+                some = alone[a : a + TOGETHER]
+                for w, coded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                    fresh[w] = len(coded)
             fresh.update(dict.fromkeys(rest, -1))
             self.words.update(fresh)
         out = []
@@ -143,7 +147,7 @@ def token_counts(
             _COUNTERS[key] = TokenCounter(path, chunk, overlap)
         counter = _COUNTERS[key]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 n = counter.counts([t or "" for t in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
