@@ -1,4 +1,4 @@
-"""Rubric-driven data-quality scoring as PySpark plans."""
+"""Scoring of records against rubrics as PySpark plans."""
 
 from rubrica.plans.checks import check, CheckDef, Outcome, Param
 from rubrica.plans.rubric import Criterion, Rubric, compile_rubric

@@ -183,15 +183,15 @@ def chk_in_list(spark, sf):
 
 
 def _nation_lists(spark, sf) -> ValueLists:
-    """External list of the nations of the customers' own regions, by key and name."""
-    table = load(spark, sf, "nation").filter("n_regionkey < 3").select(
+    """External list of all nations, by key and name."""
+    table = load(spark, sf, "nation").select(
         F.lit("NATIONS").alias("mnemonic"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("text")
     )
     return ValueLists.from_table(table)
 
 
-_LISTED = "upper(t) IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey < 3 UNION SELECT upper(n_name) FROM nation WHERE n_regionkey < 3)"
-_NATION_TEXT = "CASE WHEN c_acctbal < 0 THEN '' WHEN c_mktsegment = 'BUILDING' THEN 'nation_' || CAST(c_nationkey AS STRING) ELSE CAST(c_nationkey AS STRING) END"
+_LISTED = "upper(t) IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation UNION SELECT upper(n_name) FROM nation)"
+_NATION_TEXT = "CASE WHEN c_acctbal < 0 THEN '' WHEN c_mktsegment = 'BUILDING' THEN 'nation_' || CAST(c_nationkey AS STRING) WHEN c_mktsegment = 'MACHINERY' THEN 'x' || CAST(c_nationkey AS STRING) ELSE CAST(c_nationkey AS STRING) END"
 
 
 @register("chk_external_list", _row_sql("c_custkey", _NATION_TEXT, "customer", [POP, (f"NOT {_LISTED}", "ATTR_INEXTERNALLIST")], POP_TEXT | {"ATTR_INEXTERNALLIST": "not in external list"}))
@@ -206,16 +206,16 @@ def chk_external_list(spark, sf):
     """SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'Failed' ELSE 'Passed' END AS state,
        CASE WHEN c_custkey IS NULL THEN 'ATTR_INEXTERNALLIST' END AS fail_check,
        CASE WHEN c_custkey IS NULL THEN 'not in external list' ELSE '' END AS reason
-       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
+       FROM orders LEFT JOIN customer ON o_custkey * 2 = c_custkey""",
 )
 def chk_external_list_joined(spark, sf):
     """A list as long as a table: joined, not turned into literals."""
-    table = load(spark, sf, "customer").filter("c_acctbal > 0").select(
-        F.lit("SOLVENT").alias("mnemonic"), F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("text")
+    table = load(spark, sf, "customer").select(
+        F.lit("CUSTOMERS").alias("mnemonic"), F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("text")
     )
-    ctx = EvalContext(value_lists=ValueLists(table=table, table_mnemonics=("SOLVENT",)))
-    rule = criterion("ORD_TOTAL", "ATTR_INEXTERNALLIST", params={"EXTERNAL_LIST_MNEMONIC": "SOLVENT"})
-    return by_key(states(load(spark, sf, "orders"), "ORDER", ["o_orderkey"], text_items(ORD_TOTAL="o_custkey"), [rule], ctx), "o_orderkey")
+    ctx = EvalContext(value_lists=ValueLists.from_table(table))
+    rule = criterion("ORD_TOTAL", "ATTR_INEXTERNALLIST", params={"EXTERNAL_LIST_MNEMONIC": "CUSTOMERS"})
+    return by_key(states(load(spark, sf, "orders"), "ORDER", ["o_orderkey"], text_items(ORD_TOTAL="o_custkey * 2"), [rule], ctx), "o_orderkey")
 
 
 @register("chk_regex", _row_sql("doc_id", "text", "documents", [POP, ("NOT regexp_matches(t, '[0-9]{3}')", "ATTR_MATCHESREGEX")], POP_TEXT | {"ATTR_MATCHESREGEX": "pattern not matched"}))

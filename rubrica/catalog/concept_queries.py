@@ -20,16 +20,16 @@ SYSTEMS = CodeSystems(
 
 
 def terminology(spark, sf) -> Terminology:
-    """Customers of three segments, parts and nations as concepts.  A customer in debt
-    is inactive by property; a part has a status text; a nation has neither."""
-    c = load(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')").select(
+    """Customers, parts and nations as concepts.  A customer in debt is inactive by
+    property; a part has a status text; a nation has neither."""
+    c = load(spark, sf, "customer").select(
         F.lit("urn:shop:customer").alias("system"),
         F.col("c_custkey").cast("string").alias("code"),
         (F.col("c_acctbal") < 0).alias("inactive"),
         F.lit(None).cast("string").alias("status"),
         F.array("c_name", "c_mktsegment").alias("displays"),
     )
-    p = load(spark, sf, "part").filter("p_size > 10").select(
+    p = load(spark, sf, "part").select(
         F.lit("PARTS").alias("system"),
         F.col("p_partkey").cast("string").alias("code"),
         F.lit(None).cast("boolean").alias("inactive"),
@@ -62,8 +62,12 @@ CASE o_orderpriority
  WHEN '1-URGENT' THEN 'urn:shop:customer' WHEN '2-HIGH' THEN 'http://elsewhere' WHEN '3-MEDIUM' THEN 'urn:unknown' END"""
 
 
+# Some orders name a customer that does not exist.
+ORDER_CODE = "CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END"
+
+
 def order_concept() -> Item:
-    code = F.col("o_custkey").cast("string")
+    code = F.expr(ORDER_CODE).cast("string")
     system = F.expr(ORDER_CODINGS)
     second = F.when(F.col("o_orderpriority") == "2-HIGH", "customer-id")
     display = F.expr(
@@ -89,7 +93,7 @@ SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s,
   CASE s WHEN 'O' THEN 'CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') WHEN 'F' THEN 'SOMEONE ELSE'
          ELSE 'CUSTOMER ' || CAST(o_custkey AS VARCHAR) END AS shown,
   upper(c.c_name) AS real_name, upper(c.c_mktsegment) AS segment, n.c_nationkey < 10 AS low_nation
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')) c ON o_custkey = c.c_custkey
+FROM orders LEFT JOIN customer c ON CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END = c.c_custkey
 LEFT JOIN customer n ON o_custkey = n.c_custkey"""
 
 POP = ("empty", "ATTR_ISPOPULATED")
@@ -154,18 +158,18 @@ _concept("chk_concept_value_set", "CONCEPT_ISINVALUESET", [POP, CODE, SYSTEM, VA
     "chk_concept_two_codings",
     """SELECT l_returnflag, l_linestatus, state, fail_check, count(*) AS n FROM (
     SELECT l_returnflag, l_linestatus, CASE WHEN f IS NULL THEN 'Passed' ELSE 'Failed' END AS state, f AS fail_check FROM (
-      SELECT l_returnflag, l_linestatus, CASE WHEN NOT (coalesce(p_size > 10, false) OR coalesce(c.c_custkey IS NOT NULL, false)) THEN 'CONCEPT_ISVALID'
-        WHEN NOT ((coalesce(p_size > 10, false) AND p_type <> 'PROMO') OR coalesce(c.c_acctbal >= 0, false)) THEN 'CONCEPT_ISACTIVE' END AS f
-      FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
-      LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')) c ON l_suppkey = c.c_custkey)) GROUP BY ALL""",
+      SELECT l_returnflag, l_linestatus, CASE WHEN p_partkey IS NULL AND c.c_custkey IS NULL THEN 'CONCEPT_ISVALID'
+        WHEN NOT (coalesce(p_type <> 'PROMO', false) OR coalesce(c.c_acctbal >= 0, false)) THEN 'CONCEPT_ISACTIVE' END AS f
+      FROM lineitem LEFT JOIN part ON CASE WHEN l_linenumber % 2 = 0 THEN -l_partkey ELSE l_partkey END = p_partkey
+      LEFT JOIN customer c ON CASE WHEN l_linenumber % 3 = 0 THEN -l_suppkey ELSE l_suppkey END = c.c_custkey)) GROUP BY ALL""",
 )
 def chk_concept_two_codings(spark, sf):
     """A concept with two codings passes when either does."""
     item = Item.of_concept(
         None,
         codings(
-            coding(F.col("l_partkey"), F.lit("urn:shop:part"), F.lit("part")),
-            coding(F.col("l_suppkey"), F.lit("CUSTOMERS"), F.lit("customer")),
+            coding(F.expr("CASE WHEN l_linenumber % 2 = 0 THEN -l_partkey ELSE l_partkey END"), F.lit("urn:shop:part"), F.lit("part")),
+            coding(F.expr("CASE WHEN l_linenumber % 3 = 0 THEN -l_suppkey ELSE l_suppkey END"), F.lit("CUSTOMERS"), F.lit("customer")),
         ),
     )
     rows = states(
@@ -204,14 +208,74 @@ def chk_value_set_null_system(spark, sf):
 
 @register(
     "terminology_unknown_codes",
-    """SELECT 'CUSTOMERS' AS system, CAST(o_custkey AS VARCHAR) AS code, count(*) AS uses FROM orders
-    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')) GROUP BY ALL""",
+    """SELECT 'CUSTOMERS' AS system, CAST(code AS VARCHAR) AS code, count(*) AS uses
+    FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS code FROM orders)
+    WHERE code NOT IN (SELECT c_custkey FROM customer) GROUP BY ALL""",
 )
 def terminology_unknown_codes(spark, sf):
     from rubrica.catalog.registry import compiled
     from rubrica.operators.terminology import unknown_codes
 
     df = load(spark, sf, "orders").select(
-        codings(coding(F.col("o_custkey"), F.lit("urn:shop:customer"), F.lit("x"))).alias("codings")
+        codings(coding(F.expr(ORDER_CODE), F.lit("urn:shop:customer"), F.lit("x"))).alias("codings")
     )
     return unknown_codes(df, "codings", compiled([criterion("ORD_CUSTOMER", "CONCEPT_ISVALID")], context(spark, sf)))
+
+
+@register(
+    "chk_concept_overall",
+    """SELECT state, fail_check, count(*) AS n FROM (
+    SELECT CASE WHEN c_custkey IS NULL THEN 'Failed' ELSE 'Passed' END AS state, CASE WHEN c_custkey IS NULL THEN 'CONCEPT_ISVALID' END AS fail_check
+    FROM orders LEFT JOIN customer ON CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END = c_custkey) GROUP BY ALL""",
+)
+def chk_concept_overall(spark, sf):
+    """The whole table as one message, without any key."""
+    item = Item.of_concept(None, codings(coding(F.expr(ORDER_CODE), F.lit("urn:shop:customer"), F.lit("x"))))
+    rows = states(load(spark, sf, "orders"), "ORDER", [], {"ORD_CUSTOMER": item}, [criterion("ORD_CUSTOMER", "CONCEPT_ISVALID")], context(spark, sf))
+    return tally(rows)
+
+
+def _second_system(name: str, compat: bool, unlisted: str):
+    @register(
+        name,
+        f"""SELECT o_orderkey, CASE WHEN (o_orderpriority <> '5-LOW' AND NOT (o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED') AND n_nationkey IS NOT NULL) OR ({unlisted}) THEN 'Passed' ELSE 'Failed' END AS state
+        FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 10""",
+    )
+    def query(spark, sf):
+        """The member is under the second system of the coding; some codings have no system at all."""
+        from dataclasses import replace
+
+        from rubrica.plans.checks import CheckLibrary
+
+        lib = CheckLibrary()
+        defs = {m: lib.get(m) for m in lib.mnemonics()}
+        defs["CONCEPT_ISINVALUESET"] = replace(defs["CONCEPT_ISINVALUESET"], prerequisite=None)
+        ctx = context(spark, sf, compat)
+        ctx.library = CheckLibrary(defs)
+        nations = load(spark, sf, "nation").filter("n_nationkey < 10").select(
+            F.lit("FIRST_NATIONS").alias("value_set"), F.lit("nation-id").alias("system"), F.col("n_nationkey").cast("string").alias("code")
+        )
+        unknown = load(spark, sf, "nation").select(
+            F.lit("FIRST_NATIONS").alias("value_set"), F.lit("urn:nobody").alias("system"), F.lit("nobody").alias("code")
+        )
+        ctx.terminology.value_sets = nations.unionByName(unknown)
+        rows = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        with_system = F.col("o_orderpriority") != "5-LOW"
+        odd = F.col("o_orderstatus") == "P"
+        code = F.when(odd & ~with_system, F.lit("nobody")).when(odd & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "nobody").otherwise(F.col("c_nationkey").cast("string"))
+        item = coding(
+            code,
+            F.when(with_system, F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "urn:else").otherwise("urn:shop:customer")),
+            F.lit("x"),
+            F.when(with_system, "nation-id"),
+        )
+        rule = criterion("ORD_CUSTOMER", "CONCEPT_ISINVALUESET", params={"value set mnemonic": "FIRST_NATIONS"})
+        out = states(rows, "ORDER", ["o_orderkey"], {"ORD_CUSTOMER": Item.of_concept(None, codings(item))}, [rule], ctx)
+        return out.select("o_orderkey", "state")
+
+    return query
+
+
+_UNKNOWN_HIT = "o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED'"
+_second_system("value_set_second_system", True, _UNKNOWN_HIT)
+_second_system("value_set_second_system_strict", False, "false")

@@ -41,6 +41,13 @@ DOCS = EntityModel(
     ),
 )
 DOC_KEYS = ["message_id"]
+
+
+def wide(df):
+    """Spread over as many tasks as the session asks for; by default as the files are laid out."""
+    asked = df.sparkSession.conf.get("rubrica.partitions", None)
+    return widen(df, int(asked) if asked else None)
+
 DOC_RULES = [
     criterion("SUM_LANG", "ATTR_INLIST", 1, params={"LIST_CSV": "en|fr"}, critical=True),
     criterion("SUM_SIZE", "ATTR_ISPOSITIVENUMBER", 2),
@@ -60,7 +67,7 @@ def doc_messages(spark, sf):
         "'summary', named_struct('LANGUAGE', lang, 'origin', source, 'size', n_chars, 'Language', 'ignored'), "
         "'lines', transform(split(text, '\\n'), x -> named_struct('content', x)), 'other', 1)))"
     )
-    return widen(load(spark, sf, "documents")).select(
+    return wide(load(spark, sf, "documents")).select(
         F.col("source").alias("provider_id"),
         F.col("lang").alias("source_id"),
         F.col("doc_id").cast("string").alias("message_id"),
@@ -177,7 +184,7 @@ def message_class_scores(spark, sf):
 )
 def message_result_counts(spark, sf):
     rubric = doc_rubric()
-    rows = message_results(evaluate_messages(checked_docs(spark, sf), rubric, DOC_KEYS), rubric, DOC_KEYS)
+    rows = message_results(evaluate_messages(checked_docs(spark, sf), rubric, DOC_KEYS, store=True), rubric, DOC_KEYS)
     return rows.groupBy("entity", "check", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -199,7 +206,7 @@ def message_path_equals_table_path(spark, sf):
             ).alias("shop")
         )
     )
-    msgs = widen(load(spark, sf, "orders")).select(
+    msgs = wide(load(spark, sf, "orders")).select(
         F.lit("shop").alias("provider_id"), F.lit("orders").alias("source_id"), F.col("o_orderkey").cast("string").alias("message_id"),
         F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), payload.alias("payload"),
     )
@@ -314,7 +321,7 @@ def lab_rows(spark, sf):
         "LOINC": _LOINC, "Units": _UNITS, "Abnormal": _ABNORMAL, "RefHigh": _HIGH, "RefLow": _LOW,
     }
     cols = [F.expr(given.get(c, "CAST(NULL AS STRING)")).alias(c) for c in fixed.LAB_COLUMNS]
-    rows = widen(load(spark, sf, "events")).select(*cols)
+    rows = wide(load(spark, sf, "events")).select(*cols)
     return drop_blank(rows, list(fixed.LAB_COLUMNS))
 
 
@@ -326,6 +333,23 @@ _JSON_LAB = f"""'{{"messageId":"' || id || '","formatID":"","useCaseID":"","pati
  '","system":"2.16.840.1.113883.5.83"}}],"text":"' || CASE WHEN abn <> '' THEN abn ELSE 'N' END || '"}}}}],"id":"' || id || '"}},"dataSourceID":"lab","dataProviderID":"clinic","messageID":"' || id || '"}}'"""
 
 
+@register(
+    "duplicate_messages",
+    """SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(k AS VARCHAR) AS request_key, 'same' AS message_id, CAST(1 AS BIGINT) AS instance_count
+    FROM documents, (VALUES (0), (1)) v(k)""",
+)
+def duplicate_messages(spark, sf):
+    """Requests that all carry the same ids are scored one by one."""
+    keys = ["request_key", "message_id"]
+    twice = doc_messages(spark, sf).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
+    requests = twice.withColumn("request_key", F.concat_ws("#", "message_id", "_k")).withColumn("message_id", F.lit("same"))
+    checked = check_messages(requests.drop("_k"), DOCS, DOCS.mnemonic)
+    rubric = doc_rubric()
+    cards = message_scorecards(evaluate_messages(checked, rubric, keys), rubric, keys)
+    first = class_scores(cards, keys).filter(F.col("instance_count") == 1).select(*keys, "instance_count").distinct()
+    return first
+
+
 @register(
     "lab_to_message",
     f"""SELECT id AS message_id, 'PAT_CLINICAL_V1' AS model_mnemonic, {_JSON_LAB} AS payload FROM (
@@ -336,8 +360,8 @@ def lab_to_message(spark, sf):
 
 
 def lab_context(spark, sf) -> EvalContext:
-    """Parts above a size are the known codes; promotional ones are inactive."""
-    concepts = load(spark, sf, "part").filter("p_size > 20").select(
+    """Parts are the known codes; promotional ones are inactive."""
+    concepts = load(spark, sf, "part").select(
         F.lit("http://loinc.org").alias("system"), F.col("p_partkey").cast("string").alias("code"),
         (F.col("p_type") == "PROMO").alias("inactive"), F.lit(None).cast("string").alias("status"), F.array("p_name").alias("displays"),
     )
@@ -352,7 +376,7 @@ def lab_rubric(spark, sf):
 _LAB_N = "valid::INT + (event_type = 'click')::INT + (event_type <> 'signup')::INT + (event_type <> 'purchase')::INT"
 _LAB_D = "7 + (event_type IN ('click', 'view'))::INT"
 _LAB = """SELECT event_id, event_type, event_type <> 'signup' AND p_partkey IS NOT NULL AS valid, event_type <> 'signup' AND p_partkey IS NOT NULL AND p_type <> 'PROMO' AS active
-    FROM events LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON user_id = p_partkey"""
+    FROM events LEFT JOIN part ON user_id = p_partkey"""
 
 
 @register(
@@ -414,7 +438,7 @@ def card_messages(spark, sf):
     )
     account = F.struct(segment.alias("segment"), F.col("c_acctbal").cast("string").alias("Balance"))
     payload = F.to_json(F.struct(F.struct(account.alias("accounts")).alias("bank")))
-    msgs = widen(load(spark, sf, "customer")).select(
+    msgs = wide(load(spark, sf, "customer")).select(
         F.lit("bank").alias("provider_id"), F.lit("cards").alias("source_id"), F.col("c_custkey").cast("string").alias("message_id"),
         F.lit("CARDS_V1").alias("model_mnemonic"), payload.alias("payload"),
     )
@@ -438,7 +462,7 @@ _FULL = "CASE WHEN c_acctbal > 0 THEN '100' ELSE '0' END"
 def audited_message(spark, sf):
     rubric = compiled(CARD_RULES, EvalContext(as_of=AS_OF), CARDS)
     checked = card_messages(spark, sf)
-    ev = evaluate_messages(checked, rubric, DOC_KEYS, all_attributes=True, keep=AUDIT_VALUES)
+    ev = evaluate_messages(checked, rubric, DOC_KEYS, all_attributes=True, keep=AUDIT_VALUES, store=True)
     scores = message_scores(message_scorecards(ev, rubric, DOC_KEYS), DOC_KEYS)
     return audited_messages(checked, ev, scores, rubric, DOC_KEYS)
 
@@ -450,7 +474,7 @@ def audited_message(spark, sf):
 )
 def scoring_response_query(spark, sf):
     rubric = compiled(CARD_RULES, EvalContext(as_of=AS_OF), CARDS)
-    ev = evaluate_messages(card_messages(spark, sf), rubric, DOC_KEYS)
+    ev = evaluate_messages(card_messages(spark, sf), rubric, DOC_KEYS, store=True)
     cards = message_scorecards(ev, rubric, DOC_KEYS)
     out = scoring_response(
         message_scores(cards, DOC_KEYS), class_scores(cards, DOC_KEYS, CARDS),

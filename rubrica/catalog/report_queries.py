@@ -191,8 +191,7 @@ def content_range(spark, sf):
         "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.lit("PARTS").alias("system"),
         F.when(F.col("l_linestatus") == "O", "PROMO").otherwise("SMALL").alias("unit"),
     )
-    spread = [F.col("l_orderkey"), F.col("l_linenumber")]
-    out = value_in_range_set(lines, ranges, "RANGES", "system", "l_partkey", "unit", "l_quantity", spread, "ok")
+    out = value_in_range_set(lines, ranges, "RANGES", "system", "l_partkey", "unit", "l_quantity", "ok")
     return out.groupBy("l_returnflag", "l_linestatus", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -209,7 +208,7 @@ def content_unit(spark, sf):
         "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", F.lit("PARTS").alias("system"),
         F.when(F.col("l_quantity") > 25, "LARGE").otherwise("SMALL").alias("unit"),
     )
-    out = unit_is_primary(lines, units, "UNITS", "system", "l_partkey", "unit", [F.col("l_orderkey"), F.col("l_linenumber")], "ok")
+    out = unit_is_primary(lines, units, "UNITS", "system", "l_partkey", "unit", "ok")
     return out.groupBy("l_returnflag", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -221,7 +220,7 @@ def content_text(spark, sf):
     """Which lines of the documents are allowed texts (the benchmark passages)?"""
     texts = load(spark, sf, "benchmark").select(F.lit("PASSAGES").alias("content_set"), "text")
     lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = text_in_content_set(lines, texts, "PASSAGES", "line", [F.col("doc_id"), F.col("pos")], "ok")
+    out = text_in_content_set(lines, texts, "PASSAGES", "line", "ok")
     return out.groupBy("doc_id", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 

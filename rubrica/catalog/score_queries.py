@@ -83,9 +83,12 @@ def score_message_weighted(spark, sf):
 
 @register(
     "score_class",
-    f"""SELECT o_custkey, 'ORDER' AS class_mnemonic, 'Orders' AS class_name, instances AS instance_count, clean AS clean_count, n AS numerator, d AS denominator, {_score('n', 'd')} AS score
-    FROM (SELECT o_custkey, count(*) AS instances, CAST(sum(CASE WHEN c1 + c2 + c3 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS clean, CAST(sum(c1 + c2 + c3) AS BIGINT) AS n, 3 * count(*) AS d
-          FROM ({ORDER_STATES}) GROUP BY o_custkey)""",
+    f"""SELECT o_custkey, class_mnemonic, class_name, coalesce(instances, 0) AS instance_count, coalesce(clean, 0) AS clean_count,
+    coalesce(n, 0) AS numerator, coalesce(d, 0) AS denominator, coalesce({_score('n', 'd')}, 0) AS score
+    FROM (SELECT DISTINCT o_custkey FROM orders) k
+    CROSS JOIN (VALUES ('CUSTOMER', 'Customers'), ('ORDER', 'Orders'), ('LINE', 'Lines'), ('PART', 'Parts'), ('EVENT', 'Events'), ('TEXT', 'Texts')) c(class_mnemonic, class_name)
+    LEFT JOIN (SELECT o_custkey, 'ORDER' AS class_mnemonic, count(*) AS instances, CAST(sum(CASE WHEN c1 + c2 + c3 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS clean, CAST(sum(c1 + c2 + c3) AS BIGINT) AS n, 3 * count(*) AS d
+          FROM ({ORDER_STATES}) GROUP BY o_custkey) USING (o_custkey, class_mnemonic)""",
 )
 def score_class(spark, sf):
     out = class_scores(order_cards(spark, sf), ["o_custkey"], MODEL)
@@ -252,7 +255,7 @@ def error_voids_message(spark, sf):
     f"SELECT user_id, 'ATTR_ISPOSITIVENUMBER failed to process : Value is not numeric. Check the prerequisites.' AS error_message FROM events WHERE {_BROKEN} GROUP BY user_id",
 )
 def error_first(spark, sf):
-    return first_errors(table_results(_event_source(spark, sf), _unguarded()), ["user_id"])
+    return first_errors(table_results(_event_source(spark, sf), _unguarded()), ["user_id"], MODEL)
 
 
 @register(
@@ -264,3 +267,74 @@ def error_rows_dropped(spark, sf):
     rubric = _unguarded()
     rows = drop_errored(table_results(_event_source(spark, sf), rubric), rubric, ["user_id"])
     return rows.groupBy("entity", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- criteria above the element, and the clean element ------------------
+
+_ABOVE = [
+    criterion("ORDER", "ATTR_TEST_1", 1, weight=2),
+    criterion("PART", "ATTR_ISPOPULATED", 2, critical=True),
+    criterion("ROOT", "ATTR_TEST_1", 3),
+    criterion("ORD_STATUS", "ATTR_INLIST", 4, params={"LIST_CSV": "F,O"}),
+]
+
+
+@register(
+    "score_class_criteria",
+    f"""SELECT o_custkey, n AS numerator, d AS denominator, {_score('n', 'd')} AS score, n + 1 AS weighted_numerator, CAST(1 AS BIGINT) AS critical_failure_count
+    FROM (SELECT o_custkey, CAST(2 + sum((o_orderstatus IN ('F', 'O'))::INT) AS BIGINT) AS n, 3 + count(*) AS d FROM orders GROUP BY o_custkey)""",
+)
+def score_class_criteria(spark, sf):
+    """Criteria on a class that is there, one that is not, the root and an attribute."""
+    source = TableSource(load(spark, sf, "orders"), "ORDER", ["o_custkey"], text_items(ORD_STATUS="o_orderstatus"))
+    out = message_scores(table_scorecards(source, compiled(_ABOVE)), ["o_custkey"])
+    return out.select("o_custkey", "numerator", "denominator", "score", "weighted_numerator", "critical_failure_count")
+
+
+@register(
+    "results_class_criteria",
+    """SELECT entity, level, state, count(*) AS n FROM (
+    SELECT 'ORDER' AS entity, 'class' AS level, 'Passed' AS state FROM (SELECT DISTINCT o_custkey FROM orders)
+    UNION ALL SELECT 'PART', 'class', 'Failed' FROM (SELECT DISTINCT o_custkey FROM orders)
+    UNION ALL SELECT 'ROOT', 'root', 'Passed' FROM (SELECT DISTINCT o_custkey FROM orders)
+    UNION ALL SELECT 'ORD_STATUS', 'attribute', CASE WHEN o_orderstatus IN ('F', 'O') THEN 'Passed' ELSE 'Failed' END FROM orders) GROUP BY ALL""",
+)
+def results_class_criteria(spark, sf):
+    source = TableSource(load(spark, sf, "orders"), "ORDER", ["o_custkey"], text_items(ORD_STATUS="o_orderstatus"))
+    rows = table_results(source, compiled(_ABOVE))
+    return rows.groupBy("entity", "level", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLEAN_RULES = [
+    criterion("ORD_STATUS", "ATTR_INLIST", 1, params={"LIST_CSV": "F,O"}),
+    criterion("ORD_PRIORITY", "ATTR_MATCHESREGEX", 2, params={"CUSTOM_REGULAR_EXPRESSION": "^[123]"}, effect="Informational"),
+    criterion("ORDER_ELM", "ATTR_ISINTEGER", 3),
+    criterion("ORDER_ELM", "ELEMENT_ISCLEAN", 4),
+]
+_CLEAN_SQL = """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') AND regexp_matches(o_orderpriority, '^[123]') THEN 'Passed' ELSE 'Failed' END AS state FROM orders"""
+
+
+@register("clean_element_beside_failing_criterion", _CLEAN_SQL)
+def clean_element_beside_failing_criterion(spark, sf):
+    """Another criterion on the element fails; only the attributes decide whether it is clean."""
+    items = text_items(ORD_STATUS="o_orderstatus", ORD_PRIORITY="o_orderpriority")
+    rows = table_results(TableSource(load(spark, sf, "orders"), "ORDER", ["o_orderkey"], items), compiled(_CLEAN_RULES))
+    return rows.filter("check = 'ELEMENT_ISCLEAN'").select("o_orderkey", "state")
+
+
+@register("clean_element_in_messages", _CLEAN_SQL)
+def clean_element_in_messages(spark, sf):
+    from rubrica.operators.evaluate import evaluate_messages, message_results
+    from rubrica.sources.messages import check_messages
+
+    order = F.array(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
+    messages = load(spark, sf, "orders").select(
+        "o_orderkey",
+        F.lit("shop").alias("provider_id"), F.lit("orders").alias("source_id"), F.col("o_orderkey").cast("string").alias("message_id"),
+        F.lit(MODEL.mnemonic).alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"),
+        F.to_json(F.struct(F.struct(order.alias("orders")).alias("shop"))).alias("payload"),
+    )
+    rubric = compiled(_CLEAN_RULES)
+    evaluated = evaluate_messages(check_messages(messages, MODEL, MODEL.mnemonic), rubric, ["o_orderkey"], store=True)
+    rows = message_results(evaluated, rubric, ["o_orderkey"])
+    return rows.filter("check = 'ELEMENT_ISCLEAN'").select("o_orderkey", "state")

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from rubrica.functions.stored import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one the session names; on a machine without
-    that setting (tests), a temporary one."""
-    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rubrica-")
-        spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/rubrica-{uuid.uuid4().hex}/{name}"
+    """A new folder under the one that driver and executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/rubrica-{uuid.uuid4().hex}/{name}"

@@ -1,33 +1,46 @@
-"""A left join that survives hot keys."""
+"""Left joins that survive hot keys.
+
+The joins are plain ones on purpose: Spark broadcasts a right side it finds small, and
+splits rows of a hot key on the left (skew join), however many there are.  What it cannot
+know is that rows without a key match nothing; they are spread here.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that a hash can be taken of (maps have none)."""
 
-SALT_BUCKETS = 16
+    def fine(t: T.DataType) -> bool:
+        if isinstance(t, T.ArrayType):
+            return fine(t.elementType)
+        if isinstance(t, T.StructType):
+            return all(fine(f.dataType) for f in t.fields)
+        return not isinstance(t, (T.MapType, T.VariantType))
 
+    return [f.name for f in df.schema.fields if fine(f.dataType)]
 
-def salt(spread: list[Column], buckets: int = SALT_BUCKETS) -> Column:
-    """Bucket a row falls into, from columns that differ between rows of one key."""
-    return F.pmod(F.xxhash64(*spread), F.lit(buckets).cast("bigint"))
 
+def spread_hash(df: DataFrame, key: str, usable: Column) -> Column:
+    """Hash of the key, or of the whole row where the key is not usable."""
+    return F.when(usable, F.xxhash64(F.col(key))).otherwise(F.xxhash64(*[F.col(f"`{c}`") for c in hashable(df)], F.lit(1)))
 
-def salt_for(key: str, spread: list[Column], buckets: int = SALT_BUCKETS) -> Column:
-    """Bucket of a row on the left of a join.  A row without a key never matches, so
-    it may go anywhere: such rows are spread over all tasks."""
-    return F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(salt(spread, buckets))
 
+def list_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the other columns of ``right`` (unique in ``_list``) where the list ``key`` is equal."""
+    marked = left.withColumn("_hash", spread_hash(left, key, F.size(key) > 0))
+    other = right.withColumn("_hash2", F.xxhash64("_list"))
+    same = (F.col("_hash") == F.col("_hash2")) & (F.col(key) == F.col("_list"))
+    return marked.join(other, same, "left").drop("_hash", "_hash2", "_list")
 
-def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread: list[Column], buckets: int = SALT_BUCKETS
-) -> DataFrame:
-    """``left`` left-joined to ``right`` (unique in ``key``).
 
-    Rows of one key are spread over ``buckets`` tasks and the right side is
-    repeated per bucket.  When Spark finds the right side small enough it
-    broadcasts it and no row of the left moves.
-    """
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint")))
-    copies = right.withColumn("_salt", every)
-    return left.withColumn("_salt", salt_for(key, spread, buckets)).join(copies, [key, "_salt"], "left").drop("_salt")
+def spread_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` left-joined to ``right`` (unique in ``key``)."""
+    marked = left.withColumn("_hash", spread_hash(left, key, F.col(key).isNotNull()))
+    other = right.withColumn("_hash2", F.xxhash64(key)).withColumnRenamed(key, "_right")
+    same = (F.col("_hash") == F.col("_hash2")) & (F.col(key) == F.col("_right"))
+    return marked.join(other, same, "left").drop("_hash", "_hash2", "_right")

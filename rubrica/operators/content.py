@@ -1,19 +1,20 @@
 """Content checks against the declared content tables.
 
-Each adds one boolean column.  The tables are joined, Spark picks the join by
-their size; rows with hot codes are spread.
+Each adds one boolean column.  The tables are joined; Spark picks the join by their
+size and splits rows of hot codes.  The ranges of one key are collected: a range table
+has a handful for each code and unit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.joins import spread_left_join
 
 
 def text_in_content_set(
-    df: DataFrame, texts: DataFrame, content_set: str, text: str, spread: list[Column], out: str = "text_ok"
+    df: DataFrame, texts: DataFrame, content_set: str, text: str, out: str = "text_ok"
 ) -> DataFrame:
     """Is the text one of the allowed texts of a content set?"""
     allowed = (
@@ -23,7 +24,7 @@ def text_in_content_set(
         .distinct()
         .withColumn("_ok", F.lit(True))
     )
-    joined = spread_left_join(df.withColumn("_text", F.col(text)), allowed, "_text", spread)
+    joined = spread_left_join(df.withColumn("_text", F.col(text)), allowed, "_text")
     return joined.withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_text", "_ok")
 
 
@@ -35,7 +36,6 @@ def value_in_range_set(
     code: str,
     unit: str,
     value: str,
-    spread: list[Column],
     out: str = "range_ok",
 ) -> DataFrame:
     """Is the value inside one of the ranges given for (system, code, unit)?  A
@@ -61,7 +61,7 @@ def value_in_range_set(
         "_ranges",
         lambda r: F.coalesce(x >= r["lo"], r["lo"].isNull()) & F.coalesce(x <= r["hi"], r["hi"].isNull()),
     )
-    joined = spread_left_join(left, listed, "_key", spread)
+    joined = spread_left_join(left, listed, "_key")
     return joined.withColumn(out, x.isNotNull() & F.coalesce(inside, F.lit(False))).drop("_key", "_ranges")
 
 
@@ -72,7 +72,6 @@ def unit_is_primary(
     system: str,
     code: str,
     unit: str,
-    spread: list[Column],
     out: str = "unit_ok",
 ) -> DataFrame:
     """Is the unit the primary unit of (system, code)?"""
@@ -96,5 +95,5 @@ def unit_is_primary(
             F.col(unit).cast("string").alias("unit"),
         ),
     )
-    joined = spread_left_join(left, primary, "_key", spread)
+    joined = spread_left_join(left, primary, "_key")
     return joined.withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_key", "_ok")

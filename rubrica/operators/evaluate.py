@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.joins import salt
+from rubrica.functions.stored import stored
 from rubrica.functions.values import TERM_TYPE, Item, null, parse_values, parsed_item
 from rubrica.operators.checks import list_values
 from rubrica.operators.flatten import flatten
@@ -103,7 +103,6 @@ def evaluate_items(
     # Rows that go through a join leave behind what their entity tells anyway.
     dropped = ("raw", *_MODEL_COLUMNS) if late else ("raw",)
     base = [c for c in items.columns if c not in dropped]
-    spread = [F.col(k) for k in keys] + [F.col("element_seq"), F.col("entity")]
     listed = [p for p in late if "lists" in p.defn.needs]
     masks = mask_columns(early, compiled.words, item, ctx, guard, reasons_from=early + listed)
     df = parsed.select(
@@ -115,14 +114,13 @@ def evaluate_items(
     if not late:
         return df
     term = lists = None
+    # The lists are looked at twice, to resolve them and to join the answers: parse them once.
+    df = stored(df)
     if "_codings" in lookups:
-        seen = parse_values(items.filter(scope["_codings"])).select(
-            F.col("v_codings").alias("codings"), salt(spread).alias("_salt")
-        )
-        df = attach_terms(df, {"_codings": "_term"}, spread, compiled, seen)
+        df = attach_terms(df, {"_codings": "_term"}, compiled)
         term = F.col("_term")
     if "_values" in lookups:
-        df = attach_lists(df, {"_values": "_lists"}, spread, compiled)
+        df = attach_lists(df, {"_values": "_lists"}, compiled)
         lists = F.col("_lists")
     df = df.join(F.broadcast(about), "entity")
     bare = replace(
@@ -145,12 +143,15 @@ def evaluate_messages(
     all_attributes: bool = False,
     carry: list[str] = (),
     keep: list[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """Evaluated items of checked messages (rows with an error message are left out).
-    ``keep`` names value columns of ``parse_values`` to hold on to."""
+    ``keep`` names value columns of ``parse_values`` to hold on to.  ``store`` writes the
+    items to the shared folder, for callers that derive several results from them."""
     wanted = None if all_attributes else compiled.entities
     items = flatten(messages, compiled.model, keys, wanted, carry)
-    return evaluate_items(items, compiled, keys, keep)
+    evaluated = evaluate_items(items, compiled, keys, keep)
+    return stored(evaluated) if store else evaluated
 
 
 def results(
@@ -277,24 +278,26 @@ def scorecards_from_results(rows: DataFrame, keys: list[str]) -> DataFrame:
         *sums,
         F.max(F.when(F.col("level") == "element", 1).otherwise(0)).cast("bigint").alias("is_element"),
         F.coalesce(F.sum(_flag(F.col("state_code") == ERRORED)), F.lit(0)).alias("errors"),
+        F.sum(_flag((F.col("level") == "attribute") & (F.col("state_code") == FAILED))).alias("attribute_fails"),
     )
 
 
 def second_stage(cards: DataFrame, compiled: CompiledRubric, keys: list[str]) -> DataFrame:
     """Evaluated element items for criteria that look at the attribute results of
-    their element.  Failures of scoring and informational criteria both count."""
+    their element.  Failures of scoring and informational attribute criteria both count,
+    those of other criteria of the element do not."""
     late = [c for c in compiled.criteria if c.needs_children]
     probes = compiled.probes_of(late)
     names = {c.class_mnemonic: c.criterion.entity for c in late}
     pairs = [F.lit(x) for kv in names.items() for x in kv]
-    item = replace(Item.empty("ELM"), child_fails=F.col("scoring_fail") + F.col("info_fail"))
+    item = replace(Item.empty("ELM"), child_fails=F.col("attribute_fails"))
     return (
         cards.filter((F.col("is_element") == 1) & F.col("class_mnemonic").isin(*names))
         .withColumns(
             {
                 "level": F.lit("element"),
                 "entity": F.try_element_at(F.create_map(*pairs), F.col("class_mnemonic")),
-                "child_fails": F.col("scoring_fail") + F.col("info_fail"),
+                "child_fails": F.col("attribute_fails"),
             }
         )
         .withColumn("name", F.col("entity"))
@@ -315,7 +318,7 @@ def message_scorecards(evaluated: DataFrame, compiled: CompiledRubric, keys: lis
     if not any(c.needs_children for c in compiled.criteria):
         return cards
     late = [c for c in compiled.criteria if c.needs_children]
-    item = replace(Item.empty("ELM"), child_fails=F.col("scoring_fail") + F.col("info_fail"))
+    item = replace(Item.empty("ELM"), child_fails=F.col("attribute_fails"))
     masks = mask_columns(compiled.probes_of(late), compiled.words, item, compiled.ctx)
     masks.pop("reasons", None)
     staged = cards.withColumns(masks)
@@ -479,9 +482,8 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
 
     # Stage 1b: lookups in other tables, and the probes that need them.
     if lookups or lists:
-        spread = [F.col(k) for k in source.keys]
-        df = attach_terms(df, lookups, spread, compiled)
-        df = attach_lists(df, lists, spread, compiled)
+        df = attach_terms(df, lookups, compiled)
+        df = attach_lists(df, lists, compiled)
         more: dict[str, Column] = {}
         for i, a in enumerate(entities):
             if not late[a.mnemonic]:
@@ -535,8 +537,46 @@ def table_criteria(source: TableSource, compiled: CompiledRubric) -> list[Compil
     return [c for c in compiled.criteria if c.criterion.entity in mine]
 
 
+def message_level_items(source: TableSource, compiled: CompiledRubric) -> DataFrame | None:
+    """Root and class items of the messages in a table, one of each per message key;
+    None when no criterion looks at them.  The class of the table is there, others are not."""
+    asked = {c.criterion.entity for c in compiled.criteria if c.level in ("root", "class")}
+    rows = [
+        (level, cls, entity, name, kind, cls is None or cls == source.class_mnemonic)
+        for cls, _, _, _, level, entity, _, name, kind in compiled.model.rows()
+        if entity in asked
+    ]
+    if not rows:
+        return None
+    item = F.explode(
+        F.array(
+            *[
+                F.struct(*[F.lit(v).alias(n) for n, v in zip(("level", "class_mnemonic", "entity", "name", "kind", "present"), r)])
+                for r in rows
+            ]
+        )
+    )
+    keys = source.df.select(*source.keys).distinct() if source.keys else source.df.select(F.lit(1).alias("_one")).distinct()
+    items = keys.select(*source.keys, item.alias("i")).select(*source.keys, "i.*")
+    return items.select(
+        *source.keys, "level", "class_mnemonic", F.lit(None).cast("string").alias("element"),
+        F.lit(None).cast("int").alias("element_seq"), "entity", "name", "kind", "present", F.lit(None).cast("string").alias("raw"),
+    )
+
+
 def table_scorecards(source: TableSource, compiled: CompiledRubric) -> DataFrame:
-    """One scorecard per table row, computed in the row: no shuffle, no explode."""
+    """One scorecard per table row, computed in the row: no shuffle, no explode.  Criteria on
+    classes and the root add one card per message key."""
+    own = _row_scorecards(source, compiled)
+    items = message_level_items(source, compiled)
+    if items is None:
+        return own
+    rows = results(evaluate_items(items, compiled, source.keys), compiled, source.keys)
+    cards = scorecards_from_results(rows, source.keys).drop("attribute_fails")
+    return own.unionByName(cards, allowMissingColumns=True)
+
+
+def _row_scorecards(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     df = evaluate_table(source, compiled)
     criteria = table_criteria(source, compiled)
     counters = wide_counters(criteria, {c.id: F.col(f"s_{c.id}") for c in criteria})
@@ -552,7 +592,8 @@ def table_scorecards(source: TableSource, compiled: CompiledRubric) -> DataFrame
 
 
 def table_results(source: TableSource, compiled: CompiledRubric) -> DataFrame:
-    """One row per table row and criterion, with reasons."""
+    """One row per table row and criterion, with reasons; criteria on classes and the root
+    add one row per message key."""
     df = evaluate_table(source, compiled)
     cls = compiled.model.data_class(source.class_mnemonic)
     entities = [a for a in cls.attributes if compiled.for_entity(a.mnemonic)]
@@ -575,4 +616,9 @@ def table_results(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     )
     rules = compiled.criteria_frame(source.df.sparkSession)
     joined = long.join(F.broadcast(rules), "entity")
-    return _decide(joined, compiled, source.keys, source.carry)
+    own = _decide(joined, compiled, source.keys, source.carry)
+    items = message_level_items(source, compiled)
+    if items is None:
+        return own
+    above = results(evaluate_items(items, compiled, source.keys), compiled, source.keys)
+    return own.unionByName(above, allowMissingColumns=True)

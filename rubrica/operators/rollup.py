@@ -66,17 +66,21 @@ def class_scores(cards: DataFrame, keys: list[str], model: EntityModel | None =
     message, zeros included, and the display name is added."""
     if model is None:
         return with_scores(class_sums(cards, keys).filter(F.col("class_mnemonic").isNotNull()))
-    # The root card every message has is repeated as an empty card per class.
+    # Every class of a message is looked up in its sums; at most one entry per class of the model.
+    sums = class_sums(cards, keys)
+    numbers = [c for c in sums.columns if c not in keys and c != "class_mnemonic"]
+    entry = F.struct("class_mnemonic", F.struct(*numbers).alias("sums"))
+    packed = sums.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("class_mnemonic").isNotNull(), entry))).alias("_sums")
+    )
     classes = F.explode(F.array(*[F.lit(c.mnemonic) for c in model.classes]))
+    listed = packed.select(*keys, "_sums", classes.alias("class_mnemonic")).select(
+        *keys, "class_mnemonic", F.try_element_at("_sums", F.col("class_mnemonic")).alias("_s")
+    )
     zero = F.lit(0).cast("bigint")
-    empty = cards.filter(F.col("class_mnemonic").isNull()).select(
-        *keys,
-        classes.alias("class_mnemonic"),
-        F.lit(None).cast("int").alias("element_seq"),
-        *[zero.alias(n) for n in (*COUNTERS, "is_element", "errors")],
+    out = with_scores(
+        listed.select(*keys, "class_mnemonic", *[F.coalesce(F.col("_s")[n], zero).alias(n) for n in numbers])
     )
-    found = cards.filter(F.col("class_mnemonic").isNotNull()).select(*empty.columns)
-    out = with_scores(class_sums(found.unionByName(empty), keys))
     pairs = [F.lit(x) for c in model.classes for x in (c.mnemonic, c.field)]
     return out.withColumn(
         "class_name",
@@ -111,13 +115,14 @@ def message_scores(cards: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({c: F.when(F.col("succeeded"), F.col(c)) for c in void})
 
 
-def first_errors(rows: DataFrame, keys: list[str]) -> DataFrame:
+def first_errors(rows: DataFrame, keys: list[str], model: EntityModel) -> DataFrame:
     """The first error of each message in evaluation order: classes by name,
     elements by sequence, attributes by name, then the element, the class and at
     last the root, each by criterion sequence."""
+    names = [F.lit(x) for c in model.classes for x in (c.mnemonic, c.label)]
     order = F.struct(
         (F.col("level") == "root").alias("a"),
-        F.col("class_mnemonic").alias("b"),
+        F.try_element_at(F.create_map(*names), F.col("class_mnemonic")).alias("b"),
         (F.col("level") == "class").alias("c"),
         F.col("element_seq").alias("d"),
         (F.col("level") == "element").alias("e"),
@@ -138,10 +143,7 @@ def drop_errored(rows: DataFrame, compiled: CompiledRubric, keys: list[str]) ->
         return rows
     bad = rows.filter(F.col("state_code") == ERRORED).select(*keys).distinct().withColumn("_bad", F.lit(True))
     key = F.struct(*keys)
-    spread = [F.col("criterion_id"), F.col("element_seq")]
-    marked = spread_left_join(
-        rows.withColumn("_key", key), bad.select(key.alias("_key"), "_bad"), "_key", spread
-    )
+    marked = spread_left_join(rows.withColumn("_key", key), bad.select(key.alias("_key"), "_bad"), "_key")
     return marked.filter(F.col("_bad").isNull()).drop("_key", "_bad")
 
 

@@ -1,9 +1,11 @@
 """Terminology lookups: one probe per distinct concept of the whole data set.
 
 The distinct coding lists are resolved against the code systems, concepts
-and value sets; the answer is then joined back to the values.  Both steps
-work on (coding list, salt): a list that a third of all rows share is spread
-over several tasks, a list that occurs once is kept once.
+and value sets; the answer is joined back to the values on a 64-bit hash of the
+list, compared in full.  Finding the distinct lists is a partial aggregate, so a
+list that a third of all rows share costs one row per task; in the joins its rows
+are on the left, which Spark splits when they pile up (skew join).  Rows without
+a list match nothing and are spread by their other columns.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.joins import salt, salt_for
+from rubrica.functions.joins import list_join
 from rubrica.functions.text import not_empty, similarity
 from rubrica.plans.rubric import CompiledRubric
 
@@ -48,12 +50,12 @@ def recognized_system(systems: Column, compiled: CompiledRubric) -> Column:
 
 
 def resolve_codings(distinct: DataFrame, compiled: CompiledRubric) -> DataFrame:
-    """(``codings``, ``_salt``) -> the same with ``term``, for distinct coding lists."""
+    """``codings`` -> the same with ``term``, for distinct coding lists."""
     c = F.col("_c")
     # explode_outer: for explode, Spark would push a size test below the parsing of the lists.
-    coded = distinct.select("codings", "_salt", F.explode_outer("codings").alias("_c")).select(
+    each = distinct.select("codings", F.explode_outer("codings").alias("_c"))
+    coded = each.select(
         "codings",
-        "_salt",
         recognized_system(c["systems"], compiled).alias("_sys"),
         c["code"].alias("_code"),
         F.upper(c["display"]).alias("_display"),
@@ -79,64 +81,60 @@ def resolve_codings(distinct: DataFrame, compiled: CompiledRubric) -> DataFrame:
                 "_similar": F.when(F.col("_hit"), best),
             }
         )
+    facts = joined.select("codings", "_sys", "_hit", "_active", "_similar", F.lit(None).cast("string").alias("_set"))
     sets = compiled.value_sets_used()
     members = compiled.ctx.terminology.value_sets
     if sets and members is not None:
         wanted = members.filter(F.col("value_set").isin(sets)).select(
-            "value_set",
+            F.col("value_set").alias("_set"),
             compiled.ctx.code_systems.canonical_col(F.col("system")).alias("_msys"),
             F.col("code").alias("_mcode"),
         ).distinct()
+        # Every system of a coding is tried; a coding without one belongs to no set.
+        tried = each.select("codings", c["code"].alias("_code"), F.explode(c["systems"]).alias("_s")).select(
+            "codings", "_code", compiled.ctx.code_systems.canonical_col(F.col("_s")).alias("_try")
+        )
         same_system = (
-            F.col("_sys").eqNullSafe(F.col("_msys"))
+            F.col("_try").eqNullSafe(F.col("_msys"))
             if compiled.ctx.compat
-            else F.col("_sys") == F.col("_msys")
+            else F.col("_try") == F.col("_msys")
         )
-        joined = joined.join(wanted, (F.col("_code") == F.col("_mcode")) & same_system, "left")
-    else:
-        joined = joined.withColumn("value_set", F.lit(None).cast("string"))
+        found = tried.join(wanted, (F.col("_code") == F.col("_mcode")) & same_system).select("codings", "_set")
+        facts = facts.unionByName(found, allowMissingColumns=True)
     # The collected sets hold at most the code systems and value sets of the library.
-    return joined.groupBy("codings", "_salt").agg(
+    return facts.groupBy("codings").agg(
         F.struct(
-            F.max(F.col("_sys").isNotNull()).alias("recognized"),
-            F.max("_hit").alias("valid"),
+            F.coalesce(F.max(F.col("_sys").isNotNull()), F.lit(False)).alias("recognized"),
+            F.coalesce(F.max("_hit"), F.lit(False)).alias("valid"),
             F.max(F.coalesce("_active", F.lit(False))).alias("active"),
             F.max("_similar").alias("similarity"),
             F.collect_set("_sys").alias("system_ids"),
-            F.collect_set("value_set").alias("value_sets"),
+            F.collect_set("_set").alias("value_sets"),
         ).alias("term")
     )
 
 
-def attach_terms(
-    df: DataFrame,
-    columns: dict[str, str],
-    spread: list[Column],
-    compiled: CompiledRubric,
-    seen: DataFrame | None = None,
-) -> DataFrame:
-    """Add a ``term`` struct per coding column: ``columns`` maps coding -> term column.
-    ``seen`` may give the coding lists to resolve when they can be read with less work."""
+def distinct_lists(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The distinct non-empty lists in some columns."""
+    one = F.col(columns[0]) if len(columns) == 1 else F.explode(F.array(*columns))
+    # A filter on the lists would be pushed below their parsing, which then runs twice.
+    lists = df.select(one.alias(name)).select(F.when(F.size(name) > 0, F.col(name)).alias(name)).distinct()
+    return lists
+
+
+def attach_terms(df: DataFrame, columns: dict[str, str], compiled: CompiledRubric) -> DataFrame:
+    """Add a ``term`` struct per coding column: ``columns`` maps coding -> term column."""
     if not columns:
         return df
-    keys = list(columns)
-    if seen is None:
-        one = F.col(keys[0]) if len(keys) == 1 else F.explode(F.array(*keys))
-        seen = df.select(one.alias("codings"), salt(spread).alias("_salt"))
-    # Empty lists become NULL, which matches no row; a filter would parse them twice.
-    distinct = seen.withColumn("codings", F.when(F.size("codings") > 0, F.col("codings"))).distinct()
-    resolved = resolve_codings(distinct, compiled)
+    resolved = resolve_codings(distinct_lists(df, list(columns), "codings"), compiled)
     for key, out in columns.items():
-        right = resolved.select(F.col("codings").alias(key), "_salt", F.col("term").alias(out))
-        df = df.withColumn("_salt", salt_for(key, spread)).join(right, [key, "_salt"], "left").drop("_salt")
+        df = list_join(df, resolved.select(F.col("codings").alias("_list"), F.col("term").alias(out)), key)
     return df
 
 
-def attach_lists(
-    df: DataFrame, columns: dict[str, str], spread: list[Column], compiled: CompiledRubric
-) -> DataFrame:
-    """Add, per column of compared texts, the long value lists that hold one of them."""
-    lists = compiled.long_lists_used()
+def attach_lists(df: DataFrame, columns: dict[str, str], compiled: CompiledRubric) -> DataFrame:
+    """Add, per column of compared texts, the value lists of the table that hold one of them."""
+    lists = compiled.table_lists_used()
     if not columns or not lists:
         return df
     table = compiled.ctx.value_lists.table.filter(F.col("mnemonic").isin(lists))
@@ -146,19 +144,15 @@ def attach_lists(
         .filter(F.col("_v").isNotNull())
         .distinct()
     )
-    keys = list(columns)
-    one = F.col(keys[0]) if len(keys) == 1 else F.explode(F.array(*keys))
-    values = df.select(one.alias("_values"), salt(spread).alias("_salt"))
-    values = values.withColumn("_values", F.when(F.size("_values") > 0, F.col("_values"))).distinct()
     hits = (
-        values.select("_values", "_salt", F.explode_outer("_values").alias("_v"))
+        distinct_lists(df, list(columns), "_values")
+        .select("_values", F.explode("_values").alias("_v"))
         .join(entries, "_v", "inner")
-        .groupBy("_values", "_salt")
+        .groupBy("_values")
         .agg(F.collect_set("mnemonic").alias("_lists"))
     )
     for key, out in columns.items():
-        right = hits.select(F.col("_values").alias(key), "_salt", F.col("_lists").alias(out))
-        df = df.withColumn("_salt", salt_for(key, spread)).join(right, [key, "_salt"], "left").drop("_salt")
+        df = list_join(df, hits.select(F.col("_values").alias("_list"), F.col("_lists").alias(out)), key)
     return df
 
 

@@ -24,7 +24,6 @@ from rubrica.sources import fixed
 from rubrica.sources.model import EntityModel
 
 WORD_BITS = 62
-CRITERIA_LIMIT = 10_000
 
 SCORING = "Scoring"
 INFORMATIONAL = "Informational"
@@ -68,12 +67,6 @@ class Rubric:
         for c in doc.get("criteria") or []:
             low = {k.lower(): v for k, v in c.items()}
 
-            def named(suffix: str, avoid: str = "") -> object:
-                for k, v in low.items():
-                    if k.endswith(suffix) and not (avoid and k.startswith(avoid)):
-                        return v
-                return None
-
             rows.append(
                 Criterion(
                     sequence=int(low["sequence"]),
@@ -137,7 +130,7 @@ def _params(raw) -> tuple[tuple[str, str, str], ...]:
     out = []
     for p in raw or []:
         low = {k.lower(): v for k, v in p.items()}
-        mnemonic = next((v for k, v in low.items() if k.endswith("parametermnemonic")), None)
+        mnemonic = low.get("samparametermnemonic", low.get("parametermnemonic"))
         if low.get("parametervalue") is not None:
             out.append((mnemonic, low["parametervalue"], low.get("parametername")))
     return tuple(out)
@@ -234,7 +227,7 @@ class CompiledRubric:
             p
             for p in probes
             if "term" in p.defn.needs
-            or ("lists" in p.defn.needs and set(v for _, v in p.params) & set(self.long_lists_used()))
+            or ("lists" in p.defn.needs and set(v for _, v in p.params) & set(self.table_lists_used()))
         ]
 
     def needing(self, need: str) -> set[str]:
@@ -250,7 +243,7 @@ class CompiledRubric:
             {v for p in self.probes if p.defn.mnemonic == "CONCEPT_ISINVALUESET" for _, v in p.params}
         )
 
-    def long_lists_used(self) -> list[str]:
+    def table_lists_used(self) -> list[str]:
         return sorted(
             {
                 v
@@ -268,7 +261,7 @@ class CompiledRubric:
         return masks
 
     def criteria_frame(self, spark: SparkSession) -> DataFrame:
-        """The criteria as a table to join results with; at most CRITERIA_LIMIT rows."""
+        """The criteria as a table to join results with: as many rows as the rubric has lines."""
         masks = "".join(f", chain_{w} bigint, cond_{w} bigint" for w in range(self.words))
         schema = (
             "criterion_id int, entity string, sequence int, check string, assessment string, "
@@ -294,8 +287,6 @@ class CompiledRubric:
 
 def compile_rubric(rubric: Rubric, model: EntityModel, ctx: EvalContext) -> CompiledRubric:
     """Check a rubric against model and library and number its probes."""
-    if len(rubric.criteria) > CRITERIA_LIMIT:
-        raise ValueError(f"Rubric {rubric.mnemonic} has more than {CRITERIA_LIMIT} criteria.")
     repeats = [
         k for k, n in Counter((c.entity, c.check, c.sequence) for c in rubric.criteria).items() if n > 1
     ]

@@ -20,50 +20,58 @@ OBJECT_TYPE = "map<string,string>"
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Requests as message rows.
 
-    JSON lines carry the request properties (matched by their ending, so
-    ``dataProviderID``, ``...ModelMnemonic`` and so on); Parquet already has
-    the columns of MESSAGE_SCHEMA.
+    JSON lines carry the request properties, whose names are compared whole, ignoring
+    case; Parquet already has the columns of MESSAGE_SCHEMA.  Each request is a message
+    of its own, whatever its ids: ``request_key`` names it.
     """
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return with_request_key(spark.read.parquet(path))
     m = F.from_json("value", OBJECT_TYPE)
 
-    def ending(tail: str) -> Column:
-        hits = F.filter(F.map_entries(F.col("m")), lambda kv: F.lower(kv["key"]).endswith(tail.lower()))
-        return F.get(hits, 0)["value"]
-
-    return (
-        spark.read.text(path)
-        .filter(F.trim("value") != "")
-        .select(m.alias("m"))
-        .select(
-            ending("DataProviderID").alias("provider_id"),
-            ending("DataSourceID").alias("source_id"),
-            ending("MessageID").alias("message_id"),
-            ending("ModelMnemonic").alias("model_mnemonic"),
-            ending("RubricMnemonic").alias("rubric_mnemonic"),
-            ending("MessageData").alias("payload"),
-        )
+    def named(*names: str) -> Column:
+        return F.coalesce(*[map_get_ignore_case(F.col("m"), n) for n in names])
+
+    rows = with_request_key(spark.read.text(path)).filter(F.trim("value") != "")
+    return rows.select(m.alias("m"), "request_key").select(
+        named("DataProviderID").alias("provider_id"),
+        named("DataSourceID").alias("source_id"),
+        named("MessageID").alias("message_id"),
+        model_property(F.col("m")).alias("model_mnemonic"),
+        named("EvaluationRubricMnemonic").alias("rubric_mnemonic"),
+        named("MessageData").alias("payload"),
+        "request_key",
     )
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when the input has fewer partitions than cores.
+def model_property(m: Column) -> Column:
+    """The request's model: ``ModelMnemonic``, which senders may prefix with up to four letters."""
+    hits = F.filter(F.map_entries(m), lambda kv: kv["key"].rlike("(?i)^[a-z]{0,4}modelmnemonic$"))
+    return F.get(hits, 0)["value"]
 
-    Messages often come as a few files that cannot be split, and parsing them is
-    heavy work per row.  Large inputs have partitions enough and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def with_request_key(df: DataFrame) -> DataFrame:
+    """Rows read from files with ``request_key``: file and place in the input, so two requests with
+    the same ids stay two.  Frames to be joined on it must come from one stored frame."""
+    if "request_key" in df.columns:
+        return df
+    place = F.monotonically_increasing_id().cast("string")
+    return df.withColumn("request_key", F.concat_ws("#", F.col("_metadata.file_name"), place))
+
+
+def widen(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread rows over ``partitions`` tasks, when the caller asks for it: a few files that cannot
+    be split, with heavy work per row.  By default the layout of the files decides."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def fan_out(batches: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per message of a batch payload: an array fans out, an object is one
-    message.  Adds ``batch_pos`` and ``message_id`` read from the message."""
+    message.  Adds ``batch_pos`` and ``message_id`` read from the message; a
+    ``request_key`` gets the position appended."""
     is_array = F.substring(F.ltrim(F.col(payload)), 1, 1) == "["
     parts = F.when(is_array, F.from_json(payload, "array<string>")).otherwise(F.array(payload))
     others = [c for c in batches.columns if c not in (payload, "message_id", "batch_pos")]
-    return batches.select(*others, F.posexplode(parts).alias("batch_pos", payload)).withColumn(
+    out = batches.select(*others, F.posexplode(parts).alias("batch_pos", payload)).withColumn(
         "message_id",
         F.coalesce(
             F.get_json_object(payload, "$.messageID"),
@@ -71,6 +79,9 @@ def fan_out(batches: DataFrame, payload: str = "payload") -> DataFrame:
             F.lit(""),
         ),
     )
+    if "request_key" in out.columns:
+        out = out.withColumn("request_key", F.concat_ws("#", "request_key", "batch_pos"))
+    return out
 
 
 def header_value(original: Column, default: Column | None = None, override: Column | None = None) -> Column:

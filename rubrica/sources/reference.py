@@ -1,8 +1,8 @@
 """Reference data: code systems, value lists, terminology, content marts.
 
-Code systems and rubrics are small and live on the driver; reading them
-fails when they are larger than stated.  Concepts, value-set members and
-long value lists stay DataFrames and are joined.
+Code systems, check definitions and library indexes steer the plan, so they
+are read to the driver, as large as their file is.  Concepts, value-set
+members and value lists stay DataFrames and are joined.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rubrica.functions.text import map_get_ignore_case
 from rubrica.sources import fixed
 
-LIBRARY_ROW_LIMIT = 10_000
-LITERAL_LIST_LIMIT = 5_000
-
 CODE_SYSTEM_SCHEMA = (
     "struct<Name:string,Mnemonic:string,FhirUri:string,CodeSystemIdentifiers:array<string>>"
 )
@@ -39,14 +37,6 @@ CHECK_SCHEMA = (
 )
 
 
-def small_rows(df: DataFrame, what: str, limit: int = LIBRARY_ROW_LIMIT) -> list:
-    """Rows of a library table; raises instead of dropping rows beyond the limit."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows; pass it as a DataFrame to be joined.")
-    return rows
-
-
 def read_library(spark: SparkSession, path: str, entry_schema: str) -> DataFrame:
     """Rows of a library file ``{"<library name>": [entry, ...]}``, whatever its name."""
     text = spark.read.text(path, wholetext=True)
@@ -96,7 +86,7 @@ class CodeSystems:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "CodeSystems":
-        rows = small_rows(read_library(spark, path, CODE_SYSTEM_SCHEMA), "code systems")
+        rows = read_library(spark, path, CODE_SYSTEM_SCHEMA).collect()
         return CodeSystems(
             CodeSystem(r.Mnemonic, r.Name, r.FhirUri, tuple(r.CodeSystemIdentifiers or ()))
             for r in rows
@@ -107,16 +97,21 @@ class CodeSystems:
 class ValueLists:
     """External value lists: list mnemonic -> (code, text) entries.
 
-    Lists up to ``LITERAL_LIST_LIMIT`` entries become literal sets; longer
-    ones are passed as ``table(mnemonic, code, text)`` and joined.
+    ``table(mnemonic, code, text)`` is joined, whatever its size; ``small`` holds
+    lists that are written out in a program and become literal sets.
     """
 
     small: dict[str, list[tuple[str | None, str | None]]] = field(default_factory=dict)
     table: DataFrame | None = None
-    table_mnemonics: tuple[str, ...] = ()
+    _known: dict[str, bool] = field(default_factory=dict)
 
     def has(self, mnemonic: str) -> bool:
-        return mnemonic in self.small or mnemonic in self.table_mnemonics
+        """Whether the list exists; the table is asked once per name a rubric uses."""
+        if mnemonic in self.small:
+            return True
+        if self.table is not None and mnemonic not in self._known:
+            self._known[mnemonic] = bool(self.table.filter(F.col("mnemonic") == mnemonic).take(1))
+        return self._known.get(mnemonic, False)
 
     def is_literal(self, mnemonic: str) -> bool:
         return mnemonic in self.small
@@ -126,17 +121,9 @@ class ValueLists:
         return sorted(keys)
 
     @staticmethod
-    def from_table(table: DataFrame, literal_limit: int = LITERAL_LIST_LIMIT) -> "ValueLists":
-        """Split a (mnemonic, code, text) table by size: one count per list."""
-        sizes = small_rows(table.groupBy("mnemonic").count(), "value list mnemonics")
-        short = [r["mnemonic"] for r in sizes if r["count"] <= literal_limit]
-        long = tuple(r["mnemonic"] for r in sizes if r["count"] > literal_limit)
-        small: dict[str, list] = {m: [] for m in short}
-        if short:
-            picked = table.filter(F.col("mnemonic").isin(short))
-            for r in small_rows(picked, "short value lists", literal_limit * max(len(short), 1)):
-                small[r["mnemonic"]].append((r["code"], r["text"]))
-        return ValueLists(small, table if long else None, long)
+    def from_table(table: DataFrame) -> "ValueLists":
+        """Lists of a (mnemonic, code, text) table."""
+        return ValueLists(table=table)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "ValueLists":
@@ -194,20 +181,16 @@ def read_data_types(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checks(spark: SparkSession, path: str) -> list[dict]:
     """Check library file as plain rows for ``CheckLibrary.with_rows``."""
-    rows = small_rows(read_library(spark, path, CHECK_SCHEMA), "checks")
+    rows = read_library(spark, path, CHECK_SCHEMA).collect()
     return [r.asDict(recursive=True) for r in rows]
 
 
 def read_by_mnemonic(spark: SparkSession, index_path: str, mnemonic: str) -> dict | None:
-    """Entry of a library index file (mnemonic, name, file path ...)."""
+    """Entry of a library index file (mnemonic, name, file path ...), the first one that
+    has the mnemonic; property names are compared ignoring case."""
     text = spark.read.text(index_path, wholetext=True)
     lists = F.map_values(F.from_json("value", "map<string,array<map<string,string>>>"))
-    entries = text.select(F.explode(F.flatten(lists)).alias("e"))
-    hit = entries.filter(
-        F.exists(
-            F.map_entries("e"),
-            lambda kv: (F.lower(kv["key"]).endswith("mnemonic")) & (kv["value"] == mnemonic),
-        )
-    )
-    rows = small_rows(hit, f"library entries for {mnemonic}")
-    return dict(rows[0]["e"]) if rows else None
+    entries = text.select(F.posexplode(F.flatten(lists)).alias("pos", "e"))
+    hit = entries.filter(map_get_ignore_case(F.col("e"), "mnemonic") == mnemonic)
+    rows = hit.orderBy("pos").limit(1).collect()
+    return {k.lower(): v for k, v in rows[0]["e"].items()} if rows else None

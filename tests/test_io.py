@@ -126,7 +126,7 @@ def test_lab_sheet(spark, tmp_path):
 
 
 def test_requests_file(spark, tmp_path):
-    (tmp_path / "r.json").write_text(json.dumps({"dataProviderID": "p", "dataSourceID": "s", "messageID": "m", "someModelMnemonic": "M_V1", "evaluationRubricMnemonic": "R", "messageData": "{}"}) + "\n")
+    (tmp_path / "r.json").write_text(json.dumps({"dataProviderID": "p", "dataSourceID": "s", "previousMessageID": "old", "messageID": "m", "otherModelMnemonics": "no", "someModelMnemonic": "M_V1", "evaluationRubricMnemonic": "R", "messageData": "{}"}) + "\n")
     row = read_requests(spark, str(tmp_path / "r.json")).first()
     assert (row.provider_id, row.message_id, row.model_mnemonic, row.rubric_mnemonic, row.payload) == ("p", "m", "M_V1", "R", "{}")
 
@@ -139,19 +139,19 @@ def test_reference_files(spark, tmp_path):
     systems = CodeSystems.read(spark, put("cs.json", {"CodeSystemLibrary": [{"Name": "N", "Mnemonic": "M", "FhirUri": "u", "CodeSystemIdentifiers": ["1.2"]}]}))
     assert systems.canonical("1.2") == "M"
     lists = ValueLists.read(spark, put("v.json", {"lib": [{"Mnemonic": "L", "CodeList": [{"DataCode": "a", "DataText": "b"}]}]}))
-    assert lists.literal_keys("L") == ["A", "B"]
+    assert lists.has("L") and not lists.has("nothing")
     sets = Terminology.value_sets_from_library(spark, put("vs.json", {"lib": [{"Mnemonic": "VS", "CodingList": [{"system": "s", "code": "c"}]}]}))
     assert [tuple(r) for r in sets.collect()] == [("VS", "s", "c")]
     checks = read_checks(spark, put("c.json", {"lib": [{"Mnemonic": "X", "Name": "x", "Parameters": [{"Name": "p", "Mnemonic": "P", "IsOptional": True}]}]}))
     assert checks[0]["Mnemonic"] == "X" and checks[0]["Parameters"][0]["IsOptional"]
-    index = put("i.json", {"lib": [{"mnemonic": "A", "path": "a.json"}, {"mnemonic": "B", "path": "b.json"}]})
+    index = put("i.json", {"lib": [{"mnemonic": "A", "path": "a.json", "modelMnemonic": "B"}, {"Mnemonic": "B", "path": "b.json"}]})
     assert read_by_mnemonic(spark, index, "B")["path"] == "b.json"
     assert read_by_mnemonic(spark, index, "C") is None
 
 
 def test_long_value_list_becomes_a_join(spark):
     table = spark.range(50).select(F.lit("BIG").alias("mnemonic"), F.col("id").cast("string").alias("code"), F.lit(None).cast("string").alias("text"))
-    lists = ValueLists.from_table(table, literal_limit=10)
+    lists = ValueLists.from_table(table)
     assert lists.has("BIG") and not lists.is_literal("BIG")
 
 

@@ -129,7 +129,7 @@ def test_errors_are_isolated_and_first_one_is_kept(spark):
     ctx = EvalContext(as_of="2020-01-01 00:00:00", library=CheckLibrary(defs))
     rules = [criterion("ORD_TOTAL", "ATTR_ISPOSITIVENUMBER", 1), criterion("ORD_STATUS", "ATTR_ISPASTDATE", 2)]
     rows = results(spark, [(1, "x", "y"), (1, "2019-01-01", "1"), (2, "2019-01-01", "1")], rules, ctx)
-    errors = {r.k: r.error_message for r in first_errors(rows, ["k"]).collect()}
+    errors = {r.k: r.error_message for r in first_errors(rows, ["k"], MODEL).collect()}
     assert list(errors) == [1] and errors[1].startswith("ATTR_ISPASTDATE failed to process")  # 'status' sorts before 'total'
     assert {r.k for r in drop_errored(rows, compiled(rules, ctx), ["k"]).collect()} == {2}
 
