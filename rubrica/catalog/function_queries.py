@@ -122,7 +122,7 @@ def _items(spark, sf):
         f"""CASE c_mktsegment
         WHEN 'BUILDING' THEN c_name
         WHEN 'AUTOMOBILE' THEN to_json(named_struct('codings', array({coded}, named_struct('system', CAST(NULL AS STRING), 'code', 'plain', 'display', CAST(NULL AS STRING)))))
-        WHEN 'MACHINERY' THEN to_json(named_struct('text', c_name, 'codings', array(named_struct('system-id', 'sid', 'code', c_mktsegment)), 'type', named_struct('text', 'NM')))
+        WHEN 'MACHINERY' THEN to_json(named_struct('text', c_name, 'codings', array(named_struct('system-id', 'sid', 'code', c_mktsegment)), 'type', named_struct('text', 'NM', 'codings', array(named_struct('system', 'types', 'code', 'NM')))))
         WHEN 'FURNITURE' THEN to_json(named_struct('label', c_name, 'more', 1))
         ELSE to_json(named_struct('text', CAST(c_nationkey AS STRING) || '^' || CAST(c_nationkey + 1 AS STRING), 'type', named_struct('text', 'NR'), 'lowValue', CAST(c_nationkey AS STRING), 'HighValue', '9')) END"""
     )
@@ -165,11 +165,23 @@ def parse_ranges(spark, sf):
 
 @register(
     "value_json",
-    """SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN '{"codings":[{"system":"sid","code":"MACHINERY","display":"' || c_name || '"}],"text":"' || c_name || '"}'
-      WHEN 'AUTOMOBILE' THEN '{"codings":[{"system":"seg","code":"AU","display":"AUTOMOBILE"},{"code":"plain","display":"AUTOMOBILE"}],"text":"AUTOMOBILE"}'
-      WHEN 'HOUSEHOLD' THEN '{"text":"' || c_nationkey || '^' || (c_nationkey + 1) || '"}' ELSE '{"text":"' || c_name || '"}' END AS data FROM customer""",
+    """SELECT c_custkey, kind, CASE kind WHEN 'ATR' THEN '"' || replace(CASE seg WHEN 'BUILDING' THEN c_name
+          WHEN 'AUTOMOBILE' THEN '{"codings":[{"system":"seg","code":"AU","display":"AUTOMOBILE"},{"code":"plain"}]}'
+          WHEN 'MACHINERY' THEN '{"text":"' || c_name || '","codings":[{"system-id":"sid","code":"MACHINERY"}],"type":{"text":"NM","codings":[{"system":"types","code":"NM"}]}}'
+          WHEN 'FURNITURE' THEN '{"label":"' || c_name || '","more":1}'
+          ELSE '{"text":"' || label || '","type":{"text":"NR"},"lowValue":"' || c_nationkey || '","HighValue":"9"}' END, '"', chr(92) || '"') || '"'
+      WHEN 'RV' THEN '{"text":"' || label || '","lowValue":' || CASE WHEN seg = 'HOUSEHOLD' THEN '"' || c_nationkey || '","highValue":"9"}' ELSE 'null,"highValue":null}' END
+      WHEN 'OBSVAL' THEN '{"text":"' || label || '"' || CASE seg WHEN 'MACHINERY' THEN ',"type":{"codings":[{"system":"types","code":"NM","display":"NM"}],"text":"NM"}' WHEN 'HOUSEHOLD' THEN ',"type":{"text":"NR"}' ELSE '' END || '}'
+      ELSE CASE seg WHEN 'MACHINERY' THEN '{"codings":[{"system":"sid","code":"MACHINERY","display":"' || c_name || '"}],"text":"' || c_name || '"}'
+        WHEN 'AUTOMOBILE' THEN '{"codings":[{"system":"seg","code":"AU","display":"AUTOMOBILE"},{"system":null,"code":"plain","display":"AUTOMOBILE"}],"text":"AUTOMOBILE"}'
+        ELSE '{"text":"' || label || '"}' END END AS data
+    FROM (SELECT *, c_mktsegment AS seg, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN c_nationkey || '^' || (c_nationkey + 1)
+        WHEN 'AUTOMOBILE' THEN CASE WHEN kind IN ('CC', 'OBSVAL') THEN 'AUTOMOBILE' ELSE '' END
+        WHEN 'FURNITURE' THEN CASE WHEN kind = 'RV' THEN '' ELSE c_name END
+        WHEN 'BUILDING' THEN c_name ELSE c_name END AS label
+      FROM customer, (VALUES ('ATR'), ('CC'), ('OBSVAL'), ('RV')) k(kind))""",
 )
 def value_json(spark, sf):
-    """Concepts written back as JSON."""
-    df = parse_values(_items(spark, sf)).filter("kind = 'CC'")
-    return df.select("c_custkey", data_json(parsed_item(), F.col("v_type_text")).alias("data"))
+    """Values of every kind written back as JSON, nulls included."""
+    df = parse_values(_items(spark, sf))
+    return df.select("c_custkey", "kind", data_json(parsed_item(), F.col("v_type"), F.col("v_type_text")).alias("data"))

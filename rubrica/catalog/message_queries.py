@@ -470,15 +470,18 @@ def audited_message(spark, sf):
 @register(
     "scoring_response",
     """SELECT CAST(c_custkey AS VARCHAR) AS message_id, true AS succeeded, CASE WHEN c_acctbal > 0 THEN 100 ELSE 0 END AS score,
-    'Accounts=1,Loan Records=0' AS classes, 'accounts:segment/Segment is coded=1' AS info FROM customer""",
+    'Accounts=1,Loan Records=0' AS classes, 'Accounts:segment/Segment is coded=1;Loan Records:' AS info,
+    'bank/cards/' || CAST(c_custkey AS VARCHAR) || '/catalog' AS header FROM customer""",
 )
 def scoring_response_query(spark, sf):
     rubric = compiled(CARD_RULES, EvalContext(as_of=AS_OF), CARDS)
-    ev = evaluate_messages(card_messages(spark, sf), rubric, DOC_KEYS, store=True)
+    checked = card_messages(spark, sf)
+    ev = evaluate_messages(checked, rubric, DOC_KEYS, store=True)
     cards = message_scorecards(ev, rubric, DOC_KEYS)
     out = scoring_response(
         message_scores(cards, DOC_KEYS), class_scores(cards, DOC_KEYS, CARDS),
         informational(message_results(ev, rubric, DOC_KEYS), DOC_KEYS), DOC_KEYS, CARDS,
+        messages=checked, rubric=rubric.rubric.name,
     )
     data = F.col("ScoringData")
     return out.select(
@@ -493,6 +496,7 @@ def scoring_response_query(spark, sf):
             ),
             ";",
         ).alias("info"),
+        F.concat_ws("/", *[data[c] for c in ("DataProviderID", "DataSourceID", "MessageID", "EvaluationRubric")]).alias("header"),
     )
 
 

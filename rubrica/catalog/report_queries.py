@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from rubrica.catalog.check_queries import AS_OF
-from rubrica.catalog.registry import load, register
+from rubrica.catalog.registry import compiled, criterion, load, register, text_items
 from rubrica.catalog.score_queries import ORDER_STATES, order_cards, order_rubric, order_source
 from rubrica.functions.text import score_band, status_class, truncate_value
 from rubrica.operators import runs
 from rubrica.operators.content import text_in_content_set, unit_is_primary, value_in_range_set
-from rubrica.operators.evaluate import table_results, table_scorecards
+from rubrica.operators.evaluate import TableSource, table_results, table_scorecards
 from rubrica.operators.rollup import class_scores, message_scores
 from rubrica.sources import fixed, sinks
 
@@ -30,9 +30,16 @@ def results_by_status(spark, sf):
     return runs.count_by(order_results(spark, sf, "o_orderkey"), "state")
 
 
-@register("results_by_class", f"SELECT entity, count(*) AS n FROM ({RESULTS}) GROUP BY entity")
+def two_classes(spark, sf):
+    """Results over orders and customers."""
+    rule = criterion("CUS_SEGMENT", "ATTR_INLIST", params={"LIST_CSV": "BUILDING"})
+    source = TableSource(load(spark, sf, "customer"), "CUSTOMER", [], text_items(CUS_SEGMENT="c_mktsegment"))
+    return order_results(spark, sf, "o_orderkey").unionByName(table_results(source, compiled([rule])), allowMissingColumns=True)
+
+
+@register("results_by_class", f"SELECT 'ORDER' AS class_mnemonic, count(*) AS n FROM ({RESULTS}) UNION ALL SELECT 'CUSTOMER', count(*) FROM customer")
 def results_by_class(spark, sf):
-    return runs.count_by(order_results(spark, sf, "o_orderkey"), "entity")
+    return runs.count_by(two_classes(spark, sf), "class_mnemonic")
 
 
 @register(
@@ -50,9 +57,9 @@ def distinct_statuses(spark, sf):
     return runs.distinct_values(order_results(spark, sf), "state")
 
 
-@register("distinct_classes", f"SELECT DISTINCT entity FROM ({RESULTS})")
+@register("distinct_classes", "SELECT DISTINCT 'ORDER' AS class_mnemonic FROM orders UNION ALL SELECT DISTINCT 'CUSTOMER' FROM customer")
 def distinct_classes(spark, sf):
-    return runs.distinct_values(order_results(spark, sf), "entity")
+    return runs.distinct_values(two_classes(spark, sf), "class_mnemonic")
 
 
 @register(
@@ -306,3 +313,16 @@ def stream_scores(spark, sf):
     query = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).groupBy("o_orderstatus").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+
+
+@register(
+    "run_life_cycle",
+    f"""{_RUN}, CASE WHEN count(*) FILTER (WHERE value > 150) = count(*) THEN 'FAILED' ELSE 'COMPLETED' END AS status, max(ts) AS completed_at, min(ts) AS created_at
+    FROM events GROUP BY event_type""",
+)
+def run_life_cycle(spark, sf):
+    """Runs are opened as IN_PROGRESS, then closed with their counters and times."""
+    events = load(spark, sf, "events")
+    opened = runs.start_runs(events.groupBy(F.col("event_type").alias("run_id")).agg(F.min("ts").alias("created_at")))
+    closed = runs.finish_runs(opened, events, "event_type", F.col("value") <= 150, F.max("ts"))
+    return closed.select("run_id", "total_records", "total_completed", "total_failed", "status", "completed_at", "created_at")

@@ -7,6 +7,8 @@ raw JSON text with :func:`parse_values`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -229,14 +231,7 @@ def parse_values(items: DataFrame) -> DataFrame:
         .when(shaped, F.try_element_at(m, F.lit("text")))
         .otherwise(F.get(F.map_values(m), 0))
     )
-    parsed = F.from_json(
-        F.try_element_at(m, F.lit("codings")),
-        "array<struct<system:string,`system-id`:string,code:string,display:string>>",
-    )
-    coded = F.transform(
-        F.filter(parsed, lambda c: c.isNotNull()),
-        lambda c: coding(c["code"], c["system"], c["display"], c["system-id"]),
-    )
+    coded = raw_codings(F.try_element_at(m, F.lit("codings")))
     concept = F.col("kind").isin("CC", "OBSVAL")
     raw_type = F.try_element_at(m, F.lit("type"))
     staged = with_map.select(
@@ -299,39 +294,59 @@ def parsed_item(term: Column | None = None, lists: Column | None = None) -> Item
     )
 
 
-def concept_json(text: Column, coded: Column) -> Column:
-    """A concept written back as JSON text."""
+_CODING_LIST = "array<struct<system:string,`system-id`:string,code:string,display:string>>"
+_WITH_NULLS = {"ignoreNullFields": "false"}
+
+
+def raw_codings(text: Column) -> Column:
+    """Codings of a JSON list of coding objects."""
+    parsed = F.from_json(text, _CODING_LIST)
+    return F.transform(
+        F.filter(parsed, lambda c: c.isNotNull()),
+        lambda c: coding(c["code"], c["system"], c["display"], c["system-id"]),
+    )
+
+
+def concept_json(text: Column, coded: Column, canonical: Callable[[Column], Column] | None = None) -> Column:
+    """A concept written back as JSON text, nulls included.  With ``canonical`` (system ->
+    canonical id or NULL) the first recognised system of a coding is the one shown."""
+
+    def system(c: Column) -> Column:
+        if canonical is None:
+            return c["system"]
+        return F.coalesce(F.get(F.filter(c["systems"], lambda x: canonical(x).isNotNull()), 0), c["system"])
+
     slim = F.transform(
         coded,
-        lambda c: F.struct(
-            c["system"].alias("system"), c["code"].alias("code"), c["display"].alias("display")
-        ),
+        lambda c: F.struct(system(c).alias("system"), c["code"].alias("code"), c["display"].alias("display")),
     )
     return F.when(
-        F.size(coded) > 0, F.to_json(F.struct(slim.alias("codings"), text.alias("text")))
-    ).otherwise(F.to_json(F.struct(text.alias("text"))))
+        F.size(coded) > 0, F.to_json(F.struct(slim.alias("codings"), text.alias("text")), _WITH_NULLS)
+    ).otherwise(F.to_json(F.struct(text.alias("text")), _WITH_NULLS))
 
 
-def data_json(item: Item, type_text: Column) -> Column:
-    """The ``data`` node of an audited attribute, as JSON text, by kind."""
+def data_json(item: Item, raw_type: Column, type_text: Column, canonical: Callable[[Column], Column] | None = None) -> Column:
+    """The ``data`` node of an audited attribute, as JSON text, by kind.  ``raw_type`` is the
+    observation's type as it came, an object or plain text."""
     label = F.coalesce(item.text, F.lit(""))
-    observation = F.when(
-        type_text.isNotNull(),
-        F.to_json(
-            F.struct(
-                label.alias("text"),
-                F.struct(type_text.alias("text")).alias("type"),
-            )
-        ),
-    ).otherwise(F.to_json(F.struct(label.alias("text"))))
-    rng = F.to_json(
-        F.struct(label.alias("text"), item.low.alias("lowValue"), item.high.alias("highValue")),
-    )
     quoted = F.regexp_extract(
         F.to_json(F.struct(label.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1
     )
+    is_object = F.substring(F.ltrim(raw_type), 1, 1) == "{"
+    type_codings = F.when(is_object, raw_codings(F.get_json_object(raw_type, "$.codings")))
+    shown_text = concept_text(type_text, type_codings)
+    type_json = concept_json(shown_text, fill_displays(type_codings, shown_text), canonical)
+    observation = F.concat(
+        F.lit('{"text":'),
+        quoted,
+        F.coalesce(F.concat(F.lit(',"type":'), F.when(raw_type.isNotNull(), type_json)), F.lit("")),
+        F.lit("}"),
+    )
+    rng = F.to_json(
+        F.struct(label.alias("text"), item.low.alias("lowValue"), item.high.alias("highValue")), _WITH_NULLS
+    )
     return (
-        F.when(item.kind == "CC", concept_json(item.text, item.codings))
+        F.when(item.kind == "CC", concept_json(item.text, item.codings, canonical))
         .when(item.kind == "OBSVAL", observation)
         .when(item.kind == "RV", rng)
         .otherwise(quoted)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.scores import score64
-from rubrica.functions.text import truncate_value
+from rubrica.functions.text import class_display_name, truncate_value
 from rubrica.functions.values import data_json, parsed_item
 from rubrica.operators.evaluate import message_results, results
 from rubrica.plans.checks import FAILED, PASSED
@@ -99,7 +99,8 @@ def audited_attributes(
     """
     item = parsed_item()
     packed = evaluated.filter(F.col("level") == "attribute").withColumn(
-        "data", F.when(F.col("present"), data_json(item, F.col("v_type_text")))
+        "data",
+        F.when(F.col("present"), data_json(item, F.col("v_type"), F.col("v_type_text"), compiled.ctx.code_systems.canonical_col)),
     )
     rows = results(packed, compiled, keys, ["data", "element"], outer=True)
     shown = F.struct(
@@ -363,11 +364,15 @@ def scoring_response(
     model: EntityModel,
     audited: DataFrame | None = None,
     errors: DataFrame | None = None,
+    messages: DataFrame | None = None,
+    rubric: str | None = None,
 ) -> DataFrame:
     """The scoring response as one nested record per message.
 
-    Class results (one per model class) are ordered by display name,
-    informational results by entity name.  Both are bounded by the rubric.
+    Class results (one per model class) are ordered by display name, informational
+    results (one per model class too) as in the model, their evaluations by entity name.
+    Both are bounded by the rubric.  ``messages`` (checked ones) and ``rubric`` (its name)
+    fill the header of the scoring data.
     """
     numbers = [
         F.col("denominator").alias("Denominator"),
@@ -387,42 +392,49 @@ def scoring_response(
             )
         ).alias("DataClassResults")
     )
-    names = F.create_map(
-        *[F.lit(x) for c in model.classes for x in (c.mnemonic, c.field)]
+    evaluation = F.struct(
+        F.col("entity_name").alias("EntityName"),
+        F.col("evaluation_name").alias("EvaluationName"),
+        F.col("instance_count").alias("InstanceCount"),
+        F.col("denominator").alias("Denominator"),
+        F.col("numerator").alias("Numerator"),
     )
     informed = (
-        info.withColumn("_class", F.try_element_at(names, F.col("class_mnemonic")))
-        .groupBy(*keys, "_class")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("entity_name").alias("EntityName"),
-                        F.col("evaluation_name").alias("EvaluationName"),
-                        F.col("instance_count").alias("InstanceCount"),
-                        F.col("denominator").alias("Denominator"),
-                        F.col("numerator").alias("Numerator"),
-                    )
-                )
-            ).alias("EvaluationList")
-        )
+        info.filter(F.col("class_mnemonic").isNotNull())
+        .groupBy(*keys, "class_mnemonic")
+        .agg(F.array_sort(F.collect_list(evaluation)).alias("_list"))
         .groupBy(*keys)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("_class").alias("DataClassName"), F.col("EvaluationList")))
-            ).alias("InformationalResults")
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("class_mnemonic", "_list"))).alias("_informed"))
+    )
+    nothing = F.array().cast(info.select(F.array(evaluation)).schema.fields[0].dataType)
+    every = F.array(
+        *[
+            F.struct(
+                class_display_name(F.lit(c.field)).alias("DataClassName"),
+                F.coalesce(F.try_element_at("_informed", F.lit(c.mnemonic)), nothing).alias("EvaluationList"),
+            )
+            for c in model.classes
+        ]
     )
     out = scores.join(per_class, keys, "left").join(informed, keys, "left")
     message = F.when(F.col("succeeded"), F.struct(*numbers))
     data = F.when(
         F.col("succeeded"),
         F.struct(
+            F.col("provider").alias("DataProviderID"),
+            F.col("data_source").alias("DataSourceID"),
+            F.col("client_message_id").alias("MessageID"),
+            F.lit(rubric).cast("string").alias("EvaluationRubric"),
             message.alias("MessageResults"),
             F.col("DataClassResults"),
-            F.col("InformationalResults"),
+            every.alias("InformationalResults"),
         ),
     )
+    head = ["provider", "data_source", "client_message_id"]
+    if messages is not None:
+        out = out.join(messages.select(*keys, *head), keys, "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in head})
     if errors is not None:
         out = out.join(errors, keys, "left")
     else:

@@ -69,6 +69,48 @@ def run_counters(messages: DataFrame, run: str, ok: Column, policy: str = "batch
     return out.withColumn("status", status)
 
 
+IN_PROGRESS, RUN_COMPLETED, RUN_FAILED = "IN_PROGRESS", "COMPLETED", "FAILED"
+
+
+def start_runs(runs: DataFrame) -> DataFrame:
+    """Runs as they are opened: in progress, without counters."""
+    none = F.lit(None)
+    return runs.withColumns(
+        {
+            "status": F.lit(IN_PROGRESS),
+            "total_records": none.cast("bigint"),
+            "total_completed": none.cast("bigint"),
+            "total_failed": none.cast("bigint"),
+            "completed_at": none.cast("timestamp"),
+        }
+    )
+
+
+def finish_runs(opened: DataFrame, messages: DataFrame, run: str, ok: Column, completed_at: Column) -> DataFrame:
+    """Open runs closed with the counters of their messages: COMPLETED, or FAILED when none
+    succeeded.  ``completed_at`` is an aggregate over a run's messages.  A run without
+    messages stays in progress; closed runs are left as they are."""
+    done = messages.groupBy(F.col(run).alias("run_id")).agg(
+        F.count(F.lit(1)).alias("_records"),
+        F.count(F.when(ok, 1)).alias("_completed"),
+        completed_at.cast("timestamp").alias("_at"),
+    )
+    joined = opened.join(done, "run_id", "left")
+    close = (F.col("status") == IN_PROGRESS) & F.col("_records").isNotNull()
+
+    def set_to(name: str, value: Column) -> Column:
+        return F.when(close, value).otherwise(F.col(name)).alias(name)
+
+    new = {
+        "status": F.when(F.col("_completed") > 0, RUN_COMPLETED).otherwise(RUN_FAILED),
+        "total_records": F.col("_records"),
+        "total_completed": F.col("_completed"),
+        "total_failed": F.col("_records") - F.col("_completed"),
+        "completed_at": F.col("_at"),
+    }
+    return joined.select(*[set_to(c, new[c]) if c in new else F.col(c) for c in opened.columns])
+
+
 def count_by(results: DataFrame, column: str) -> DataFrame:
     """Results per value of a column, most frequent first."""
     return results.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
