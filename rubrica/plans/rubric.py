@@ -22,6 +22,7 @@ from rubrica.plans.checks import ERRORED, FAILED, PASSED, SKIPPED, VALIDITY, Che
 from rubrica.plans.context import EvalContext
 from rubrica.sources import fixed
 from rubrica.sources.model import EntityModel
+from rubrica.sources.reference import library_file
 
 WORD_BITS = 62
 
@@ -324,7 +325,7 @@ def compile_rubric(rubric: Rubric, model: EntityModel, ctx: EvalContext) -> Comp
             continue  # an entity the model does not have matches no item
         defn = ctx.library.get(c.check)
         valid = parameters_given(defn, c)
-        chain = chain_for(c.check, c.entity, _bind(defn, c.params)) if valid else []
+        chain = chain_for(c.check, c.entity, _bind(defn, c.params, c.processing)) if valid else []
         cond_def = ctx.library.get(c.conditional) if c.conditional else None
         cond = (
             chain_for(c.conditional, c.entity, _bind(cond_def, c.conditional_params))
@@ -358,10 +359,21 @@ def parameters_given(defn: CheckDef, criterion: Criterion) -> bool:
     return all(given.get(p.name) for p in defn.params)
 
 
-def _bind(defn: CheckDef, params) -> tuple[tuple[str, str], ...]:
-    """Parameters by mnemonic; unknown ones are dropped."""
+PROCESSING = "Processing URL"
+
+
+def _bind(defn: CheckDef, params, processing: str | None = None) -> tuple[tuple[str, str], ...]:
+    """Parameters by mnemonic; unknown ones are dropped.  A criterion with parameters
+    also hands its processing URL to the check."""
     known = {p.mnemonic for p in defn.params}
-    return tuple((m, v) for m, v, _ in params if m in known and v is not None)
+    bound = tuple((m, v) for m, v, _ in params if m in known and v is not None)
+    return bound + (((PROCESSING, processing),) if processing and params else ())
+
+
+def load_rubric(spark: SparkSession, index_path: str, mnemonic: str) -> Rubric:
+    """A rubric found by mnemonic in a library index; the index's name wins over the file's."""
+    entry, text = library_file(spark, index_path, mnemonic)
+    return Rubric.from_json(text, entry.get("name"))
 
 
 # --- deciding criteria from masks ---------------------------------------

@@ -182,6 +182,13 @@ class EntityModel:
         )
 
 
+def load_model(spark: SparkSession, index_path: str, mnemonic: str) -> EntityModel:
+    """A model found by mnemonic in a library index."""
+    from rubrica.sources.reference import library_file
+
+    return EntityModel.from_json(library_file(spark, index_path, mnemonic)[1].lstrip("\ufeff"))
+
+
 def clinical_model() -> EntityModel:
     """The bundled clinical message model."""
     return EntityModel.from_text(

@@ -194,3 +194,17 @@ def read_by_mnemonic(spark: SparkSession, index_path: str, mnemonic: str) -> dic
     hit = entries.filter(map_get_ignore_case(F.col("e"), "mnemonic") == mnemonic)
     rows = hit.orderBy("pos").limit(1).collect()
     return {k.lower(): v for k, v in rows[0]["e"].items()} if rows else None
+
+
+def library_file(spark: SparkSession, index_path: str, mnemonic: str) -> tuple[dict, str]:
+    """The index entry of a mnemonic and the text of its file.  A relative path counts from
+    the folder of the index."""
+    entry = read_by_mnemonic(spark, index_path, mnemonic)
+    if entry is None:
+        raise KeyError(f"{mnemonic} is not in {index_path}")
+    path = entry.get("filepath") or entry.get("path")
+    if path is None:
+        raise ValueError(f"the entry of {mnemonic} names no file")
+    if "://" not in path and not path.startswith("/"):
+        path = f"{index_path.rpartition('/')[0]}/{path}"
+    return entry, spark.read.text(path, wholetext=True).first()["value"]

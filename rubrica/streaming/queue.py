@@ -17,7 +17,7 @@ from rubrica.operators.evaluate import evaluate_messages, message_scorecards
 from rubrica.operators.rollup import message_scores
 from rubrica.plans.rubric import CompiledRubric
 from rubrica.sources.messages import MESSAGE_SCHEMA, check_messages
-from rubrica.sources.sinks import DONE, QUEUE_FAILED, QUEUE_SCHEMA, pending, write_batch
+from rubrica.sources.sinks import DONE, PENDING, QUEUE_FAILED, QUEUE_SCHEMA, pending, write_batch
 
 
 def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA, **options) -> DataFrame:
@@ -61,10 +61,14 @@ def score_stream(
     """Score messages as they arrive and write the scores by batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch(score_batch(batch, compiled, keys), out, batch_id)
+        # The batch is read for scores and for rejected messages: once from its source.
+        batch = batch.persist()
+        try:
+            write_batch(score_batch(batch, compiled, keys), out, batch_id)
+        finally:
+            batch.unpersist()
         if after is not None:
-            written = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") == batch_id)
-            after(written, batch_id)
+            after(batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -76,33 +80,41 @@ def drain_queue(
     status_out: str,
     checkpoint: str,
     max_retries: int = 3,
+    requeue_to: str | None = None,
 ) -> DataStreamWriter:
-    """Score pending queue items; write scores and one status row per item.
+    """Score pending queue items; write scores and one status row per item and attempt.
 
-    A failed item stays PENDING with one more retry until ``max_retries``.
+    A failed item stays PENDING with one more retry until ``max_retries``, then it is
+    FAILED.  With ``requeue_to`` (the folder the queue is read from) it is put there again,
+    so that the stream takes it once more; an attempt that is there already is not repeated.
     """
-    keys = ["id"]
+    keys = ["id", "retry_count"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        body = F.from_json("payload_json", MESSAGE_SCHEMA)
-        messages = batch.select("id", "run_id", "retry_count", body.alias("m")).select(
-            "id", "run_id", "retry_count", "m.*"
-        )
-        write_batch(score_batch(messages, compiled, keys), out, batch_id)
-        scored = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") == batch_id)
-        status = batch.select("id", "run_id", "retry_count").join(
-            scored.select("id", "succeeded", "error_message"), "id", "left"
-        )
-        ok = F.coalesce("succeeded", F.lit(False))
-        retries = F.when(ok, F.col("retry_count")).otherwise(F.col("retry_count") + 1)
-        state = F.when(ok, DONE).when(retries >= max_retries, QUEUE_FAILED).otherwise("PENDING")
-        write_batch(
-            status.select(
-                "id", "run_id", state.alias("status"), retries.alias("retry_count"), "error_message"
-            ),
-            status_out,
-            batch_id,
-        )
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            body = F.from_json("payload_json", MESSAGE_SCHEMA)
+            messages = batch.select("id", "run_id", "retry_count", body.alias("m")).select(
+                "id", "run_id", "retry_count", "m.*"
+            )
+            write_batch(score_batch(messages, compiled, keys), out, batch_id)
+            scored = spark.read.parquet(f"{out}/batch_id={batch_id}")
+            status = batch.drop("error_message").join(
+                scored.select(*keys, "succeeded", F.col("error_message").alias("error_message")), keys, "left"
+            )
+            ok = F.coalesce("succeeded", F.lit(False))
+            retries = F.when(ok, F.col("retry_count")).otherwise(F.col("retry_count") + 1)
+            state = F.when(ok, DONE).when(retries >= max_retries, QUEUE_FAILED).otherwise(PENDING)
+            settled = status.withColumns({"status": state, "retry_count": retries})
+            write_batch(settled.select("id", "run_id", "status", "retry_count", "error_message"), status_out, batch_id)
+            if requeue_to is not None:
+                there = spark.read.schema(QUEUE_SCHEMA).parquet(requeue_to).select(*keys)
+                again = settled.filter(F.col("status") == PENDING).join(there, keys, "left_anti")
+                columns = [f.split()[0] for f in QUEUE_SCHEMA.split(", ")]
+                again.select(*columns).write.mode("append").parquet(requeue_to)
+        finally:
+            batch.unpersist()
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
