@@ -56,7 +56,8 @@ def context(spark, sf, compat: bool = True) -> EvalContext:
 
 
 # An order's customer as a concept.  By priority: complete coding with a name close to the
-# real one; URI in the second system property; unknown system; no system; text only.
+# real one; URI in the second system property; unknown system; text only; no system, and
+# every second time no code either.
 ORDER_CODINGS = """
 CASE o_orderpriority
  WHEN '1-URGENT' THEN 'urn:shop:customer' WHEN '2-HIGH' THEN 'http://elsewhere' WHEN '3-MEDIUM' THEN 'urn:unknown' END"""
@@ -74,7 +75,7 @@ def order_concept() -> Item:
         "CASE WHEN o_orderstatus = 'O' THEN 'customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') "
         "WHEN o_orderstatus = 'F' THEN 'someone else' END"
     )
-    blank = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(code)
+    blank = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 2 == 0), "").otherwise(code)
     item = coding(blank, system, display, second)
     text = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Customer "), code))
     coded = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", codings(item))
@@ -85,7 +86,7 @@ def order_concept() -> Item:
 BASE = """
 SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s,
   (p = '4-NOT SPECIFIED' AND s <> 'P') AS empty,
-  p IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS has_code,
+  p IN ('1-URGENT', '2-HIGH', '3-MEDIUM') OR (p = '5-LOW' AND o_orderkey % 2 = 1) AS has_code,
   p IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS has_system,
   p IN ('1-URGENT', '2-HIGH') AS known,
   p IN ('1-URGENT', '2-HIGH') AND c.c_custkey IS NOT NULL AS valid,
@@ -145,7 +146,7 @@ _BEST = f"greatest({_similar('real_name', 'shown')}, {_similar('segment', 'shown
 _concept("chk_concept_has_code", "CONCEPT_HASCODE", [POP, CODE])
 _concept("chk_concept_has_system", "CONCEPT_HASCODESYSTEM", [POP, CODE, SYSTEM])
 _concept("chk_concept_has_display", "CONCEPT_HASDISPLAY", [POP, ("p = '4-NOT SPECIFIED'", "CONCEPT_HASDISPLAY")])
-_concept("chk_concept_complete", "CONCEPT_ISCOMPLETE", [POP, ("NOT has_code", "CONCEPT_ISCOMPLETE")])
+_concept("chk_concept_complete", "CONCEPT_ISCOMPLETE", [POP, ("NOT has_system", "CONCEPT_ISCOMPLETE")])
 _concept("chk_concept_recognized", "CONCEPT_HASRECOGNIZEDCODESYSTEM", [POP, CODE, SYSTEM, ("NOT known", "CONCEPT_HASRECOGNIZEDCODESYSTEM")])
 _concept("chk_concept_valid", "CONCEPT_ISVALID", [POP, CODE, SYSTEM, VALID])
 _concept("chk_concept_active", "CONCEPT_ISACTIVE", [POP, CODE, SYSTEM, VALID, ("NOT active", "CONCEPT_ISACTIVE")])
@@ -279,3 +280,19 @@ def _second_system(name: str, compat: bool, unlisted: str):
 _UNKNOWN_HIT = "o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED'"
 _second_system("value_set_second_system", True, _UNKNOWN_HIT)
 _second_system("value_set_second_system_strict", False, "false")
+
+
+@register(
+    "chk_concept_member_other",
+    """SELECT o_orderkey, CASE WHEN valid AND o_orderkey % 2 = 1 THEN 'Passed' ELSE 'Failed' END AS state,
+    CASE WHEN NOT valid THEN 'CONCEPT_ISVALID' WHEN o_orderkey % 2 = 0 THEN 'CONCEPT_ISVALIDMEMBER' END AS fail_check
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN p_partkey IS NOT NULL ELSE c_custkey IS NOT NULL END AS valid
+          FROM orders LEFT JOIN part ON o_custkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey)""",
+)
+def chk_concept_member_other(spark, sf):
+    """Valid codes of two systems, of which the list names one."""
+    system = F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'PARTS' ELSE 'urn:shop:customer' END")
+    item = Item.of_concept(None, codings(coding(F.col("o_custkey"), system, F.lit("x"))))
+    rule = criterion("ORD_CUSTOMER", "CONCEPT_ISVALIDMEMBER", params={"CODE_SYSTEM_CSV": "NATIONS,customer-id"})
+    rows = states(load(spark, sf, "orders"), "ORDER", ["o_orderkey"], {"ORD_CUSTOMER": item}, [rule], context(spark, sf))
+    return rows.select("o_orderkey", "state", "fail_check")

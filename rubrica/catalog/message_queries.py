@@ -534,3 +534,19 @@ def assessment_extract(spark, sf):
         .otherwise(F.to_json(F.struct(F.to_json(body).alias("auditedMessage"), F.lit("no").alias("messageData"))))
     )
     return extract_assessments(load(spark, sf, "part").select("p_partkey", text.alias("response")), ["p_partkey"])
+
+
+@register(
+    "audited_element_order",
+    """SELECT CAST(doc_id AS VARCHAR) AS message_id, len(l) AS elements, md5(array_to_string(l, '|')) AS texts
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+)
+def audited_element_order(spark, sf):
+    """The elements of an audited message keep their order, however many there are."""
+    rubric, checked = doc_rubric(), checked_docs(spark, sf)
+    ev = evaluate_messages(checked, rubric, DOC_KEYS, all_attributes=True, keep=AUDIT_VALUES, store=True)
+    scores = message_scores(message_scorecards(ev, rubric, DOC_KEYS), DOC_KEYS)
+    audited = audited_messages(checked, ev, scores, rubric, DOC_KEYS)
+    lines = F.from_json(F.get_json_object("audited_message", "$.document.lines"), "array<map<string,string>>")
+    texts = F.transform(lines, lambda e: F.get_json_object(F.try_element_at(e, F.lit("content")), "$.data"))
+    return audited.select("message_id", F.size(texts).cast("bigint").alias("elements"), F.md5(F.array_join(texts, "|").cast("binary")).alias("texts"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rubrica.catalog.check_queries import AS_OF
-from rubrica.catalog.registry import compiled, criterion, load, register, text_items
+from rubrica.catalog.registry import MODEL, compiled, criterion, load, register, text_items
 from rubrica.catalog.score_queries import ORDER_STATES, order_cards, order_rubric, order_source
 from rubrica.functions.text import score_band, status_class, truncate_value
 from rubrica.operators import runs
@@ -261,7 +261,7 @@ def score_bands(spark, sf):
     "SELECT o_custkey, 'ORDER' AS class_mnemonic, count(*) AS instance_count FROM orders GROUP BY o_custkey",
 )
 def active_classes(spark, sf):
-    out = class_scores(order_cards(spark, sf), ["o_custkey"]).filter("instance_count > 0")
+    out = class_scores(order_cards(spark, sf), ["o_custkey"], MODEL).filter("instance_count > 0")
     return out.select("o_custkey", "class_mnemonic", "instance_count")
 
 

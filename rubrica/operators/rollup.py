@@ -89,13 +89,12 @@ def class_scores(cards: DataFrame, keys: list[str], model: EntityModel | None =
 
 
 def message_sums(cards: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums per message.  Rolls the class sums up, so a message with very many
-    elements is first reduced in parallel."""
-    sums = class_sums(cards, keys)
-    return sums.groupBy(*keys).agg(
+    """Sums per message, in one step: partial sums leave one row per task and message,
+    however many elements a message has."""
+    return cards.groupBy(*keys).agg(
         *[F.sum(n).alias(n) for n in COUNTERS],
         F.sum("errors").alias("errors"),
-        F.sum("instance_count").alias("instance_count"),
+        F.sum("is_element").alias("instance_count"),
     )
 
 
