@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rubrica.catalog.message_queries import CARD_RULES, CARDS, card_messages
 from rubrica.catalog.registry import compiled, criterion, load, register, text_items
 from rubrica.catalog.shared import shared_folder
+from rubrica.functions.values import Item
 from rubrica.operators import runs
 from rubrica.operators.evaluate import TableSource, table_results
 from rubrica.operators.rollup import first_errors
@@ -18,7 +19,7 @@ from rubrica.sources import fixed, sinks
 from rubrica.sources.lab import read_lab_sheet
 from rubrica.sources.messages import read_requests
 from rubrica.sources.model import load_model
-from rubrica.sources.reference import ValueLists
+from rubrica.sources.reference import ValueLists, read_data_types
 from rubrica.streaming import queue
 
 
@@ -225,3 +226,19 @@ def error_first_by_class_name(spark, sf):
     )
     return first_errors(rows, ["o_custkey"], model)
 
+
+@register(
+    "data_type_library",
+    "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'Failed' ELSE 'Passed' END AS state FROM events",
+)
+def data_type_library(spark, sf):
+    """A type of our own, numeric by the library file that declares it."""
+    path = shared_folder(spark, "types")
+    own = {"Types": [{"Code": "EUR", "Name": "Amount", "IsCoded": False, "IsNumeric": True, "IsRange": False}]}
+    spark.createDataFrame([(json.dumps(own),)], "value string").coalesce(1).write.text(path)
+    types = read_data_types(spark, path)
+    value = F.when(F.col("event_type") == "purchase", "much").otherwise(F.col("value").cast("string"))
+    items = {"EVT_VALUE": Item.of_observation(value, F.lit("EUR"), types=types)}
+    source = TableSource(load(spark, sf, "events"), "EVENT", ["event_id"], items)
+    rubric = compiled([criterion("EVT_VALUE", "OBSERVATIONVALUE_MATCHESTYPE")], EvalContext(data_types=types))
+    return table_results(source, rubric).select("event_id", "state")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from rubrica.functions.text import blank_to_null, is_blank, not_empty, parse_double
 from rubrica.sources.fixed import DATA_TYPES, DEFAULT_DATA_TYPE
 
+Types = tuple[tuple[str, str, bool, bool, bool], ...]
+
 CODING_TYPE = "struct<systems:array<string>,system:string,code:string,display:string>"
 TERM_TYPE = (
     "struct<recognized:boolean,valid:boolean,active:boolean,similarity:int,"
@@ -87,10 +89,10 @@ class Item:
         text: Column,
         type_text: Column,
         codings: Column | None = None,
-        present: Column | None = None,
+        present: Column | None = None,        types: Types = DATA_TYPES,
     ) -> "Item":
         base = Item.of_concept(text, codings, present)
-        code, number, number2 = settle_observation(base.text, type_text)
+        code, number, number2 = settle_observation(base.text, type_text, types)
         return replace(
             base, kind=F.lit("OBSVAL"), type_code=code, number=number, number2=number2
         )
@@ -175,11 +177,12 @@ def settle_concept(text: Column, coded: Column) -> tuple[Column, Column]:
     return label, fill_displays(coded, label)
 
 
-def settle_observation(text: Column, type_text: Column) -> tuple[Column, Column, Column]:
-    """Resolve the data type (unknown falls back to the default) and the numbers."""
-    known = [t[0] for t in DATA_TYPES]
-    numeric = [t[0] for t in DATA_TYPES if t[3]]
-    ranged = [t[0] for t in DATA_TYPES if t[3] and t[4]]
+def settle_observation(text: Column, type_text: Column, types: Types = DATA_TYPES) -> tuple[Column, Column, Column]:
+    """Resolve the data type (unknown falls back to the default) and the numbers.
+    ``types`` is the data-type library: (code, name, coded, numeric, range) rows."""
+    known = [t[0] for t in types]
+    numeric = [t[0] for t in types if t[3]]
+    ranged = [t[0] for t in types if t[3] and t[4]]
     code = F.when(type_text.isin(*known), type_text).otherwise(F.lit(DEFAULT_DATA_TYPE))
     bits = F.split(text, r"\^", -1)
     number = F.when(code.isin(*ranged), parse_double(F.get(bits, 0))).when(
@@ -212,7 +215,7 @@ VALUE_COLUMNS = (
 )
 
 
-def parse_values(items: DataFrame) -> DataFrame:
+def parse_values(items: DataFrame, types: Types = DATA_TYPES) -> DataFrame:
     """Parse the ``raw`` JSON text of each item by its ``kind`` into value columns.
 
     A concept may arrive as a bare string, as an object with text/codings, or
@@ -265,7 +268,7 @@ def parse_values(items: DataFrame) -> DataFrame:
         "v_high",
         type_text.alias("v_type_text"),
     )
-    code, number, number2 = settle_observation(F.col("v_text"), F.col("v_type_text"))
+    code, number, number2 = settle_observation(F.col("v_text"), F.col("v_type_text"), types)
     obs = F.col("kind") == "OBSVAL"
     return staged.withColumns(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rubrica.functions import text as tx
 from rubrica.functions.values import Item
 from rubrica.plans.checks import POPULATED, VALIDITY, Outcome, Param, check
-from rubrica.sources.fixed import DATA_TYPES, QUALITATIVE_TYPES, UNKNOWN_DATA_TYPE
+from rubrica.sources.fixed import QUALITATIVE_TYPES, UNKNOWN_DATA_TYPE
 
 SIMILAR_ENOUGH = 50
 # Texts the indicator check accepts.
@@ -290,9 +290,9 @@ def value_is_qualitative(item, params, ctx):
 
 @check("OBSERVATIONVALUE_MATCHESTYPE", "Value matches its type", fail_name="value does not match type", **_OBSERVATION)
 def value_matches_type(item, params, ctx):
-    coded = [t[0] for t in DATA_TYPES if t[2]]
-    numeric = [t[0] for t in DATA_TYPES if t[3]]
-    ranged = [t[0] for t in DATA_TYPES if t[3] and t[4]]
+    coded = [t[0] for t in ctx.data_types if t[2]]
+    numeric = [t[0] for t in ctx.data_types if t[3]]
+    ranged = [t[0] for t in ctx.data_types if t[3] and t[4]]
     code = item.type_code
     passed = (
         F.when(code.isNull() | (code == UNKNOWN_DATA_TYPE), F.lit(False))

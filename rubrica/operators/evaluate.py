@@ -90,7 +90,7 @@ def evaluate_items(
     def guard(p) -> Column:
         return F.col(f"_need_{p.word}").bitwiseAND(F.lit(p.bit)) != 0
 
-    parsed = parse_values(items).join(F.broadcast(needs), "entity", "left")
+    parsed = parse_values(items, ctx.data_types).join(F.broadcast(needs), "entity", "left")
     item = parsed_item()
     lookups: dict[str, Column] = {}
     scope: dict[str, Column] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rubrica.plans.checks import CheckLibrary
+from rubrica.sources import fixed
 from rubrica.sources.reference import CodeSystems, Terminology, ValueLists
 
 
@@ -18,7 +19,8 @@ class EvalContext:
 
     ``as_of`` fixes "now" for the date checks; None reads the clock once per
     query.  ``compat`` keeps the published behaviour of checks that deviate
-    from their description (README lists them).
+    from their description (README lists them).  ``data_types`` is the library of
+    observation types, see ``reference.read_data_types``.
     """
 
     as_of: str | dt.datetime | None = None
@@ -27,6 +29,7 @@ class EvalContext:
     code_systems: CodeSystems = field(default_factory=CodeSystems)
     value_lists: ValueLists = field(default_factory=ValueLists)
     terminology: Terminology = field(default_factory=Terminology)
+    data_types: tuple = fixed.DATA_TYPES
 
     def now(self) -> Column:
         if self.as_of is None:

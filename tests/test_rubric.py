@@ -151,8 +151,35 @@ def test_hot_code_resolves_like_any_other(spark):
     }
 
 
-def test_scoring_a_table_needs_one_shuffle(spark):
+def test_scorecards_of_a_table_need_no_shuffle_and_scores_one(spark):
     src = TableSource(orders(spark, [(1, "a", "1")]), "ORDER", ["k"], text_items(ORD_STATUS="status", ORD_TOTAL="total"))
     cards = table_scorecards(src, compiled([criterion("ORD_STATUS", "ATTR_ISPOPULATED"), criterion("ORD_TOTAL", "ATTR_ISINTEGER", 2)]))
     plan = cards._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+    plan = message_scores(cards, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_terminology_works_without_keys_and_splits_no_list_by_key(spark):
+    from pyspark.sql import functions as F
+
+    from rubrica.functions.joins import list_join
+
+    left = spark.range(200).select(
+        "id", F.when(F.col("id") < 100, F.array(F.lit("a"))).when(F.col("id") < 150, F.array().cast("array<string>")).alias("l")
+    )
+    right = spark.createDataFrame([(["a"], 7), (["b"], 8)], "_list array<string>, v int")
+    got = list_join(left, right, "l")
+    assert got.columns == ["id", "l", "v"] and got.filter("v = 7").count() == 100 and got.count() == 200
+    # Rows that match nothing are spread by their other columns.
+    spread = left.filter("id >= 100").select(F.xxhash64("id", "l", F.lit(1)).alias("h")).distinct().count()
+    assert spread == 100
+
+
+def test_an_audited_message_reads_its_input_once(spark):
+    """Everything derived from stored items reads the stored rows, not the messages."""
+    from rubrica.functions.stored import stored
+
+    base = spark.range(10).selectExpr("id", "id % 2 AS k")
+    plan = stored(base).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Scan ExistingRDD" in plan
