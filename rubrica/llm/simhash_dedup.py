@@ -37,11 +37,25 @@ SHARD = 4
 LARGE = 2_000
 SEED = 42
 
+#: Characters whose words are hashed together; bounds memory only.
+BLOCK = 1 << 20
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def words_by_block(text: str, block: int = BLOCK) -> Iterator[list[str]]:
+    """Words of a text, from about ``block`` characters at a time."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + block)
+        cut = end.start() if end else len(text)
+        yield _WORD.findall(text, at, cut)
+        at = cut
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, block: int = BLOCK) -> int:
     """SimHash of a text's word shingles, repeats included: a bit is set if over half have it."""
     import xxhash
 
@@ -49,19 +63,25 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         text = text.lower()
     elif not text.islower():
         text = text.translate(_LOWER)
-    words = _WORD.findall(text)
-    if not words:
-        return 0
     digest = xxhash.xxh64_digest
-    if len(words) <= shingle:
-        parts = [" ".join(words)]
-    else:
-        lists = [words[k:] for k in range(shingle)]
-        parts = map(" ".join, zip(*lists))
-    hashes = np.frombuffer(b"".join([digest(p, SEED) for p in parts]), dtype=np.uint8)
-    bits = np.unpackbits(hashes.reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+    ones, total = np.zeros(64, np.int64), 0
+    kept: list[str] = []
+
+    def count(parts) -> int:
+        nonlocal ones
+        hashes = np.frombuffer(b"".join([digest(p, SEED) for p in parts]), dtype=np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+        return len(hashes)
+
+    for words in words_by_block(text, block):
+        words = kept + words
+        total += count(map(" ".join, zip(*[words[k:] for k in range(shingle)])))
+        kept = words[-(shingle - 1) :] if shingle > 1 else []
+    if not total:
+        if not kept:
+            return 0
+        total = count([" ".join(kept)])
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,6 +99,17 @@ def test_every_close_pair_meets_in_a_shard(spark, count):
         assert len(set(root.values())) >= 39
 
 
+def test_fingerprints_do_not_depend_on_blocks():
+    from tests.llm.test_queries import simhash
+
+    rng = random.Random(8)
+    for n in (0, 1, 3, 4, 5, 40, 300):
+        text = " ".join(rng.choice(["Ab", "c", "ÄÖ", "x\ty", "\u00a0"]) + rng.choice(["", " ", "\n"]) for _ in range(n))
+        want = simhash(text)
+        for block in (1, 7, 64, 1 << 20):
+            assert simhash_dedup.fingerprint(text, block=block) == want
+
+
 def test_bk_tree_finds_what_brute_force_finds():
     random.seed(1)
     marks = list({random.getrandbits(12) for _ in range(300)})
