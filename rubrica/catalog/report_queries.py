@@ -5,12 +5,16 @@ from pyspark.sql import functions as F
 from rubrica.catalog.check_queries import AS_OF
 from rubrica.catalog.registry import MODEL, compiled, criterion, load, register, text_items
 from rubrica.catalog.score_queries import ORDER_STATES, order_cards, order_rubric, order_source
+from rubrica.catalog.concept_queries import SYSTEMS
 from rubrica.functions.text import score_band, status_class, truncate_value
 from rubrica.operators import runs
 from rubrica.operators.content import text_in_content_set, unit_is_primary, value_in_range_set
 from rubrica.operators.evaluate import TableSource, table_results, table_scorecards
 from rubrica.operators.rollup import class_scores, message_scores
+from rubrica.functions.values import Item, coding, codings
+from rubrica.plans.context import EvalContext
 from rubrica.sources import fixed, sinks
+from rubrica.sources.reference import ContentMarts
 
 RESULTS = f"""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 'ORD_DATE' AS entity, 'Attribute is a past date' AS assessment, CASE c1 WHEN 1 THEN 'Passed' ELSE 'Failed' END AS state FROM ({ORDER_STATES})
@@ -231,6 +235,39 @@ def content_text(spark, sf):
     return out.groupBy("doc_id", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "content_checks",
+    """SELECT entity, state, fail_check, count(*) AS n FROM (
+    SELECT 'LIN_NUMBER' AS entity, coalesce(p_type = unit AND l_quantity >= p_size AND (p_brand = 'Brand#1' OR l_quantity <= p_size + 20), false) AS ok, 'VALUE_IN_RANGE_SET' AS chk FROM lines
+    UNION ALL SELECT 'LIN_FLAG', coalesce(p_type = unit, false), 'UNIT_IS_PRIMARY' FROM lines
+    UNION ALL SELECT 'LIN_STATUS', s_suppkey IS NOT NULL, 'TEXT_IN_CONTENT_SET' FROM lines) r,
+    LATERAL (SELECT CASE WHEN ok THEN 'Passed' ELSE 'Failed' END AS state, CASE WHEN NOT ok THEN chk END AS fail_check) GROUP BY ALL""".replace(
+        "FROM lines",
+        "FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END AS unit FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON 2 * l_suppkey = s_suppkey)",
+    ),
+)
+def content_checks(spark, sf):
+    """The content tables as checks of a rubric: allowed text, range by code and unit, primary unit."""
+    part = load(spark, sf, "part")
+    code = [F.lit("urn:shop:part").alias("system"), F.col("p_partkey").cast("string").alias("code"), F.col("p_type").alias("unit")]
+    upper = F.when(F.col("p_brand") != "Brand#1", F.col("p_size") + 20.0).alias("max_value")
+    content = ContentMarts(
+        units=part.select(F.lit("UNITS").alias("content_set"), *code),
+        ranges=part.select(F.lit("RANGES").alias("content_set"), *code, F.col("p_size").cast("double").alias("min_value"), upper),
+        texts=load(spark, sf, "supplier").select(F.lit("NAMES").alias("content_set"), F.col("s_suppkey").cast("string").alias("text")),
+    )
+    rules = [
+        criterion("LIN_NUMBER", "VALUE_IN_RANGE_SET", 1, params={"CONTENT_SET": "RANGES", "CODE_ATTRIBUTE": "LIN_PART", "UNIT_ATTRIBUTE": "LIN_FLAG"}),
+        criterion("LIN_FLAG", "UNIT_IS_PRIMARY", 2, params={"CONTENT_SET": "UNITS", "CODE_ATTRIBUTE": "LIN_PART"}),
+        criterion("LIN_STATUS", "TEXT_IN_CONTENT_SET", 3, params={"CONTENT_SET": "NAMES"}),
+    ]
+    items = text_items(LIN_NUMBER="l_quantity", LIN_FLAG="CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END", LIN_STATUS="2 * l_suppkey")
+    items["LIN_PART"] = Item.of_concept(None, codings(coding(F.col("l_partkey"), F.lit("PARTS"), F.lit("x"))))
+    ctx = EvalContext(code_systems=SYSTEMS, content=content)
+    rows = table_results(TableSource(load(spark, sf, "lineitem"), "LINE", [], items), compiled(rules, ctx))
+    return rows.groupBy("entity", "state", "fail_check").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- views, queue, sinks ------------------------------------------------
 
 

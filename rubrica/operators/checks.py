@@ -312,6 +312,31 @@ def value_type_in_list(item, params, ctx):
     return _observation_check(item, F.upper(item.type_code).isin(*[v.upper() for v in tx.split_list(raw) or []]))
 
 
+# --- content tables -----------------------------------------------------
+
+_SET = Param("Content Set Mnemonic", "CONTENT_SET")
+_CODE = Param("Code Attribute", "CODE_ATTRIBUTE")
+_UNIT = Param("Unit Attribute", "UNIT_ATTRIBUTE")
+_CONTENT = {"prerequisite": POPULATED, "safe_after": (POPULATED,), "needs": ("content",)}
+
+
+def content_key(mnemonic: str, params: dict) -> str:
+    """Name under which the answer of a content check stands among an item's lists."""
+    return "|".join(["content", mnemonic, *[f"{k}={params[k]}" for k in sorted(params)]])
+
+
+def _content_check(mnemonic: str):
+    def answer(item, params, ctx):
+        return _value_check(item, F.array_contains(item.lists, content_key(mnemonic, params)))
+
+    return answer
+
+
+check("TEXT_IN_CONTENT_SET", "Text is in content set", fail_name="not an allowed text", params=(_SET,), **_CONTENT)(_content_check("TEXT_IN_CONTENT_SET"))
+check("VALUE_IN_RANGE_SET", "Value is in range set", fail_name="outside the ranges of its code", params=(_SET, _CODE, _UNIT), **_CONTENT)(_content_check("VALUE_IN_RANGE_SET"))
+check("UNIT_IS_PRIMARY", "Unit is primary", fail_name="not the primary unit", params=(_SET, _CODE), **_CONTENT)(_content_check("UNIT_IS_PRIMARY"))
+
+
 # --- whole-element, validity and extension checks -----------------------
 
 

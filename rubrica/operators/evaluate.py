@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.stored import stored
+from rubrica.functions.text import parse_double
 from rubrica.functions.values import TERM_TYPE, Item, null, parse_values, parsed_item
-from rubrica.operators.checks import list_values
+from rubrica.operators.checks import content_key, list_values
+from rubrica.operators.content import text_in_content_set, unit_is_primary, value_in_range_set
 from rubrica.operators.flatten import flatten
 from rubrica.operators.terminology import attach_lists, attach_terms
 from rubrica.plans.checks import ERRORED, FAILED, PASSED, SKIPPED, VALIDITY
 from rubrica.plans.rubric import (
     Compiled,
     CompiledRubric,
+    Probe,
     criterion_code,
     first_bad,
     mask_columns,
@@ -73,6 +76,8 @@ def evaluate_items(
     probes = compiled.probes_of([c for c in compiled.criteria if not c.needs_children])
     late = compiled.late_probes(probes)
     early = [p for p in probes if p not in late]
+    if any("content" in p.defn.needs for p in late):
+        raise ValueError("Content checks read other attributes of a row; they are evaluated on tables.")
 
     # What the model and the rubric say about an entity: one row each.
     words = range(compiled.words)
@@ -429,6 +434,45 @@ class TableSource:
         self.carry = list(self.carry or [])
 
 
+def content_inputs(name: str, item: Item, params: dict, items: dict[str, Item], ctx) -> list[Column]:
+    """What a content check compares: the item's text and number, and system and code and unit
+    taken from other attributes of the row."""
+    out = [item.text.alias(f"{name}_text"), F.coalesce(item.number, parse_double(item.text)).alias(f"{name}_value")]
+
+    def other(key: str) -> Item:
+        if params[key] not in items:
+            raise ValueError(f"{params[key]} is no attribute with a criterion or value in this rubric's class.")
+        return items[params[key]]
+
+    if "CODE_ATTRIBUTE" in params:
+        first = F.get(other("CODE_ATTRIBUTE").codings, 0)
+        system = F.coalesce(
+            F.get(F.filter(F.transform(first["systems"], ctx.code_systems.canonical_col), lambda s: s.isNotNull()), 0), first["system"]
+        )
+        out += [system.alias(f"{name}_system"), first["code"].alias(f"{name}_code")]
+    unit = other("UNIT_ATTRIBUTE").text if "UNIT_ATTRIBUTE" in params else item.text
+    return [*out, unit.alias(f"{name}_unit")]
+
+
+def content_answer(df: DataFrame, name: str, mnemonic: str, params: dict, ctx) -> DataFrame:
+    """Add ``<name>_ok``, the answer of one content check."""
+    content_set, out = params["CONTENT_SET"], f"{name}_ok"
+    marts = ctx.content
+
+    def canonical(table: DataFrame) -> DataFrame:
+        return table.withColumn("system", F.coalesce(ctx.code_systems.canonical_col(F.col("system")), F.col("system")))
+
+    if mnemonic == "TEXT_IN_CONTENT_SET":
+        return df.withColumn(out, F.lit(False)) if marts.texts is None else text_in_content_set(df, marts.texts, content_set, f"{name}_text", out)
+    table = marts.ranges if mnemonic == "VALUE_IN_RANGE_SET" else marts.units
+    if table is None:
+        return df.withColumn(out, F.lit(False))
+    parts = [f"{name}_system", f"{name}_code", f"{name}_unit"]
+    if mnemonic == "VALUE_IN_RANGE_SET":
+        return value_in_range_set(df, canonical(table), content_set, *parts, f"{name}_value", out)
+    return unit_is_primary(df, canonical(table), content_set, *parts, out)
+
+
 _ITEM_FIELDS = ("present", "kind", "text", "codings", "type_code", "number", "number2", "low", "high")
 
 
@@ -441,12 +485,16 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     model, ctx = compiled.model, compiled.ctx
     cls = model.data_class(source.class_mnemonic)
     entities = [a for a in cls.attributes if compiled.for_entity(a.mnemonic)]
+    companions = {
+        v for p in compiled.probes if "content" in p.defn.needs for k, v in p.params if k in ("CODE_ATTRIBUTE", "UNIT_ATTRIBUTE")
+    }
+    read = entities + [a for a in cls.attributes if a.mnemonic in companions and a not in entities]
     head = [*source.keys, *source.carry]
 
     # Stage 0: typed values as plain columns, so that each is computed once.
     cols: list[Column] = []
     items: dict[str, Item] = {}
-    for i, a in enumerate(entities):
+    for i, a in enumerate(read):
         item = source.items.get(a.mnemonic)
         if item is None:
             item = replace(Item.empty(a.kind), present=F.lit(False))
@@ -464,6 +512,7 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     mine = {a.mnemonic: compiled.probes_of(compiled.for_entity(a.mnemonic)) for a in entities}
     late = {m: compiled.late_probes(ps) for m, ps in mine.items()}
     cols, lookups, lists = [], {}, {}
+    asked_content: list[tuple[int, Probe]] = []
     for i, a in enumerate(entities):
         m = a.mnemonic
         early = [p for p in mine[m] if p not in late[m]]
@@ -478,12 +527,27 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
         if any("lists" in p.defn.needs for p in late[m]):
             cols.append(list_values(items[m]).alias(f"v{i}_values"))
             lists[f"v{i}_values"] = f"v{i}_lists"
+        for p in late[m]:
+            if "content" in p.defn.needs:
+                asked_content.append((i, p))
+                cols += content_inputs(f"k{i}_{p.index}", items[m], dict(p.params), items, ctx)
     df = df.select(*head, "element_seq", *cols)
 
     # Stage 1b: lookups in other tables, and the probes that need them.
-    if lookups or lists:
+    if lookups or lists or asked_content:
         df = attach_terms(df, lookups, compiled)
         df = attach_lists(df, lists, compiled)
+        hits: dict[int, list[Column]] = {}
+        for i, p in asked_content:
+            name = f"k{i}_{p.index}"
+            df = content_answer(df, name, p.defn.mnemonic, dict(p.params), ctx)
+            key = F.lit(content_key(p.defn.mnemonic, dict(p.params)))
+            hits.setdefault(i, []).append(F.when(F.col(f"{name}_ok"), key))
+        found = {}
+        for i, keys_of in hits.items():
+            known = F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>")
+            found[f"v{i}_lists"] = F.concat(F.coalesce(known, F.array().cast("array<string>")), F.array_compact(F.array(*keys_of)))
+        df = df.withColumns(found) if found else df
         more: dict[str, Column] = {}
         for i, a in enumerate(entities):
             if not late[a.mnemonic]:
@@ -493,7 +557,7 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
                 present=F.col(f"v{i}_present"),
                 kind=F.col(f"v{i}_kind"),
                 term=F.col(f"v{i}_term") if f"v{i}_codings" in lookups else null(TERM_TYPE),
-                lists=F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>"),
+                lists=F.col(f"v{i}_lists") if f"v{i}_values" in lists or i in hits else null("array<string>"),
             )
             done = {n: F.col(f"e{i}_{n}") for w in range(compiled.words) for n in (f"f_{w}", f"x_{w}")}
             done["reasons"] = F.col(f"e{i}_reasons")

@@ -71,7 +71,7 @@ class CheckDef:
 
     ``safe_after``: a check that, run earlier in the chain, rules out errors.
     ``kinds``: value kinds it reads; on those it cannot error once populated.
-    ``needs``: extra inputs, any of ``term``, ``lists``, ``children``.
+    ``needs``: extra inputs, any of ``term``, ``lists``, ``content``, ``children``.
     """
 
     mnemonic: str

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rubrica.plans.checks import CheckLibrary
 from rubrica.sources import fixed
-from rubrica.sources.reference import CodeSystems, Terminology, ValueLists
+from rubrica.sources.reference import CodeSystems, ContentMarts, Terminology, ValueLists
 
 
 @dataclass
@@ -20,7 +20,8 @@ class EvalContext:
     ``as_of`` fixes "now" for the date checks; None reads the clock once per
     query.  ``compat`` keeps the published behaviour of checks that deviate
     from their description (README lists them).  ``data_types`` is the library of
-    observation types, see ``reference.read_data_types``.
+    observation types, see ``reference.read_data_types``; ``content`` holds the tables of
+    the content checks.
     """
 
     as_of: str | dt.datetime | None = None
@@ -30,6 +31,7 @@ class EvalContext:
     value_lists: ValueLists = field(default_factory=ValueLists)
     terminology: Terminology = field(default_factory=Terminology)
     data_types: tuple = fixed.DATA_TYPES
+    content: ContentMarts = field(default_factory=ContentMarts)
 
     def now(self) -> Column:
         if self.as_of is None:

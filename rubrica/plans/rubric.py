@@ -228,6 +228,7 @@ class CompiledRubric:
             p
             for p in probes
             if "term" in p.defn.needs
+            or "content" in p.defn.needs
             or ("lists" in p.defn.needs and set(v for _, v in p.params) & set(self.table_lists_used()))
         ]
 

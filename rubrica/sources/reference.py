@@ -161,6 +161,20 @@ class Terminology:
         ).select("value_set", F.col("c.system").alias("system"), F.col("c.code").alias("code"))
 
 
+@dataclass
+class ContentMarts:
+    """Declared content tables that checks look into.
+
+    units: content_set, system, code, unit
+    ranges: content_set, system, code, unit, min_value, max_value
+    texts: content_set, text
+    """
+
+    units: DataFrame | None = None
+    ranges: DataFrame | None = None
+    texts: DataFrame | None = None
+
+
 def read_data_types(spark: SparkSession, path: str) -> tuple:
     """Data-type library as (code, name, coded, numeric, range) rows for ``EvalContext``."""
     rows = read_library(spark, path, DATA_TYPE_SCHEMA).collect()
