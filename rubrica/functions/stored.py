@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared folder from then on."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_columns(df: DataFrame) -> DataFrame:
+    """As ``stored``, for wide rows of which later steps read a part: written as Parquet, so
+    that columns are compressed and read one by one.  The files stay until the folder is cleared."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/rubrica-{uuid.uuid4().hex}/stored"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

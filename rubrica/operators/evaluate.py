@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.stored import stored
+from rubrica.functions.stored import stored_columns
 from rubrica.functions.text import parse_double
 from rubrica.functions.values import TERM_TYPE, Item, null, parse_values, parsed_item
 from rubrica.operators.checks import content_key, list_values
@@ -120,7 +120,7 @@ def evaluate_items(
         return df
     term = lists = None
     # The lists are looked at twice, to resolve them and to join the answers: parse them once.
-    df = stored(df)
+    df = stored_columns(df)
     if "_codings" in lookups:
         df = attach_terms(df, {"_codings": "_term"}, compiled)
         term = F.col("_term")
@@ -156,7 +156,7 @@ def evaluate_messages(
     wanted = None if all_attributes else compiled.entities
     items = flatten(messages, compiled.model, keys, wanted, carry)
     evaluated = evaluate_items(items, compiled, keys, keep)
-    return stored(evaluated) if store else evaluated
+    return stored_columns(evaluated) if store else evaluated
 
 
 def results(
