@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rubrica.functions.stored import checkpoint_folder
+from rubrica.functions.stored import stored as cut_lineage
+
+__all__ = ["checkpoint_folder", "crc_of", "cut_lineage", "fit_in_task", "held_out", "slices", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,27 +35,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc_of(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share; in local mode one is made if none is set."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-        return folder
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="rubrica-")
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there: computed once, safe against lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """Cut a batch into pieces of at most about ``max_bytes`` of text, at least one row each."""
     at = batch.schema.get_field_index(column)
