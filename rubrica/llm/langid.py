@@ -30,7 +30,7 @@ SAMPLE = 2_000
 SEGMENT = 96
 CONTEXT = 8
 HIDDEN = 10
-EPOCHS = 6
+UPDATES = 190
 UNKNOWN = "und"
 #: Segments that run through the network together; bounds memory only.
 TOGETHER = 2_048
@@ -100,7 +100,7 @@ class LanguageModel:
         return totals / np.maximum(count, 1)[:, None]
 
 
-def train(segments: list[bytes], labels: list[str], seed: int = 7, epochs: int = EPOCHS, hidden: int = HIDDEN) -> LanguageModel:
+def train(segments: list[bytes], labels: list[str], seed: int = 7, updates: int = UPDATES, hidden: int = HIDDEN) -> LanguageModel:
     """Fit the network: every letter position of a segment is to say the segment's language."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
@@ -120,13 +120,12 @@ def train(segments: list[bytes], labels: list[str], seed: int = 7, epochs: int =
     truth = np.array([languages.index(x) for x in labels])
     adam = gru.Adam(w, 0.02)
     size = 64
+    epochs = -(-updates // -(-len(segments) // size))
     for epoch in range(epochs):
-        adam.rate = 0.02 * 0.7**epoch
+        adam.rate = 0.02 * 0.12 ** (epoch / epochs)
+        order = rng.permutation(len(segments))
         for a in range(0, len(segments), size):
-            pick = rng.permutation(len(segments))[:size] if a == 0 else order[a : a + size]
-            if a == 0:
-                order = rng.permutation(len(segments))
-                pick = order[:size]
+            pick = order[a : a + size]
             adam.update(_gradients(w, codes[:, pick], truth[pick]))
     return model
 
