@@ -16,6 +16,7 @@ repeated rows are packed once each; a null id is kept; extra columns are left ou
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -34,6 +35,11 @@ END_ID = 1
 #: Words a worker remembers; beyond that it starts afresh. Memory only, no effect on results.
 REMEMBERED = 600_000
 
+def one_thread() -> None:
+    """Spark runs a worker for each core; the library's own threads would only cost memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 _UNIT = re.compile(r"(?:[^\w\s]|[\d_])+[^\W\d_]*|[^\W\d_]+")
 
 
@@ -48,6 +54,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        one_thread()
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.letters = Tokenizer.from_file(path)

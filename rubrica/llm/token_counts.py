@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.packing import tokenizer_path
+from rubrica.llm.packing import one_thread, tokenizer_path
 from rubrica.llm.shared import slices
 
 CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 1024
 #: Words a worker remembers; beyond that it starts afresh. Memory only, no effect on results.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Words that are encoded together; an encoding takes a kilobyte and more.
 TOGETHER = 2_000
 
@@ -42,6 +42,7 @@ class TokenCounter:
 
         if not 0 < overlap < chunk:
             raise ValueError("the overlap must be shorter than a chunk")
+        one_thread()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
