@@ -35,6 +35,7 @@ END_ID = 1
 #: Words a worker remembers; beyond that it starts afresh. Memory only, no effect on results.
 REMEMBERED = 600_000
 
+
 def one_thread() -> None:
     """Spark runs a worker for each core; the library's own threads would only cost memory."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
