@@ -264,7 +264,7 @@ def test_counts_equal_the_librarys():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     rng = random.Random(3)
-    made = ["".join(rng.choice(["a", "é", " ", "  ", "\n", "1", "!", "'s", "<|endoftext|>", "word "]) for _ in range(400)) for _ in range(40)]
+    made = ["".join(rng.choice(["a", "é", " ", "  ", "²", "³5", "ǅ", "́", "\n", "1", "!", "'s", "<|endoftext|>", "word "]) for _ in range(400)) for _ in range(40)]
     made += ["x" * 2000, " " * 2000, "<|endoftext|>" * 80, "ab " * 500 + "y" * 1000 + " z" * 200]
     for chunk, overlap in ((50, 20), (64, 8), (200, 100), (32_768, 512)):
         counter = token_counts.TokenCounter(path, chunk, overlap)
