@@ -120,7 +120,7 @@ def _digits(t: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The four fixed kinds; matches that fail their check are dropped."""
-    octet = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    octet = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     length = lambda t: F.length(_digits(t))
     luhn = lambda t: F.when(length(t).between(13, 19), F.call_function("luhn_check", _digits(t))).otherwise(False)
     return {

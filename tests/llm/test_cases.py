@@ -185,6 +185,17 @@ def test_personal_data(spark, none):
     assert pii.summary(pii.find_spans(none.select("doc_id", "text"))[0]).count() == 0
 
 
+def test_address_parts_of_zeros(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "1.2.3.00", "127.0.0.1 and 192.168.0.1", "010.000.0255.1", "1.0.0256.1", "0.0.0.0300", "0" * 4000 + ".0.0.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.summary(pii.find_spans(docs)[0]).collect()}
+    assert [got[i]["n_ip"] for i in range(len(texts))] == [1, 1, 1, 2, 1, 0, 0, 1]
+    from tests.llm.test_queries import brute_spans
+
+    for i, t in enumerate(texts):
+        assert got[i]["spans"].startswith(",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t)))
+
+
 def test_reliable_labelers_get_more_weight():
     patterns = {"222222": 40, "122211": 30, "000000": 200, "101011": 150, "210101": 5}
     prior, odds = pii.estimate(patterns)
