@@ -15,6 +15,7 @@ from rubrica.llm import (
     langid,
     packing,
     pii,
+    similar,
     simhash_dedup,
     slots,
     token_counts,
@@ -387,3 +388,37 @@ def test_pipeline(spark, odd, none, tmp_path):
     # without letters: 4 rows; repeated: 2; near copies: none; contained item: 1; pieces of the long text.
     assert kept[:4] == [6, 4, 4, 3] and kept[4] > 15
     assert kept[5:] == [0] * 5
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, linked = [], {}
+    for k in range(400):
+        words = [word() for _ in range(120)]
+        copy = list(words)
+        for at in range(7, 7 + 11 * rng.randrange(1, 5), 11):
+            copy[at] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    texts += [texts[0].upper().replace(" ", "\n"), "short one", "Short  one", "short two"]
+    sets = [frozenset(map(tuple, zip(*[w[i:] for i in range(5)]))) for w in (t.lower().split() for t in texts)]
+    for k in range(400):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        linked[k] = len(a & b) >= 0.8 * len(a | b)
+    assert 150 < sum(linked.values()) < 350
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
+    # Every pair is kept or joined by its exact similarity: a recall of 1 on these planted copies.
+    want = {2 * k for k in range(400)} | {2 * k + 1 for k in range(400) if not linked[k]} | {801, 803}
+    assert kept == want
+
+
+def test_near_copies_join_in_chains(spark):
+    words = [f"w{i}" for i in range(200)]
+    chain = []
+    for step in range(12):
+        chain.append(" ".join(words))
+        for at in (3 + 16 * step, 10 + 16 * step):
+            words[at % 200] = f"x{step}at{at}"
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()] == [0]
