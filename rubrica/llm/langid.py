@@ -15,6 +15,9 @@ answers; extra columns are left out; a null id counts as not held out.
 
 from __future__ import annotations
 
+import math
+import random
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,11 @@ CONTEXT = 8
 HIDDEN = 10
 UPDATES = 190
 UNKNOWN = "und"
+#: The class of letter noise, for models that may reject; no language has this name.
+NOISE = "\x00"
+#: Every so many labelled parts, one is not trained on but sets the rejection rule; fewer than LEAST_PARTS reject nothing.
+HELD = 4
+LEAST_PARTS = 50
 #: Segments that run through the network together; bounds memory only.
 TOGETHER = 2_048
 
@@ -48,6 +56,8 @@ class LanguageModel:
 
     languages: list[str]
     weights: dict[str, np.ndarray]
+    #: A text of n letter bytes is noise if noise is likelier than 1/2 + margin / sqrt(n).
+    margin: float = math.inf
 
     def position_scores(self, codes: np.ndarray) -> np.ndarray:
         """Probabilities (steps, languages, sequences) for byte codes (steps, sequences); 256 is padding."""
@@ -190,6 +200,68 @@ def train_sample(parts: list[str], languages: list[str], sample: int = SAMPLE) -
     return train(segments, labels)
 
 
+def noise(like: str, rng: random.Random) -> str:
+    """Letter noise as long as ``like``: base64 or base32, random letters in words, struck keys, or its letters replaced."""
+    kind, size = rng.randrange(5), len(like)
+    if kind == 0:
+        return "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=size))
+    if kind == 1:
+        return "".join(rng.choices(rng.choice((string.ascii_uppercase + "234567", string.ascii_letters + string.digits)), k=size))
+    if kind == 2:
+        letters = rng.choice((string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters))
+        return "".join(" " if x.isspace() else rng.choice(letters) for x in like)
+    if kind == 3:
+        row = rng.choice(("asdfghjkl", "qwertyuiop", "asdfjkl", "zxcvbnm", "qwertyuiopasdfghjklzxcvbnm"))
+        return "".join(rng.choices(row + " " * rng.randrange(2), k=size))
+    letters = rng.sample(string.ascii_lowercase, 26)
+    code = dict(zip(string.ascii_lowercase, letters)) | dict(zip(string.ascii_uppercase, map(str.upper, letters)))
+    return "".join(code.get(x, x) for x in like)
+
+
+def rejection_margin(model: LanguageModel, parts: list[str], safety: float = 1.5) -> float:
+    """The margin at which none of ``parts``, nor a beginning of one, is noise; then widened."""
+    if len(parts) < LEAST_PARTS or NOISE not in model.languages:
+        return math.inf
+    cuts = [p[:n] for p in parts for n in (4, 8, 16, 32, 64, len(p)) if n <= len(p) and any(map(str.isalpha, p[:n]))]
+    likely, letters = noise_likelihood(model, cuts)
+    return safety * max(1.0, float(((likely - 0.5) * np.sqrt(letters)).max(initial=0.0)))
+
+
+def noise_likelihood(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean probability of noise of each text, and its letter bytes."""
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(c) for c in coded])].astype(np.int64)
+    letters = letter_bytes(data)
+    return model.documents(data, bounds, letters)[:, model.languages.index(NOISE)], letter_counts(bounds, letters)
+
+
+def letter_counts(bounds: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[0, np.cumsum(letters)][bounds])
+
+
+def train_rejecting(parts: list[str], languages: list[str], sample: int = SAMPLE) -> LanguageModel:
+    """Train on the languages and on noise as one more class; parts held back set the rejection rule."""
+    known = [(p, x) for p, x in zip(parts, languages) if any(map(str.isalpha, p))]
+    if not known:
+        return LanguageModel([], {})
+    if len(known) < HELD * LEAST_PARTS:
+        return train_sample(*map(list, zip(*known)), sample)
+    back = [p for p, _ in known[::HELD]]
+    learned = [x for i, x in enumerate(known) if i % HELD]
+    share = max(1, sample // len({x for _, x in learned}))
+    rng = random.Random(7)
+    learned += [(noise(p, rng), NOISE) for p, _ in learned[:share]]
+    model = train_sample(*map(list, zip(*learned)), sample)
+    model.margin = rejection_margin(model, back)
+    return model
+
+
+def fit_rejecting(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """As ``fit``, but the model may say ``und`` of letter noise."""
+    return fit_in_task(training_segments(docs, sample), lambda a, b: train_rejecting(a, b, sample)) or LanguageModel([], {})
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and non-null lang of the rows of ``docs`` that are not held out; one task trains on the sample."""
     return fit_in_task(training_segments(docs, sample), lambda a, b: train_sample(a, b, sample)) or LanguageModel([], {})
@@ -245,7 +317,13 @@ def predict(model: LanguageModel, texts: list) -> tuple[list[str], list[float]]:
     if not model.languages:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     # Codes beyond ASCII that are no letters may count as positions; a text of them alone is unknown.
-    means = model.documents(data, bounds, letter_bytes(data))
+    letters = letter_bytes(data)
+    means = model.documents(data, bounds, letters)
+    if NOISE in model.languages:
+        at = model.languages.index(NOISE)
+        bound = 0.5 + model.margin / np.sqrt(np.maximum(letter_counts(bounds, letters), 1))
+        some = [ok and not reject for ok, reject in zip(some, means[:, at] > bound)]
+        means[:, at] = -1
     best = means.argmax(axis=1)
     labels = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, some)]
     scores = [float(min(1.0, means[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, some))]

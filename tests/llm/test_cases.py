@@ -422,3 +422,21 @@ def test_near_copies_join_in_chains(spark):
             words[at % 200] = f"x{step}at{at}"
     docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()] == [0]
+
+
+def test_language_stage_rejects_letter_noise(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["".join(rng.choices(letters, k=900)) for letters in ("ABCDEFabcdefghijklmnopqrstuvwxyzXYZ0123456789+/", "asdfghjkl", "abcdefghijklmnopqrstuvwxyz    ")]
+    clean = ["This.", "The.", "Von. Der und die.", "Que la.", "Thing."]
+    added = [(10**6 + i, t, None) for i, t in enumerate(junk + clean)]
+    out = corpus_pipeline.language(spark, docs.union(spark.createDataFrame(added, docs.schema)), "")
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert not kept & {10**6 + i for i in range(3)} and {10**6 + i for i in range(3, 8)} <= kept
+    letters = {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert letters == {i for i in kept if i < 10**6}
+
+
+def test_language_stage_without_labels(spark, odd):
+    out = corpus_pipeline.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), "")
+    assert out.columns == odd.columns and out.count() == 6
