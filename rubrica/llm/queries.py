@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import chat, decontaminate, exact_dedup, langid, packing, pii, simhash_dedup, slots, token_counts, toxicity
+from rubrica.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    langid,
+    lexical_search,
+    license_scan,
+    packing,
+    pii,
+    simhash_dedup,
+    slots,
+    token_alignment,
+    token_counts,
+    toxicity,
+)
 from rubrica.llm.shared import checkpoint_folder, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +162,47 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     spans, _ = pii.find_spans(table(spark, sf_dir, "documents"))
     return pii.summary(spans)
+
+
+@query()
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered templates of every document."""
+    return license_scan.summary(license_scan.find_licenses(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers."""
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+    ), corpus AS (
+        SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w)) :: BIGINT AS n_terms FROM docs
+    ), items AS (
+        SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS w FROM benchmark
+    ), item_terms AS (
+        SELECT i, item_id, unnest(w) AS term FROM items
+    ), tf AS (
+        SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+        WHERE term IN (SELECT term FROM item_terms) GROUP BY r, doc_id, n, term
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) :: BIGINT AS w
+        FROM tf, corpus GROUP BY term
+    ), scored AS (
+        SELECT i, item_id, r, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) :: BIGINT AS score
+        FROM tf JOIN weights USING (term) JOIN item_terms USING (term), corpus GROUP BY i, item_id, r, doc_id
+    )
+    SELECT item_id, rank :: INTEGER AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+    ) WHERE rank <= 10
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every test item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
