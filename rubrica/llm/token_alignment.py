@@ -34,9 +34,10 @@ from rubrica.llm.packing import one_thread, tokenizer_path
 from rubrica.llm.shared import slices
 from rubrica.llm.units import distinct, joinable, spaced, unit_starts
 
-BLOCK = 16 << 20
-#: Bytes of units that are encoded together; bounds memory only.
+BLOCK = 8 << 20
+#: Bytes of units that are encoded together, and units that are aligned together; both bound memory only.
 TOGETHER = 1 << 16
+ALIGNED = 1 << 15
 
 _KEPT = "doc_id long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, links binary, pairs array<struct<pair: long, n: long>>"
 _DONE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -117,9 +118,9 @@ class Side:
         cuts = np.unique(np.searchsorted(ends, np.arange(TOGETHER, len(row), TOGETHER)))
         parts = [p for p in np.split(some, cuts) if len(p)]
         stops = np.cumsum([size[p].sum() for p in parts], dtype=np.int64)
-        texts = [row[y - size[p].sum() : y] for p, y in zip(parts, stops)]
-        for part, text, ids in zip(parts, texts, self.vocabulary.encode([t.tobytes().decode() for t in texts]) if texts else []):
-            ids = np.array(ids, np.int64)
+        for part, stop in zip(parts, stops.tolist()):
+            text = row[stop - size[part].sum() : stop]
+            ids = np.array(self.vocabulary.encode([text.tobytes().decode()])[0], np.int64)
             token_ends, unit_ends = np.cumsum(self.lengths[ids]), np.cumsum(size[part])
             last = np.searchsorted(token_ends, unit_ends)
             same = len(token_ends) and token_ends[-1] == len(text) and (token_ends[last] == unit_ends).all()
@@ -177,7 +178,16 @@ class Units:
 
 
 def align_units(data: np.ndarray, bounds: np.ndarray, a: Side, b: Side) -> Units:
-    """Tokens, groups and links of every unit."""
+    """Tokens, groups and links of every unit, some at a time."""
+    parts = []
+    for x in range(0, max(1, len(bounds) - 1), ALIGNED):
+        own = bounds[x : x + ALIGNED + 1]
+        parts.append(_align_some(data[own[0] : own[-1]], own - own[0], a, b))
+    joined = [np.concatenate([getattr(p, k) for p in parts]) for k in ("good", "n_a", "n_b", "n_groups", "n_links")]
+    return Units(*joined, [g for p in parts for g in p.groups], np.concatenate([p.links for p in parts]))
+
+
+def _align_some(data: np.ndarray, bounds: np.ndarray, a: Side, b: Side) -> Units:
     a_ids, a_at, a_good = a.encode(data, bounds)
     b_ids, b_at, b_good = b.encode(data, bounds)
     good = a_good & b_good
