@@ -22,6 +22,7 @@ from rubrica.operators.evaluate import (
     table_results,
 )
 from rubrica.operators.flatten import align, flatten
+from rubrica.operators.message_rows import message_cards, message_rows
 from rubrica.operators.rollup import class_scores, informational, message_scores
 from rubrica.plans.context import EvalContext
 from rubrica.plans.rubric import Rubric, compile_rubric
@@ -152,10 +153,9 @@ _SCORE = "CAST(trunc(CAST({n} AS FLOAT) / CAST({d} AS FLOAT) * CAST(100 AS FLOAT
     {_N} + filled AS weighted_numerator, CASE WHEN lang IN ('en', 'fr') THEN 0 ELSE 1 END AS critical_failure_count, lines - filled AS info_skip, true AS succeeded FROM ({_L})""",
 )
 def message_scores_query(spark, sf):
-    """Whole message path: parse, flatten, evaluate in two stages, roll up."""
+    """Whole message path: parse, evaluate elements in their rows, roll up."""
     rubric = doc_rubric()
-    cards = message_scorecards(evaluate_messages(checked_docs(spark, sf), rubric, DOC_KEYS), rubric, DOC_KEYS)
-    return message_scores(cards, DOC_KEYS).select(
+    return message_scores(message_cards(checked_docs(spark, sf), rubric, DOC_KEYS), DOC_KEYS).select(
         "message_id", "numerator", "denominator", "score", "weighted_numerator", "critical_failure_count", "info_skip", "succeeded"
     )
 
@@ -183,8 +183,7 @@ def message_class_scores(spark, sf):
     UNION ALL SELECT 'LINES_ELM', 'ELEMENT_ISCLEAN', CASE WHEN regexp_matches(line, '[0-9]') THEN 'Passed' ELSE 'Failed' END FROM ({LINES})) GROUP BY ALL""",
 )
 def message_result_counts(spark, sf):
-    rubric = doc_rubric()
-    rows = message_results(evaluate_messages(checked_docs(spark, sf), rubric, DOC_KEYS, store=True), rubric, DOC_KEYS)
+    rows = message_rows(checked_docs(spark, sf), doc_rubric(), DOC_KEYS)
     return rows.groupBy("entity", "check", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -211,8 +210,8 @@ def message_path_equals_table_path(spark, sf):
         F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), payload.alias("payload"),
     )
     rubric = order_rubric()
-    ev = evaluate_messages(check_messages(msgs, MODEL, MODEL.mnemonic), rubric, DOC_KEYS)
-    return message_scores(message_scorecards(ev, rubric, DOC_KEYS), DOC_KEYS).select("message_id", "numerator", "denominator", "weighted_numerator")
+    cards = message_cards(check_messages(msgs, MODEL, MODEL.mnemonic), rubric, DOC_KEYS)
+    return message_scores(cards, DOC_KEYS).select("message_id", "numerator", "denominator", "weighted_numerator")
 
 
 # --- headers and validation ---------------------------------------------
@@ -345,7 +344,7 @@ def duplicate_messages(spark, sf):
     requests = twice.withColumn("request_key", F.concat_ws("#", "message_id", "_k")).withColumn("message_id", F.lit("same"))
     checked = check_messages(requests.drop("_k"), DOCS, DOCS.mnemonic)
     rubric = doc_rubric()
-    cards = message_scorecards(evaluate_messages(checked, rubric, keys), rubric, keys)
+    cards = message_cards(checked, rubric, keys)
     first = class_scores(cards, keys).filter(F.col("instance_count") == 1).select(*keys, "instance_count").distinct()
     return first
 
@@ -388,7 +387,7 @@ def lab_scores(spark, sf):
     """Lab rows end to end: mapping, terminology, the bundled lab rubric, scores."""
     rubric = lab_rubric(spark, sf)
     checked = check_messages(lab_messages(lab_rows(spark, sf), "clinic", "lab"), rubric.model, rubric.rubric.model_mnemonic)
-    cards = message_scorecards(evaluate_messages(checked, rubric, DOC_KEYS), rubric, DOC_KEYS)
+    cards = message_cards(checked, rubric, DOC_KEYS)
     return message_scores(cards, DOC_KEYS).select(
         "message_id", "numerator", "denominator", "score", "critical_failure_count", "info_pass", "info_fail", "scoring_skip"
     )

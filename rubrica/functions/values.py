@@ -297,6 +297,51 @@ def parsed_item(term: Column | None = None, lists: Column | None = None) -> Item
     )
 
 
+def raw_columns(name: str, kind: str, raw: Column, present: Column) -> list[dict[str, Column]]:
+    """Columns that hold a value of a known kind read from raw JSON text, in steps: those of a step
+    read only columns of steps before.  :func:`raw_item` puts them together; the meaning is that of
+    :func:`parse_values`."""
+    first = {f"{name}_raw": raw, f"{name}_present": present}
+    raw, present = F.col(f"{name}_raw"), F.col(f"{name}_present")
+    plain = F.coalesce(raw, F.when(present, F.lit("")))
+    if kind not in ("CC", "OBSVAL", "RV"):
+        return [first, {f"{name}_text": plain}]
+    m = F.col(f"{name}_m")
+    steps = [first, {f"{name}_m": F.when(F.substring(F.ltrim(raw), 1, 1) == "{", F.from_json(raw, "map<string,string>"))}]
+
+    def of(*names: str) -> Column:
+        return F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
+
+    if kind == "RV":
+        text = F.when(m.isNull(), plain).otherwise(of("text", "Text"))
+        return [*steps, {f"{name}_text": text, f"{name}_low": of("lowValue", "LowValue"), f"{name}_high": of("highValue", "HighValue")}]
+    shaped = F.map_contains_key(m, F.lit("text")) | F.map_contains_key(m, F.lit("codings"))
+    text = F.when(m.isNull(), plain).when(shaped, of("text")).otherwise(F.get(F.map_values(m), 0))
+    steps.append({f"{name}_text0": text, f"{name}_coded": F.when(m.isNotNull(), raw_codings(of("codings")))})
+    coded = F.col(f"{name}_coded")
+    label = F.when(coded.isNotNull(), concept_text(F.col(f"{name}_text0"), coded)).otherwise(F.col(f"{name}_text0"))
+    steps[-1] |= {f"{name}_type": of("type")} if kind == "OBSVAL" else {}
+    return [*steps, {f"{name}_text": label}]
+
+
+def raw_item(name: str, kind: str, types: Types = DATA_TYPES) -> Item:
+    """The :class:`Item` over the columns of :func:`raw_columns`."""
+    text, present = F.col(f"{name}_text"), F.col(f"{name}_present")
+    item = replace(Item.empty(kind), present=present, text=text)
+    if kind == "RV":
+        return replace(item, low=F.col(f"{name}_low"), high=F.col(f"{name}_high"))
+    if kind not in ("CC", "OBSVAL"):
+        return item
+    item = replace(item, codings=fill_displays(F.col(f"{name}_coded"), text))
+    if kind == "CC":
+        return item
+    kept = F.col(f"{name}_type")
+    is_object = F.substring(F.ltrim(kept), 1, 1) == "{"
+    type_text = F.when(is_object, F.get_json_object(kept, "$.text")).otherwise(kept)
+    code, number, number2 = settle_observation(text, type_text, types)
+    return replace(item, type_code=F.when(present, code), number=number, number2=number2)
+
+
 _CODING_LIST = "array<struct<system:string,`system-id`:string,code:string,display:string>>"
 _WITH_NULLS = {"ignoreNullFields": "false"}
 

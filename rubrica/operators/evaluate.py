@@ -77,7 +77,7 @@ def evaluate_items(
     late = compiled.late_probes(probes)
     early = [p for p in probes if p not in late]
     if any("content" in p.defn.needs for p in late):
-        raise ValueError("Content checks read other attributes of a row; they are evaluated on tables.")
+        raise ValueError("Content checks read other attributes of the element: use operators.message_rows.")
 
     # What the model and the rubric say about an entity: one row each.
     words = range(compiled.words)
@@ -420,11 +420,13 @@ class TableSource:
     """A table read as elements of one class.
 
     ``keys`` name the message a row belongs to; ``items`` maps attribute
-    mnemonics to :class:`Item` builders over the table's columns.
+    mnemonics to :class:`Item` builders over the table's columns.  Without ``class_mnemonic`` the rows
+    are of any class, which their column of that name tells; a row without ``element_seq`` is then a
+    class itself, and one without a class the root.
     """
 
     df: DataFrame
-    class_mnemonic: str
+    class_mnemonic: str | None
     keys: list[str]
     items: dict[str, Item]
     carry: list[str] = None
@@ -476,6 +478,54 @@ def content_answer(df: DataFrame, name: str, mnemonic: str, params: dict, ctx) -
 _ITEM_FIELDS = ("present", "kind", "text", "codings", "type_code", "number", "number2", "low", "high")
 
 
+@dataclass(frozen=True)
+class Slot:
+    """An entity that rows of a source may hold; ``here`` tells which do, None for all."""
+
+    entity: str
+    label: str
+    kind: str
+    level: str
+    owner: str | None
+    here: Column | None = None
+
+    def only(self, value: Column) -> Column:
+        return value if self.here is None else F.when(self.here, value)
+
+
+def source_slots(source: TableSource, compiled: CompiledRubric) -> list[Slot]:
+    """Attributes, classes and the root with criteria, in model order."""
+    model, one = compiled.model, source.class_mnemonic
+    if one is not None:
+        return [Slot(a.mnemonic, a.label, a.kind, "attribute", one) for a in model.data_class(one).attributes if compiled.for_entity(a.mnemonic)]
+    cls, is_element = F.col("class_mnemonic"), F.col("element_seq").isNotNull()
+    out = []
+    for owner, _, _, _, level, entity, _, label, kind in model.rows():
+        if level == "element" or not compiled.for_entity(entity):
+            continue
+        here = cls.isNull() if owner is None else (cls == owner) & (is_element if level == "attribute" else ~is_element)
+        out.append(Slot(entity, label, kind, level, owner, F.coalesce(here, F.lit(False))))
+    return out
+
+
+def element_slots(source: TableSource, compiled: CompiledRubric) -> list[Slot]:
+    """Elements with criteria."""
+    out = []
+    for c in compiled.model.classes:
+        if source.class_mnemonic not in (None, c.mnemonic) or not compiled.for_entity(c.element_mnemonic):
+            continue
+        here = None
+        if source.class_mnemonic is None:
+            here = F.coalesce((F.col("class_mnemonic") == c.mnemonic) & F.col("element_seq").isNotNull(), F.lit(False))
+        out.append(Slot(c.element_mnemonic, c.label, "ELM", "element", c.mnemonic, here))
+    return out
+
+
+def content_companions(compiled: CompiledRubric) -> set[str]:
+    """Attributes that content checks read beside their own."""
+    return {v for p in compiled.probes if "content" in p.defn.needs for k, v in p.params if k in ("CODE_ATTRIBUTE", "UNIT_ATTRIBUTE")}
+
+
 def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     """Masks per attribute and one state code per criterion, in the row.
 
@@ -483,49 +533,49 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     ``<i>_x_<w>``, ``<i>_reasons`` per evaluated entity i, ``s_<criterion id>``.
     """
     model, ctx = compiled.model, compiled.ctx
-    cls = model.data_class(source.class_mnemonic)
-    entities = [a for a in cls.attributes if compiled.for_entity(a.mnemonic)]
-    companions = {
-        v for p in compiled.probes if "content" in p.defn.needs for k, v in p.params if k in ("CODE_ATTRIBUTE", "UNIT_ATTRIBUTE")
-    }
-    read = entities + [a for a in cls.attributes if a.mnemonic in companions and a not in entities]
-    head = [*source.keys, *source.carry]
+    entities = source_slots(source, compiled)
+    companions = content_companions(compiled)
+    classes = [c for c in model.classes if source.class_mnemonic in (None, c.mnemonic)]
+    known = {s.entity for s in entities}
+    read = [(s.entity, s.kind) for s in entities]
+    read += [(a.mnemonic, a.kind) for c in classes for a in c.attributes if a.mnemonic in companions and a.mnemonic not in known]
+    head = [*source.keys, *source.carry, *([] if source.class_mnemonic else ["class_mnemonic"])]
 
     # Stage 0: typed values as plain columns, so that each is computed once.
     cols: list[Column] = []
     items: dict[str, Item] = {}
-    for i, a in enumerate(read):
-        item = source.items.get(a.mnemonic)
+    for i, (entity, kind) in enumerate(read):
+        item = source.items.get(entity)
         if item is None:
-            item = replace(Item.empty(a.kind), present=F.lit(False))
+            item = replace(Item.empty(kind), present=F.lit(False))
         fields = {}
         for f in _ITEM_FIELDS:
             cols.append(getattr(item, f).alias(f"v{i}_{f}"))
             fields[f] = F.col(f"v{i}_{f}")
-        items[a.mnemonic] = Item(
+        items[entity] = Item(
             **fields, term=item.term, lists=null("array<string>"), child_fails=F.lit(0)
         )
     seq = F.lit(None).cast("int") if source.element_seq is None else source.element_seq
     df = source.df.select(*head, seq.alias("element_seq"), *cols)
 
     # Stage 1: masks of the probes that only read the value.
-    mine = {a.mnemonic: compiled.probes_of(compiled.for_entity(a.mnemonic)) for a in entities}
+    mine = {s.entity: compiled.probes_of(compiled.for_entity(s.entity)) for s in entities}
     late = {m: compiled.late_probes(ps) for m, ps in mine.items()}
     cols, lookups, lists = [], {}, {}
     asked_content: list[tuple[int, Probe]] = []
-    for i, a in enumerate(entities):
-        m = a.mnemonic
+    for i, s in enumerate(entities):
+        m = s.entity
         early = [p for p in mine[m] if p not in late[m]]
         asked = early + [p for p in late[m] if "lists" in p.defn.needs]
         masks = mask_columns(early, compiled.words, items[m], ctx, reasons_from=asked)
-        cols += [c.alias(f"e{i}_{n}") for n, c in masks.items()]
+        cols += [s.only(c).alias(f"e{i}_{n}") for n, c in masks.items()]
         if late[m]:
             cols += [F.col(f"v{i}_present"), F.col(f"v{i}_kind")]
         if any("term" in p.defn.needs for p in late[m]):
-            cols.append(F.col(f"v{i}_codings"))
+            cols.append(s.only(F.col(f"v{i}_codings")).alias(f"v{i}_codings"))
             lookups[f"v{i}_codings"] = f"v{i}_term"
         if any("lists" in p.defn.needs for p in late[m]):
-            cols.append(list_values(items[m]).alias(f"v{i}_values"))
+            cols.append(s.only(list_values(items[m])).alias(f"v{i}_values"))
             lists[f"v{i}_values"] = f"v{i}_lists"
         for p in late[m]:
             if "content" in p.defn.needs:
@@ -545,12 +595,12 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
             hits.setdefault(i, []).append(F.when(F.col(f"{name}_ok"), key))
         found = {}
         for i, keys_of in hits.items():
-            known = F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>")
-            found[f"v{i}_lists"] = F.concat(F.coalesce(known, F.array().cast("array<string>")), F.array_compact(F.array(*keys_of)))
+            in_lists = F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>")
+            found[f"v{i}_lists"] = F.concat(F.coalesce(in_lists, F.array().cast("array<string>")), F.array_compact(F.array(*keys_of)))
         df = df.withColumns(found) if found else df
         more: dict[str, Column] = {}
-        for i, a in enumerate(entities):
-            if not late[a.mnemonic]:
+        for i, s in enumerate(entities):
+            if not late[s.entity]:
                 continue
             bare = replace(
                 Item.empty(),
@@ -561,49 +611,50 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
             )
             done = {n: F.col(f"e{i}_{n}") for w in range(compiled.words) for n in (f"f_{w}", f"x_{w}")}
             done["reasons"] = F.col(f"e{i}_reasons")
-            probes = late[a.mnemonic]
+            probes = late[s.entity]
             by_term = [p for p in probes if "lists" not in p.defn.needs]
             added = mask_columns(probes, compiled.words, bare, ctx, onto=done, reasons_from=by_term)
-            more.update({f"e{i}_{n}": c for n, c in added.items()})
+            more.update({f"e{i}_{n}": s.only(c) for n, c in added.items()})
         df = df.withColumns(more)
 
-    # Stage 2: state codes of the attribute criteria.
+    # Stage 2: state codes of the criteria.
     words = range(compiled.words)
     code_cols: dict[str, Column] = {}
-    for i, a in enumerate(entities):
+    of_class: dict[str | None, list[str]] = {}
+    for i, s in enumerate(entities):
         fail = [F.col(f"e{i}_f_{w}") for w in words]
         err = [F.col(f"e{i}_x_{w}") for w in words]
-        for c in compiled.for_entity(a.mnemonic):
-            code_cols[f"s_{c.id}"] = criterion_code(c, compiled, fail, err)
+        for c in compiled.for_entity(s.entity):
+            code_cols[f"s_{c.id}"] = s.only(criterion_code(c, compiled, fail, err))
+            if s.level == "attribute":
+                of_class.setdefault(s.owner, []).append(f"s_{c.id}")
     df = df.withColumns(code_cols) if code_cols else df
 
-    # Stage 3: criteria on the element itself.
-    late = compiled.for_entity(cls.element_mnemonic)
-    if late:
+    # Stage 3: criteria on the elements themselves.
+    for n, s in enumerate(element_slots(source, compiled), start=len(entities)):
+        last = compiled.for_entity(s.entity)
         fails = F.lit(0).cast("bigint")
-        for n in code_cols:
-            fails = fails + _flag(F.col(n) == FAILED)
+        for name in of_class.get(s.owner, []):
+            fails = fails + _flag(F.col(name) == FAILED)
         item = replace(Item.empty("ELM"), child_fails=F.col("_child_fails"))
-        n = len(entities)
-        own = mask_columns(compiled.probes_of(late), compiled.words, item, ctx)
-        df = df.withColumn("_child_fails", fails).withColumns({f"e{n}_{k}": v for k, v in own.items()})
+        own = mask_columns(compiled.probes_of(last), compiled.words, item, ctx)
+        df = df.withColumn("_child_fails", fails).withColumns({f"e{n}_{k}": s.only(v) for k, v in own.items()})
         fail = [F.col(f"e{n}_f_{w}") for w in words]
         err = [F.col(f"e{n}_x_{w}") for w in words]
-        df = df.withColumns({f"s_{c.id}": criterion_code(c, compiled, fail, err) for c in late}).drop(
-            "_child_fails"
-        )
-    return df.withColumn("class_mnemonic", F.lit(source.class_mnemonic))
+        df = df.withColumns({f"s_{c.id}": s.only(criterion_code(c, compiled, fail, err)) for c in last}).drop("_child_fails")
+    return df.withColumn("class_mnemonic", F.lit(source.class_mnemonic)) if source.class_mnemonic else df
 
 
 def table_criteria(source: TableSource, compiled: CompiledRubric) -> list[Compiled]:
-    cls = compiled.model.data_class(source.class_mnemonic)
-    mine = {a.mnemonic for a in cls.attributes} | {cls.element_mnemonic}
+    mine = {s.entity for s in source_slots(source, compiled) + element_slots(source, compiled)}
     return [c for c in compiled.criteria if c.criterion.entity in mine]
 
 
 def message_level_items(source: TableSource, compiled: CompiledRubric) -> DataFrame | None:
     """Root and class items of the messages in a table, one of each per message key;
     None when no criterion looks at them.  The class of the table is there, others are not."""
+    if source.class_mnemonic is None:
+        return None
     asked = {c.criterion.entity for c in compiled.criteria if c.level in ("root", "class")}
     rows = [
         (level, cls, entity, name, kind, cls is None or cls == source.class_mnemonic)
@@ -650,7 +701,7 @@ def _row_scorecards(source: TableSource, compiled: CompiledRubric) -> DataFrame:
         "class_mnemonic",
         "element_seq",
         *[counters[n].alias(n) for n in COUNTERS],
-        F.lit(1).cast("bigint").alias("is_element"),
+        (F.lit(1).cast("bigint") if source.class_mnemonic else _flag(F.col("element_seq").isNotNull())).alias("is_element"),
         counters["errors"].alias("errors"),
     )
 
@@ -659,23 +710,23 @@ def table_results(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     """One row per table row and criterion, with reasons; criteria on classes and the root
     add one row per message key."""
     df = evaluate_table(source, compiled)
-    cls = compiled.model.data_class(source.class_mnemonic)
-    entities = [a for a in cls.attributes if compiled.for_entity(a.mnemonic)]
-    slots = [(i, a.mnemonic, a.label, "attribute") for i, a in enumerate(entities)]
-    if compiled.for_entity(cls.element_mnemonic):
-        slots.append((len(entities), cls.element_mnemonic, cls.label, "element"))
     packs = [
-        F.struct(
-            F.lit(level).alias("level"),
-            F.lit(entity).alias("entity"),
-            F.lit(label).alias("name"),
-            *[F.col(f"e{i}_{k}_{w}").alias(f"{k}_{w}") for w in range(compiled.words) for k in ("f", "x")],
-            F.col(f"e{i}_reasons").alias("reasons"),
+        s.only(
+            F.struct(
+                F.lit(s.level).alias("level"),
+                F.lit(s.entity).alias("entity"),
+                F.lit(s.label).alias("name"),
+                *[F.col(f"e{i}_{k}_{w}").alias(f"{k}_{w}") for w in range(compiled.words) for k in ("f", "x")],
+                F.col(f"e{i}_reasons").alias("reasons"),
+            )
         )
-        for i, entity, label, level in slots
+        for i, s in enumerate(source_slots(source, compiled) + element_slots(source, compiled))
     ]
+    if not packs:
+        raise ValueError("The rubric has no criterion for the entities of this source.")
+    packed = F.array(*packs) if source.class_mnemonic else F.array_compact(F.array(*packs))
     head = [*source.keys, *source.carry]
-    long = df.select(*head, "class_mnemonic", "element_seq", F.explode(F.array(*packs)).alias("_p")).select(
+    long = df.select(*head, "class_mnemonic", "element_seq", F.explode(packed).alias("_p")).select(
         *head, "class_mnemonic", "element_seq", "_p.*"
     )
     rules = compiled.criteria_frame(source.df.sparkSession)

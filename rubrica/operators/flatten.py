@@ -7,13 +7,11 @@ the model declares for an element that exists.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.sources.messages import OBJECT_TYPE
 from rubrica.sources.model import EntityModel
+from rubrica.sources.payload import OBJECT_TYPE, typed_elements
 
 ITEM_COLUMNS = (
     "level",
@@ -28,12 +26,30 @@ ITEM_COLUMNS = (
 )
 
 
-def _class_list(model: EntityModel) -> Column:
-    """The classes of the model as a constant array; the first entry is the root."""
-    rows = [{"m": None, "f": None, "n": None, "one": True}] + [
-        {"m": c.mnemonic, "f": c.field, "n": c.label, "one": c.cardinality == "ONE"} for c in model.classes
-    ]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<m:string,f:string,n:string,one:boolean>>")
+def _class_list(model: EntityModel, typed: bool) -> Column:
+    """The classes of the model with their elements or their raw text; the first entry is the root."""
+
+    def entry(mnemonic, one: bool, elements: Column | None, raw: Column | None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(mnemonic).cast("string").alias("m"),
+            F.lit(one).alias("one"),
+            (none if elements is None else elements).cast(f"array<{OBJECT_TYPE}>").alias("t"),
+            (none if raw is None else raw).cast("string").alias("r"),
+            (F.col("_is_typed") if typed else F.lit(False)).alias("fits"),
+        )
+
+    root = F.col("_typed")[model.root_field] if typed else None
+    return F.array(
+        entry(None, True, None, None),
+        *[
+            entry(
+                c.mnemonic, c.cardinality == "ONE", typed_elements(root, c) if typed else None,
+                F.coalesce(F.try_element_at("_root", F.lit(c.field)), F.try_element_at("_root", F.lit(c.label))),
+            )
+            for c in model.classes
+        ],
+    )
 
 
 def elements(
@@ -50,45 +66,48 @@ def elements(
     None lists every class.  ``class_present`` tells which it was.
     A class of cardinality ONE is one element even when it is not an object;
     any other class must be an array, and what is no array has no elements.
-    ``messages`` needs ``root_raw``; messages with an ``error_message`` give no rows
-    (see ``check_messages``).
+    Messages with an ``error_message`` give no rows (see ``check_messages``).  The classes come
+    typed with the payload; only where its schema does not fit are they read from ``root_raw``.
     """
     keep = [*keys, *carry]
-    listed = _class_list(model)
-    error = ["error_message"] if "error_message" in messages.columns else []
-    if error:
+    typed = "_typed" in messages.columns
+    listed = _class_list(model, typed)
+    if "error_message" in messages.columns:
         # Neither a filter nor an explode of a plain column: Spark would push the test
         # below the header step and parse the payload again.
         listed = F.when(F.col("error_message").isNull(), listed)
-    # The root is parsed below the explode, once per message.
-    parsed = messages.select(*keep, F.from_json("root_raw", OBJECT_TYPE).alias("_root"), *error)
-    classes = parsed.select(*keep, "_root", F.explode(listed).alias("_c")).select(
+    # A loose root is parsed below the explode, once per message.
+    held = [c for c in ("_typed", "_is_typed", "error_message") if c in messages.columns]
+    parsed = messages.select(*keep, *held, F.from_json("root_raw", OBJECT_TYPE).alias("_root"))
+    classes = parsed.select(*keep, F.explode(listed).alias("_c")).select(
         *keep,
+        F.col("_c.fits").alias("_fits"),
         F.col("_c.m").alias("class_mnemonic"),
         F.col("_c.one").alias("_one"),
-        F.coalesce(
-            F.try_element_at("_root", F.col("_c.f")), F.try_element_at("_root", F.col("_c.n"))
-        ).alias("_raw"),
+        F.col("_c.t").alias("_elements"),
+        F.col("_c.r").alias("_raw"),
+        (F.col("_c.m").isNull() | F.col("_c.t").isNotNull() | F.col("_c.r").isNotNull()).alias("class_present"),
     )
     if always is not None:
-        shown = F.col("class_mnemonic").isNull() | F.col("_raw").isNotNull()
+        shown = F.col("class_present")
         classes = classes.filter(shown | F.col("class_mnemonic").isin(*sorted(always)) if always else shown)
     nothing = F.from_json(F.lit("{}"), OBJECT_TYPE)
-    typed = F.from_json("_raw", f"array<{OBJECT_TYPE}>")
+    whole = F.from_json("_raw", f"array<{OBJECT_TYPE}>")
     loose = F.transform(
         F.from_json("_raw", "array<string>"), lambda e: F.coalesce(F.from_json(e, OBJECT_TYPE), nothing)
     )
     is_array = F.substring(F.ltrim("_raw"), 1, 1) == "["
     found = (
-        F.when(F.col("_raw").isNull(), F.lit(None))
+        F.when(F.col("_fits"), F.col("_elements"))
+        .when(F.col("_raw").isNull(), F.lit(None))
         .when(F.col("_one"), F.array(F.coalesce(F.from_json("_raw", OBJECT_TYPE), nothing)))
-        .when(is_array, F.coalesce(typed, loose))
+        .when(is_array, F.coalesce(whole, loose))
     )
     itself = F.array(F.lit(None).cast(OBJECT_TYPE))
     return classes.select(
         *keep,
         "class_mnemonic",
-        (F.col("class_mnemonic").isNull() | F.col("_raw").isNotNull()).alias("class_present"),
+        "class_present",
         F.posexplode(F.concat(itself, F.coalesce(found, F.array().cast(f"array<{OBJECT_TYPE}>")))).alias(
             "element_seq", "props"
         ),

@@ -35,6 +35,8 @@ ERR_BAD_MODEL = "Invalid message model."
 ERR_BAD_RUBRIC_MODEL = "Invalid evaluation model."
 ERR_MODEL_MISMATCH = "Message model mnemonic does not match the evaluation rubric."
 ERR_ROOT = "Root token not found"
+#: Request property that names the model, unless the caller says otherwise.
+MODEL_PROPERTY = "ModelMnemonic"
 MODEL_PATTERN = r"^(.*?)_V(\d+)(?:_(.*))?$"
 
 # Lab sheet columns by position.

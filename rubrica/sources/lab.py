@@ -9,28 +9,17 @@ from pyspark.sql import functions as F
 
 from rubrica.functions.text import cell
 from rubrica.sources import fixed
+from rubrica.sources.numbering import NUMBER, numbered
 
 
 def read_lab_sheet(spark: SparkSession, path: str, sep: str = ",", header: bool = True, start_row: int = 1) -> DataFrame:
-    """CSV or tab-separated sheet; missing cells are empty, blank rows are dropped.
-    ``start_row`` is the first data row to read, counted from 1 in file order."""
+    """CSV or tab-separated sheet of one or more files; missing cells are empty, blank rows are dropped.
+    ``start_row`` is the first data row to read, counted from 1 over the files in the order of their paths."""
     schema = ", ".join(f"`{c}` string" for c in fixed.LAB_COLUMNS)
-    df = spark.read.csv(path, sep=sep, header=header, schema=schema, enforceSchema=True).na.fill("")
+    df = spark.read.csv(path, sep=sep, header=header, schema=schema, enforceSchema=True)
     if start_row > 1:
-        df = from_row(df, start_row)
-    return drop_blank(df, list(fixed.LAB_COLUMNS))
-
-
-def from_row(df: DataFrame, start_row: int) -> DataFrame:
-    """Rows from a place on.  One count per partition goes to the driver."""
-    marked = df.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    counts = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, keep = 0, F.lit(False)
-    for part, n in counts:
-        if before + n >= start_row:
-            keep = F.when(F.col("_part") == part, F.col("_place") + 1 + before >= start_row).otherwise(keep)
-        before += n
-    return marked.filter(keep).drop("_part", "_place")
+        df = numbered(df).filter(F.col(NUMBER) >= start_row).select(*fixed.LAB_COLUMNS)
+    return drop_blank(df.na.fill(""), list(fixed.LAB_COLUMNS))
 
 
 def drop_blank(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,54 +8,50 @@ from pyspark.sql import functions as F
 from rubrica.functions.text import blank_to_null, is_blank, map_get_ignore_case, nullable_date
 from rubrica.sources import fixed
 from rubrica.sources.model import EntityModel
+from rubrica.sources.numbering import FILE, ROW, numbered
+from rubrica.sources.payload import HEADER, OBJECT_TYPE, parsed_payload, readable
 
 MESSAGE_SCHEMA = (
     "provider_id string, source_id string, message_id string, "
     "model_mnemonic string, rubric_mnemonic string, payload string"
 )
 MESSAGE_KEYS = ("provider_id", "source_id", "message_id")
-OBJECT_TYPE = "map<string,string>"
 
 
-def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_requests(spark: SparkSession, path: str, fmt: str = "json", model_property: str = fixed.MODEL_PROPERTY) -> DataFrame:
     """Requests as message rows.
 
-    JSON lines carry the request properties, whose names are compared whole, ignoring
-    case; Parquet already has the columns of MESSAGE_SCHEMA.  Each request is a message
-    of its own, whatever its ids: ``request_key`` names it.
+    JSON lines carry the request properties, whose names are compared whole, ignoring case, the
+    first one wins; ``model_property`` names the one that holds the model.  Parquet already has the
+    columns of MESSAGE_SCHEMA.  Each request is a message of its own, whatever its ids: ``request_key``
+    names it.
     """
     if fmt == "parquet":
         return with_request_key(spark.read.parquet(path))
     m = F.from_json("value", OBJECT_TYPE)
 
-    def named(*names: str) -> Column:
-        return F.coalesce(*[map_get_ignore_case(F.col("m"), n) for n in names])
+    def named(name: str) -> Column:
+        return map_get_ignore_case(F.col("m"), name)
 
     rows = with_request_key(spark.read.text(path)).filter(F.trim("value") != "")
     return rows.select(m.alias("m"), "request_key").select(
         named("DataProviderID").alias("provider_id"),
         named("DataSourceID").alias("source_id"),
         named("MessageID").alias("message_id"),
-        model_property(F.col("m")).alias("model_mnemonic"),
+        named(model_property).alias("model_mnemonic"),
         named("EvaluationRubricMnemonic").alias("rubric_mnemonic"),
         named("MessageData").alias("payload"),
         "request_key",
     )
 
 
-def model_property(m: Column) -> Column:
-    """The request's model: ``ModelMnemonic``, which senders may prefix with up to four letters."""
-    hits = F.filter(F.map_entries(m), lambda kv: kv["key"].rlike("(?i)^[a-z]{0,4}modelmnemonic$"))
-    return F.get(hits, 0)["value"]
-
-
 def with_request_key(df: DataFrame) -> DataFrame:
-    """Rows read from files with ``request_key``: file and place in the input, so two requests with
-    the same ids stay two.  Frames to be joined on it must come from one stored frame."""
+    """Rows read from files with ``request_key``: the file's path and the row's number in it, so two
+    requests with the same ids stay two, and a later run gives the same keys."""
     if "request_key" in df.columns:
         return df
-    place = F.monotonically_increasing_id().cast("string")
-    return df.withColumn("request_key", F.concat_ws("#", F.col("_metadata.file_name"), place))
+    rows = numbered(df)
+    return rows.select(*df.columns, F.concat_ws("#", FILE, F.col(ROW).cast("string")).alias("request_key"))
 
 
 def widen(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -107,28 +103,39 @@ def resolve_header(
     messages: DataFrame,
     defaults: dict[str, Column] | None = None,
     overrides: dict[str, Column] | None = None,
+    model: EntityModel | None = None,
 ) -> DataFrame:
     """Add header columns: request over payload for the ids, payload over request
-    for the model.  Also keeps the parsed payload as ``_payload``."""
-    defaults, overrides = defaults or {}, overrides or {}
-    df = messages.withColumn("_payload", F.from_json("payload", OBJECT_TYPE))
+    for the model.
 
-    def prop(name: str) -> Column:
-        return F.try_element_at(F.col("_payload"), F.lit(name))
+    With a model the payload is parsed once, into ``_typed`` (see ``sources.payload``); ``_is_typed``
+    tells whether that says everything, and only otherwise ``_payload`` holds its properties as a map.
+    Without one all payloads are maps.
+    """
+    defaults, overrides = defaults or {}, overrides or {}
+    typed = None if model is None else parsed_payload(F.col("payload"), model)
+    if typed is None:
+        df = messages.withColumn("_payload", F.from_json("payload", OBJECT_TYPE))
+    else:
+        df = messages.withColumn("_typed", typed).withColumn("_is_typed", readable(F.col("_typed"), F.col("payload"), model))
+        df = df.withColumn("_payload", F.when(~F.col("_is_typed"), F.from_json("payload", OBJECT_TYPE)))
+    found = {h: F.try_element_at(F.col("_payload"), F.lit(h)) for h in HEADER}
+    if typed is not None:
+        found = {h: F.when(F.col("_is_typed"), F.col("_typed")[h]).otherwise(c) for h, c in found.items()}
 
     originals = {
-        "entity_model": F.coalesce(prop("EntityModel"), F.col("model_mnemonic")),
-        "provider": F.coalesce(F.col("provider_id"), prop("DataProviderID")),
-        "data_source": F.coalesce(F.col("source_id"), prop("DataSourceID")),
-        "client_message_id": F.coalesce(F.col("message_id"), prop("MessageID")),
+        "entity_model": F.coalesce(found["EntityModel"], F.col("model_mnemonic")),
+        "provider": F.coalesce(F.col("provider_id"), found["DataProviderID"]),
+        "data_source": F.coalesce(F.col("source_id"), found["DataSourceID"]),
+        "client_message_id": F.coalesce(F.col("message_id"), found["MessageID"]),
     }
     cols: dict[str, Column] = {}
     for name, original in originals.items():
         cols[name] = header_value(original, defaults.get(name), overrides.get(name))
         cols[f"{name}_state"] = header_state(original, defaults.get(name), overrides.get(name))
-    cols["transaction_date"] = nullable_date(
-        header_value(prop("TransactionDate"), defaults.get("transaction_date"), overrides.get("transaction_date"))
-    )
+    date = (found["TransactionDate"], defaults.get("transaction_date"), overrides.get("transaction_date"))
+    cols["transaction_date"] = nullable_date(header_value(*date))
+    cols["transaction_date_state"] = header_state(*date, is_date=True)
     return df.withColumns(cols)
 
 
@@ -160,15 +167,18 @@ def root_token(payload: Column, model: EntityModel) -> Column:
 
 
 def check_messages(messages: DataFrame, model: EntityModel, rubric_model: str) -> DataFrame:
-    """Add header columns, ``root_raw`` and ``error_message`` (NULL when the message
-    can be scored).  Errors are reported in the order the steps run."""
-    df = resolve_header(messages).withColumn("root_raw", root_token(F.col("_payload"), model))
+    """Add header columns, the parsed payload and ``error_message`` (NULL when the message
+    can be scored).  Errors are reported in the order the steps run.  ``root_raw`` is the root's
+    text for messages that the typed schema does not fit."""
+    df = resolve_header(messages, model=model)
+    typed = F.col("_is_typed") if "_is_typed" in df.columns else F.lit(False)
+    df = df.withColumn("root_raw", root_token(F.col("_payload"), model))
     error = (
-        F.when(F.col("_payload").isNull(), fixed.ERR_PAYLOAD)
+        F.when(~typed & F.col("_payload").isNull(), fixed.ERR_PAYLOAD)
         .when(F.col("provider").isNull(), fixed.ERR_PROVIDER)
         .when(F.col("data_source").isNull(), fixed.ERR_SOURCE)
         .when(F.col("client_message_id").isNull(), fixed.ERR_MESSAGE_ID)
         .when(model_error(F.col("model_mnemonic"), rubric_model).isNotNull(), model_error(F.col("model_mnemonic"), rubric_model))
-        .when(F.col("root_raw").isNull(), fixed.ERR_ROOT)
+        .when(~typed & F.col("root_raw").isNull(), fixed.ERR_ROOT)
     )
     return df.withColumn("error_message", error)

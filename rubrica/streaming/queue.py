@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from rubrica.operators.evaluate import evaluate_messages, message_scorecards
+from rubrica.operators.message_rows import message_cards
 from rubrica.operators.rollup import message_scores
 from rubrica.plans.rubric import CompiledRubric
 from rubrica.sources.messages import MESSAGE_SCHEMA, check_messages
@@ -40,8 +40,7 @@ def drop_redelivered(
 def score_batch(batch: DataFrame, compiled: CompiledRubric, keys: list[str]) -> DataFrame:
     """Scores of one batch, errors included."""
     checked = check_messages(batch, compiled.model, compiled.rubric.model_mnemonic)
-    evaluated = evaluate_messages(checked, compiled, keys)
-    scores = message_scores(message_scorecards(evaluated, compiled, keys), keys).select(
+    scores = message_scores(message_cards(checked, compiled, keys), keys).select(
         *keys, "numerator", "denominator", "score", "weighted_score", "critical_failure_count", "succeeded"
     )
     rejected = checked.filter(F.col("error_message").isNotNull()).select(

@@ -126,9 +126,47 @@ def test_lab_sheet(spark, tmp_path):
 
 
 def test_requests_file(spark, tmp_path):
-    (tmp_path / "r.json").write_text(json.dumps({"dataProviderID": "p", "dataSourceID": "s", "previousMessageID": "old", "messageID": "m", "otherModelMnemonics": "no", "someModelMnemonic": "M_V1", "evaluationRubricMnemonic": "R", "messageData": "{}"}) + "\n")
-    row = read_requests(spark, str(tmp_path / "r.json")).first()
+    request = {
+        "dataProviderID": "p", "dataSourceID": "s", "previousMessageID": "old", "messageID": "m", "oldModelMnemonic": "OLD_V1",
+        "senderModelMnemonic": "M_V1", "newModelMnemonic": "NEW_V1", "evaluationRubricMnemonic": "R", "messageData": "{}",
+    }
+    (tmp_path / "r.json").write_text(json.dumps(request) + "\n")
+    row = read_requests(spark, str(tmp_path / "r.json"), model_property="SenderModelMnemonic").first()
     assert (row.provider_id, row.message_id, row.model_mnemonic, row.rubric_mnemonic, row.payload) == ("p", "m", "M_V1", "R", "{}")
+    assert read_requests(spark, str(tmp_path / "r.json")).first().model_mnemonic is None
+
+
+def test_request_keys_do_not_depend_on_the_split(spark, tmp_path):
+    from rubrica.sources.messages import read_requests as read
+
+    for name, n in (("b", 50), ("a", 400), ("c", 7)):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"messageID": f"{name}{i}", "messageData": "x" * (i % 50)}) + "\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("128m", "2000", "7001"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.append({r.message_id: r.request_key for r in read(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) == 457
+    assert found[0]["a7"].endswith("a.json#8")
+
+
+def test_start_row_counts_over_files_in_order(spark, tmp_path):
+    line = lambda i: ",".join([str(i), *["x" * (i % 9)] * 21])
+    head = ",".join(fixed.LAB_COLUMNS)
+    for name, rows in (("a.csv", range(1, 6)), ("b.csv", range(6, 400)), ("c.csv", range(400, 403))):
+        (tmp_path / name).write_text("\n".join([head, *map(line, rows)]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for start in (1, 4, 9, 401, 500):
+                got = sorted(int(r.UniqueID) for r in read_lab_sheet(spark, str(tmp_path), start_row=start).select("UniqueID").collect())
+                assert got == list(range(start, 403))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_reference_files(spark, tmp_path):

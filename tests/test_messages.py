@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rubrica.catalog.registry import criterion
 from rubrica.functions.values import parse_values
 from rubrica.operators.audit import AUDIT_VALUES, audited_messages, extract_assessments
-from rubrica.operators.evaluate import COUNTERS, evaluate_messages, message_results, message_scorecards
+from rubrica.operators.evaluate import COUNTERS, evaluate_messages, message_results, message_scorecards, table_results, table_scorecards
 from rubrica.operators.flatten import flatten
 from rubrica.operators.rollup import class_scores, message_scores
 from rubrica.plans.context import EvalContext
@@ -258,3 +258,92 @@ def test_element_is_clean_second_stage(spark):
     rows = message_results(ev, rubric, KEYS).filter("entity = 'MANYS_ELM'").collect()
     assert sorted((r.element_seq, r.state) for r in rows) == [(1, "Passed"), (2, "Failed"), (3, "Failed")]
     assert message_scores(message_scorecards(ev, rubric, KEYS), KEYS).first().numerator == 3
+
+
+# --- messages as rows -----------------------------------------------------
+
+
+def cards_of(frame, extra=()):
+    held = ["message_id", "class_mnemonic", "element_seq", *COUNTERS, "is_element", "errors", *extra]
+    return {(r.message_id, r.class_mnemonic, r.element_seq): tuple(r) for r in frame.select(*held).collect() if any(r[n] for n in COUNTERS) or r.is_element}
+
+
+def test_rows_and_items_score_alike(spark, clinical, scored):
+    from rubrica.operators.message_rows import message_source
+
+    checked, items = scored
+    source = message_source(checked, clinical, KEYS)
+    cards = table_scorecards(source, clinical)
+    assert cards_of(cards) == cards_of(message_scorecards(items, clinical, KEYS))
+    out = message_scores(cards, KEYS).collect()
+    assert {r.message_id: (r.score, r.numerator, r.denominator) for r in out} == {k: v[1:] for k, v in GOLDEN.items()}
+    columns = ["message_id", "class_mnemonic", "element_seq", "entity", "criterion_id", "state", "fail_check", "skip_check", "reason"]
+    key = lambda frame: sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+    assert key(table_results(source, clinical)) == key(message_results(items, clinical, KEYS))
+
+
+ODD = {
+    "typed": '{"root":{"solo":{"a":"1","C":{"codings":[{"code":"x"}],"text":"t"}},"manys":[{"b":"1"},{"B":"2"}]}}',
+    "root spelled otherwise": '{"ROOT":{"solo":{"a":"1"},"manys":[{"b":"1"}]}}',
+    "one is no object": '{"root":{"solo":[1,2],"manys":{"b":"1"}}}',
+    "elements are no objects": '{"root":{"manys":[1,{"b":"x"},null,"y",[2]]}}',
+    "nulls": '{"root":{"solo":{"a":null,"C":null},"manys":null}}',
+    "first wins": '{"root":{"solo":{"A":"1","a":"2"}}}',
+    "empty": '{"root":{}}',
+    "no root": '{"other":1}',
+    "no object": "[1]",
+    "cut off": '{"root":{"solo":{"a":"1"',
+    "two roots": '{"Root":{"solo":{"a":"2"}},"root":{"solo":{"a":"1"}}}',
+}
+
+
+def odd_rubric(library=None):
+    model = EntityModel(
+        "M_V1", "root",
+        (
+            DataClass("SOLO", "solo", (Attribute("S_A", "a"), Attribute("S_C", "c", "CC"), Attribute("S_V", "v", "OBSVAL"), Attribute("S_R", "r", "RV")), "ONE", element="SOLO_ELM"),
+            DataClass("MANYS", "manys", (Attribute("M_B", "b"),), element="MANY_ELM"),
+        ),
+    )
+    rules = [
+        criterion("S_A", "ATTR_ISPOPULATED", 1), criterion("S_A", "ATTR_INLIST", 2, params={"LIST_CSV": "1"}, critical=True), criterion("S_C", "CONCEPT_HASCODE", 3, weight=3),
+        criterion("S_V", "OBSERVATIONVALUE_MATCHESTYPE", 4), criterion("S_R", "RANGEVALUE_ISCOMPLETE", 5, effect="Informational"),
+        criterion("M_B", "ATTR_ISINTEGER", 6, conditional="ATTR_ISPOPULATED"), criterion("MANY_ELM", "ELEMENT_ISCLEAN", 7),
+    ]
+    return model, compile_rubric(Rubric("R", tuple(rules), "r", "M_V1"), model, EvalContext())
+
+
+def test_typed_and_loose_payloads_mean_the_same(spark):
+    """Payloads that the typed schema does not fit are read property by property, and both ways alike."""
+    from rubrica.operators.message_rows import message_cards
+
+    model, rubric = odd_rubric()
+    checked = check_messages(requests(spark, ODD, "M_V1"), model, "M_V1")
+    errors = {r.message_id: r.error_message for r in checked.filter("error_message IS NOT NULL").collect()}
+    assert set(errors) == {"no root", "no object", "cut off"}
+    fits = {r.message_id for r in checked.filter("_is_typed").collect()}
+    assert "typed" in fits and "one is no object" not in fits and "root spelled otherwise" not in fits
+    by_rows = cards_of(message_cards(checked, rubric, KEYS))
+    assert by_rows == cards_of(message_scorecards(evaluate_messages(checked, rubric, KEYS), rubric, KEYS))
+    # Without the typed schema all are read the loose way.
+    loose = checked.drop("_typed", "_is_typed").withColumn("_m", F.from_json("payload", "map<string,string>"))
+    keys = F.transform(F.map_keys("_m"), lambda k: F.lower(k))
+    raw = F.get(F.map_values("_m"), (F.array_position(keys, F.lit("root")) - 1).cast("int"))
+    assert by_rows == cards_of(message_cards(loose.withColumn("root_raw", raw).drop("_m"), rubric, KEYS))
+    assert len([k for k in by_rows if k[0] == "elements are no objects" and k[1] == "MANYS"]) == 5
+
+
+def test_a_message_is_parsed_once_and_summed_in_one_exchange(spark, tmp_path):
+    from rubrica.operators.message_rows import message_cards
+
+    model, rubric = odd_rubric()
+    requests(spark, ODD, "M_V1").write.parquet(str(tmp_path / "m"))
+    checked = check_messages(spark.read.parquet(str(tmp_path / "m")), model, "M_V1")
+    scores = message_scores(message_cards(checked, rubric, KEYS), KEYS)
+    physical = scores._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Scan parquet") == 1
+    optimized = scores._jdf.queryExecution().optimizedPlan().toString()
+    # Classes and elements are exploded, attributes are not.
+    assert optimized.count("Generate ") == 2
+    typed = [x for x in optimized.split("from_json(") if x.startswith("StructField(EntityModel") or x.startswith("StructField(")]
+    assert len(typed) >= 1 and optimized.count("StructField(_unreadable") <= 1

@@ -160,20 +160,43 @@ def test_scorecards_of_a_table_need_no_shuffle_and_scores_one(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_terminology_works_without_keys_and_splits_no_list_by_key(spark):
+def test_lists_meet_answers_by_surrogate_keys(spark):
     from pyspark.sql import functions as F
 
-    from rubrica.functions.joins import list_join
-
-    left = spark.range(200).select(
-        "id", F.when(F.col("id") < 100, F.array(F.lit("a"))).when(F.col("id") < 150, F.array().cast("array<string>")).alias("l")
-    )
-    right = spark.createDataFrame([(["a"], 7), (["b"], 8)], "_list array<string>, v int")
-    got = list_join(left, right, "l")
-    assert got.columns == ["id", "l", "v"] and got.filter("v = 7").count() == 100 and got.count() == 200
-    # Rows that match nothing are spread by their other columns.
-    spread = left.filter("id >= 100").select(F.xxhash64("id", "l", F.lit(1)).alias("h")).distinct().count()
-    assert spread == 100
+    from rubrica.functions.joins import ListKeys
+
+    lists = {0: ["a"], 1: [], 2: None, 3: [None], 4: ["a", None], 5: [None, "a"], 6: ["", "a"], 7: ["a"]}
+    left = spark.createDataFrame([(k, v) for k, v in lists.items()], "id int, l array<string>")
+    keys = ListKeys(left, {"l": F.col("l")})
+    found = keys.dictionary()
+    # Equal lists share a key, others do not; a null entry is not the lack of one.
+    assert found.select("k1", "k2").distinct().count() == 4
+    sizes = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.id: r.n for r in keys.join(sizes, "n", {"l": "n"}).collect()}
+    assert got == {0: 1, 1: None, 2: None, 3: None, 4: 1, 5: 1, 6: 2, 7: 1}
+    plan = keys.join(sizes, "n", {"l": "n"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan
+
+
+def test_no_list_of_codings_is_moved(spark, tmp_path):
+    """Two concept columns, one join with the concepts, and only keys, systems and codes in exchanges."""
+    from rubrica.catalog.concept_queries import SYSTEMS
+
+    concepts = spark.createDataFrame([("urn:shop:part", str(i)) for i in range(9)], "system string, code string")
+    concepts.write.parquet(str(tmp_path / "c"))
+    spark.range(40).selectExpr("id AS k", "CAST(id % 11 AS STRING) AS a", "CAST(id % 7 AS STRING) AS b").write.parquet(str(tmp_path / "t"))
+    ctx = EvalContext(code_systems=SYSTEMS, terminology=Terminology(spark.read.parquet(str(tmp_path / "c"))))
+    rules = [criterion("PRT_CONCEPT", "CONCEPT_ISVALID"), criterion("PRT_CONCEPT", "CONCEPT_ISACTIVE", 2)]
+    concept = lambda c: Item.of_concept(None, codings(coding(F.col(c), F.lit("PARTS"), F.lit("x"))))
+    source = TableSource(spark.read.parquet(str(tmp_path / "t")), "PART", ["k"], {"PRT_CONCEPT": concept("a")})
+    cards = table_scorecards(source, compiled(rules, ctx))
+    plan = cards._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
+    physical = cards._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_codings" not in physical and "hashpartitioning(codings" not in physical
+    wrong = sum(1 for i in range(40) if i % 11 >= 9)
+    # Concepts without a status are not active.
+    assert cards.agg(F.sum("scoring_fail")).first()[0] == 40 + wrong
 
 
 def test_an_audited_message_reads_its_input_once(spark):
