@@ -28,32 +28,33 @@ from rubrica.streaming import queue
     """SELECT CAST(doc_id AS VARCHAR) AS message_id, source AS source_id, 'M_V1' AS model_mnemonic, 'R' AS rubric_mnemonic, md5('{"t":' || doc_id || '}') AS payload FROM documents""",
 )
 def requests_read(spark, sf):
-    """Request files with decoys: properties that only end like a request's."""
+    """Request files with decoys: properties that only end like a request's, before and after the right ones."""
     path = shared_folder(spark, "requests")
     request = F.struct(
-        F.lit("old").alias("previousMessageID"), F.lit("no").alias("otherModelMnemonic"),
+        F.lit("old").alias("previousMessageID"), F.lit("OLD_V1").alias("oldModelMnemonic"),
         F.col("doc_id").cast("string").alias("messageID"), F.lit("p").alias("DATAPROVIDERID"), F.col("source").alias("dataSourceId"),
-        F.lit("M_V1").alias("someModelMnemonic"), F.lit("R").alias("evaluationRubricMnemonic"),
+        F.lit("M_V1").alias("senderModelMnemonic"), F.lit("NEW_V1").alias("newModelMnemonic"), F.lit("R").alias("evaluationRubricMnemonic"),
         F.concat(F.lit('{"t":'), F.col("doc_id").cast("string"), F.lit("}")).alias("messageData"),
     )
     load(spark, sf, "documents").select(F.to_json(request).alias("value")).write.text(path)
-    rows = read_requests(spark, path)
+    rows = read_requests(spark, path, model_property="SenderModelMnemonic")
     return rows.select("message_id", "source_id", "model_mnemonic", "rubric_mnemonic", F.md5(F.col("payload").cast("binary")).alias("payload"))
 
 
 @register(
     "lab_sheet",
-    """SELECT CAST(event_id AS VARCHAR) AS "UniqueID", event_type AS "LabChemTestName", '' AS "Units" FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM events) WHERE r >= 11 AND event_type <> 'error'""",
+    """SELECT CAST(event_id AS VARCHAR) AS "UniqueID", event_type AS "LabChemTestName", '' AS "Units" FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM events) WHERE r >= 2001 AND event_type <> 'error'""",
 )
 def lab_sheet(spark, sf):
-    """A sheet file read from its eleventh row on; rows without any cell are dropped."""
+    """A sheet of several unequal files read from a row of its second file on; rows without any cell are dropped."""
     path = shared_folder(spark, "lab_sheet")
     filled = F.col("event_type") != "error"
     given = {"UniqueID": F.when(filled, F.col("event_id").cast("string")), "LabChemTestName": F.when(filled, F.col("event_type"))}
     cells = [F.coalesce(given.get(c, F.lit(None)), F.lit("")).alias(c) for c in fixed.LAB_COLUMNS]
-    # One file in the order of the events, as a sheet is.
-    load(spark, sf, "events").orderBy("event_id").select(*cells).coalesce(1).write.csv(path, header=True)
-    return read_lab_sheet(spark, path, start_row=11).select("UniqueID", "LabChemTestName", "Units")
+    # Ranges of events, so that the files' names are in the order of their rows.
+    ranges = load(spark, sf, "events").repartitionByRange(7, "event_id").sortWithinPartitions("event_id")
+    ranges.select(*cells).write.csv(path, header=True)
+    return read_lab_sheet(spark, path, start_row=2001).select("UniqueID", "LabChemTestName", "Units")
 
 
 @register(
@@ -144,9 +145,19 @@ def result_tables(spark, sf):
         F.pmod("o_custkey", F.lit(8)).cast("bigint").alias("run_id"), F.col("o_orderkey").cast("int").alias("row_num"),
         F.col("o_custkey").cast("string").alias("message_id"), F.col("o_orderstatus").alias("status"),
     )
-    sinks.write_results(rows, results)
     opened = runs.start_runs(rows.select(F.col("run_id").alias("id")).distinct())
     sinks.write_run(opened.withColumn("status", F.lit(runs.RUN_COMPLETED)), run_table)
+    known = spark.read.parquet(run_table)
+    sinks.write_results(rows, results, runs=known)
+    # Rows of a run that is not there are refused as a whole.
+    stray = rows.withColumn("run_id", F.when(F.col("row_num") % 100 == 0, F.lit(99)).otherwise(F.col("run_id")))
+    refused = False
+    try:
+        sinks.write_results(stray, results, runs=known)
+    except Exception as broke:
+        refused = "run_id 99 refers to no row" in str(broke)
+    if not refused:
+        raise ValueError("A stray run id was written.")
     joined = spark.read.parquet(results).join(spark.read.parquet(run_table).select(F.col("id").alias("run_id"), F.col("status").alias("run_status")), "run_id")
     return joined.groupBy(F.col("message_id").cast("bigint").alias("run_id")).agg(
         F.count(F.lit(1)).alias("results"), F.max("row_num").alias("last_row"), F.first("run_status").alias("status")
@@ -199,13 +210,56 @@ def stream_counters(spark, sf):
 )
 def queue_retries(spark, sf):
     """Queue items are taken, retried while they fail, and given up after three attempts."""
-    items, out, status, checkpoint = (shared_folder(spark, f"queue/{n}") for n in ("items", "out", "status", "checkpoint"))
+    items, out, checkpoint = (shared_folder(spark, f"queue/{n}") for n in ("items", "out", "checkpoint"))
     odd = F.pmod(F.col("message_id").cast("bigint"), F.lit(3)) == 0
     messages = _cards(spark, sf).withColumn("provider_id", F.when(~odd, F.col("provider_id")))
     sinks.enqueue(messages, 1, items, F.col("message_id"))
-    for _ in range(3):
-        _done(queue.drain_queue(queue.queue_stream(spark, items, 1), _card_rubric(), out, status, checkpoint, 3, items))
-    return spark.read.parquet(status).groupBy("status", "retry_count").agg(F.count(F.lit(1)).alias("n"))
+    for k in range(3):
+        # Items of another run come in between: batches of theirs hold nothing for this one.
+        sinks.enqueue(messages.limit(1), 2, items, F.col("message_id"))
+        _done(queue.drain_queue(queue.queue_stream(spark, items, 1), _card_rubric(), out, checkpoint, 3, items))
+    status = sinks.read_together(spark, out, queue.STATUS)
+    return status.groupBy("status", "retry_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "two_outputs",
+    """SELECT 'after the failure' AS moment, 'none' AS kind, CAST(0 AS BIGINT) AS n UNION ALL
+    SELECT 'after the retry', 'scores', count(*) FROM customer UNION ALL SELECT 'after the retry', 'status', count(*) FROM customer""",
+)
+def two_outputs(spark, sf):
+    """A batch fails after its scores and within its status rows: neither is there, after the retry both are."""
+    items, out, checkpoint = (shared_folder(spark, f"outputs/{n}") for n in ("items", "out", "checkpoint"))
+    sinks.enqueue(_cards(spark, sf), 1, items, F.col("message_id"))
+
+    def broken(scores, status, batch_id):
+        late = F.when(F.col("id") > 0, F.raise_error(F.lit("disk full"))).otherwise(F.col("status"))
+        return scores, status.withColumn("status", late)
+
+    def drain(alter):
+        _done(queue.drain_queue(queue.queue_stream(spark, items, 1), _card_rubric(), out, checkpoint, before_write=alter))
+
+    try:
+        drain(broken)
+    except Exception as broke:
+        if "disk full" not in str(broke):
+            raise
+    count = lambda df, moment: df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(moment).alias("moment"), "kind", "n")
+    schema = "kind string, batch_id bigint"
+    there = spark.read.schema(schema).option("recursiveFileLookup", False).parquet(_made(spark, out))
+    found = count(there, "after the failure").collect()
+    none = [("after the failure", "none", 0)] if not found else [tuple(r) for r in found]
+    before = spark.createDataFrame(none, "moment string, kind string, n bigint")
+    drain(None)
+    return before.unionByName(count(spark.read.schema(schema).parquet(out), "after the retry"))
+
+
+def _made(spark, path):
+    """The folder, which a failed first write may not have made."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    return path
 
 
 @register(

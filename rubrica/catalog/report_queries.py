@@ -3,17 +3,20 @@
 from pyspark.sql import functions as F
 
 from rubrica.catalog.check_queries import AS_OF
-from rubrica.catalog.registry import MODEL, compiled, criterion, load, register, text_items
+from rubrica.catalog.registry import MODEL, ORACLES, compiled, criterion, load, register, text_items
 from rubrica.catalog.score_queries import ORDER_STATES, order_cards, order_rubric, order_source
 from rubrica.catalog.concept_queries import SYSTEMS
+from rubrica.catalog.shared import shared_folder
 from rubrica.functions.text import score_band, status_class, truncate_value
 from rubrica.operators import runs
 from rubrica.operators.content import text_in_content_set, unit_is_primary, value_in_range_set
 from rubrica.operators.evaluate import TableSource, table_results, table_scorecards
+from rubrica.operators.message_rows import message_rows
 from rubrica.operators.rollup import class_scores, message_scores
 from rubrica.functions.values import Item, coding, codings
 from rubrica.plans.context import EvalContext
 from rubrica.sources import fixed, sinks
+from rubrica.sources.messages import check_messages
 from rubrica.sources.reference import ContentMarts
 
 RESULTS = f"""
@@ -206,6 +209,23 @@ def content_range(spark, sf):
     return out.groupBy("l_returnflag", "l_linestatus", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "content_range_many",
+    """SELECT o_orderpriority, ok, count(*) AS n FROM (
+    SELECT o_orderpriority, EXISTS (SELECT 1 FROM lineitem WHERE o_totalprice >= l_extendedprice AND o_totalprice <= l_extendedprice + l_quantity / 50) AS ok FROM orders) GROUP BY ALL""",
+)
+def content_range_many(spark, sf):
+    """All line items are ranges of one code and unit; each order's price is looked up among them."""
+    one = {"system": "PRICES", "code": "all", "unit": "money"}
+    ranges = load(spark, sf, "lineitem").select(
+        F.lit("RANGES").alias("content_set"), *[F.lit(v).alias(k) for k, v in one.items()],
+        F.col("l_extendedprice").alias("min_value"), (F.col("l_extendedprice") + F.col("l_quantity") / 50).alias("max_value"),
+    )
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", *[F.lit(v).alias(k) for k, v in one.items()])
+    out = value_in_range_set(orders, ranges, "RANGES", "system", "code", "unit", "o_totalprice", "ok")
+    return out.groupBy("o_orderpriority", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "content_unit",
     """SELECT l_returnflag, ok, count(*) AS n FROM (SELECT l_returnflag, coalesce(p_type = CASE WHEN l_quantity > 25 THEN 'LARGE' ELSE 'SMALL' END, false) AS ok
@@ -235,19 +255,11 @@ def content_text(spark, sf):
     return out.groupBy("doc_id", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(
-    "content_checks",
-    """SELECT entity, state, fail_check, count(*) AS n FROM (
-    SELECT 'LIN_NUMBER' AS entity, coalesce(p_type = unit AND l_quantity >= p_size AND (p_brand = 'Brand#1' OR l_quantity <= p_size + 20), false) AS ok, 'VALUE_IN_RANGE_SET' AS chk FROM lines
-    UNION ALL SELECT 'LIN_FLAG', coalesce(p_type = unit, false), 'UNIT_IS_PRIMARY' FROM lines
-    UNION ALL SELECT 'LIN_STATUS', s_suppkey IS NOT NULL, 'TEXT_IN_CONTENT_SET' FROM lines) r,
-    LATERAL (SELECT CASE WHEN ok THEN 'Passed' ELSE 'Failed' END AS state, CASE WHEN NOT ok THEN chk END AS fail_check) GROUP BY ALL""".replace(
-        "FROM lines",
-        "FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END AS unit FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON 2 * l_suppkey = s_suppkey)",
-    ),
-)
-def content_checks(spark, sf):
-    """The content tables as checks of a rubric: allowed text, range by code and unit, primary unit."""
+_LINE_UNIT = "CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END"
+
+
+def content_rubric(spark, sf):
+    """Allowed text, range by code and unit, and primary unit of lines, from parts and suppliers."""
     part = load(spark, sf, "part")
     code = [F.lit("urn:shop:part").alias("system"), F.col("p_partkey").cast("string").alias("code"), F.col("p_type").alias("unit")]
     upper = F.when(F.col("p_brand") != "Brand#1", F.col("p_size") + 20.0).alias("max_value")
@@ -261,10 +273,41 @@ def content_checks(spark, sf):
         criterion("LIN_FLAG", "UNIT_IS_PRIMARY", 2, params={"CONTENT_SET": "UNITS", "CODE_ATTRIBUTE": "LIN_PART"}),
         criterion("LIN_STATUS", "TEXT_IN_CONTENT_SET", 3, params={"CONTENT_SET": "NAMES"}),
     ]
-    items = text_items(LIN_NUMBER="l_quantity", LIN_FLAG="CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END", LIN_STATUS="2 * l_suppkey")
+    return compiled(rules, EvalContext(code_systems=SYSTEMS, content=content))
+
+
+@register(
+    "content_checks",
+    """SELECT entity, state, fail_check, count(*) AS n FROM (
+    SELECT 'LIN_NUMBER' AS entity, coalesce(p_type = unit AND l_quantity >= p_size AND (p_brand = 'Brand#1' OR l_quantity <= p_size + 20), false) AS ok, 'VALUE_IN_RANGE_SET' AS chk FROM lines
+    UNION ALL SELECT 'LIN_FLAG', coalesce(p_type = unit, false), 'UNIT_IS_PRIMARY' FROM lines
+    UNION ALL SELECT 'LIN_STATUS', s_suppkey IS NOT NULL, 'TEXT_IN_CONTENT_SET' FROM lines) r,
+    LATERAL (SELECT CASE WHEN ok THEN 'Passed' ELSE 'Failed' END AS state, CASE WHEN NOT ok THEN chk END AS fail_check) GROUP BY ALL""".replace(
+        "FROM lines",
+        "FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'SMALL' END AS unit FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON 2 * l_suppkey = s_suppkey)",
+    ),
+)
+def content_checks(spark, sf):
+    """The content tables as checks of a rubric: allowed text, range by code and unit, primary unit."""
+    items = text_items(LIN_NUMBER="l_quantity", LIN_FLAG=_LINE_UNIT, LIN_STATUS="2 * l_suppkey")
     items["LIN_PART"] = Item.of_concept(None, codings(coding(F.col("l_partkey"), F.lit("PARTS"), F.lit("x"))))
-    ctx = EvalContext(code_systems=SYSTEMS, content=content)
-    rows = table_results(TableSource(load(spark, sf, "lineitem"), "LINE", [], items), compiled(rules, ctx))
+    rows = table_results(TableSource(load(spark, sf, "lineitem"), "LINE", [], items), content_rubric(spark, sf))
+    return rows.groupBy("entity", "state", "fail_check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("content_checks_messages", ORACLES["content_checks"])
+def content_checks_messages(spark, sf):
+    """The same lines as messages, several to an order: siblings are looked up within the element."""
+    part = F.struct(F.array(F.struct(F.col("l_partkey").cast("string").alias("code"), F.lit("PARTS").alias("system"))).alias("codings"))
+    line = F.struct(
+        F.col("l_quantity").cast("string").alias("Number"), F.expr(_LINE_UNIT).alias("flag"), F.expr("CAST(2 * l_suppkey AS STRING)").alias("status"), part.alias("part")
+    )
+    orders = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    messages = orders.select(
+        F.lit("shop").alias("provider_id"), F.lit("lines").alias("source_id"), F.col("l_orderkey").cast("string").alias("message_id"),
+        F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), F.to_json(F.struct(F.struct("lines").alias("shop"))).alias("payload"),
+    )
+    rows = message_rows(check_messages(messages, MODEL, MODEL.mnemonic), content_rubric(spark, sf), ["message_id"])
     return rows.groupBy("entity", "state", "fail_check").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -354,12 +397,30 @@ def stream_scores(spark, sf):
 
 @register(
     "run_life_cycle",
-    f"""{_RUN}, CASE WHEN count(*) FILTER (WHERE value > 150) = count(*) THEN 'FAILED' ELSE 'COMPLETED' END AS status, max(ts) AS completed_at, min(ts) AS created_at
+    """SELECT event_type AS run_id, CASE WHEN event_type = 'error' THEN NULL ELSE count(*) END AS total_records,
+    CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 0 ELSE count(*) FILTER (value <= 150) END AS total_completed,
+    CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN count(*) ELSE count(*) FILTER (value > 150) END AS total_failed,
+    CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN event_type = 'error' THEN TIMESTAMP '2030-01-01' ELSE max(ts) END AS completed_at, min(ts) AS created_at
     FROM events GROUP BY event_type""",
 )
 def run_life_cycle(spark, sf):
-    """Runs are opened as IN_PROGRESS, then closed with their counters and times."""
-    events = load(spark, sf, "events")
-    opened = runs.start_runs(events.groupBy(F.col("event_type").alias("run_id")).agg(F.min("ts").alias("created_at")))
-    closed = runs.finish_runs(opened, events, "event_type", F.col("value") <= 150, F.max("ts"))
+    """A run whose messages all failed is completed; one whose job breaks off is failed."""
+    path, events = shared_folder(spark, "guarded"), load(spark, sf, "events")
+    failed_at = F.lit("2030-01-01").cast("timestamp")
+
+    def opened(which):
+        return runs.start_runs(events.filter(which).groupBy(F.col("event_type").alias("run_id")).agg(F.min("ts").alias("created_at")))
+
+    def job(which, ok):
+        return lambda: events.filter(which).select(F.col("event_type").alias("run_id"), ok.alias("ok"), "ts")
+
+    good = (F.col("value") <= 150) & (F.col("event_type") != "purchase")
+    runs.guarded_run(opened("event_type <> 'error'"), path, job("event_type <> 'error'", good), F.max("ts"), failed_at)
+    broken = F.when(F.col("value").isNotNull(), F.raise_error(F.lit("no connection"))).otherwise(F.lit(True))
+    try:
+        runs.guarded_run(opened("event_type = 'error'"), path, job("event_type = 'error'", broken), F.max("ts"), failed_at)
+    except Exception as broke:
+        if "no connection" not in str(broke):
+            raise
+    closed = runs.current_runs(spark.read.parquet(path))
     return closed.select("run_id", "total_records", "total_completed", "total_failed", "status", "completed_at", "created_at")

@@ -1,16 +1,16 @@
 """Content checks against the declared content tables.
 
 Each adds one boolean column.  The tables are joined; Spark picks the join by their
-size and splits rows of hot codes.  The ranges of one key are collected: a range table
-has a handful for each code and unit.
+size and splits rows of hot codes.  Ranges are first merged to disjoint intervals and then spread over
+bins of values, so a value meets the intervals of its bin only, however many ranges its key has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubrica.functions.joins import spread_left_join
+from rubrica.functions.joins import spread_hash, spread_left_join
 
 
 def text_in_content_set(
@@ -28,6 +28,29 @@ def text_in_content_set(
     return joined.withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_text", "_ok")
 
 
+def merged_ranges(ranges: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """Disjoint closed intervals (keys, lo, hi) that cover what the ranges cover; a missing bound is
+    infinite, ranges without any value are left out."""
+    wide = ranges.select(
+        *keys,
+        F.coalesce(F.col(low).cast("double"), F.lit(float("-inf"))).alias("lo"),
+        F.coalesce(F.col(high).cast("double"), F.lit(float("inf"))).alias("hi"),
+    ).filter("lo <= hi AND NOT isnan(lo) AND NOT isnan(hi)")
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
+    group = F.sum(fresh.cast("bigint")).over(order)
+    return wide.withColumn("_fresh", fresh).withColumn("_group", group).groupBy(*keys, "_group").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    ).drop("_group")
+
+
+def bin_of(value: Column, origin: Column, width: Column, bins: Column) -> Column:
+    """Number of the bin a value lies in, from 1; 0 below the origin, ``bins`` + 1 beyond the last."""
+    at = F.floor((value - origin) / width)
+    return F.when(value < origin, F.lit(0)).when(at >= bins, bins + 1).otherwise(at + 1).cast("bigint")
+
+
 def value_in_range_set(
     df: DataFrame,
     ranges: DataFrame,
@@ -39,15 +62,34 @@ def value_in_range_set(
     out: str = "range_ok",
 ) -> DataFrame:
     """Is the value inside one of the ranges given for (system, code, unit)?  A
-    missing bound is open; no range at all is no match.  The ranges of one key are
-    read as a list, so a row stays one row."""
+    missing bound is open; no range at all is no match.
+
+    An interval join: a key's merged intervals are disjoint and go to the bins they touch, as many bins as
+    there are intervals, so they are at most twice as many rows.  A value meets the intervals of its
+    key's bin, of which at most one holds it, so a row stays one row and nothing is collected.
+    """
     key = ["system", "code", "unit"]
-    listed = (
-        ranges.filter(F.col("content_set") == content_set)
-        .groupBy(*key)
-        .agg(F.collect_set(F.struct(F.col("min_value").alias("lo"), F.col("max_value").alias("hi"))).alias("_ranges"))
-        .select(F.struct(*[F.col(k).cast("string") for k in key]).alias("_key"), "_ranges")
+    own = ranges.filter(F.col("content_set") == content_set).select(
+        F.struct(*[F.col(k).cast("string").alias(k) for k in key]).alias("_key"), "min_value", "max_value"
     )
+    merged = merged_ranges(own, ["_key"], "min_value", "max_value")
+    finite = lambda c: F.when(F.abs(c) < F.lit(float("inf")), c)
+    shape = merged.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.coalesce(F.min(finite(F.col("lo"))), F.min(finite(F.col("hi"))), F.lit(0.0)).alias("_min"),
+        F.coalesce(F.max(finite(F.col("hi"))), F.max(finite(F.col("lo"))), F.lit(0.0)).alias("_max"),
+    )
+    origin = F.least("_min", "_max")
+    span = F.greatest("_min", "_max") - origin
+    shape = shape.select(
+        "_key", origin.alias("_origin"), F.when(span > 0, span / F.col("_n")).otherwise(F.lit(1.0)).alias("_width"), F.col("_n").alias("_bins")
+    )
+    place = lambda c: bin_of(c, F.col("_origin"), F.col("_width"), F.col("_bins"))
+    dealt = merged.join(shape, "_key").select(
+        "_key", "lo", "hi", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi")))).alias("_bin")
+    ).select(F.struct("_key", "_bin").alias("_place"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")
+    )
+
     left = df.withColumn(
         "_key",
         F.struct(
@@ -56,13 +98,14 @@ def value_in_range_set(
             F.col(unit).cast("string").alias("unit"),
         ),
     )
-    x = F.col(value)
-    inside = F.exists(
-        "_ranges",
-        lambda r: F.coalesce(x >= r["lo"], r["lo"].isNull()) & F.coalesce(x <= r["hi"], r["hi"].isNull()),
-    )
-    joined = spread_left_join(left, listed, "_key")
-    return joined.withColumn(out, x.isNotNull() & F.coalesce(inside, F.lit(False))).drop("_key", "_ranges")
+    x = F.col(value).cast("double")
+    shaped = spread_left_join(left, shape, "_key")
+    found = shaped.withColumn("_cell", F.when(x.isNotNull() & F.col("_bins").isNotNull(), F.struct("_key", place(x).alias("_bin"))))
+    found = found.withColumn("_hash", spread_hash(found, "_cell", F.col("_cell").isNotNull()))
+    dealt = dealt.withColumn("_hash2", F.xxhash64("_place"))
+    inside = (F.col("_hash") == F.col("_hash2")) & (F.col("_cell") == F.col("_place")) & (x >= F.col("_lo")) & (x <= F.col("_hi"))
+    joined = found.join(dealt, inside, "left")
+    return joined.select(*[F.col(c) for c in df.columns if c != out], F.col("_lo").isNotNull().alias(out))
 
 
 def unit_is_primary(

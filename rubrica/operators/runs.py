@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,9 +89,9 @@ def start_runs(runs: DataFrame) -> DataFrame:
 
 
 def finish_runs(opened: DataFrame, messages: DataFrame, run: str, ok: Column, completed_at: Column) -> DataFrame:
-    """Open runs closed with the counters of their messages: COMPLETED, or FAILED when none
-    succeeded.  ``completed_at`` is an aggregate over a run's messages.  A run without
-    messages stays in progress; closed runs are left as they are."""
+    """Open runs closed as COMPLETED with the counters of their messages, also when all of these failed: a run is FAILED only
+    when its job breaks off (see :func:`fail_runs`).  ``completed_at`` is an aggregate over a run's messages.  A run
+    without messages stays in progress; closed runs are left as they are."""
     done = messages.groupBy(F.col(run).alias("run_id")).agg(
         F.count(F.lit(1)).alias("_records"),
         F.count(F.when(ok, 1)).alias("_completed"),
@@ -102,7 +104,7 @@ def finish_runs(opened: DataFrame, messages: DataFrame, run: str, ok: Column, co
         return F.when(close, value).otherwise(F.col(name)).alias(name)
 
     new = {
-        "status": F.when(F.col("_completed") > 0, RUN_COMPLETED).otherwise(RUN_FAILED),
+        "status": F.lit(RUN_COMPLETED),
         "total_records": F.col("_records"),
         "total_completed": F.col("_completed"),
         "total_failed": F.col("_records") - F.col("_completed"),
@@ -111,6 +113,48 @@ def finish_runs(opened: DataFrame, messages: DataFrame, run: str, ok: Column, co
     return joined.select(*[set_to(c, new[c]) if c in new else F.col(c) for c in opened.columns])
 
 
+def fail_runs(opened: DataFrame, failed_at: Column) -> DataFrame:
+    """Open runs closed as FAILED; their counters stay unknown."""
+    close = F.col("status") == IN_PROGRESS
+    new = {"status": F.lit(RUN_FAILED), "completed_at": failed_at.cast("timestamp")}
+    return opened.withColumns({c: F.when(close, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def guarded_run(
+    opened: DataFrame,
+    path: str,
+    job: Callable[[], DataFrame],
+    completed_at: Column,
+    failed_at: Column | None = None,
+    run: str = "run_id",
+    ok: str = "ok",
+) -> None:
+    """Run a job between the opening and the closing of its runs.
+
+    The opened runs are appended to the table at ``path``; ``job`` does the work and returns its messages
+    (``run``, ``ok`` and what ``completed_at`` aggregates).  When they are there the runs are appended once more as
+    closed, COMPLETED with counters; when the job or its messages fail, as FAILED, and the error goes on.
+    ``current_runs`` reads the table."""
+    spark = opened.sparkSession
+    opened.withColumn("closed", F.lit(False)).write.mode("append").parquet(path)
+    ids = opened.select("run_id")
+    opened = spark.read.parquet(path).filter(~F.col("closed")).drop("closed").join(ids, "run_id", "left_semi")
+    try:
+        closing = finish_runs(opened, job(), run, F.col(ok), completed_at)
+        closing.withColumn("closed", F.lit(True)).write.mode("append").parquet(path)
+    except Exception:
+        at = F.current_timestamp() if failed_at is None else failed_at
+        fail_runs(opened, at).withColumn("closed", F.lit(True)).write.mode("append").parquet(path)
+        raise
+
+
+def current_runs(log: DataFrame) -> DataFrame:
+    """One row for each run of a table written by :func:`guarded_run`: as it was closed, else as it was opened."""
+    columns = [c for c in log.columns if c not in ("run_id", "closed")]
+    last = F.max_by(F.struct(*columns), F.col("closed").cast("int"))
+    return log.groupBy("run_id").agg(last.alias("_r")).select("run_id", "_r.*")
+
+
 def count_by(results: DataFrame, column: str) -> DataFrame:
     """Results per value of a column, most frequent first."""
     return results.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)

@@ -17,7 +17,7 @@ from rubrica.operators.message_rows import message_cards
 from rubrica.operators.rollup import message_scores
 from rubrica.plans.rubric import CompiledRubric
 from rubrica.sources.messages import MESSAGE_SCHEMA, check_messages
-from rubrica.sources.sinks import DONE, PENDING, QUEUE_FAILED, QUEUE_SCHEMA, pending, write_batch
+from rubrica.sources.sinks import DONE, PENDING, QUEUE_FAILED, QUEUE_SCHEMA, pending, requeue, write_batch, write_together
 
 
 def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA, **options) -> DataFrame:
@@ -27,7 +27,8 @@ def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA,
 
 def queue_stream(spark: SparkSession, path: str, run_id: int | None = None, **options) -> DataFrame:
     """Pending items of a queue table."""
-    return pending(spark.readStream.schema(QUEUE_SCHEMA).options(**options).parquet(path), run_id)
+    schema = f"{QUEUE_SCHEMA}, batch_id bigint"
+    return pending(spark.readStream.schema(schema).options(**options).parquet(path), run_id).drop("batch_id")
 
 
 def drop_redelivered(
@@ -57,48 +58,52 @@ def score_stream(
     checkpoint: str,
     after: Callable[[DataFrame, int], None] | None = None,
 ) -> DataStreamWriter:
-    """Score messages as they arrive and write the scores by batch."""
+    """Score messages as they arrive and write the scores by batch.  ``after`` gets the scores of each batch,
+    also of one without messages."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read for scores and for rejected messages: once from its source.
+        # The batch is read for scores and for rejected messages, the scores for the sink and ``after``: once each.
         batch = batch.persist()
+        scores = score_batch(batch, compiled, keys).persist()
         try:
-            write_batch(score_batch(batch, compiled, keys), out, batch_id)
+            write_batch(scores, out, batch_id)
+            if after is not None:
+                after(scores, batch_id)
         finally:
+            scores.unpersist()
             batch.unpersist()
-        if after is not None:
-            after(batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+SCORES, STATUS = "scores", "status"
+
+
 def drain_queue(
     queue: DataFrame,
     compiled: CompiledRubric,
     out: str,
-    status_out: str,
     checkpoint: str,
     max_retries: int = 3,
     requeue_to: str | None = None,
+    before_write: Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataStreamWriter:
     """Score pending queue items; write scores and one status row per item and attempt.
 
+    Scores and status of a batch are one write (``sinks.write_together``), so both are there or neither.
     A failed item stays PENDING with one more retry until ``max_retries``, then it is
-    FAILED.  With ``requeue_to`` (the folder the queue is read from) it is put there again,
-    so that the stream takes it once more; an attempt that is there already is not repeated.
+    FAILED.  With ``requeue_to`` (the folder the queue is read from) it is put there again, in this batch's
+    partition, so that the stream takes it once more; a repeated batch replaces that partition and reads no other.
+    ``before_write`` may alter both outputs.
     """
     keys = ["id", "retry_count"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
+        body = F.from_json("payload_json", MESSAGE_SCHEMA)
+        messages = batch.select("id", "run_id", "retry_count", body.alias("m")).select("id", "run_id", "retry_count", "m.*")
+        scored = score_batch(messages, compiled, keys).persist()
         try:
-            body = F.from_json("payload_json", MESSAGE_SCHEMA)
-            messages = batch.select("id", "run_id", "retry_count", body.alias("m")).select(
-                "id", "run_id", "retry_count", "m.*"
-            )
-            write_batch(score_batch(messages, compiled, keys), out, batch_id)
-            scored = spark.read.parquet(f"{out}/batch_id={batch_id}")
             status = batch.drop("error_message").join(
                 scored.select(*keys, "succeeded", F.col("error_message").alias("error_message")), keys, "left"
             )
@@ -106,13 +111,14 @@ def drain_queue(
             retries = F.when(ok, F.col("retry_count")).otherwise(F.col("retry_count") + 1)
             state = F.when(ok, DONE).when(retries >= max_retries, QUEUE_FAILED).otherwise(PENDING)
             settled = status.withColumns({"status": state, "retry_count": retries})
-            write_batch(settled.select("id", "run_id", "status", "retry_count", "error_message"), status_out, batch_id)
+            both = scored, settled.select("id", "run_id", "status", "retry_count", "error_message")
+            if before_write is not None:
+                both = before_write(*both, batch_id)
+            write_together({SCORES: both[0], STATUS: both[1]}, out, batch_id)
             if requeue_to is not None:
-                there = spark.read.schema(QUEUE_SCHEMA).parquet(requeue_to).select(*keys)
-                again = settled.filter(F.col("status") == PENDING).join(there, keys, "left_anti")
-                columns = [f.split()[0] for f in QUEUE_SCHEMA.split(", ")]
-                again.select(*columns).write.mode("append").parquet(requeue_to)
+                requeue(settled.filter(F.col("status") == PENDING), requeue_to, batch_id)
         finally:
+            scored.unpersist()
             batch.unpersist()
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -52,11 +52,96 @@ def test_queue_is_drained_with_status(spark, tmp_path):
     rubric = compiled(RULES)
     items = messages(spark, 5).withColumn("n", F.monotonically_increasing_id())
     sinks.enqueue(items.drop("n"), 7, str(tmp_path / "queue"), F.hash("message_id"))
-    q = drain_queue(queue_stream(spark, str(tmp_path / "queue"), 7), rubric, str(tmp_path / "out"), str(tmp_path / "status"), str(tmp_path / "cp"))
+    q = drain_queue(queue_stream(spark, str(tmp_path / "queue"), 7), rubric, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "status")).collect()
+    rows = sinks.read_together(spark, str(tmp_path / "out"), "status").collect()
     assert sorted((r.status, r.retry_count) for r in rows) == [("DONE", 0)] * 5 + [("PENDING", 1)]
     assert [r.error_message for r in rows if r.status == "PENDING"] == [fixed.ERR_PAYLOAD]
+    assert sinks.read_together(spark, str(tmp_path / "out"), "scores").count() == 6
+
+
+def test_batches_without_rows_go_through(spark, tmp_path):
+    """Items of another run alone make a batch that holds nothing for this one; so does an empty file of messages."""
+    rubric, seen = compiled(RULES), []
+    queue, out = str(tmp_path / "queue"), str(tmp_path / "out")
+    for run, n in ((8, 3), (7, 2), (8, 1)):
+        sinks.enqueue(messages(spark, n), run, queue, F.hash("message_id"))
+        drain_queue(queue_stream(spark, queue, 7), rubric, out, str(tmp_path / "cp"), 3, queue).trigger(availableNow=True).start().awaitTermination()
+    status = sinks.read_together(spark, out, "status")
+    assert {r.run_id for r in status.collect()} == {7} and status.filter("status = 'DONE'").count() == 2
+    messages(spark, 2).limit(0).write.json(str(tmp_path / "in"))
+    (tmp_path / "in" / "none.json").write_text("")
+    after = lambda scores, batch_id: seen.append(scores.count())
+    score_stream(message_stream(spark, str(tmp_path / "in")), rubric, KEYS, str(tmp_path / "o"), str(tmp_path / "c"), after).trigger(availableNow=True).start().awaitTermination()
+    assert seen in ([], [0])
+
+
+def test_a_queue_is_read_by_the_partitions_of_its_run(spark, tmp_path):
+    queue = str(tmp_path / "queue")
+    for run in (1, 2):
+        sinks.enqueue(messages(spark, 3), run, queue, F.hash("message_id"))
+    retry = spark.read.parquet(queue).filter("run_id = 1").withColumn("retry_count", F.lit(1))
+    for _ in range(2):
+        # A repeated batch replaces its own retries, and touches no other partition.
+        sinks.requeue(retry, queue, 5)
+    assert spark.read.parquet(queue).groupBy("run_id", "batch_id").count().count() == 3
+    plan = sinks.pending(spark.read.parquet(queue), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan
+    assert len(sinks.pending(spark.read.parquet(queue), 1).inputFiles()) > 0
+    assert sinks.pending(spark.read.parquet(queue), 1).count() == 8
+
+
+def test_results_refer_to_runs(spark, tmp_path):
+    runs_table = spark.createDataFrame([(1,), (2,)], "id long")
+    good = spark.createDataFrame([(1, 1, "m"), (2, 2, "n")], "run_id long, row_num int, message_id string")
+    sinks.write_results(good, str(tmp_path / "r"), runs=runs_table)
+    stray = spark.createDataFrame([(1, 3, "o"), (9, 4, "p")], "run_id long, row_num int, message_id string")
+    with pytest.raises(Exception, match="run_id 9 refers to no row"):
+        sinks.write_results(stray, str(tmp_path / "r"), runs=runs_table)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_runs_are_failed_by_their_job_alone(spark, tmp_path):
+    from rubrica.operators import runs
+
+    path = str(tmp_path / "runs")
+    opened = runs.start_runs(spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "run_id string, created_at string"))
+    work = spark.createDataFrame([("a", False, 1), ("a", False, 2), ("b", True, 3)], "run_id string, ok boolean, t int")
+    at = F.max(F.timestamp_seconds("t"))
+    runs.guarded_run(opened, path, lambda: work, at)
+
+    def aborted():
+        raise RuntimeError("cut off")
+
+    last = runs.start_runs(spark.createDataFrame([("c", "2024-01-03")], "run_id string, created_at string"))
+    with pytest.raises(RuntimeError, match="cut off"):
+        runs.guarded_run(last, path, aborted, at)
+    got = {r.run_id: (r.status, r.total_records, r.total_failed, r.completed_at is not None) for r in runs.current_runs(spark.read.parquet(path)).collect()}
+    assert got == {"a": ("COMPLETED", 2, 2, True), "b": ("COMPLETED", 1, 0, True), "c": ("FAILED", None, None, True)}
+
+
+def test_values_meet_ranges_by_bins(spark):
+    import random
+
+    from rubrica.operators.content import merged_ranges, value_in_range_set
+
+    rng = random.Random(3)
+    ranges = [("S", "s", k, "u", rng.choice([None, *[float(rng.randrange(50))] * 8]), rng.choice([None, *[float(rng.randrange(50))] * 8])) for k in "abc" for _ in range(12)]
+    ranges = [r for r in ranges if r[2] != "a" or (r[4] is not None and r[5] is not None)] + [("S", "s", "d", "u", 5.0, 5.0), ("S", "s", "e", "u", None, None), ("S", "s", "f", "u", 9.0, 1.0)]
+    # One key with an outlier: nearly all ranges in one bin.
+    ranges += [("S", "s", "g", "u", i / 10, i / 10 + 0.02) for i in range(60)] + [("S", "s", "g", "u", 1e12, 1e12 + 1)]
+    table = spark.createDataFrame(ranges, "content_set string, system string, code string, unit string, min_value double, max_value double")
+    values = [("s", k, "u", x) for k in "abcdefgh" for x in [None, -1.0, 0.0, 0.01, 0.05, 4.999, 5.0, 5.5, 1e12 + 0.5, 1e300, *map(float, range(0, 52, 3))]]
+    rows = spark.createDataFrame(values, "system string, code string, unit string, value double")
+    got = {(r.code, r.value): r.ok for r in value_in_range_set(rows, table, "S", "system", "code", "unit", "value", "ok").collect()}
+    want = {
+        (k, x): x is not None and any(c == k and (lo is None or x >= lo) and (hi is None or x <= hi) for _, _, c, _, lo, hi in ranges) for _, k, _, x in values
+    }
+    assert got == want and value_in_range_set(rows, table, "S", "system", "code", "unit", "value", "ok").count() == len(values)
+    merged = merged_ranges(table, ["code"], "min_value", "max_value").collect()
+    for k in "abg":
+        own = sorted((r.lo, r.hi) for r in merged if r.code == k)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
