@@ -5,10 +5,12 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rubrica.catalog.registry import by_key, criterion, load, register, states, tally, text_items
+from rubrica.catalog.registry import MODEL, by_key, criterion, load, register, states, tally, text_items
 from rubrica.functions.values import Item, coding, codings
-from rubrica.plans.checks import CheckDef, CheckLibrary, Outcome
+from rubrica.operators.evaluate import TableSource, table_results
+from rubrica.plans.checks import CheckDef, CheckLibrary, Outcome, Param
 from rubrica.plans.context import EvalContext
+from rubrica.plans.rubric import PROCESSING, Criterion, Rubric, compile_rubric, missing_checks
 from rubrica.sources.reference import ValueLists
 
 # Texts derived from table columns, the same on both sides.
@@ -383,3 +385,50 @@ def chk_default_and_sample(spark, sf):
     rules = [replace(base, check="NOT_WRITTEN"), replace(base, sequence=2, check="ATTR_TEST_1")]
     rows = states(load(spark, sf, "supplier"), "CUSTOMER", ["s_suppkey"], text_items(CUS_SEGMENT="s_name"), rules, EvalContext(library=_custom_library()))
     return rows.groupBy("check", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "criterion_processing_url",
+    """SELECT c_custkey, CASE WHEN c_acctbal >= 2000 THEN 'Passed' ELSE 'Failed' END AS state FROM customer""",
+)
+def criterion_processing_url(spark, sf):
+    """A check of our own that reads the criterion's processing URL beside its parameters."""
+
+    def at_least(item, params, ctx):
+        limit = int(params[PROCESSING].rpartition(":")[2]) * int(params["TIMES"])
+        return Outcome(item.text.cast("double") >= limit)
+
+    lib = CheckLibrary()
+    defs = {m: lib.get(m) for m in lib.mnemonics()}
+    defs["AT_LEAST"] = CheckDef("AT_LEAST", "At least", params=(Param("Times", "TIMES"),), fn=at_least, can_error=False)
+    rule = Criterion(1, "CUS_BALANCE", "AT_LEAST", params=(("TIMES", "10", "Times"),), processing="urn:least:200")
+    built = compile_rubric(Rubric("R", (rule,), "r", MODEL.mnemonic), MODEL, EvalContext(library=CheckLibrary(defs)))
+    source = TableSource(load(spark, sf, "customer"), "CUSTOMER", ["c_custkey"], text_items(CUS_BALANCE="c_acctbal"))
+    return table_results(source, built).select("c_custkey", "state")
+
+
+@register(
+    "rubric_faults",
+    """SELECT c_mktsegment, count(*) AS customers, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS check_missing, true AS repeated FROM customer GROUP BY c_mktsegment""",
+)
+def rubric_faults(spark, sf):
+    """Rubrics written from the segments: checks that the library does not have, and criteria that repeat."""
+    lib = CheckLibrary()
+    defs = {m: lib.get(m) for m in lib.mnemonics()}
+    for known in ("BUILDING", "MACHINERY"):
+        defs[known] = CheckDef(known, known, fn=lambda item, params, ctx: Outcome(item.present), can_error=False)
+    library = CheckLibrary(defs)
+    counts = load(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"))
+    # One criterion a segment.
+    segments = [r["c_mktsegment"] for r in counts.collect()]
+    rubric = Rubric("R", tuple(Criterion(i, "CUS_SEGMENT", s) for i, s in enumerate(segments)), "r", MODEL.mnemonic)
+    missing = missing_checks(rubric, library)
+    refused = []
+    for s in segments:
+        twice = Rubric("R", (Criterion(1, "CUS_SEGMENT", s), Criterion(1, "CUS_SEGMENT", s)), "r", MODEL.mnemonic)
+        try:
+            compile_rubric(twice, MODEL, EvalContext(library=library))
+        except ValueError as fault:
+            if "repeated" in str(fault):
+                refused.append(s)
+    return counts.select("c_mktsegment", "customers", F.col("c_mktsegment").isin(missing).alias("check_missing"), F.col("c_mktsegment").isin(refused).alias("repeated"))

@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from rubrica.catalog.concept_queries import SYSTEMS
 from rubrica.catalog.message_queries import CARD_RULES, CARDS, card_messages
 from rubrica.catalog.registry import compiled, criterion, load, register, text_items
 from rubrica.catalog.shared import shared_folder
-from rubrica.functions.values import Item
+from rubrica.functions.values import Item, coding, codings
 from rubrica.operators import runs
 from rubrica.operators.evaluate import TableSource, table_results
 from rubrica.operators.rollup import first_errors
@@ -19,7 +20,7 @@ from rubrica.sources import fixed, sinks
 from rubrica.sources.lab import read_lab_sheet
 from rubrica.sources.messages import read_requests
 from rubrica.sources.model import load_model
-from rubrica.sources.reference import ValueLists, read_data_types
+from rubrica.sources.reference import Terminology, ValueLists, read_data_types
 from rubrica.streaming import queue
 
 
@@ -75,6 +76,34 @@ def value_list_library(spark, sf):
     return table_results(source, compiled([rule], ctx)).select("c_custkey", "state")
 
 
+@register(
+    "library_entries",
+    """SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN 'Passed' ELSE 'Failed' END AS listed,
+    CASE WHEN c_nationkey < 10 THEN 'Passed' ELSE 'Failed' END AS in_set FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def library_entries(spark, sf):
+    """A value list as JSON lines and a value set as Parquet, one row an entry, written from the customers."""
+    lists, sets = shared_folder(spark, "list_entries"), shared_folder(spark, "set_entries")
+    customer, key = load(spark, sf, "customer"), F.col("c_custkey").cast("string")
+    entry = F.struct(F.lit("SOLVENT").alias("mnemonic"), key.alias("DataCode"), F.col("c_name").alias("DATATEXT"))
+    customer.filter("c_acctbal > 0").select(F.to_json(entry).alias("value")).write.text(lists)
+    customer.filter("c_nationkey < 10").select(F.lit("LOW").alias("Mnemonic"), F.lit("customer-id").alias("System"), key.alias("Code")).write.parquet(sets)
+    known = customer.select(F.lit("CUSTOMERS").alias("system"), key.alias("code"))
+    ctx = EvalContext(
+        code_systems=SYSTEMS, value_lists=ValueLists.read(spark, lists, "json"),
+        terminology=Terminology(known, Terminology.value_sets_from_library(spark, sets, "parquet")),
+    )
+    rules = [
+        criterion("ORD_STATUS", "ATTR_INEXTERNALLIST", 1, params={"EXTERNAL_LIST_MNEMONIC": "SOLVENT"}),
+        criterion("ORD_CUSTOMER", "CONCEPT_ISINVALUESET", 2, params={"value set mnemonic": "LOW"}),
+    ]
+    items = text_items(ORD_STATUS="CAST(o_custkey AS STRING)")
+    items["ORD_CUSTOMER"] = Item.of_concept(None, codings(coding(F.col("o_custkey"), F.lit("CUSTOMERS"), F.lit("x"))))
+    rows = table_results(TableSource(load(spark, sf, "orders"), "ORDER", ["o_orderkey"], items), compiled(rules, ctx))
+    state = lambda entity: F.max(F.when(F.col("entity") == entity, F.col("state")))
+    return rows.groupBy("o_orderkey").agg(state("ORD_STATUS").alias("listed"), state("ORD_CUSTOMER").alias("in_set"))
+
+
 @register(
     "library_by_mnemonic",
     "SELECT c_custkey, 'Segment rules' AS rubric_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Passed' ELSE 'Failed' END AS state FROM customer",

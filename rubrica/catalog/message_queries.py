@@ -29,7 +29,7 @@ from rubrica.plans.rubric import Rubric, compile_rubric
 from rubrica.sources import fixed
 from rubrica.sources.lab import drop_blank, lab_messages
 from rubrica.sources.messages import check_messages, fan_out, model_parts, resolve_header, widen
-from rubrica.sources.model import Attribute, DataClass, EntityModel, clinical_model
+from rubrica.sources.model import Attribute, DataClass, EntityModel, clinical_model, path_key
 from rubrica.sources.reference import CodeSystems, Terminology, ValueLists
 
 DOCS = EntityModel(
@@ -249,6 +249,36 @@ def header_resolve(spark, sf):
     )
 
 
+@register(
+    "header_date_state",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN 'Original' WHEN 'view' THEN 'Original' WHEN 'purchase' THEN 'Default' ELSE 'Original' END AS state,
+    CASE event_type WHEN 'click' THEN '2031-05-06' WHEN 'purchase' THEN '2030-01-02' ELSE CAST(ts AS DATE)::VARCHAR END AS day FROM events""",
+)
+def header_date_state(spark, sf):
+    """Where the transaction date came from; unlike texts, a date that is overridden still counts as original."""
+    kind = F.col("event_type")
+    date = F.when(kind == "purchase", F.lit(" ")).otherwise(F.col("ts").cast("string"))
+    msgs = load(spark, sf, "events").select(
+        "event_id", "event_type", F.lit("p").alias("provider_id"), F.lit("s").alias("source_id"), F.col("event_id").cast("string").alias("message_id"),
+        F.lit("M_V1").alias("model_mnemonic"), F.to_json(F.struct(date.alias("TransactionDate"))).alias("payload"),
+    )
+    out = resolve_header(msgs, {"transaction_date": F.lit("2030-01-02")}, {"transaction_date": F.when(kind == "click", "2031-05-06")})
+    return out.select("event_id", F.col("transaction_date_state").alias("state"), F.date_format("transaction_date", "yyyy-MM-dd").alias("day"))
+
+
+@register(
+    "item_paths",
+    """SELECT CAST(doc_id AS VARCHAR) AS message_id, path FROM (
+    SELECT doc_id, 'doc|LINES|LINES_ELM.' || CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS VARCHAR) || '|LNS_TEXT' AS path FROM documents
+    UNION ALL SELECT doc_id, 'doc|SUMMARY|SUMMARY_ELM.1|' || unnest(['SUM_LANG', 'SUM_ORIGIN', 'SUM_SIZE']) FROM documents
+    UNION ALL SELECT doc_id, unnest(['doc', 'doc|SUMMARY', 'doc|LINES', 'doc|SUMMARY|SUMMARY_ELM.1']) FROM documents)""",
+)
+def item_paths(spark, sf):
+    """Paths of the items that messages have, but for elements with many."""
+    items = flatten(checked_docs(spark, sf), DOCS, DOC_KEYS).filter("present AND entity <> 'LINES_ELM'")
+    return items.select("message_id", path_key("doc").alias("path"))
+
+
 _MODEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'shop_V2_EXT' WHEN '2-HIGH' THEN 'SHOP_V1' WHEN '3-MEDIUM' THEN 'OTHER_V1' WHEN '5-LOW' THEN 'SHOP' ELSE ' ' END"
 
 

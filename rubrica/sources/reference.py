@@ -44,6 +44,19 @@ def read_library(spark: SparkSession, path: str, entry_schema: str) -> DataFrame
     return text.select(F.explode(F.flatten(lists)).alias("e")).select("e.*")
 
 
+def read_entries(spark: SparkSession, path: str, fmt: str, names: dict[str, str]) -> DataFrame:
+    """A library kept as one row an entry, in JSON lines or Parquet, so that it is read by as many tasks as it
+    has blocks.  ``names`` maps properties (compared ignoring case) to columns; a missing one is NULL."""
+    if fmt == "json":
+        given = F.from_json("value", "map<string,string>")
+        rows = spark.read.text(path).filter(F.trim("value") != "").select(given.alias("m"))
+        return rows.select(*[map_get_ignore_case(F.col("m"), p).alias(c) for p, c in names.items()])
+    rows = spark.read.format(fmt).load(path)
+    held = {c.lower(): c for c in rows.columns}
+    value = lambda p: F.col(held[p.lower()]).cast("string") if p.lower() in held else F.lit(None).cast("string")
+    return rows.select(*[value(p).alias(c) for p, c in names.items()])
+
+
 @dataclass(frozen=True)
 class CodeSystem:
     mnemonic: str
@@ -126,7 +139,11 @@ class ValueLists:
         return ValueLists(table=table)
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> "ValueLists":
+    def read(spark: SparkSession, path: str, fmt: str = "library") -> "ValueLists":
+        """Lists of a library file, or with ``fmt`` ``json`` or ``parquet`` of files with one row an entry
+        (Mnemonic, DataCode, DataText), for lists too long for one file that is read whole."""
+        if fmt != "library":
+            return ValueLists.from_table(read_entries(spark, path, fmt, {"Mnemonic": "mnemonic", "DataCode": "code", "DataText": "text"}))
         lib = read_library(spark, path, VALUE_LIST_SCHEMA)
         rows = lib.select(F.col("Mnemonic").alias("mnemonic"), F.explode("CodeList").alias("c"))
         return ValueLists.from_table(
@@ -153,8 +170,11 @@ class Terminology:
         )
 
     @staticmethod
-    def value_sets_from_library(spark: SparkSession, path: str) -> DataFrame:
-        """Value-set library file -> (value_set, system, code) rows."""
+    def value_sets_from_library(spark: SparkSession, path: str, fmt: str = "library") -> DataFrame:
+        """Value-set library file -> (value_set, system, code) rows; with ``fmt`` ``json`` or ``parquet``
+        files with one row an entry (Mnemonic, system, code)."""
+        if fmt != "library":
+            return read_entries(spark, path, fmt, {"Mnemonic": "value_set", "system": "system", "code": "code"})
         lib = read_library(spark, path, VALUE_SET_SCHEMA)
         return lib.select(
             F.col("Mnemonic").alias("value_set"), F.explode("CodingList").alias("c")
