@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.ranks import numbered, offsets
 from rubrica.llm.shared import cut_lineage, slices
+from rubrica.llm.units import distinct, spaced
 
 CAPACITY = 4096
 END_ID = 1
@@ -86,38 +87,64 @@ class WordEncoder:
         for p, coded in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
             self.parts[p] = self.packed(coded.ids)
 
+    def _hard(self, words: list[str]) -> list[bool]:
+        """Which words the library has to see whole: not normalised, not printable, or with signs that lower case
+        or special tokens treat in their own way.  All words are looked at together first."""
+        text = "".join(words)
+        if text.isprintable() and not any(x in text for x in ("Σ", "İ", "<|")):
+            joined = "\n".join(words)
+            if text.isascii() or unicodedata.is_normalized("NFC", joined.lower()):
+                return [False] * len(words)
+        out = []
+        for w in words:
+            odd = "Σ" in w or "İ" in w or "<|" in w or not w.isprintable()
+            out.append(odd or not (w.isascii() or unicodedata.is_normalized("NFC", w.lower())))
+        return out
+
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > REMEMBERED:
             self.words.clear()
             self.parts.clear()
-        easy, hard, cut = [], [], []
-        for w in words:
-            low = w.lower()
-            odd = "Σ" in w or "İ" in w or "<|" in w or not w.isprintable()
-            if odd or not (low.isascii() or unicodedata.is_normalized("NFC", w)):
-                hard.append(w)
-            else:
-                easy.append(w)
-                cut.append(_UNIT.findall(low))
-        new = {p for parts in cut for p in parts if p not in self.parts}
-        self._learn_parts(list(new))
-        for w, parts in zip(easy, cut):
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+        hard_ones = self._hard(words)
+        hard = [w for w, odd in zip(words, hard_ones) if odd]
+        easy = [w for w, odd in zip(words, hard_ones) if not odd] if hard else words
+        lows = [w.lower() for w in easy]
+        letters = list(map(str.isalpha, lows))
+        cut = [None if plain else _UNIT.findall(low) for low, plain in zip(lows, letters)]
+        new = {low for low, plain in zip(lows, letters) if plain}
+        new.update(p for parts in cut if parts for p in parts)
+        self._learn_parts([p for p in new if p not in self.parts])
+        for w, low, parts in zip(easy, lows, cut):
+            self.words[w] = self.parts[low] if parts is None else b"".join([self.parts[p] for p in parts])
         for w, coded in zip(hard, self.whole.encode_batch(hard, add_special_tokens=False)):
             self.words[w] = self.packed(coded.ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.words.get, words)) for words in split]
-        missing = {w for words, got in zip(split, found) if None in got for w, v in zip(words, got) if v is None}
+    def encode(self, texts: pa.Array) -> tuple[bytes, list[int]]:
+        """Ids of all texts in a row, and where each text's begin and the last one's end, in bytes.
+
+        Arrow makes the words of the texts distinct, so Python sees each once; the ids of all words
+        are then gathered from those of the distinct ones."""
+        data, bounds = spaced(texts)
+        blank = (data == 32) | (data == 10)
+        edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        numbers, own, own_bounds = distinct(data[~blank], np.r_[0, np.cumsum(end - start)])
+        text = own.tobytes()
+        cuts = own_bounds.tolist()
+        words = [text[x:y].decode() for x, y in zip(cuts, cuts[1:])]
+        found = list(map(self.words.get, words))
+        missing = [w for w, v in zip(words, found) if v is None]
         if missing:
-            self._learn(list(missing))
-            fresh = {w: self.words[w] for w in missing}
-            found = [
-                got if None not in got else [fresh[w] if v is None else v for w, v in zip(words, got)]
-                for words, got in zip(split, found)
-            ]
-        return [b"".join(got) for got in found]
+            self._learn(missing)
+            found = [self.words[w] if v is None else v for w, v in zip(words, found)]
+        sizes = np.array([len(v) // 4 for v in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        first = np.cumsum(sizes) - sizes
+        n = sizes[numbers]
+        at = np.cumsum(n) - n
+        ids = flat[np.repeat(first[numbers] - at, n) + np.arange(n.sum())]
+        reach = np.r_[0, np.cumsum(n)]
+        return ids.tobytes(), (4 * reach[np.searchsorted(start, bounds)]).tolist()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -149,12 +176,12 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[list] = [[], [], [], [], [], []]
-                coded = words.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, ids in zip(part.column(0).to_pylist(), coded):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        for column, value in zip(rows, (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own)):
+                coded, at = words.encode(part.column(1))
+                for doc_id, x, y in zip(part.column(0).to_pylist(), at, at[1:]):
+                    ids = coded[x:y] + end
+                    for k, place in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[place : place + 4 * capacity]
+                        for column, value in zip(rows, (doc_id, k, place // 4, len(own) // 4, zlib.crc32(own), own)):
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
