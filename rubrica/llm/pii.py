@@ -1,11 +1,13 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Four kinds have fixed rules (email, ip, card, phone) and always stay.  Further candidates are
-tokens that mix digits into eight or more characters.  Six labelers (forms, gazetteers of words
-before the token, contexts, character make-up) vote yes, no or nothing on each.  Expectation
-maximisation over the counts of vote patterns (at most 3^6 rows) estimates how reliable every
-labeler is, without labels.  The resulting probabilities train a logistic span classifier on
-features of the span; it decides which candidates are kept, as kind ``secret``.
+Four kinds have fixed rules (email, ip, card, phone) and always stay.  Further candidates come from
+forms (tokens that mix digits into eight or more characters), from contexts (any value assigned to a
+word such as ``password``; names after a word such as ``contact:``), and from gazetteers (names after a
+title, houses in a street).  Eight labelers (forms, gazetteers, contexts, character make-up) vote yes,
+no or nothing on each.  Expectation maximisation over the counts of vote patterns (at most 3^8 rows)
+estimates how reliable every labeler is, without labels.  The resulting probabilities train a logistic
+span classifier on features of the span; it decides which candidates are kept, as kinds ``secret``,
+``name`` and ``address``.
 
 Positions are code points: a match starts where the lengths of the gaps and matches before it
 end.  Prefix sums go by blocks, so a text with very many matches stays affordable.
@@ -36,9 +38,26 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![A-Za-z0-9_.@%+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+(?!@)"
 
+#: Words that a private value is assigned to, that a name follows, and of titles and streets.
+ASSIGNED = r"(?:password|passwd|passphrase|pwd|pin|secret|api[_-]?key|access[_-]?key|token|ssn|iban|passport|plate)"
+VALUE = rf"(?<=(?i:\b{ASSIGNED})\s?[=:]\s?[\"']?)[^\s\"',;<>]{{3,128}}+"
+CALLED = r"(?:[Nn]ame|[Cc]ontact|[Pp]atient|[Ee]mployee|[Ss]igned|[Aa]ttn)"
+TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof)\.?"
+NAME = rf"(?:(?<=\b{CALLED}\s?:\s?)|\b{TITLE}\s)\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}"
+GIVEN = (
+    r"(?:Ada|Adam|Alan|Alice|Amir|Ana|Andrew|Anna|Carlos|Carmen|Claire|Daniel|David|Elena|Emma|Eva|Fatima|Francis|George|Grace|Hans|Ivan|"
+    r"James|Jan|Jane|Jean|John|Jorge|Jose|Juan|Julia|Karl|Laura|Lena|Li|Linda|Louis|Lucia|Luis|Maria|Marie|Mark|Mary|Michael|Mohammed|"
+    r"Nina|Olga|Omar|Paul|Pedro|Peter|Pierre|Robert|Rosa|Sara|Sofia|Susan|Thomas|Wei|William|Yuki)"
+)
+STREETS = r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Square|Terrace|St|Ave|Rd|Ln|Blvd)"
+STREET = rf"(?<![0-9])[0-9]{{1,5}}[a-z]?\s(?:\p{{Lu}}\p{{L}}+\s){{1,3}}{STREETS}\b"
+#: Kinds the method adds; the number of a candidate's source says which it is.
+ADDED = ("secret", "name", "address")
+SOURCES = ("secret", "secret", "name", "address")
+
 BEFORE = 24
 BLOCK = 256
-LABELERS = 6
+LABELERS = 8
 _PLACED = "array<struct<s:bigint,e:bigint,t:string,before:string,after:string>>"
 
 
@@ -139,29 +158,37 @@ def votes(x: Column) -> list[Column]:
     """1 (private), -1 (not) or 0 (no opinion) of each labeler on one candidate."""
     t, before, after = x["t"], x["before"], x["after"]
     share = F.length(_digits(t)) / F.length(t)
+    assigned = before.rlike(rf"(?i)\b{ASSIGNED}\s?[=:]\s?[\"']?$")
+    # Names and addresses are words: what their characters and the prose before them are says nothing.
+    words = t.rlike(r"^(?:\p{Lu}|[0-9]{1,5}[a-z]?\s\p{Lu})") & (t.rlike(r"\s") | before.rlike(rf"{CALLED}\s?:\s?$"))
     return [
         # forms
         _yes_no(
-            t.rlike(r"^(?:[0-9a-fA-F]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$"),
+            t.rlike(r"^(?:[0-9a-fA-F]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{4,8})$")
+            | t.rlike(rf"^(?:{TITLE}\s)?\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)+$|^{TITLE}\s\p{{Lu}}\p{{L}}+$|^[0-9].*\s{STREETS}$"),
             t.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[A-Za-z]+[_-]?[0-9]{1,4})$"),
         ),
         # gazetteers of words before it
         _yes_no(
-            before.rlike(r"(?i)(?:password|passwd|pwd|secret|token|key|ssn|iban|passport|account)[^A-Za-z0-9]{0,6}$"),
+            before.rlike(rf"(?i)(?:{ASSIGNED}|key|account|{CALLED}|(?:lives|living|resides|address|office)(?:\sat|\sin|:)?)[^A-Za-z0-9]{{0,6}}$"),
             before.rlike(r"(?i)(?:version|article|figure|isbn|page|model|chapter)[^A-Za-z0-9]{0,6}$"),
         ),
         # context on the left: assigned, or in running prose
-        _yes_no(before.rlike(r"[=:]\s*[\"']?$"), before.rlike(r"\p{L},?\s$")),
+        _yes_no(before.rlike(r"[=:]\s*[\"']?$"), before.rlike(r"\p{L},?\s$") & ~words),
         # context on the right: closes a quotation, or a path goes on
         _yes_no(after.isin('"', "'"), after.isin("/", "\\")),
         # make-up: letters and digits mixed in a long token, or hardly a digit
-        _yes_no((F.length(t) >= 12) & share.between(0.2, 0.9) & (F.length(t) <= 128), share < 0.1),
+        _yes_no((F.length(t) >= 12) & share.between(0.2, 0.9) & (F.length(t) <= 128), (share < 0.1) & ~words & ~assigned),
         # words inside it
-        _yes_no(~t.rlike(r"[A-Za-z]{4}"), t.rlike(r"[a-z]{6}")),
+        _yes_no(~t.rlike(r"[A-Za-z]{4}") & ~words, t.rlike(r"[a-z]{6}") & ~words & ~assigned),
+        # gazetteer of titles and words that names follow
+        _yes_no(t.rlike(rf"^{TITLE}\s\p{{Lu}}") | before.rlike(rf"{CALLED}\s?:\s?$"), t.rlike(r"^\p{Ll}+$") & ~assigned),
+        # gazetteers of given names, of streets, and of words that values are assigned to
+        _yes_no(t.rlike(rf"\s{STREETS}$|^(?:{TITLE}\s)?{GIVEN}\b") | assigned, before.rlike(r"(?i)(?:no|without|forgot|your)\s\w*\s?[=:]\s?$")),
     ]
 
 
-def features(x: Column) -> Column:
+def features(x: Column, source: int) -> Column:
     """A span's features as a short code: one digit for each of FEATURE_SIZES."""
     t, before, after = x["t"], x["before"], x["after"]
     share = F.length(_digits(t)) / F.length(t)
@@ -175,24 +202,42 @@ def features(x: Column) -> Column:
         F.when(before.rlike(r"[=:]$"), "0").when(before.rlike(r"[\"']$"), "1").when(before.rlike(r"\s$"), "2").otherwise("3"),
         F.when(after.rlike(r"^[\"']"), "0").when(after.rlike(r"^\s?$"), "1").otherwise("2"),
         F.when(before.rlike(r"[A-Za-z0-9]\s?[=:]\s?[\"']?$"), "1").otherwise("0"),
+        F.lit(str(source)),
     ]
     return F.concat(*parts)
 
 
-FEATURE_SIZES = (4, 5, 2, 2, 2, 4, 3, 2)
+FEATURE_SIZES = (4, 5, 2, 2, 2, 4, 3, 2, 4)
 
 
 def candidates(text: Column) -> Column:
-    """Start, end, vote code (one of 0, 1, 2 for -1, 0, 1 of each labeler) and feature code of each candidate."""
-    return F.transform(
+    """Start, end, source, vote code (one of 0, 1, 2 for -1, 0, 1 of each labeler) and feature code of each candidate.
+
+    A value that is a candidate by its form is not one again by its context.
+    """
+    found = [
         matches(text, TOKEN),
-        lambda x: F.struct(
-            x["s"].alias("s"),
-            x["e"].alias("e"),
-            F.concat(*[(v + 1).cast("string") for v in votes(x)]).alias("votes"),
-            features(x).alias("features"),
+        F.filter(
+            matches(text, VALUE, text.rlike(rf"(?i){ASSIGNED}\s?[=:]")),
+            lambda x: ~x["t"].rlike(r"^(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+$") & ~x["t"].rlike(EMAIL),
         ),
-    )
+        matches(text, NAME, text.rlike(rf"{TITLE}\s\p{{Lu}}|{CALLED}\s?:\s?\p{{Lu}}")),
+        matches(text, STREET, text.rlike(rf"[0-9][a-z]?\s\p{{Lu}}\p{{L}}+\s.{{0,80}}{STREETS}")),
+    ]
+
+    def coded(source: int, spans: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda x: F.struct(
+                x["s"].alias("s"),
+                x["e"].alias("e"),
+                F.lit(source).alias("source"),
+                F.concat(*[(v + 1).cast("string") for v in votes(x)]).alias("votes"),
+                features(x, source).alias("features"),
+            ),
+        )
+
+    return F.concat(*[coded(k, spans) for k, spans in enumerate(found)])
 
 
 @dataclass
@@ -295,14 +340,18 @@ def _joined(kind: str, spans: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SpanModel]:
-    """doc_id, an array of {s, e} for each kind and for ``secret``, and the fitted model."""
+    """doc_id, an array of {s, e} for each kind, fixed and added, and the fitted model."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     place = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
     base = {k: F.transform(c, place).alias(k) for k, c in base_spans(F.col("text")).items()}
     found = cut_lineage(rows.select("doc_id", *base.values(), candidates(F.col("text")).alias("candidates")))
     model = fit(found)
-    kept = F.transform(F.filter("candidates", lambda x: model.keeps(x["features"])), place)
-    return found.select("doc_id", *KINDS, kept.alias("secret")), model
+    def kept(kind: str) -> Column:
+        sources = [k for k, x in enumerate(SOURCES) if x == kind]
+        mine = F.filter("candidates", lambda x: x["source"].isin(*sources) & model.keeps(x["features"]))
+        return F.array_sort(F.transform(mine, place)).alias(kind)
+
+    return found.select("doc_id", *KINDS, *[kept(k) for k in ADDED]), model
 
 
 def summary(spans: DataFrame) -> DataFrame:
@@ -312,6 +361,6 @@ def summary(spans: DataFrame) -> DataFrame:
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _joined("secret", F.col("secret"))), ",").alias("spans"),
-        F.size("secret").cast("long").alias("n_secret"),
+        F.array_join(F.concat(base, *[_joined(k, F.col(k)) for k in ADDED]), ",").alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ADDED],
     )
