@@ -27,10 +27,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders written by ``stored_columns``, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored_columns(df: DataFrame) -> DataFrame:
     """As ``stored``, for wide rows of which later steps read a part: written as Parquet, so
-    that columns are compressed and read one by one.  The files stay until the folder is cleared."""
+    that columns are compressed and read one by one.  The files stay until ``clear_stored``."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/rubrica-{uuid.uuid4().hex}/stored"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/rubrica-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    df.write.parquet(f"{folder}/stored")
+    return spark.read.schema(df.schema).parquet(f"{folder}/stored")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this program has written, wherever Spark keeps it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Remove what ``stored_columns`` has written in this application, once no frame over it is needed; how many folders."""
+    folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        remove(spark, folder)
+    return len(folders)

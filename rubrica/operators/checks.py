@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rubrica.functions import text as tx
 from rubrica.functions.values import Item
 from rubrica.plans.checks import POPULATED, VALIDITY, Outcome, Param, check
+from rubrica.sources import fixed
 from rubrica.sources.fixed import QUALITATIVE_TYPES, UNKNOWN_DATA_TYPE
 
 SIMILAR_ENOUGH = 50
@@ -41,7 +42,7 @@ def attr_is_coded(item, params, ctx):
 def attr_is_date(item, params, ctx):
     empty = ~tx.not_empty(item.text)
     ts = tx.nullable_date(item.text)
-    reason = F.when(empty, F.lit("Attribute data not populated. Check sam dependencies"))
+    reason = F.when(empty, F.lit(fixed.NOT_POPULATED_DATE))
     out = _value_check(item, ts.isNotNull())
     return Outcome(out.passed, out.error, out.error_text, reason=reason)
 
@@ -125,7 +126,7 @@ def attr_is_negative(item, params, ctx):
 
 
 def _no_params() -> Outcome:
-    return Outcome(F.lit(False), error=F.lit(True), error_text="Parameter list was not supplied")
+    return Outcome(F.lit(False), error=F.lit(True), error_text=fixed.NO_PARAMETERS)
 
 
 @check("ATTR_INLIST", "Attribute is in list", fail_name="not in list", prerequisite=POPULATED, safe_after=(POPULATED,), params=(Param("List CSV", "LIST_CSV"),))
@@ -179,7 +180,7 @@ def attr_matches_regex(item, params, ctx):
 
 @check("ATTRIBUTE_INDICATOR_IS_TRUE", "Indicator is true", fail_name="indicator not true", prerequisite=POPULATED, safe_after=(POPULATED,))
 def attr_indicator_is_true(item, params, ctx):
-    return _value_check(item, item.is_concept | F.upper(item.text).isin(*TRUE_INDICATORS), ~tx.not_empty(item.text), "Value is not populated. Check the prerequisites.")
+    return _value_check(item, item.is_concept | F.upper(item.text).isin(*TRUE_INDICATORS), ~tx.not_empty(item.text), fixed.NOT_POPULATED)
 
 
 # --- coded concepts -----------------------------------------------------

@@ -109,9 +109,9 @@ class Rubric:
                     chk,
                     label,
                     fail,
-                    SCORING if effect == "S" else INFORMATIONAL,
+                    effect,
                     1,
-                    crit == "C",
+                    crit == "Critical",
                     cond or None,
                     tuple((p.mnemonic, value, p.name) for p in declared) if value else (),
                 )

@@ -35,6 +35,11 @@ ERR_BAD_MODEL = "Invalid message model."
 ERR_BAD_RUBRIC_MODEL = "Invalid evaluation model."
 ERR_MODEL_MISMATCH = "Message model mnemonic does not match the evaluation rubric."
 ERR_ROOT = "Root token not found"
+# Texts of answers that checks give.
+NOT_POPULATED_DATE = "Attribute data not populated. Check sam dependencies"
+NO_PARAMETERS = "Parameter list was not supplied"
+NOT_POPULATED = "Value is not populated. Check the prerequisites."
+
 #: Request property that names the model, unless the caller says otherwise.
 MODEL_PROPERTY = "ModelMnemonic"
 MODEL_PATTERN = r"^(.*?)_V(\d+)(?:_(.*))?$"
@@ -201,91 +206,137 @@ VITALSIGNS vitalSigns MANY
 
 # Rubric rows,
 #   sequence|entity|check|display name|failure name|effect|critical|conditional|parameter
-# Every weight is 1.  Effect S scores, I informs; C marks a critical criterion.
+# Every weight is 1.
 CORE_DATA_V3 = """
-1|LAB_TEST|CONCEPT_ISACTIVE|LOINC Code Active|Inactive LOINC Code|I|||
-2|LAB_TEST|CONCEPT_ISVALIDMEMBER|Lab Test is LOINC|Lab Test not LOINC|S|C||REGEN_LOINC
-3|LAB_ORD|CONCEPT_ISVALIDMEMBER|Lab Order is LOINC|Lab Order not LOINC|I|||REGEN_LOINC
-4|LAB_RESVALUE|CONCEPT_ISVALIDMEMBER|Lab Result is SNOMED-CT|Lab Result not SNOMED-CT|S||OBSERVATIONVALUE_ISQUALITATIVE|SNO_INT_USEXT
-5|LAB_RESUOM|ATTR_INEXTERNALLIST|Result Unit is UCUM|Result Unit not in UCUM|S||ATTR_ISPOPULATED|UCUM
-6|LAB_SPECTYPE|CONCEPT_ISVALIDMEMBER|Specimen Type is SNOMED-CT|Specimen Type not SNOMED-CT|S||ATTR_ISPOPULATED|SNO_INT_USEXT
-7|LAB_RSTAT|ATTR_ISPOPULATED|Result status is populated|Result status is unpopulated|S|||
-8|LAB_PERFDT|ATTR_ISPASTDATE|performed date is valid|performed date is invalid|S|||
-9|ALG_REACT|CONCEPT_ISVALIDMEMBER|Allergy Reaction is SNOMED-CT|Allergy Reaction is not SNOMED-CT|S|||SNO_INT_USEXT
-10|ALG_SUB|CONCEPT_ISVALIDMEMBER|Allergy Substance is RxNorm or SNOMED-CT|Allergy Substance is not RxNorm or SNOMED-CT|S|||SNO_INT_USEXT,NLM_RXN
-11|ALG_EFFDT|ATTR_ISPASTDATE|effective date is valid|effective date is invalid|S|||
-12|CND_COND|CONCEPT_ISVALIDMEMBER|Condition is SNOMED-CT or ICD10CM|Condition is not SNOMED-CT or ICD10CM|S|||SNO_INT_USEXT,WHO_ICD10CM_FULL
-13|CND_ONDT|ATTR_ISPASTDATE|Condition onset date is valid|Condition onset date is invalid|S|||
-14|CND_RESDT|ATTR_ISPASTDATE|Condition resolution date is valid|Condition resolution date is invalid|S||ATTR_ISPOPULATED|
-15|DEM_DOB|ATTR_ISPASTDATE|Date of birth is valid past date|Date of brith is invalid|S|||
-16|DEM_SEX|CONCEPT_ISVALIDMEMBER|Birth sex is SNOMED-CT|Birth sex not coded as SNOMED-CT|S|||SNO_INT_USEXT
-17|DEM_ETHN|CONCEPT_ISVALIDMEMBER|Ethnicity is valid code|Ethnicity is invalid|S|||CDC_RE
-18|DEM_RACE|CONCEPT_ISVALIDMEMBER|Race is valid concept|Race is invalid|S|||CDC_RE
-19|IMM_ADMDT|ATTR_ISPASTDATE|Immunization date is valid|Immunization date is invalid|S|||
-20|IMM_VACC|CONCEPT_ISVALIDMEMBER|Immunization is valid concept|Immunization is not valid concept|S|||FDA_PACK,CDC_CVX
-21|IMM_LOTNO|ATTR_ISPOPULATED|Immunization Lot number is populated|Immunization Lot number not populated|S|||
-22|MED_DRUG|CONCEPT_ISVALIDMEMBER|Medication is Compatible|Medication is invalid |S|||NLM_RXN,FDA_PACK
-23|MED_STDT|ATTR_ISPASTDATE|Medication date is valid|Medication date is invalid|S|||
-24|MED_DOSEAMT|ATTR_ISNUMERIC|Medication dose is a valid number|Medication dose is invalid|S|||
-25|MED_DOSEAMTUOM|ATTR_INEXTERNALLIST|Medication dose unit is valid|Medication dose unit is invalid|S|||UCUM
-26|MED_IND|ATTR_ISPOPULATED|Medication indication is populated|Medication indication not populated|S|||
-27|MED_FSTAT|ATTR_ISPOPULATED|Medication fill status is populated|Medication fill status not populated|S|||
-28|PRC_PROC|CONCEPT_ISVALIDMEMBER|Procedure is valid concept|Procedure is invalid|S|||SNO_INT_USEXT,AMA_CPT
-29|PRC_PRCDT|ATTR_ISPASTDATE|Procedure date is valid|Procedure date is invalid|S|||
-30|PRC_RSN|ATTR_ISPOPULATED|Procedure reason is populated|Procedure reason not populated|S|||
-31|ENC_DATETIME|ATTR_ISPASTDATE|Encounter date is in the past|Encounter date is in not the past|S|||
-32|ENC_DIAGNOSIS|CONCEPT_ISVALIDMEMBER|Diagnosis is SNOMED-CT or ICD-10-CM|Diagnosis is not SNOMED-CT or ICD-10-CM|S|||SNO_INT_USEXT,WHO_ICD10CM_FULL
-33|ENC_TYPE|ATTR_ISPOPULATED|Encounter type is populated|Encounter type is not populated|S|||
-34|ENC_DISPOSITION|ATTR_ISPOPULATED|Encounter disposition is populated|Encounter disposition is not populated|S|||
-35|ENC_LOCATION|ATTR_ISPOPULATED|Encounter location is populated|Encounter location is not populated|S|||
-36|VIT_VITAL|CONCEPT_ISVALIDMEMBER|Vital sign is valid concept|Vital sign is invalid|S|||REGEN_LOINC
-37|VIT_RESUNIT|ATTR_INEXTERNALLIST|Vital sign result unit is UCUM|Vital sign result unit is not UCUM|S||ATTR_ISPOPULATED|UCUM
-38|IMAGING_PROCEDURE|CONCEPT_ISVALIDMEMBER|Imaging Procedure is LOINC|Imaging Procedure is not LOINC|S|||REGEN_LOINC
-39|IMAGING_RPT_DATETIME|ATTR_ISPASTDATE|report date is valid|report date is invalid|S|||
-42|DOC_TYPE|CONCEPT_ISVALIDMEMBER|Document type is LOINC|Document type is not LOINC|S|||REGEN_LOINC
-43|DOC_EFFDATE|ATTR_ISPASTDATE|Document date is past date|Document date is not past date|S|||
-44|HA_ITEM|CONCEPT_ISVALIDMEMBER|Health status assessment is  LOINC or SNOMED-CT|Health status assessment is  not LOINC or SNOMED-CT|S|||REGEN_LOINC,SNO_INT_USEXT
-45|HA_EFFDT|ATTR_ISPASTDATE|Health Status assessment date is date in past|Health Status assessment date is not date in past|S|||
-46|GOAL_GOAL|ATTR_ISPOPULATED|goal is populated|goal is not populated|S|||
-47|GOAL_EFFDATE|ATTR_ISDATE|Goal date is valid|Goal date is invalid|S|||
-48|IMAGING_RPT_HASATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Image has attachment|Image is missing attachment|S|||
-48|DOC_HAS_ATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Document has attachment|Document does not have attachment|S|||
+1|LAB_TEST|CONCEPT_ISACTIVE|LOINC Code Active|Inactive LOINC Code|Informational|||
+2|LAB_TEST|CONCEPT_ISVALIDMEMBER|Lab Test is LOINC|Lab Test not LOINC|Scoring|Critical||REGEN_LOINC
+3|LAB_ORD|CONCEPT_ISVALIDMEMBER|Lab Order is LOINC|Lab Order not LOINC|Informational|||REGEN_LOINC
+4|LAB_RESVALUE|CONCEPT_ISVALIDMEMBER|Lab Result is SNOMED-CT|Lab Result not SNOMED-CT|Scoring||OBSERVATIONVALUE_ISQUALITATIVE|SNO_INT_USEXT
+5|LAB_RESUOM|ATTR_INEXTERNALLIST|Result Unit is UCUM|Result Unit not in UCUM|Scoring||ATTR_ISPOPULATED|UCUM
+6|LAB_SPECTYPE|CONCEPT_ISVALIDMEMBER|Specimen Type is SNOMED-CT|Specimen Type not SNOMED-CT|Scoring||ATTR_ISPOPULATED|SNO_INT_USEXT
+7|LAB_RSTAT|ATTR_ISPOPULATED|Result status is populated|Result status is unpopulated|Scoring|||
+8|LAB_PERFDT|ATTR_ISPASTDATE|performed date is valid|performed date is invalid|Scoring|||
+9|ALG_REACT|CONCEPT_ISVALIDMEMBER|Allergy Reaction is SNOMED-CT|Allergy Reaction is not SNOMED-CT|Scoring|||SNO_INT_USEXT
+10|ALG_SUB|CONCEPT_ISVALIDMEMBER|Allergy Substance is RxNorm or SNOMED-CT|Allergy Substance is not RxNorm or SNOMED-CT|Scoring|||SNO_INT_USEXT,NLM_RXN
+11|ALG_EFFDT|ATTR_ISPASTDATE|effective date is valid|effective date is invalid|Scoring|||
+12|CND_COND|CONCEPT_ISVALIDMEMBER|Condition is SNOMED-CT or ICD10CM|Condition is not SNOMED-CT or ICD10CM|Scoring|||SNO_INT_USEXT,WHO_ICD10CM_FULL
+13|CND_ONDT|ATTR_ISPASTDATE|Condition onset date is valid|Condition onset date is invalid|Scoring|||
+14|CND_RESDT|ATTR_ISPASTDATE|Condition resolution date is valid|Condition resolution date is invalid|Scoring||ATTR_ISPOPULATED|
+15|DEM_DOB|ATTR_ISPASTDATE|Date of birth is valid past date|Date of brith is invalid|Scoring|||
+16|DEM_SEX|CONCEPT_ISVALIDMEMBER|Birth sex is SNOMED-CT|Birth sex not coded as SNOMED-CT|Scoring|||SNO_INT_USEXT
+17|DEM_ETHN|CONCEPT_ISVALIDMEMBER|Ethnicity is valid code|Ethnicity is invalid|Scoring|||CDC_RE
+18|DEM_RACE|CONCEPT_ISVALIDMEMBER|Race is valid concept|Race is invalid|Scoring|||CDC_RE
+19|IMM_ADMDT|ATTR_ISPASTDATE|Immunization date is valid|Immunization date is invalid|Scoring|||
+20|IMM_VACC|CONCEPT_ISVALIDMEMBER|Immunization is valid concept|Immunization is not valid concept|Scoring|||FDA_PACK,CDC_CVX
+21|IMM_LOTNO|ATTR_ISPOPULATED|Immunization Lot number is populated|Immunization Lot number not populated|Scoring|||
+22|MED_DRUG|CONCEPT_ISVALIDMEMBER|Medication is Compatible|Medication is invalid |Scoring|||NLM_RXN,FDA_PACK
+23|MED_STDT|ATTR_ISPASTDATE|Medication date is valid|Medication date is invalid|Scoring|||
+24|MED_DOSEAMT|ATTR_ISNUMERIC|Medication dose is a valid number|Medication dose is invalid|Scoring|||
+25|MED_DOSEAMTUOM|ATTR_INEXTERNALLIST|Medication dose unit is valid|Medication dose unit is invalid|Scoring|||UCUM
+26|MED_IND|ATTR_ISPOPULATED|Medication indication is populated|Medication indication not populated|Scoring|||
+27|MED_FSTAT|ATTR_ISPOPULATED|Medication fill status is populated|Medication fill status not populated|Scoring|||
+28|PRC_PROC|CONCEPT_ISVALIDMEMBER|Procedure is valid concept|Procedure is invalid|Scoring|||SNO_INT_USEXT,AMA_CPT
+29|PRC_PRCDT|ATTR_ISPASTDATE|Procedure date is valid|Procedure date is invalid|Scoring|||
+30|PRC_RSN|ATTR_ISPOPULATED|Procedure reason is populated|Procedure reason not populated|Scoring|||
+31|ENC_DATETIME|ATTR_ISPASTDATE|Encounter date is in the past|Encounter date is in not the past|Scoring|||
+32|ENC_DIAGNOSIS|CONCEPT_ISVALIDMEMBER|Diagnosis is SNOMED-CT or ICD-10-CM|Diagnosis is not SNOMED-CT or ICD-10-CM|Scoring|||SNO_INT_USEXT,WHO_ICD10CM_FULL
+33|ENC_TYPE|ATTR_ISPOPULATED|Encounter type is populated|Encounter type is not populated|Scoring|||
+34|ENC_DISPOSITION|ATTR_ISPOPULATED|Encounter disposition is populated|Encounter disposition is not populated|Scoring|||
+35|ENC_LOCATION|ATTR_ISPOPULATED|Encounter location is populated|Encounter location is not populated|Scoring|||
+36|VIT_VITAL|CONCEPT_ISVALIDMEMBER|Vital sign is valid concept|Vital sign is invalid|Scoring|||REGEN_LOINC
+37|VIT_RESUNIT|ATTR_INEXTERNALLIST|Vital sign result unit is UCUM|Vital sign result unit is not UCUM|Scoring||ATTR_ISPOPULATED|UCUM
+38|IMAGING_PROCEDURE|CONCEPT_ISVALIDMEMBER|Imaging Procedure is LOINC|Imaging Procedure is not LOINC|Scoring|||REGEN_LOINC
+39|IMAGING_RPT_DATETIME|ATTR_ISPASTDATE|report date is valid|report date is invalid|Scoring|||
+42|DOC_TYPE|CONCEPT_ISVALIDMEMBER|Document type is LOINC|Document type is not LOINC|Scoring|||REGEN_LOINC
+43|DOC_EFFDATE|ATTR_ISPASTDATE|Document date is past date|Document date is not past date|Scoring|||
+44|HA_ITEM|CONCEPT_ISVALIDMEMBER|Health status assessment is  LOINC or SNOMED-CT|Health status assessment is  not LOINC or SNOMED-CT|Scoring|||REGEN_LOINC,SNO_INT_USEXT
+45|HA_EFFDT|ATTR_ISPASTDATE|Health Status assessment date is date in past|Health Status assessment date is not date in past|Scoring|||
+46|GOAL_GOAL|ATTR_ISPOPULATED|goal is populated|goal is not populated|Scoring|||
+47|GOAL_EFFDATE|ATTR_ISDATE|Goal date is valid|Goal date is invalid|Scoring|||
+48|IMAGING_RPT_HASATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Image has attachment|Image is missing attachment|Scoring|||
+48|DOC_HAS_ATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Document has attachment|Document does not have attachment|Scoring|||
 """
 
 CORE_DATA_V2 = """
-1|LAB_TEST|CONCEPT_ISVALIDMEMBER|Lab Test is LOINC|Lab Test not LOINC|S|C||REGEN_LOINC
-2|LAB_ORD|CONCEPT_ISVALIDMEMBER|Lab Order is LOINC|Lab Order not LOINC|I|||REGEN_LOINC
-3|LAB_PERFDT|ATTR_ISPASTDATE|Performed date is valid|Performed date is invalid|S|||
-4|LAB_RESVALUE|ATTR_ISPOPULATED|Lab result value is populated|Lab result value is not populated|S|C||
-5|ALG_REACT|CONCEPT_ISVALIDMEMBER|Allergy Reaction is SNOMED-CT|Allergy Reaction is not SNOMED-CT|S|||SNO_INT_USEXT
-6|ALG_SUB|CONCEPT_ISVALIDMEMBER|Allergy Substance is RxNorm or SNOMED-CT|Allergy Substance is not RxNorm or SNOMED-CT|S|||SNO_INT_USEXT,NLM_RXN
-7|ALG_EFFDT|ATTR_ISPASTDATE|Effective date is valid|Effective date is invalid|S|||
-8|CND_COND|CONCEPT_ISVALIDMEMBER|Condition is SNOMED-CT or ICD10CM|Condition is not SNOMED-CT or ICD10CM|S|||SNO_INT_USEXT,WHO_ICD10CM_FULL
-9|CND_ONDT|ATTR_ISPASTDATE|Condition onset date is valid|Condition onset date is invalid|S|||
-10|CND_RESDT|ATTR_ISPASTDATE|Condition resolution date is valid|Condition resolution date is invalid|S||ATTR_ISPOPULATED|
-11|DEM_DOB|ATTR_ISPASTDATE|Date of birth is valid past date|Date of birth is invalid|S|C||
-12|DEM_SEX|CONCEPT_ISVALIDMEMBER|Birth sex is conformant|Birth sex not conformant|S|C||HL7_ADMINGNDR
-13|DEM_ETHN|CONCEPT_ISVALIDMEMBER|Ethnicity is valid code|Ethnicity is invalid|S|||CDC_RE
-14|DEM_RACE|CONCEPT_ISVALIDMEMBER|Race is valid concept|Race is invalid|S|||CDC_RE
-15|IMM_ADMDT|ATTR_ISPASTDATE|Immunization date is valid|Immunization date is invalid|S|||
-16|DEM_LANG|ATTR_ISPOPULATED|Primary language is populated|Primary language is not populated|S|||
-17|IMM_VACC|CONCEPT_ISVALIDMEMBER|Immunization is valid concept|Immunization is not valid concept|S|||FDA_PACK,CDC_CVX
-18|MED_DRUG|CONCEPT_ISVALIDMEMBER|Medication is valid concept|Medication is invalid |S|||NLM_RXN,FDA_PACK
-19|PRC_PROC|CONCEPT_ISVALIDMEMBER|Procedure is valid concept|Procedure is invalid|S|||SNO_INT_USEXT,AMA_CPT,WHO_ICD10PCS_FULL
-20|PRC_PERF_DATE|ATTR_ISPASTDATE|Performed date is valid|Performed date is invalid|S|||
-21|VIT_VITAL|CONCEPT_ISVALIDMEMBER|Vital sign is valid concept|Vital sign is invalid|S|||REGEN_LOINC
-22|VIT_RESUNIT|ATTR_INEXTERNALLIST|Vital sign result unit is UCUM|Vital sign result unit is not UCUM|S||ATTR_ISPOPULATED|UCUM
-23|VIT_PERFDT|ATTR_ISPASTDATE|performed date is valid|performed date is invalid|S|||
+1|LAB_TEST|CONCEPT_ISVALIDMEMBER|Lab Test is LOINC|Lab Test not LOINC|Scoring|Critical||REGEN_LOINC
+2|LAB_ORD|CONCEPT_ISVALIDMEMBER|Lab Order is LOINC|Lab Order not LOINC|Informational|||REGEN_LOINC
+3|LAB_PERFDT|ATTR_ISPASTDATE|Performed date is valid|Performed date is invalid|Scoring|||
+4|LAB_RESVALUE|ATTR_ISPOPULATED|Lab result value is populated|Lab result value is not populated|Scoring|Critical||
+5|ALG_REACT|CONCEPT_ISVALIDMEMBER|Allergy Reaction is SNOMED-CT|Allergy Reaction is not SNOMED-CT|Scoring|||SNO_INT_USEXT
+6|ALG_SUB|CONCEPT_ISVALIDMEMBER|Allergy Substance is RxNorm or SNOMED-CT|Allergy Substance is not RxNorm or SNOMED-CT|Scoring|||SNO_INT_USEXT,NLM_RXN
+7|ALG_EFFDT|ATTR_ISPASTDATE|Effective date is valid|Effective date is invalid|Scoring|||
+8|CND_COND|CONCEPT_ISVALIDMEMBER|Condition is SNOMED-CT or ICD10CM|Condition is not SNOMED-CT or ICD10CM|Scoring|||SNO_INT_USEXT,WHO_ICD10CM_FULL
+9|CND_ONDT|ATTR_ISPASTDATE|Condition onset date is valid|Condition onset date is invalid|Scoring|||
+10|CND_RESDT|ATTR_ISPASTDATE|Condition resolution date is valid|Condition resolution date is invalid|Scoring||ATTR_ISPOPULATED|
+11|DEM_DOB|ATTR_ISPASTDATE|Date of birth is valid past date|Date of birth is invalid|Scoring|Critical||
+12|DEM_SEX|CONCEPT_ISVALIDMEMBER|Birth sex is conformant|Birth sex not conformant|Scoring|Critical||HL7_ADMINGNDR
+13|DEM_ETHN|CONCEPT_ISVALIDMEMBER|Ethnicity is valid code|Ethnicity is invalid|Scoring|||CDC_RE
+14|DEM_RACE|CONCEPT_ISVALIDMEMBER|Race is valid concept|Race is invalid|Scoring|||CDC_RE
+15|IMM_ADMDT|ATTR_ISPASTDATE|Immunization date is valid|Immunization date is invalid|Scoring|||
+16|DEM_LANG|ATTR_ISPOPULATED|Primary language is populated|Primary language is not populated|Scoring|||
+17|IMM_VACC|CONCEPT_ISVALIDMEMBER|Immunization is valid concept|Immunization is not valid concept|Scoring|||FDA_PACK,CDC_CVX
+18|MED_DRUG|CONCEPT_ISVALIDMEMBER|Medication is valid concept|Medication is invalid |Scoring|||NLM_RXN,FDA_PACK
+19|PRC_PROC|CONCEPT_ISVALIDMEMBER|Procedure is valid concept|Procedure is invalid|Scoring|||SNO_INT_USEXT,AMA_CPT,WHO_ICD10PCS_FULL
+20|PRC_PERF_DATE|ATTR_ISPASTDATE|Performed date is valid|Performed date is invalid|Scoring|||
+21|VIT_VITAL|CONCEPT_ISVALIDMEMBER|Vital sign is valid concept|Vital sign is invalid|Scoring|||REGEN_LOINC
+22|VIT_RESUNIT|ATTR_INEXTERNALLIST|Vital sign result unit is UCUM|Vital sign result unit is not UCUM|Scoring||ATTR_ISPOPULATED|UCUM
+23|VIT_PERFDT|ATTR_ISPASTDATE|performed date is valid|performed date is invalid|Scoring|||
 """
 
-# The lab rubric is the version 3 rows followed by these.
-LAB_EXTRA = """
-49|LAB_TEST|CONCEPT_HASDISPLAY|Lab result has test name|Lab result does not have test name|S|||
-50|LAB_PERFSITE|ATTR_ISPOPULATED|Peforming Site is populated|Peforming Site is not populated|S|||
-51|LAB_RESVALUE|ATTR_ISNUMERIC|Result Value is quant|Result Value is qual|S||ATTR_ISPOPULATED|
-52|LAB_REFRNG|RANGEVALUE_ISCOMPLETE|Ref Range has H and L|Ref Range missing H and/or L|S||ATTR_ISPOPULATED|
-53|LAB_SPECTYPE|ATTR_ISPOPULATED|Specimen Type is populated|Specimen Type is NOT populated|S|||
-55|LAB_ABFLAG|ATTR_INEXTERNALLIST|Abnormal Flag adheres to standard.|Abnormal Flag doesn't adhere to standard.|S||ATTR_ISPOPULATED|AbFlag
+LAB = """
+1|LAB_TEST|CONCEPT_ISACTIVE|LOINC Code Active|Inactive LOINC Code|Informational|||
+2|LAB_TEST|CONCEPT_ISVALIDMEMBER|Lab Test is LOINC|Lab Test not LOINC|Scoring|Critical||REGEN_LOINC
+3|LAB_ORD|CONCEPT_ISVALIDMEMBER|Lab Order is LOINC|Lab Order not LOINC|Informational|||REGEN_LOINC
+4|LAB_RESVALUE|CONCEPT_ISVALIDMEMBER|Lab Result is SNOMED-CT|Lab Result not SNOMED-CT|Scoring||OBSERVATIONVALUE_ISQUALITATIVE|SNO_INT_USEXT
+5|LAB_RESUOM|ATTR_INEXTERNALLIST|Result Unit is UCUM|Result Unit not in UCUM|Scoring||ATTR_ISPOPULATED|UCUM
+6|LAB_SPECTYPE|CONCEPT_ISVALIDMEMBER|Specimen Type is SNOMED-CT|Specimen Type not SNOMED-CT|Scoring||ATTR_ISPOPULATED|SNO_INT_USEXT
+7|LAB_RSTAT|ATTR_ISPOPULATED|Result status is populated|Result status is unpopulated|Scoring|||
+8|LAB_PERFDT|ATTR_ISPASTDATE|performed date is valid|performed date is invalid|Scoring|||
+9|ALG_REACT|CONCEPT_ISVALIDMEMBER|Allergy Reaction is SNOMED-CT|Allergy Reaction is not SNOMED-CT|Scoring|||SNO_INT_USEXT
+10|ALG_SUB|CONCEPT_ISVALIDMEMBER|Allergy Substance is RxNorm or SNOMED-CT|Allergy Substance is not RxNorm or SNOMED-CT|Scoring|||SNO_INT_USEXT,NLM_RXN
+11|ALG_EFFDT|ATTR_ISPASTDATE|effective date is valid|effective date is invalid|Scoring|||
+12|CND_COND|CONCEPT_ISVALIDMEMBER|Condition is SNOMED-CT or ICD10CM|Condition is not SNOMED-CT or ICD10CM|Scoring|||SNO_INT_USEXT,WHO_ICD10CM_FULL
+13|CND_ONDT|ATTR_ISPASTDATE|Condition onset date is valid|Condition onset date is invalid|Scoring|||
+14|CND_RESDT|ATTR_ISPASTDATE|Condition resolution date is valid|Condition resolution date is invalid|Scoring||ATTR_ISPOPULATED|
+15|DEM_DOB|ATTR_ISPASTDATE|Date of birth is valid past date|Date of brith is invalid|Scoring|||
+16|DEM_SEX|CONCEPT_ISVALIDMEMBER|Birth sex is SNOMED-CT|Birth sex not coded as SNOMED-CT|Scoring|||SNO_INT_USEXT
+17|DEM_ETHN|CONCEPT_ISVALIDMEMBER|Ethnicity is valid code|Ethnicity is invalid|Scoring|||CDC_RE
+18|DEM_RACE|CONCEPT_ISVALIDMEMBER|Race is valid concept|Race is invalid|Scoring|||CDC_RE
+19|IMM_ADMDT|ATTR_ISPASTDATE|Immunization date is valid|Immunization date is invalid|Scoring|||
+20|IMM_VACC|CONCEPT_ISVALIDMEMBER|Immunization is valid concept|Immunization is not valid concept|Scoring|||FDA_PACK,CDC_CVX
+21|IMM_LOTNO|ATTR_ISPOPULATED|Immunization Lot number is populated|Immunization Lot number not populated|Scoring|||
+22|MED_DRUG|CONCEPT_ISVALIDMEMBER|Medication is Compatible|Medication is invalid |Scoring|||NLM_RXN,FDA_PACK
+23|MED_STDT|ATTR_ISPASTDATE|Medication date is valid|Medication date is invalid|Scoring|||
+24|MED_DOSEAMT|ATTR_ISNUMERIC|Medication dose is a valid number|Medication dose is invalid|Scoring|||
+25|MED_DOSEAMTUOM|ATTR_INEXTERNALLIST|Medication dose unit is valid|Medication dose unit is invalid|Scoring|||UCUM
+26|MED_IND|ATTR_ISPOPULATED|Medication indication is populated|Medication indication not populated|Scoring|||
+27|MED_FSTAT|ATTR_ISPOPULATED|Medication fill status is populated|Medication fill status not populated|Scoring|||
+28|PRC_PROC|CONCEPT_ISVALIDMEMBER|Procedure is valid concept|Procedure is invalid|Scoring|||SNO_INT_USEXT,AMA_CPT
+29|PRC_PRCDT|ATTR_ISPASTDATE|Procedure date is valid|Procedure date is invalid|Scoring|||
+30|PRC_RSN|ATTR_ISPOPULATED|Procedure reason is populated|Procedure reason not populated|Scoring|||
+31|ENC_DATETIME|ATTR_ISPASTDATE|Encounter date is in the past|Encounter date is in not the past|Scoring|||
+32|ENC_DIAGNOSIS|CONCEPT_ISVALIDMEMBER|Diagnosis is SNOMED-CT or ICD-10-CM|Diagnosis is not SNOMED-CT or ICD-10-CM|Scoring|||SNO_INT_USEXT,WHO_ICD10CM_FULL
+33|ENC_TYPE|ATTR_ISPOPULATED|Encounter type is populated|Encounter type is not populated|Scoring|||
+34|ENC_DISPOSITION|ATTR_ISPOPULATED|Encounter disposition is populated|Encounter disposition is not populated|Scoring|||
+35|ENC_LOCATION|ATTR_ISPOPULATED|Encounter location is populated|Encounter location is not populated|Scoring|||
+36|VIT_VITAL|CONCEPT_ISVALIDMEMBER|Vital sign is valid concept|Vital sign is invalid|Scoring|||REGEN_LOINC
+37|VIT_RESUNIT|ATTR_INEXTERNALLIST|Vital sign result unit is UCUM|Vital sign result unit is not UCUM|Scoring||ATTR_ISPOPULATED|UCUM
+38|IMAGING_PROCEDURE|CONCEPT_ISVALIDMEMBER|Imaging Procedure is LOINC|Imaging Procedure is not LOINC|Scoring|||REGEN_LOINC
+39|IMAGING_RPT_DATETIME|ATTR_ISPASTDATE|report date is valid|report date is invalid|Scoring|||
+42|DOC_TYPE|CONCEPT_ISVALIDMEMBER|Document type is LOINC|Document type is not LOINC|Scoring|||REGEN_LOINC
+43|DOC_EFFDATE|ATTR_ISPASTDATE|Document date is past date|Document date is not past date|Scoring|||
+44|HA_ITEM|CONCEPT_ISVALIDMEMBER|Health status assessment is  LOINC or SNOMED-CT|Health status assessment is  not LOINC or SNOMED-CT|Scoring|||REGEN_LOINC,SNO_INT_USEXT
+45|HA_EFFDT|ATTR_ISPASTDATE|Health Status assessment date is date in past|Health Status assessment date is not date in past|Scoring|||
+46|GOAL_GOAL|ATTR_ISPOPULATED|goal is populated|goal is not populated|Scoring|||
+47|GOAL_EFFDATE|ATTR_ISDATE|Goal date is valid|Goal date is invalid|Scoring|||
+48|IMAGING_RPT_HASATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Image has attachment|Image is missing attachment|Scoring|||
+48|DOC_HAS_ATTACHMENT|ATTRIBUTE_INDICATOR_IS_TRUE|Document has attachment|Document does not have attachment|Scoring|||
+49|LAB_TEST|CONCEPT_HASDISPLAY|Lab result has test name|Lab result does not have test name|Scoring|||
+50|LAB_PERFSITE|ATTR_ISPOPULATED|Peforming Site is populated|Peforming Site is not populated|Scoring|||
+51|LAB_RESVALUE|ATTR_ISNUMERIC|Result Value is quant|Result Value is qual|Scoring||ATTR_ISPOPULATED|
+52|LAB_REFRNG|RANGEVALUE_ISCOMPLETE|Ref Range has H and L|Ref Range missing H and/or L|Scoring||ATTR_ISPOPULATED|
+53|LAB_SPECTYPE|ATTR_ISPOPULATED|Specimen Type is populated|Specimen Type is NOT populated|Scoring|||
+55|LAB_ABFLAG|ATTR_INEXTERNALLIST|Abnormal Flag adheres to standard.|Abnormal Flag doesn't adhere to standard.|Scoring||ATTR_ISPOPULATED|AbFlag
 """
 
 CLINICAL_MODEL_MNEMONIC = "PAT_CLINICAL_V1"
@@ -294,7 +345,7 @@ CLINICAL_MODEL_MNEMONIC = "PAT_CLINICAL_V1"
 RUBRICS = (
     ("USCDI_V3", "USCDI v3", CORE_DATA_V3),
     ("USCDI_V2", "USCDI v2", CORE_DATA_V2),
-    ("Basic_VA_Lab", "Basic VA Lab", CORE_DATA_V3 + LAB_EXTRA),
+    ("Basic_VA_Lab", "Basic VA Lab", LAB),
 )
 
 # Code systems the rubrics name, with their public identifiers.

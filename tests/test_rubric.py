@@ -1,6 +1,7 @@
 """Rubric compilation, chains, conditionals, errors, many probes, skew."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,16 @@ def test_no_list_of_codings_is_moved(spark, tmp_path):
     assert cards.agg(F.sum("scoring_fail")).first()[0] == 40 + wrong
 
 
+def test_stored_frames_are_cleared(spark):
+    from rubrica.functions.stored import clear_stored, stored_columns
+
+    clear_stored(spark)
+    frame = stored_columns(spark.range(3).selectExpr("id", "id * 2 AS twice"))
+    path = frame.inputFiles()[0].removeprefix("file://")
+    assert sorted(r.twice for r in frame.collect()) == [0, 2, 4] and os.path.exists(path)
+    assert clear_stored(spark) == 1 and not os.path.exists(path) and clear_stored(spark) == 0
+
+
 def test_an_audited_message_reads_its_input_once(spark):
     """Everything derived from stored items reads the stored rows, not the messages."""
     from rubrica.functions.stored import stored
