@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import decontaminate, exact_dedup, langid, packing, similar
+from rubrica.functions.stored import remove
+from rubrica.llm import decontaminate, exact_dedup, langid, packing, simhash_dedup
 from rubrica.llm.shared import checkpoint_folder, cut_lineage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: not those without letters, nor letter noise.
 
-    The model learns from the given documents, with noise as one more class; how likely noise must
-    be to reject is set by labelled texts.  Where nothing can be learned, all with letters stay.
+    The model learns from the given documents, with noise as one more class; how likely noise must be is set
+    by labelled texts.  A text goes only if its neighbouring letters also are as independent as shuffled
+    ones, which those of no language are, labelled or not.  Where nothing can be learned, all with letters stay.
     """
     label, score = free_names(docs, "language", "likelihood")
     model = langid.fit_rejecting(docs)
@@ -45,8 +47,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles): the one with the smallest id."""
-    groups = similar.near_groups(docs)
+    """One document of each group of near copies by SimHash (four-word shingles, at most four bits
+    apart): the one with the smallest id."""
+    groups = simhash_dedup.near_groups(docs)
     return keep_rows(docs, groups.filter("kept").select("doc_id", F.lower(F.hex("digest")).alias("text_sha256")))
 
 
@@ -98,10 +101,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each is written to the shared folder and read again."""
+    """Apply all stages to ``documents``; each is written to the shared folder and read again, and its input,
+    if that is a stage's output, removed."""
     folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
