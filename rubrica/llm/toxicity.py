@@ -7,8 +7,8 @@ the states of a window into one logit.  A text's score is the calibrated logit o
 toxic window.
 
 Training (numpy, backpropagation through time) uses at most ``SAMPLE`` labelled rows that are
-not held out, at most a third of them toxic, each with at most ``SAMPLE_CHARS`` characters of
-its text.  Only the text's label is known, so windows are pooled by log-sum-exp for the loss.
+not held out and have at most ``SAMPLE_CHARS`` characters, at most a third of them toxic, and
+all windows of each.  Only the text's label is known, so windows are pooled by log-sum-exp for the loss.
 
 Defined cases: null or empty text, or one without words, gets the score of an empty window;
 without labelled rows every score is 0; an empty table gives an empty result; repeated rows
@@ -31,6 +31,7 @@ from rubrica.llm.shared import fit_in_task, held_out, slices
 from rubrica.llm.wordhash import MIX, word_hashes
 
 SAMPLE = 3_000
+#: Longer texts are no training rows; the others are learned from as a whole.
 SAMPLE_CHARS = 8_000
 WINDOW = 32
 STRIDE = 16
@@ -277,12 +278,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     spark = docs.sparkSession
     # At most ``sample`` ids are broadcast.
     wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    at = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .filter(F.col("text").isNotNull())
+        .filter(F.length("text") <= SAMPLE_CHARS)
         .join(wanted, "doc_id")
-        .select("toxic", F.substring("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("text").alias("h"))
+        .select("toxic", "text", F.xxhash64("text").alias("h"))
         .orderBy("h", "toxic", "text")
         .limit(sample)
         .select("text", "toxic")
