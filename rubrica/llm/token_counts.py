@@ -8,7 +8,8 @@ common start (one word longer than the overlap), chunk and overlap are doubled u
 the text ends.
 
 Shorter documents are cut at places where a word always starts: a single blank between two
-non-blanks.  Each distinct word is encoded by the library once per worker.
+solid characters.  Arrow makes the pieces of a slice of documents distinct, and the library encodes those that the
+worker does not remember; what it has met lately it does.
 
 Defined cases: null text is empty (no tokens); an empty table gives an empty result; repeated
 rows are counted one by one; a null id is kept; extra columns are left out.
@@ -18,18 +19,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.packing import one_thread, tokenizer_path
 from rubrica.llm.shared import slices
+from rubrica.llm.units import distinct, plain_bytes, unit_starts
 
 CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 1024
-#: Words a worker remembers; beyond that it starts afresh. Memory only, no effect on results.
-REMEMBERED = 150_000
+#: Words a worker remembers, in two halves: when the younger is full it becomes the older, whose words are forgotten
+#: unless they have been met since. Memory only, no effect on results.
+REMEMBERED = 300_000
 #: Words that are encoded together; an encoding takes a kilobyte and more.
 TOGETHER = 2_000
 
@@ -50,7 +55,8 @@ class TokenCounter:
         self.special = max((len(t.content) for t in added), default=0)
         self.breakable = not any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added)
         self.chunk, self.overlap = chunk, overlap
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.splices = self.widened = 0
 
     def _word_starts(self, text: str, a: int, b: int) -> dict[int, int]:
@@ -90,39 +96,44 @@ class TokenCounter:
                 left = self._word_starts(text, start, end)
         return total + left[len(text)]
 
-    def _count_words(self, texts: list[str]) -> list[int]:
-        split = [t.split(" ") for t in texts]
-        keyed = [[words[0], *[" " + w for w in words[1:]]] for words in split]
-        found = [list(map(self.words.get, words)) for words in keyed]
-        missing = {w for words, got in zip(keyed, found) if None in got for w, v in zip(words, got) if v is None}
-        fresh: dict[str, int] = {}
-        if missing:
-            if len(self.words) + len(missing) > REMEMBERED:
-                self.words.clear()
-            # Blanks beside the cut belong together: -1 marks words that cannot stand alone.
-            alone, rest = [], []
-            for w in missing:
-                body = w[1:] if w[:1] == " " else w
-                (alone if body and not body[0].isspace() and not body[-1].isspace() else rest).append(w)
-            for a in range(0, len(alone), TOGETHER):
-                some = alone[a : a + TOGETHER]
-                for w, coded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                    fresh[w] = len(coded)
-            fresh.update(dict.fromkeys(rest, -1))
-            self.words.update(fresh)
-        out = []
-        for text, words, got in zip(texts, keyed, found):
-            if None in got:
-                got = [fresh[w] if v is None else v for w, v in zip(words, got)]
-            if -1 in got:
-                got = [len(self.library.encode(text, add_special_tokens=False))]
-            out.append(sum(got))
-        return out
-
-    def counts(self, texts: list[str]) -> list[int]:
-        short = [t for t in texts if len(t) <= self.chunk and self.breakable]
-        counted = iter(self._count_words(short))
-        return [next(counted) if len(t) <= self.chunk and self.breakable else self.by_chunks(t) for t in texts]
+    def _recall(self, word: bytes) -> int | None:
+        n = self.words.get(word)
+        if n is None:
+            n = self.older.get(word)
+            if n is not None:
+                self.words[word] = n
+        return n
+
+    def _count_words(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of texts that may be cut."""
+        data, bounds = plain_bytes(texts)
+        starts = unit_starts(data, bounds)
+        if not len(starts):
+            return np.zeros(len(texts), np.int64)
+        numbers, own, own_bounds = distinct(data, np.r_[starts, len(data)])
+        whole, cuts = own.tobytes(), own_bounds.tolist()
+        words = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        found = list(map(self._recall, words))
+        missing = [i for i, n in enumerate(found) if n is None]
+        for a in range(0, len(missing), TOGETHER):
+            some = missing[a : a + TOGETHER]
+            coded = self.library.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False)
+            for i, x in zip(some, coded):
+                self.words[words[i]] = found[i] = len(x)
+        if len(self.words) > REMEMBERED // 2:
+            self.words, self.older = {}, self.words
+        total = np.r_[0, np.cumsum(np.array(found, np.int64)[numbers])]
+        at = np.searchsorted(starts, bounds)
+        return total[at[1:]] - total[at[:-1]]
+
+    def counts(self, texts: pa.Array) -> list[int]:
+        size = pc.utf8_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False)
+        short = (size <= self.chunk) & self.breakable
+        out = np.zeros(len(texts), np.int64)
+        out[short] = self._count_words(texts.filter(pa.array(short)))
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self.by_chunks(texts[i].as_py() or "")
+        return out.tolist()
 
 
 _COUNTERS: dict[tuple, TokenCounter] = {}
@@ -148,8 +159,8 @@ def token_counts(
             _COUNTERS[key] = TokenCounter(path, chunk, overlap)
         counter = _COUNTERS[key]
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                n = counter.counts([t or "" for t in part.column(2).to_pylist()])
+            for part in slices(batch, "text"):
+                n = counter.counts(part.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
                 )

@@ -46,12 +46,24 @@ def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places where units begin: each text's first byte, and the blanks where a tokenizer always cuts."""
+    """Places where units begin: each text's first byte, and the blanks where a tokenizer always cuts.
+    Texts without a byte begin none."""
     cut = (data == 32) & _solid_before(data) & _solid_after(data)
-    cut[bounds[:-1]] = True
+    some = np.diff(bounds) > 0
+    cut[bounds[1:][some] - 1] = False
+    cut[bounds[:-1][some]] = True
     return np.flatnonzero(cut)
 
 
+def plain_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in a row, and where each begins and the last ends; null is empty."""
+    whole = pc.fill_null(texts.cast(pa.large_string()), pa.scalar("", pa.large_string())).cast(pa.large_binary())
+    if not len(whole):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def binary_array(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,8 +265,9 @@ def test_ids_equal_the_librarys():
     library = Tokenizer.from_file(path)
     words = packing.WordEncoder(path)
     for _ in range(2):
-        for t, got in zip(TRICKY, words.encode(TRICKY)):
-            assert got == words.packed(library.encode(t, add_special_tokens=False).ids)
+        coded, at = words.encode(pa.array(TRICKY))
+        for t, a, b in zip(TRICKY, at, at[1:]):
+            assert coded[a:b] == words.packed(library.encode(t, add_special_tokens=False).ids)
 
 
 def test_counts_equal_the_librarys():
@@ -280,7 +282,10 @@ def test_counts_equal_the_librarys():
     for chunk, overlap in ((50, 20), (64, 8), (200, 100), (32_768, 512)):
         counter = token_counts.TokenCounter(path, chunk, overlap)
         for t in TRICKY + made:
-            assert counter.counts([t]) == [len(library.encode(t, add_special_tokens=False).ids)]
+            assert counter.counts(pa.array([t])) == [len(library.encode(t, add_special_tokens=False).ids)]
+    counter = token_counts.TokenCounter(path)
+    for _ in range(2):
+        assert counter.counts(pa.array([None, "", *TRICKY])) == [0, 0, *[len(library.encode(t, add_special_tokens=False).ids) for t in TRICKY]]
     narrow = token_counts.TokenCounter(path, 64, 8)
     narrow.by_chunks("ab " * 500 + "y" * 1000 + " z" * 200)
     assert narrow.splices > 0 and narrow.widened > 0
