@@ -198,11 +198,11 @@ def test_address_parts_of_zeros(spark):
 
 
 def test_reliable_labelers_get_more_weight():
-    patterns = {"222222": 40, "122211": 30, "000000": 200, "101011": 150, "210101": 5}
+    patterns = {"22222211": 40, "12221111": 30, "00000011": 200, "10101111": 150, "21010111": 5}
     prior, odds = pii.estimate(patterns)
     assert prior < 0 and odds[0][2] > 0 > odds[0][0]
-    bias, weights = pii.fit_classifier([("00000000", 0.0, 50.0), ("30000000", 40.0, 1.0)])
-    assert bias + weights[0, 3] + sum(weights[j, 0] for j in range(1, 8)) > 0
+    bias, weights = pii.fit_classifier([("000000000", 0.0, 50.0), ("300000000", 40.0, 1.0)])
+    assert bias + weights[0, 3] + sum(weights[j, 0] for j in range(1, 9)) > 0
 
 
 def test_packing(odd, none):
