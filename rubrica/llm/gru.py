@@ -62,6 +62,8 @@ def forward(projected, U: np.ndarray, mask: np.ndarray | None, keep: bool = Fals
     gates, candidate = U[: 2 * hidden], U[2 * hidden :]
     states, kept, h = [], [], None
     steps = projected.steps
+    # Most steps are padding for no sequence.
+    whole = None if mask is None else mask.all(axis=1).tolist()
     for t in range(steps):
         a = projected(t)
         if h is None:
@@ -79,8 +81,8 @@ def forward(projected, U: np.ndarray, mask: np.ndarray | None, keep: bool = Fals
         new = h - n
         new *= z
         new += n
-        if mask is not None:
-            new = np.where(mask[t], new, h)
+        if mask is not None and not whole[t]:
+            np.copyto(new, h, where=~mask[t])
         if keep:
             kept.append((h, zr, rh, n))
         h = new
