@@ -28,21 +28,53 @@ def text_in_content_set(
     return joined.withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_text", "_ok")
 
 
+#: Cells to a factor of two in size; a cell's lower bounds are within a fraction of 4e-5 of each other.
+CELLS = 16384
+
+
+def cell_of(value: Column) -> Column:
+    """Number of the cell a lower bound lies in, by its sign and size alone: it never falls as the value grows."""
+    size = F.floor(F.log2(F.abs(value)) * CELLS) + 1100 * CELLS
+    ends = 3000 * CELLS
+    return (
+        F.when(value == float("-inf"), F.lit(-ends)).when(value == float("inf"), F.lit(ends))
+        .when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    )
+
+
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("lo")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
+    group = F.sum(fresh.cast("bigint")).over(order)
+    return rows.withColumn("_fresh", fresh).withColumn("_group", group).groupBy(*by, "_group").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    ).drop("_group")
+
+
 def merged_ranges(ranges: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """Disjoint closed intervals (keys, lo, hi) that cover what the ranges cover; a missing bound is
-    infinite, ranges without any value are left out."""
+    infinite, ranges without any value are left out.
+
+    Ranges are merged within cells of their lower bounds, so those of one key are spread.  One row for
+    each cell of a key then tells how far the cells before it reach and where the interval that reaches
+    farthest begins; what begins within reach belongs to that one."""
     wide = ranges.select(
-        *keys,
+        F.struct(*keys).alias("_of"),
         F.coalesce(F.col(low).cast("double"), F.lit(float("-inf"))).alias("lo"),
         F.coalesce(F.col(high).cast("double"), F.lit(float("inf"))).alias("hi"),
     ).filter("lo <= hi AND NOT isnan(lo) AND NOT isnan(hi)")
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
-    group = F.sum(fresh.cast("bigint")).over(order)
-    return wide.withColumn("_fresh", fresh).withColumn("_group", group).groupBy(*keys, "_group").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    ).drop("_group")
+    # Of ranges that begin at the same value the longest covers the others.
+    longest = wide.groupBy("_of", "lo").agg(F.max("hi").alias("hi")).withColumn("_cell", cell_of(F.col("lo")))
+    local = _merged(longest, ["_of", "_cell"])
+    before = Window.partitionBy("_of").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = local.groupBy("_of", "_cell").agg(F.max("hi").alias("_top"), F.max("lo").alias("_tail"))
+    cells = cells.withColumn("_reach", F.max("_top").over(before))
+    begins = F.when(F.col("_reach").isNull() | (F.col("_tail") > F.col("_reach")), F.col("_tail"))
+    cells = cells.withColumn("_begin", F.last(begins, ignorenulls=True).over(before)).drop("_top", "_tail")
+    within = F.col("lo") <= F.col("_reach")
+    joined = local.join(cells, ["_of", "_cell"]).withColumn("lo", F.when(within, F.col("_begin")).otherwise(F.col("lo")))
+    return joined.groupBy("_of", "lo").agg(F.max("hi").alias("hi")).select("_of.*", "lo", "hi")
 
 
 def bin_of(value: Column, origin: Column, width: Column, bins: Column) -> Column:

@@ -302,3 +302,32 @@ def test_model_rows_and_paths(spark):
     items = flatten(check_messages(msg, MODEL, "SHOP_V1"), MODEL, KEYS, {"ORD_STATUS"})
     paths = {r.p for r in items.select(path_key("ROOT").alias("p")).collect()}
     assert {"ROOT", "ROOT|ORDER", "ROOT|ORDER|ORDER_ELM.1", "ROOT|ORDER|ORDER_ELM.1|ORD_STATUS"} <= paths
+
+
+def test_ranges_of_one_key_are_merged_in_many_tasks(spark):
+    import random
+    from collections import Counter
+
+    from rubrica.operators.content import merged_ranges
+
+    rng = random.Random(5)
+    ends = [float("-inf"), -1e300, -7.5, -1e-9, 0.0, 1e-9, 2.0, 1e12, float("inf")]
+    some = [(rng.choice(ends), rng.choice(ends)) for _ in range(12)] + [(x, x + rng.random() ** 6 * 90) for x in (rng.uniform(-400, 900) for _ in range(300))]
+    own = [(1, lo, hi) for lo, hi in some[12:]] + [(None, *r) for r in some] + [(2, 10.0 * i, 10.0 * i + 1) for i in range(4000)]
+    table = spark.createDataFrame(own, "code int, lo0 double, hi0 double")
+    got = merged_ranges(table, ["code"], "lo0", "hi0").collect()
+    for k in (1, 2, None):
+        want = []
+        for lo, hi in sorted((lo, hi) for c, lo, hi in own if c == k and lo <= hi):
+            if want and lo <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], hi)
+            else:
+                want.append([lo, hi])
+        assert sorted([r.lo, r.hi] for r in got if r.code == k) == want
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        parts = Counter(r[0] for r in merged_ranges(table.filter("code = 2"), ["code"], "lo0", "hi0").select(F.spark_partition_id()).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert sum(parts.values()) == 4000 and max(parts.values()) < 1000
