@@ -108,8 +108,8 @@ def run_summary_strict(spark, sf):
 )
 def results_with_run(spark, sf):
     table = spark.createDataFrame([("F", "final"), ("O", "open")], "run_id string, run_name string")
-    rows = order_results(spark, sf, "o_orderstatus").withColumnRenamed("o_orderstatus", "run_id")
-    return runs.with_run(rows, table).groupBy("run_name", "state").agg(F.count(F.lit(1)).alias("n"))
+    rows = order_results(spark, sf, "o_orderstatus", "o_orderkey").withColumnRenamed("o_orderstatus", "run_id")
+    return runs.with_run(rows, table, spread=["o_orderkey", "criterion_id"]).groupBy("run_name", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- audit log and benchmark --------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.functions.joins import hashable
 from rubrica.sources import fixed
 
 SAME_BELOW_PERCENT = 0.01
@@ -178,9 +179,19 @@ def latest(results: DataFrame, column: str, n: int = 5, *tiebreak: str) -> DataF
     return results.orderBy(F.desc(column), *tiebreak).limit(n)
 
 
-def with_run(results: DataFrame, runs: DataFrame, run_id: str = "run_id") -> DataFrame:
-    """Results with the columns of their run."""
-    return results.join(runs, run_id, "inner")
+#: Parts that the results of a run are dealt to; its row is there for each.
+RUN_PARTS = 128
+
+
+def with_run(results: DataFrame, runs: DataFrame, run_id: str = "run_id", spread: list[str] | None = None) -> DataFrame:
+    """Results with the columns of their run.
+
+    There are few runs and many results of each, so a run's results are dealt to parts by a hash of the
+    columns ``spread``, by default all."""
+    by = [F.col(f"`{c}`") for c in spread or hashable(results)]
+    dealt = results.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(RUN_PARTS)))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RUN_PARTS - 1).cast("bigint")))
+    return dealt.join(runs.withColumn("_part", parts), [run_id, "_part"], "inner").drop("_part")
 
 
 def benchmark_summary(audit: DataFrame, stages: dict[str, Column] | None = None) -> DataFrame:

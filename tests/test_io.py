@@ -331,3 +331,24 @@ def test_ranges_of_one_key_are_merged_in_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert sum(parts.values()) == 4000 and max(parts.values()) < 1000
+
+
+def test_results_of_one_run_meet_it_in_many_tasks(spark):
+    from collections import Counter
+
+    from rubrica.operators import runs
+
+    from rubrica.operators import runs
+
+    results = spark.range(4000).select(F.when(F.col("id") % 100 > 0, "a").when(F.col("id") % 200 > 0, "b").alias("run_id"), "id")
+    table = spark.createDataFrame([("a", "first"), ("a", "again"), (None, "none"), ("c", "third")], "run_id string, run_name string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = runs.with_run(results, table).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert Counter((r.run_id, r.run_name) for r in rows) == {("a", "first"): 3960, ("a", "again"): 3960}
+    assert len({(r.id, r.run_name) for r in rows}) == 7920 and max(Counter(r.task for r in rows).values()) < 2000
