@@ -32,31 +32,34 @@ def spread_hash(df: DataFrame, key: str, usable: Column) -> Column:
     return F.when(usable, F.xxhash64(F.col(key))).otherwise(F.xxhash64(*[F.col(f"`{c}`") for c in hashable(df)], F.lit(1)))
 
 
-def marked(value: Column) -> Column:
-    """A value in a form in which a hash tells null from absent: hashes pass nulls over."""
-    return F.struct(value.isNull(), value)
+def marked(*values: Column) -> Column:
+    """Which of some values are null, as bits: hashes pass nulls over."""
+    bits = F.lit(0)
+    for k, value in enumerate(values):
+        bits = bits + F.when(value.isNull(), 1 << k).otherwise(0)
+    return bits
 
 
 class ListKeys:
     """Lists in columns of a frame by surrogate keys of two longs, so that neither lists nor their
     texts travel to a join.
 
-    Both longs are 64-bit hashes of a list's size and marked entries, from different seeds.  Two of a trillion
+    Both longs are 64-bit hashes of a list's size, entries and marks, from different seeds.  Two of a trillion
     lists agree in all 128 bits with a chance below one in ten billion.  ``entries`` maps each column to
-    another form of its list, the one that is hashed and listed; ``mark`` gives an entry's hashable form.
+    another form of its list, the one that is hashed and listed; ``mark`` tells what the hash of an entry passes over.
     """
 
-    def __init__(self, df: DataFrame, entries: dict[str, Column], mark: Callable[[Column], Column] = marked):
+    def __init__(self, df: DataFrame, entries: dict[str, Column], mark: Callable[[Column], Column] = lambda v: marked(v)):
         self.columns = list(entries)
         self.others = [c for c in df.columns if c not in entries]
         listed = df.select(*self.others, *[c.alias(n) for n, c in entries.items()])
+        # Marks are columns of their own, so that both hashes read the same ones.
+        marks = {f"_m{i}": F.when(F.size(name) > 0, F.transform(name, mark)) for i, name in enumerate(self.columns)}
         keys = {}
         for i, name in enumerate(self.columns):
-            usable = F.size(name) > 0
-            parts = [F.size(name), F.transform(name, mark)]
-            keys[f"_x{i}"] = F.when(usable, F.xxhash64(F.lit(1), *parts))
-            keys[f"_y{i}"] = F.when(usable, F.xxhash64(F.lit(2), *parts))
-        self.keyed = listed.withColumns(keys)
+            parts = F.size(name), F.col(name), F.col(f"_m{i}")
+            keys |= {f"_{n}{i}": F.when(F.col(f"_m{i}").isNotNull(), F.xxhash64(F.lit(seed), *parts)) for n, seed in (("x", 1), ("y", 2))}
+        self.keyed = listed.withColumns(marks).withColumns(keys).drop(*marks)
 
     def dictionary(self) -> DataFrame:
         """k1, k2, entry: the entries of each list, equal ones once a task and then once."""

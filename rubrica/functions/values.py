@@ -46,6 +46,8 @@ class Item:
     term: Column
     lists: Column
     child_fails: Column
+    #: Text and codings as given and how they are settled, for those who make columns of them first.
+    given: tuple[Column, Column, Callable[[Column, Column], "Item"]] | None = None
 
     @staticmethod
     def empty(kind: str = "ATR") -> "Item":
@@ -80,9 +82,13 @@ class Item:
         """A coded concept; ``codings`` as built by :func:`codings`."""
         coded = null(f"array<{CODING_TYPE}>") if codings is None else codings
         label = null("string") if text is None else text
-        label, coded = settle_concept(label, coded)
-        here = (label.isNotNull() | (F.size(coded) > 0)) if present is None else present
-        return replace(Item.empty("CC"), present=here, text=label, codings=coded)
+
+        def settle(label: Column, coded: Column) -> Item:
+            text, filled = settle_concept(label, coded)
+            here = (F.size(coded) > 0) | text.isNotNull() if present is None else present
+            return replace(Item.empty("CC"), present=here, text=text, codings=filled)
+
+        return replace(settle(label, coded), given=(label, coded, settle))
 
     @staticmethod
     def of_observation(
@@ -94,7 +100,7 @@ class Item:
         base = Item.of_concept(text, codings, present)
         code, number, number2 = settle_observation(base.text, type_text, types)
         return replace(
-            base, kind=F.lit("OBSVAL"), type_code=code, number=number, number2=number2
+            base, kind=F.lit("OBSVAL"), type_code=code, number=number, number2=number2, given=None
         )
 
     @staticmethod
@@ -130,15 +136,18 @@ def coding(
     system_id: Column | None = None,
 ) -> Column:
     """One coding struct.  ``system`` and ``system_id`` are both looked up, in order."""
-    systems = F.array_compact(
-        F.array(
-            null("string") if system is None else system.cast("string"),
-            null("string") if system_id is None else system_id.cast("string"),
-        )
+    first = null("string") if system is None else system.cast("string")
+    second = null("string") if system_id is None else system_id.cast("string")
+    # Spelled out rather than by functions over the list, which Spark neither compiles nor folds.
+    systems = (
+        F.when(first.isNotNull() & second.isNotNull(), F.array(first, second))
+        .when(first.isNotNull(), F.array(first))
+        .when(second.isNotNull(), F.array(second))
+        .otherwise(F.array().cast("array<string>"))
     )
     return F.struct(
         systems.alias("systems"),
-        F.get(F.filter(systems, lambda s: ~is_blank(s)), 0).alias("system"),
+        F.coalesce(blank_to_null(first), blank_to_null(second)).alias("system"),
         code.cast("string").alias("code"),
         (null("string") if display is None else display.cast("string")).alias("display"),
     )
@@ -150,15 +159,13 @@ def codings(*items: Column) -> Column:
 
 def concept_text(text: Column, coded: Column) -> Column:
     """The concept's text; an empty one takes the first display."""
-    first_display = F.get(
-        F.filter(F.transform(coded, lambda c: c["display"]), lambda d: not_empty(d)), 0
-    )
+    first_display = F.get(F.filter(coded, lambda c: not_empty(c["display"])), 0)["display"]
     return F.when(not_empty(text), text).otherwise(F.coalesce(first_display, text))
 
 
 def fill_displays(coded: Column, label: Column) -> Column:
-    """Codings in which an empty display takes the concept's text."""
-    return F.transform(
+    """Codings in which an empty display takes the concept's text; a list without one stays as it is."""
+    filled = F.transform(
         coded,
         lambda c: F.struct(
             c["systems"].alias("systems"),
@@ -169,6 +176,7 @@ def fill_displays(coded: Column, label: Column) -> Column:
             .alias("display"),
         ),
     )
+    return F.when(F.exists(coded, lambda c: ~not_empty(c["display"])), filled).otherwise(coded)
 
 
 def settle_concept(text: Column, coded: Column) -> tuple[Column, Column]:

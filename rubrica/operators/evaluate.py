@@ -448,9 +448,8 @@ def content_inputs(name: str, item: Item, params: dict, items: dict[str, Item],
 
     if "CODE_ATTRIBUTE" in params:
         first = F.get(other("CODE_ATTRIBUTE").codings, 0)
-        system = F.coalesce(
-            F.get(F.filter(F.transform(first["systems"], ctx.code_systems.canonical_col), lambda s: s.isNotNull()), 0), first["system"]
-        )
+        canonical = ctx.code_systems.canonical_col
+        system = F.coalesce(canonical(F.get(F.filter(first["systems"], lambda s: canonical(s).isNotNull()), 0)), first["system"])
         out += [system.alias(f"{name}_system"), first["code"].alias(f"{name}_code")]
     unit = other("UNIT_ATTRIBUTE").text if "UNIT_ATTRIBUTE" in params else item.text
     return [*out, unit.alias(f"{name}_unit")]
@@ -544,10 +543,14 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     # Stage 0: typed values as plain columns, so that each is computed once.
     cols: list[Column] = []
     items: dict[str, Item] = {}
+    given: dict[str, Column] = {}
     for i, (entity, kind) in enumerate(read):
         item = source.items.get(entity)
         if item is None:
             item = replace(Item.empty(kind), present=F.lit(False))
+        elif item.given is not None:
+            given[f"_g{i}_text"], given[f"_g{i}_codings"], settle = item.given
+            item = settle(F.col(f"_g{i}_text"), F.col(f"_g{i}_codings"))
         fields = {}
         for f in _ITEM_FIELDS:
             cols.append(getattr(item, f).alias(f"v{i}_{f}"))
@@ -556,7 +559,8 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
             **fields, term=item.term, lists=null("array<string>"), child_fails=F.lit(0)
         )
     seq = F.lit(None).cast("int") if source.element_seq is None else source.element_seq
-    df = source.df.select(*head, seq.alias("element_seq"), *cols)
+    df = source.df.withColumns(given) if given else source.df
+    df = df.select(*head, seq.alias("element_seq"), *cols)
 
     # Stage 1: masks of the probes that only read the value.
     mine = {s.entity: compiled.probes_of(compiled.for_entity(s.entity)) for s in entities}

@@ -44,8 +44,8 @@ def active_flag(inactive: Column, status: Column) -> Column:
 
 def recognized_system(systems: Column, compiled: CompiledRubric) -> Column:
     """Canonical id of the first system of a coding that the library knows."""
-    ids = F.transform(systems, compiled.ctx.code_systems.canonical_col)
-    return F.get(F.filter(ids, lambda i: i.isNotNull()), 0)
+    canonical = compiled.ctx.code_systems.canonical_col
+    return canonical(F.get(F.filter(systems, lambda s: canonical(s).isNotNull()), 0))
 
 
 def coding_facts(c: Column, compiled: CompiledRubric) -> Column:
@@ -61,14 +61,12 @@ def coding_facts(c: Column, compiled: CompiledRubric) -> Column:
 
 
 def coding_mark(c: Column, compiled: CompiledRubric) -> Column:
-    """Hashable form of the facts of a coding."""
+    """What a hash of the facts of a coding passes over."""
     asked = {p.defn.mnemonic for p in compiled.probes}
-    parts = [marked(c["sys"]), marked(c["code"])]
-    if "CONCEPT_ISCONSISTENT" in asked:
-        parts.append(marked(c["display"]))
-    if "CONCEPT_ISINVALUESET" in asked:
-        parts += [F.size(c["tried"]), F.transform(c["tried"], marked)]
-    return F.struct(*parts)
+    nulls = marked(c["sys"], c["code"], *([c["display"]] if "CONCEPT_ISCONSISTENT" in asked else []))
+    if "CONCEPT_ISINVALUESET" not in asked:
+        return nulls
+    return F.struct(nulls, F.size(c["tried"]), F.transform(c["tried"], lambda t: marked(t)))
 
 
 def resolve_codings(codings: DataFrame, compiled: CompiledRubric) -> DataFrame:

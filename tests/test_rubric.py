@@ -217,3 +217,18 @@ def test_an_audited_message_reads_its_input_once(spark):
     base = spark.range(10).selectExpr("id", "id % 2 AS k")
     plan = stored(base).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "Scan ExistingRDD" in plan
+
+
+def test_functions_over_lists_of_codings_are_few(spark):
+    """Lists are made once, and Spark neither compiles nor folds functions over them."""
+    from rubrica.catalog.concept_queries import SYSTEMS
+
+    concepts = spark.createDataFrame([("PARTS", "1", False), ("PARTS", "2", True)], "system string, code string, inactive boolean")
+    table = spark.createDataFrame([(1, None, "x"), (2, None, None), (3, None, "x"), (None, 1, ""), (None, None, "x"), (2, 1, "y")], "a int, b int, shown string")
+    item = Item.of_concept(None, codings(coding(F.col("a"), F.lit("urn:shop:part"), F.col("shown")), coding(F.col("b"), F.lit(" "), F.lit("z"), F.lit("PARTS"))))
+    ctx = EvalContext(code_systems=SYSTEMS, terminology=Terminology(concepts))
+    rows = table_results(TableSource(table, "LINE", ["a", "b"], {"LIN_PART": item}), compiled([criterion("LIN_PART", "CONCEPT_ISACTIVE")], ctx))
+    got = {(r.a, r.b): r.fail_check for r in rows.collect()}
+    assert got == {(1, None): None, (2, None): "CONCEPT_ISACTIVE", (3, None): "CONCEPT_ISVALID", (None, 1): None, (None, None): "CONCEPT_HASCODE", (2, 1): None}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") <= 24
