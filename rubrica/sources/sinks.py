@@ -117,6 +117,9 @@ def read_together(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 #: The batch of items that no batch of a stream has put there.
 ENQUEUED = -1
+#: Items of a file of the queue.  A payload is much larger than what it is made of and compresses well, so that a file without
+#: a bound would be a whole queue from one small file, and one task of the stream that reads it.
+ITEMS_A_FILE = 25_000
 
 
 def enqueue(messages: DataFrame, run_id: int, path: str, item_id: Column, created_at: Column | None = None) -> None:
@@ -131,13 +134,13 @@ def enqueue(messages: DataFrame, run_id: int, path: str, item_id: Column, create
         F.lit(run_id).cast("bigint").alias("run_id"),
         F.lit(ENQUEUED).cast("bigint").alias("batch_id"),
     )
-    items.write.mode("append").partitionBy("run_id", "batch_id").parquet(path)
+    items.write.mode("append").option("maxRecordsPerFile", ITEMS_A_FILE).partitionBy("run_id", "batch_id").parquet(path)
 
 
 def requeue(items: DataFrame, path: str, batch_id: int) -> None:
     """Items to be tried again, as the partition of the batch that tried them: repeated, it is replaced."""
     rows = items.select(*[f.split()[0] for f in QUEUE_SCHEMA.split(", ")]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ITEMS_A_FILE).partitionBy("run_id", "batch_id").parquet(path)
 
 
 def pending(queue: DataFrame, run_id: int | None = None) -> DataFrame:

@@ -352,3 +352,15 @@ def test_results_of_one_run_meet_it_in_many_tasks(spark):
             spark.conf.set(k, v)
     assert Counter((r.run_id, r.run_name) for r in rows) == {("a", "first"): 3960, ("a", "again"): 3960}
     assert len({(r.id, r.run_name) for r in rows}) == 7920 and max(Counter(r.task for r in rows).values()) < 2000
+
+
+def test_a_queue_from_one_file_is_read_by_many_tasks(spark, tmp_path):
+    from collections import Counter
+
+    path, n = str(tmp_path / "queue"), 60_000
+    messages = spark.range(0, n, 1, 1).select(F.col("id").cast("string").alias("message_id"), F.lit("x" * 50).alias("payload"))
+    sinks.enqueue(messages, 1, path, F.col("message_id"))
+    sinks.requeue(spark.read.schema(f"{sinks.QUEUE_SCHEMA}, batch_id bigint").parquet(path).coalesce(1), path, 4)
+    files = Counter(tuple(r) for r in spark.read.parquet(path).select("batch_id", F.input_file_name()).collect())
+    assert sum(files.values()) == 2 * n and max(files.values()) <= 25_000
+    assert Counter(b for b, _ in files) == {-1: 3, 4: 3}
