@@ -302,10 +302,11 @@ def content_checks_messages(spark, sf):
     line = F.struct(
         F.col("l_quantity").cast("string").alias("Number"), F.expr(_LINE_UNIT).alias("flag"), F.expr("CAST(2 * l_suppkey AS STRING)").alias("status"), part.alias("part")
     )
-    orders = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    # Lines as texts: lists of texts take less time and memory to gather than lists of structs.
+    orders = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.to_json(line)), ",").alias("lines"))
     messages = orders.select(
         F.lit("shop").alias("provider_id"), F.lit("lines").alias("source_id"), F.col("l_orderkey").cast("string").alias("message_id"),
-        F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), F.to_json(F.struct(F.struct("lines").alias("shop"))).alias("payload"),
+        F.lit("SHOP_V1").alias("model_mnemonic"), F.lit("CATALOG").alias("rubric_mnemonic"), F.concat(F.lit('{"shop":{"lines":['), "lines", F.lit("]}}")).alias("payload"),
     )
     rows = message_rows(check_messages(messages, MODEL, MODEL.mnemonic), content_rubric(spark, sf), ["message_id"])
     return rows.groupBy("entity", "state", "fail_check").agg(F.count(F.lit(1)).alias("n"))

@@ -315,32 +315,43 @@ def raw_columns(name: str, kind: str, raw: Column, present: Column) -> list[dict
     if kind not in ("CC", "OBSVAL", "RV"):
         return [first, {f"{name}_text": plain}]
     m = F.col(f"{name}_m")
-    steps = [first, {f"{name}_m": F.when(F.substring(F.ltrim(raw), 1, 1) == "{", F.from_json(raw, "map<string,string>"))}]
+    is_object = F.substring(F.ltrim(raw), 1, 1) == "{"
 
     def of(*names: str) -> Column:
         return F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
 
     if kind == "RV":
+        steps = [first, {f"{name}_m": F.when(is_object, F.from_json(raw, "map<string,string>"))}]
         text = F.when(m.isNull(), plain).otherwise(of("text", "Text"))
         return [*steps, {f"{name}_text": text, f"{name}_low": of("lowValue", "LowValue"), f"{name}_high": of("highValue", "HighValue")}]
+    # One typed parse says everything about an ordinary concept; only others are read property by property.
+    c, fits = F.col(f"{name}_c"), F.col(f"{name}_fits")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unreadable"}
+    steps = [first, {f"{name}_c": F.when(is_object, F.from_json(raw, _CONCEPT, options))}]
+    said = c["_unreadable"].isNull() & (c["text"].isNotNull() | c["codings"].isNotNull())
+    steps.append({f"{name}_fits": F.coalesce(said & ~raw.rlike(_TWICE), F.lit(False))})
+    steps.append({f"{name}_m": F.when(is_object & ~fits, F.from_json(raw, "map<string,string>"))})
     shaped = F.map_contains_key(m, F.lit("text")) | F.map_contains_key(m, F.lit("codings"))
-    text = F.when(m.isNull(), plain).when(shaped, of("text")).otherwise(F.get(F.map_values(m), 0))
-    steps.append({f"{name}_text0": text, f"{name}_coded": F.when(m.isNotNull(), raw_codings(of("codings")))})
+    text = F.when(fits, c["text"]).when(m.isNull(), plain).when(shaped, of("text")).otherwise(F.get(F.map_values(m), 0))
+    listed = F.when(fits, c["codings"]).otherwise(F.from_json(of("codings"), _CODING_LIST))
+    steps.append({f"{name}_text0": text, f"{name}_coded": F.when(fits | m.isNotNull(), parsed_codings(listed))})
     coded = F.col(f"{name}_coded")
     label = F.when(coded.isNotNull(), concept_text(F.col(f"{name}_text0"), coded)).otherwise(F.col(f"{name}_text0"))
-    steps[-1] |= {f"{name}_type": of("type")} if kind == "OBSVAL" else {}
+    steps[-1] |= {f"{name}_type": F.when(fits, c["type"]).otherwise(of("type"))} if kind == "OBSVAL" else {}
     return [*steps, {f"{name}_text": label}]
 
 
-def raw_item(name: str, kind: str, types: Types = DATA_TYPES) -> Item:
-    """The :class:`Item` over the columns of :func:`raw_columns`."""
+def raw_item(name: str, kind: str, types: Types = DATA_TYPES, displays: bool = True) -> Item:
+    """The :class:`Item` over the columns of :func:`raw_columns`.  Without ``displays`` those of codings
+    stay as given, for readers of systems and codes alone."""
     text, present = F.col(f"{name}_text"), F.col(f"{name}_present")
     item = replace(Item.empty(kind), present=present, text=text)
     if kind == "RV":
         return replace(item, low=F.col(f"{name}_low"), high=F.col(f"{name}_high"))
     if kind not in ("CC", "OBSVAL"):
         return item
-    item = replace(item, codings=fill_displays(F.col(f"{name}_coded"), text))
+    coded = F.col(f"{name}_coded")
+    item = replace(item, codings=fill_displays(coded, text) if displays else coded)
     if kind == "CC":
         return item
     kept = F.col(f"{name}_type")
@@ -351,12 +362,19 @@ def raw_item(name: str, kind: str, types: Types = DATA_TYPES) -> Item:
 
 
 _CODING_LIST = "array<struct<system:string,`system-id`:string,code:string,display:string>>"
+_CONCEPT = f"text string, codings {_CODING_LIST}, type string, _unreadable string"
+#: A property that may come twice, of which a struct keeps the last and a map the first.
+_TWICE = r'(?s)"(text|codings|type)"\s*:.*"\1"\s*:|\\u'
 _WITH_NULLS = {"ignoreNullFields": "false"}
 
 
 def raw_codings(text: Column) -> Column:
     """Codings of a JSON list of coding objects."""
-    parsed = F.from_json(text, _CODING_LIST)
+    return parsed_codings(F.from_json(text, _CODING_LIST))
+
+
+def parsed_codings(parsed: Column) -> Column:
+    """Codings of coding objects as parsed."""
     return F.transform(
         F.filter(parsed, lambda c: c.isNotNull()),
         lambda c: coding(c["code"], c["system"], c["display"], c["system-id"]),

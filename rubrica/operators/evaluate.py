@@ -436,10 +436,14 @@ class TableSource:
         self.carry = list(self.carry or [])
 
 
-def content_inputs(name: str, item: Item, params: dict, items: dict[str, Item], ctx) -> list[Column]:
-    """What a content check compares: the item's text and number, and system and code and unit
-    taken from other attributes of the row."""
-    out = [item.text.alias(f"{name}_text"), F.coalesce(item.number, parse_double(item.text)).alias(f"{name}_value")]
+def content_inputs(name: str, mnemonic: str, item: Item, params: dict, items: dict[str, Item], ctx) -> list[Column]:
+    """What a content check compares: the item's text, or system and code and unit taken from other
+    attributes of the row, with the item's number where it is looked up in ranges."""
+    if mnemonic == "TEXT_IN_CONTENT_SET":
+        return [item.text.alias(f"{name}_text")]
+    out = []
+    if mnemonic == "VALUE_IN_RANGE_SET":
+        out.append(F.coalesce(item.number, parse_double(item.text)).alias(f"{name}_value"))
 
     def other(key: str) -> Item:
         if params[key] not in items:
@@ -584,7 +588,7 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
         for p in late[m]:
             if "content" in p.defn.needs:
                 asked_content.append((i, p))
-                cols += content_inputs(f"k{i}_{p.index}", items[m], dict(p.params), items, ctx)
+                cols += content_inputs(f"k{i}_{p.index}", p.defn.mnemonic, items[m], dict(p.params), items, ctx)
     df = df.select(*head, "element_seq", *cols)
 
     # Stage 1b: lookups in other tables, and the probes that need them.
@@ -592,15 +596,16 @@ def evaluate_table(source: TableSource, compiled: CompiledRubric) -> DataFrame:
         df = attach_terms(df, lookups, compiled)
         df = attach_lists(df, lists, compiled)
         hits: dict[int, list[Column]] = {}
+        none = F.array().cast("array<string>")
         for i, p in asked_content:
             name = f"k{i}_{p.index}"
             df = content_answer(df, name, p.defn.mnemonic, dict(p.params), ctx)
             key = F.lit(content_key(p.defn.mnemonic, dict(p.params)))
-            hits.setdefault(i, []).append(F.when(F.col(f"{name}_ok"), key))
+            hits.setdefault(i, []).append(F.when(F.col(f"{name}_ok"), F.array(key)).otherwise(none))
         found = {}
         for i, keys_of in hits.items():
             in_lists = F.col(f"v{i}_lists") if f"v{i}_values" in lists else null("array<string>")
-            found[f"v{i}_lists"] = F.concat(F.coalesce(in_lists, F.array().cast("array<string>")), F.array_compact(F.array(*keys_of)))
+            found[f"v{i}_lists"] = F.concat(F.coalesce(in_lists, none), *keys_of)
         df = df.withColumns(found) if found else df
         more: dict[str, Column] = {}
         for i, s in enumerate(entities):
@@ -728,11 +733,10 @@ def table_results(source: TableSource, compiled: CompiledRubric) -> DataFrame:
     ]
     if not packs:
         raise ValueError("The rubric has no criterion for the entities of this source.")
-    packed = F.array(*packs) if source.class_mnemonic else F.array_compact(F.array(*packs))
     head = [*source.keys, *source.carry]
-    long = df.select(*head, "class_mnemonic", "element_seq", F.explode(packed).alias("_p")).select(
-        *head, "class_mnemonic", "element_seq", "_p.*"
-    )
+    # What is not of the row's class is left out after the explode: functions over lists are not compiled.
+    long = df.select(*head, "class_mnemonic", "element_seq", F.explode(F.array(*packs)).alias("_p"))
+    long = long.filter(F.col("_p").isNotNull()).select(*head, "class_mnemonic", "element_seq", "_p.*")
     rules = compiled.criteria_frame(source.df.sparkSession)
     joined = long.join(F.broadcast(rules), "entity")
     own = _decide(joined, compiled, source.keys, source.carry)

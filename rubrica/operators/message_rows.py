@@ -56,7 +56,8 @@ def message_source(messages: DataFrame, compiled: CompiledRubric, keys: list[str
             if k == len(steps):
                 steps.append({})
             steps[k] |= step
-        items[a.mnemonic] = raw_item(f"_a{i}", a.kind, compiled.ctx.data_types)
+        # Attributes without criteria are read for systems, codes and texts alone.
+        items[a.mnemonic] = raw_item(f"_a{i}", a.kind, compiled.ctx.data_types, a.mnemonic in compiled.entities)
     for entity, kind in [(model.root_mnemonic, "ROOT"), *[(m, "CLS") for m in sorted(asked)]]:
         present = F.col("class_present")
         items[entity] = Item.of_text(F.when(present, F.lit("")), present)
