@@ -576,6 +576,5 @@ def audited_element_order(spark, sf):
     ev = evaluate_messages(checked, rubric, DOC_KEYS, all_attributes=True, keep=AUDIT_VALUES, store=True)
     scores = message_scores(message_scorecards(ev, rubric, DOC_KEYS), DOC_KEYS)
     audited = audited_messages(checked, ev, scores, rubric, DOC_KEYS)
-    lines = F.from_json(F.get_json_object("audited_message", "$.document.lines"), "array<map<string,string>>")
-    texts = F.transform(lines, lambda e: F.get_json_object(F.try_element_at(e, F.lit("content")), "$.data"))
+    texts = F.from_json("audited_message", "document struct<lines:array<struct<content:struct<data:string>>>>")["document"]["lines"]["content"]["data"]
     return audited.select("message_id", F.size(texts).cast("bigint").alias("elements"), F.md5(F.array_join(texts, "|").cast("binary")).alias("texts"))

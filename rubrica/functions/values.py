@@ -399,13 +399,16 @@ def concept_json(text: Column, coded: Column, canonical: Callable[[Column], Colu
     ).otherwise(F.to_json(F.struct(text.alias("text")), _WITH_NULLS))
 
 
+def json_text(text: Column) -> Column:
+    """A JSON string literal; the text is not null."""
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
+
+
 def data_json(item: Item, raw_type: Column, type_text: Column, canonical: Callable[[Column], Column] | None = None) -> Column:
     """The ``data`` node of an audited attribute, as JSON text, by kind.  ``raw_type`` is the
     observation's type as it came, an object or plain text."""
     label = F.coalesce(item.text, F.lit(""))
-    quoted = F.regexp_extract(
-        F.to_json(F.struct(label.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1
-    )
+    quoted = json_text(label)
     is_object = F.substring(F.ltrim(raw_type), 1, 1) == "{"
     type_codings = F.when(is_object, raw_codings(F.get_json_object(raw_type, "$.codings")))
     shown_text = concept_text(type_text, type_codings)

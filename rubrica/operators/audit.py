@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.scores import score64
 from rubrica.functions.text import class_display_name, truncate_value
-from rubrica.functions.values import data_json, parsed_item
-from rubrica.operators.evaluate import message_results, results
+from rubrica.functions.values import Item, data_json, json_text, parsed_item
+from rubrica.operators.evaluate import results, wide_counters
 from rubrica.plans.checks import FAILED, PASSED
-from rubrica.plans.rubric import CompiledRubric
+from rubrica.plans.rubric import CompiledRubric, criterion_code, mask_columns
 from rubrica.sources import fixed
 from rubrica.sources.model import EntityModel
 
@@ -81,27 +84,21 @@ _ITEM_SCHEMA = (
 
 def _quote(text: Column) -> Column:
     """A JSON string literal."""
-    return F.concat(
-        F.lit('"'),
-        F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t"))), r'(?s)^\{"t":"(.*)"\}$', 1),
-        F.lit('"'),
-    )
+    return json_text(F.coalesce(text, F.lit("")))
 
 
-def audited_attributes(
-    evaluated: DataFrame, compiled: CompiledRubric, keys: list[str]
-) -> DataFrame:
-    """One row per attribute of the message: its audit node as JSON text.
-
-    ``evaluated`` comes from ``evaluate_messages(..., all_attributes=True,
-    keep=AUDIT_VALUES)``, so attributes without criteria are there too.  The rows
-    collected per attribute are its criteria in the rubric.
-    """
+def _nodes(evaluated: DataFrame, compiled: CompiledRubric, keys: list[str], levels: tuple[str, ...], together: bool = False) -> DataFrame:
+    """One row per attribute (and element, if asked for): its audit node as JSON text, its sums and failures.
+    With ``together`` the items of a message go to one task, before their criteria multiply them."""
     item = parsed_item()
-    packed = evaluated.filter(F.col("level") == "attribute").withColumn(
-        "data",
-        F.when(F.col("present"), data_json(item, F.col("v_type"), F.col("v_type_text"), compiled.ctx.code_systems.canonical_col)),
+    data = F.when(
+        (F.col("level") == "attribute") & F.col("present"),
+        data_json(item, F.col("v_type"), F.col("v_type_text"), compiled.ctx.code_systems.canonical_col),
     )
+    others = [c for c in evaluated.columns if c not in AUDIT_VALUES and c != "data"]
+    packed = evaluated.filter(F.col("level").isin(*levels)).select(*others, data.alias("data"))
+    if together:
+        packed = packed.repartition(*keys)
     rows = results(packed, compiled, keys, ["data", "element"], outer=True)
     shown = F.struct(
         F.col("assessment").alias("_sort"),
@@ -117,13 +114,15 @@ def audited_attributes(
         F.col("is_scoring").alias("_scoring"),
     )
     scored = F.col("state_code").isNotNull()
-    grouped = rows.groupBy(*keys, "class_mnemonic", "element", "element_seq", "entity", "name").agg(
+    grouped = rows.groupBy(*keys, "class_mnemonic", "element", "element_seq", "level", "entity", "name").agg(
         F.first("data").alias("data"),
         F.count(F.when(scored, 1)).alias("criteria"),
-        F.array_sort(F.collect_list(F.when(scored, shown))).alias("_items"),
+        F.array_sort(F.collect_list(F.when(scored & (F.col("level") == "attribute"), shown))).alias("_items"),
+        _sum((F.col("level") == "attribute") & (F.col("state_code") == FAILED)).alias("_fails"),
         *_audit_sums("attribute"),
     )
-    grouped = _audit_scores(grouped, "attribute")
+    weights = grouped.select("*", F.col("_wn").alias("_weighted_pass"), F.col("_wd").alias("_weighted_done"))
+    grouped = _audit_scores(weights, "attribute")
 
     def listed(scoring: bool) -> Column:
         keep = F.filter("_items", lambda i: i["_scoring"] == F.lit(scoring))
@@ -150,14 +149,27 @@ def audited_attributes(
     parts = F.concat_ws(
         ",", F.concat(F.lit('"data":'), F.col("data")), F.when(F.col("criteria") > 0, audit)
     )
-    return grouped.select(
+    node = F.when(F.col("level") == "attribute", F.concat(F.lit("{"), parts, F.lit("}")))
+    return grouped.withColumn("node", node).drop("data", "_items")
+
+
+def audited_attributes(
+    evaluated: DataFrame, compiled: CompiledRubric, keys: list[str]
+) -> DataFrame:
+    """One row per attribute of the message: its audit node as JSON text.
+
+    ``evaluated`` comes from ``evaluate_messages(..., all_attributes=True,
+    keep=AUDIT_VALUES)``, so attributes without criteria are there too.  The rows
+    collected per attribute are its criteria in the rubric.
+    """
+    return _nodes(evaluated, compiled, keys, ("attribute",)).select(
         *keys,
         "class_mnemonic",
         "element",
         "element_seq",
         "entity",
         "name",
-        F.concat(F.lit("{"), parts, F.lit("}")).alias("node"),
+        "node",
         "criteria",
         "attribute_numerator",
         "attribute_denominator",
@@ -168,27 +180,55 @@ def audited_attributes(
 AUDIT_VALUES = ["v_text", "v_codings", "v_type", "v_type_text", "v_type_code", "v_number", "v_number2", "v_low", "v_high"]
 
 
+def _with_late(grouped: DataFrame, compiled: CompiledRubric) -> DataFrame:
+    """Elements with the criteria that look at the results of their attributes added to their sums."""
+    late = [c for c in compiled.criteria if c.needs_children]
+    if not late:
+        return grouped
+    item = replace(Item.empty("ELM"), child_fails=F.col("_fails"))
+    masks = mask_columns(compiled.probes_of(late), compiled.words, item, compiled.ctx)
+    masks.pop("reasons", None)
+    words = range(compiled.words)
+    fail, err = [F.col(f"f_{w}") for w in words], [F.col(f"x_{w}") for w in words]
+    here = {c.id: (F.col("_is_element") == 1) & (F.col("class_mnemonic") == c.class_mnemonic) for c in late}
+    staged = grouped.withColumns(masks).withColumns({f"_s{c.id}": F.when(here[c.id], criterion_code(c, compiled, fail, err)) for c in late})
+    extra = wide_counters(late, {c.id: F.col(f"_s{c.id}") for c in late})
+    feeds = {
+        "element_numerator": "scoring_pass", "element_denominator": "scoring_processed", "_wn": "weighted_pass",
+        "_wd": "weighted_processed", "element_critical_failure_count": "critical_fail",
+    }
+    sums = {n: F.col(n) + extra[c] for n, c in feeds.items()}
+    total = F.col("_criteria")
+    for c in late:
+        total = total + F.when(F.col(f"_s{c.id}").isNotNull(), 1).otherwise(0)
+    return staged.withColumns(sums | {"_criteria": total})
+
+
 def audited_elements(
-    evaluated: DataFrame, compiled: CompiledRubric, keys: list[str]
+    evaluated: DataFrame, compiled: CompiledRubric, keys: list[str], together: bool = False
 ) -> DataFrame:
     """One row per element: its audited JSON.  Collects the model's attributes of the
-    one element."""
+    one element, whose own criteria are added up with theirs.  With ``together`` the items of a
+    message go to one task first, for callers that put the elements together again."""
     fields = {a.mnemonic: a.field for c in compiled.model.classes for a in c.attributes}
-    field = F.try_element_at(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv]), F.col("entity"))
-    nodes = audited_attributes(evaluated, compiled, keys).withColumn(
-        "_member", F.concat(_quote(field), F.lit(":"), F.col("node"))
-    )
-    rows = message_results(evaluated.drop(*AUDIT_VALUES), compiled, keys)
-    scores = element_audit(rows, keys)
+    names = F.create_map(*[x for m, f in fields.items() for x in (F.lit(m), F.lit(json.dumps(f, ensure_ascii=False)))])
+    field = F.coalesce(F.try_element_at(names, F.col("entity")), F.lit('""'))
+    nodes = _nodes(evaluated, compiled, keys, ("attribute", "element"), together)
+    member = F.struct(F.col("name"), F.concat(field, F.lit(":"), F.col("node")).alias("_member"))
+    total = lambda c: F.sum(c).cast("bigint")
     grouped = nodes.groupBy(*keys, "class_mnemonic", "element", "element_seq").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col("name"), F.col("_member")))),
-                lambda s: s["_member"],
-            ),
-            ",",
-        ).alias("_members")
+        F.array_sort(F.collect_list(F.when(F.col("level") == "attribute", member))).alias("_list"),
+        F.max(F.when(F.col("level") == "element", 1).otherwise(0)).alias("_is_element"),
+        total("criteria").alias("_criteria"),
+        total("_fails").alias("_fails"),
+        total("attribute_numerator").alias("element_numerator"),
+        total("attribute_denominator").alias("element_denominator"),
+        total("attribute_critical_failure_count").alias("element_critical_failure_count"),
+        total("_weighted_pass").alias("_wn"),
+        total("_weighted_done").alias("_wd"),
     )
+    # An element without attributes in the model has no members and is not shown.
+    shown = _audit_scores(_with_late(grouped.filter(F.size("_list") > 0), compiled), "element")
     numbers = F.to_json(
         F.struct(
             F.col("element_score").cast("string").alias("elementScore"),
@@ -198,15 +238,17 @@ def audited_elements(
             F.col("element_denominator").cast("string").alias("elementDenominator"),
         )
     )
-    joined = grouped.join(scores, [*keys, "class_mnemonic", "element_seq"], "left")
-    audit = F.when(
-        F.col("element_denominator").isNotNull(), F.concat(F.lit('"elementAudit":'), numbers)
-    )
-    return joined.select(
+    # Elements of messages without a key have no audit.
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    audit = F.when((F.col("_criteria") > 0) & known, F.concat(F.lit('"elementAudit":'), numbers))
+    members = F.array_join(F.transform("_list", lambda s: s["_member"]), ",")
+    return shown.select(
         *keys,
         "class_mnemonic",
         "element_seq",
-        F.concat(F.lit("{"), F.concat_ws(",", "_members", audit), F.lit("}")).alias("element_json"),
+        F.concat(F.lit("{"), F.concat_ws(",", members, audit), F.lit("}")).alias("element_json"),
     )
 
 
@@ -224,17 +266,10 @@ def audited_messages(
     ``audited_elements`` is the form to store when messages are very large.
     """
     model = compiled.model
-    per_class = audited_elements(evaluated, compiled, keys).groupBy(*keys, "class_mnemonic").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("element_seq", "element_json"))),
-                lambda s: s["element_json"],
-            ),
-            ",",
-        ).alias("_json")
-    )
-    per_message = per_class.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("class_mnemonic", "_json"))).alias("_by_class")
+    # Messages without a key meet no header below.
+    known = evaluated.dropna(subset=keys)
+    per_message = audited_elements(known, compiled, keys, together=True).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("class_mnemonic", "element_seq", "element_json"))).alias("_elements")
     )
     header = message_audit(scores.filter("succeeded"), keys)
     block = F.to_json(F.struct(*[c for c in header.columns if c not in keys]))
@@ -249,7 +284,9 @@ def audited_messages(
     joined = shown.join(header, keys).join(per_message, keys, "left")
     classes = []
     for c in sorted(model.classes, key=lambda c: c.label):
-        body = F.coalesce(F.try_element_at("_by_class", F.lit(c.mnemonic)), F.lit(""))
+        mnemonic = F.lit(c.mnemonic)
+        own = F.filter("_elements", lambda e: e["class_mnemonic"] == mnemonic)  # noqa: B023
+        body = F.coalesce(F.array_join(F.transform(own, lambda e: e["element_json"]), ","), F.lit(""))
         classes.append(F.concat(_quote(F.lit(c.field)), F.lit(":["), body, F.lit("]")))
     text = F.concat(
         F.lit('{"EntityModelMnemonic":'),
